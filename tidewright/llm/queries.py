@@ -125,7 +125,7 @@ select u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') as verdic
 
 OP7_SQL = rf"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
-s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')] else list_transform(generate_series(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as sh from d)),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')] else list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as sh from d)),
 n as (select d.doc_id, count(sh) as n from d left join s using (doc_id) group by d.doc_id),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
