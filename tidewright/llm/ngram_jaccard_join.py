@@ -139,62 +139,128 @@ def _edges(num: int, den: int, top: int) -> np.ndarray:
     return np.array(out)
 
 
-def sketches(docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes | None, bits: int) -> DataFrame:
-    """Per row: doc_id, n, digest (d1, d2), single-token prefix `pre` and combination signatures `sl`."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap else None
+def _signatures(mine: np.ndarray, group: np.ndarray, num: int, den: int):
+    """Single-token prefix, combination signatures and the least count of filled slots of one sorted token set."""
+    size = len(mine)
+    none = np.zeros(0, U)
+    if (size + size * den // num) * (den - num) // (den + num) < 1:  # only equal sets can link
+        return none, none, 0
+    tau = size - -(-num * size // den)
+    rare = int(np.searchsorted(mine, _TOP))
+    if rare > tau:
+        return mine[: tau + 1], none, 0
+    rest = A.mix(mine[rare:] ^ U(0xA0761D6478BD642F))
+    g, found, least = int(np.searchsorted(group, size, "right")) - 1, [], size
+    for label in (g, g + 1):
+        upper = (group[label + 1] if label + 1 < len(group) else group[-1] * den // num + 1) - 1
+        most = int(2 * upper * (den - num) // (den + num))
+        slots = most + 2 + min(most + 1, 8 + most // 8)
+        at = (rest % U(slots)).astype(np.int64)
+        total = np.zeros(slots, U)
+        np.add.at(total, at, A.mix(rest))
+        filled = np.flatnonzero(np.bincount(at, minlength=slots))
+        found.append(A.mix(total[filled] + A.mix(filled.astype(U) + U(label << 32))))
+        least = min(least, len(filled))
+        if len(filled) - most < 1:  # the equal slot may be an empty one
+            found.append(A.mix(np.array([(label << 40) + 1], U)))
+    return mine[:rare], np.concatenate(found), least
+
+
+def _digests(token, edge):
+    run1 = np.concatenate((np.zeros(1, U), np.cumsum(A.mix(token))))
+    run2 = np.concatenate((np.zeros(1, U), np.cumsum(A.mix(token ^ U(0x5851F42D4C957F2D)))))
+    return run1[edge[1:]] - run1[edge[:-1]], run2[edge[1:]] - run2[edge[:-1]]
+
+
+def set_digests(docs: DataFrame, shingle: int, bitmap: bytes, bits: int) -> DataFrame:
+    """Per row: doc_id, n (set size) and a 128-bit digest of the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def work(batches):
-        table = np.frombuffer(shared.value, np.uint8) if shared else None
+        table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids = batch.column("doc_id")
             for i, j, data, off in A.chunks(batch.column("text")):
                 token, edge = _sets(data, off, shingle, table, bits)
-                n = np.diff(edge)
-                group = _edges(num, den, int(n.max(initial=1)))
-                run1 = np.concatenate((np.zeros(1, U), np.cumsum(A.mix(token))))
-                run2 = np.concatenate((np.zeros(1, U), np.cumsum(A.mix(token ^ U(0x5851F42D4C957F2D)))))
-                d1, d2 = run1[edge[1:]] - run1[edge[:-1]], run2[edge[1:]] - run2[edge[:-1]]
-                pre, sl = [], []
-                for x in range(j - i):
-                    mine = token[edge[x] : edge[x + 1]]
-                    size = len(mine)
-                    tau = size - -(-num * size // den)
-                    if not size or (size + size * den // num) * (den - num) // (den + num) < 1:  # only equal sets can link
-                        pre.append(None)
-                        sl.append(None)
-                        continue
-                    rare = int(np.searchsorted(mine, _TOP))
-                    if rare > tau:
-                        pre.append(mine[: tau + 1].view(np.int64))
-                        sl.append(None)
-                        continue
-                    pre.append(mine[:rare].view(np.int64))
-                    rest = A.mix(mine[rare:] ^ U(0xA0761D6478BD642F))
-                    g, found = int(np.searchsorted(group, size, "right")) - 1, []
-                    for label in (g, g + 1):
-                        upper = (group[label + 1] if label + 1 < len(group) else group[-1] * den // num + 1) - 1
-                        most = int(2 * upper * (den - num) // (den + num))
-                        slots = most + 2 + min(most + 1, 8 + most // 8)
-                        at = (rest % U(slots)).astype(np.int64)
-                        total = np.zeros(slots, U)
-                        np.add.at(total, at, A.mix(rest))
-                        filled = np.flatnonzero(np.bincount(at, minlength=slots))
-                        found.append(A.mix(total[filled] + A.mix(filled.astype(U) + U(label << 32))))
-                        if len(filled) - most < 1:  # the equal slot may be an empty one
-                            found.append(A.mix(np.array([(label << 40) + 1], U)))
-                    sl.append(np.concatenate(found).view(np.int64))
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(pre, lists), pa.array(sl, lists)], ["doc_id", "n", "d1", "d2", "pre", "sl"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long, pre array<long>, sl array<long>")
+                d1, d2 = _digests(token, edge)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(edge).astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["doc_id", "n", "d1", "d2"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long")
+
+
+def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, parts: int) -> DataFrame:
+    """(sig, key, n, many): signatures that several sets have; key is the set's first digest, many marks combinations.
+
+    Signatures travel packed by hash range, 8 bytes and a local number each; equal texts of
+    a chunk travel once, and equal sets are one key, so groups of copies add nothing here.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def pack(batches):
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for _, _, data, off in A.chunks(batch.column("text")):
+                token, edge = _sets(data, off, shingle, table, bits)
+                size = np.diff(edge)
+                key, _ = _digests(token, edge)
+                group = _edges(num, den, int(size.max(initial=1)))
+                sig, who = [], []
+                for x in np.unique(key, return_index=True)[1]:
+                    pre, sl, _ = _signatures(token[edge[x] : edge[x + 1]], group, num, den)
+                    sig += [A.mix(pre) & ~U(1), sl | U(1)]
+                    who += [np.full(len(pre) + len(sl), x)]
+                if not sig or not sum(map(len, sig)):
+                    continue
+                sig, who = np.concatenate(sig), np.concatenate(who)
+                part = ((sig >> U(40)) * U(parts) >> U(24)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                out = {"part": [], "sig": [], "at": [], "keys": [], "sizes": []}
+                for p in np.flatnonzero(np.diff(edges)):
+                    mine = order[edges[p] : edges[p + 1]]
+                    used, local = np.unique(who[mine], return_inverse=True)
+                    out["part"].append(int(p))
+                    out["sig"].append(sig[mine].astype("<u8").tobytes())
+                    out["at"].append(local.astype("<u4" if len(used) > 65535 else "<u2").tobytes())
+                    out["keys"].append(key[used].astype("<u8").tobytes())
+                    out["sizes"].append(size[used].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "at", "keys", "sizes")]]))
+
+    def find(table):
+        sig, key, n = [], [], []
+        for s, at, k, z in zip(*(table.column(c) for c in ("sig", "at", "keys", "sizes")), strict=True):
+            k = np.frombuffer(k.as_buffer(), "<u8")
+            at = np.frombuffer(at.as_buffer(), "<u4" if len(k) > 65535 else "<u2")
+            sig.append(np.frombuffer(s.as_buffer(), "<u8"))
+            key.append(k[at])
+            n.append(np.frombuffer(z.as_buffer(), "<u4")[at])
+        sig, key, n = np.concatenate(sig), np.concatenate(key), np.concatenate(n)
+        order = np.argsort(sig)
+        sig, key, n = sig[order], key[order], n[order]
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        several = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
+        keep = np.repeat(several, np.diff(np.append(start, len(sig))))
+        sig, key, n = sig[keep], key[keep], n[keep]
+        order = np.lexsort((key, sig))
+        sig, key, n = sig[order], key[order], n[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key, n = sig[new], key[new], n[new]
+        return pa.table({"sig": pa.array(sig.view(np.int64)), "key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64)), "many": pa.array(sig & U(1) == 1)})
+
+    packed = docs.select("text").mapInArrow(pack, "part int, sig binary, at binary, keys binary, sizes binary")
+    return packed.groupBy("part").applyInArrow(find, "sig long, key long, n long, many boolean")
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents in ids(doc_id): filtered at the scan while ids are few, else by a shuffled join."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(a, b) -> (a, b, inter, na, nb) by intersecting whole sets; a is the shared side of a star."""
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = _picked(docs, ids)
 
     def collect(batches):
         for batch in batches:
@@ -223,48 +289,113 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return materialize(wide.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long, inter long, na long, nb long"), "verified")
 
 
-def jaccard_links(docs: DataFrame, sk: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, block: int = 1500) -> DataFrame:
+    """Pairs (a, b) of left(hub, id, n, component, d) that may still link: same hub, different components.
+
+    Members of a hub are dealt into blocks of about `block` and every two blocks are
+    compared in a task of their own, by a product of their signature incidence: linked sets
+    share all but as many slots as they may differ in. The triangle inequality on the
+    distance to the hub, sizes and components are tested with it; only survivors are emitted.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def sketch(batches):
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for i, j, data, off in A.chunks(batch.column("text")):
+                token, edge = _sets(data, off, shingle, table, bits)
+                group = _edges(num, den, int(np.diff(edge).max(initial=1)))
+                got = [_signatures(token[edge[x] : edge[x + 1]], group, num, den) for x in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64())], ["id", "sl", "fill"])
+
+    ids = materialize(left.select(F.col("id").alias("doc_id")).distinct(), "leftids")
+    sketches = materialize(_picked(docs, ids).mapInArrow(sketch, "id long, sl binary, fill long").dropDuplicates(["id"]), "leftsketch")
+    blocks = left.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    dealt = left.join(blocks, "hub").join(sketches, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.select("*", other.alias("other")).select("hub", "id", "n", "component", "d", "sl", "fill", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def compare(table):
+        col = {c: table.column(c).to_numpy() for c in ("id", "n", "component", "d", "fill", "mine")}
+        lists = [np.frombuffer(x.as_buffer(), U) for x in table.column("sl")]
+        count = np.array([len(x) for x in lists])
+        owner = np.repeat(np.arange(len(lists)), count)
+        _, code, seen = np.unique(np.concatenate(lists) if lists else np.zeros(0, U), return_inverse=True, return_counts=True)
+        keep = seen[code] > 1
+        owner, code = owner[keep], np.unique(code[keep], return_inverse=True)[1]
+        by = np.argsort(code, kind="stable")
+        owner, code = owner[by], code[by]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rows, cols = np.flatnonzero(col["mine"] == i), np.flatnonzero(col["mine"] == j)
+        both = np.zeros((len(rows), len(cols)), np.float32)
+        place_r, place_c = np.full(len(lists), -1), np.full(len(lists), -1)
+        place_r[rows], place_c[cols] = np.arange(len(rows)), np.arange(len(cols))
+        top = int(code[-1]) + 1 if len(code) else 0
+        for s in range(0, top, 2048):
+            x, y = np.searchsorted(code, s), np.searchsorted(code, s + 2048)
+            one, two = np.zeros((len(rows), 2048), np.float32), np.zeros((len(cols), 2048), np.float32)
+            o, c = owner[x:y], code[x:y] - s
+            m = place_r[o] >= 0
+            one[place_r[o[m]], c[m]] = 1
+            m = place_c[o] >= 0
+            two[place_c[o[m]], c[m]] = 1
+            both += one @ two.T
+        r, c = np.nonzero(both)
+        votes = both[r, c]
+        r, c = rows[r], cols[c]
+        nr, nc = col["n"][r], col["n"][c]
+        differ = (nr + nc) * (den - num) // (den + num)
+        ok = (col["component"][r] != col["component"][c]) & (den * nr >= num * nc) & (den * nc >= num * nr) & (votes >= np.maximum(1, np.maximum(col["fill"][r], col["fill"][c]) - differ)) & (np.abs(col["d"][r] - col["d"][c]) <= (den - num) / den + 1e-9)
+        a, b = col["id"][r[ok]], col["id"][c[ok]]
+        pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), "b": pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())})
+
+    return dealt.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, part_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """Links between set representatives, enough of them to join every component, and the components."""
     linked = f"{den} * inter >= {num} * (na + nb - inter)"
     near = f"{den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
-    reps = sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    rep = sk.where("pre is not null").join(reps, ["doc_id", "n", "d1", "d2"], "left_semi")
-    one = rep.select(F.col("doc_id").alias("id"), "n", F.explode("pre").alias("sig"))
+    reps = digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
+    reps = materialize(reps.where("id is not null"), "reps")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = shared_signatures(docs, shingle, num, den, bitmap, bits, max(4, -(-total // part_bytes)))
+    member = materialize(found.join(reps.select(F.col("d1").alias("key"), "n", "id"), ["key", "n"]).select("sig", "id", "n", "many"), "members")
+    one = member.where("not many")
     singles = one.alias("x").join(one.alias("y"), F.expr(f"x.sig = y.sig and x.id < y.id and {near}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = rep.where("sl is not null").select(F.col("doc_id").alias("id"), "n", F.explode("sl").alias("sig"))
-    shared = many.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = materialize(many.join(shared, "sig"), "members")
-    company = member.groupBy("id").agg(F.sum("c").alias("company"))
-    hub = member.join(company, "id").groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("hub"))
-    member = materialize(member.join(hub, "sig"), "starred")
-    stars = member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    found = _verified(singles.union(stars).distinct(), docs, shingle)
-    links = found.where(linked).select("a", "b")
+    many = member.where("many").join(member.where("many").groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sig")
+    company = many.groupBy("id").agg(F.sum("c").alias("company"))
+    hub = many.join(company, "id").groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("hub"))
+    starred = materialize(many.join(hub, "sig").select("sig", "id", "n", "hub"), "starred")
+    stars = starred.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    checked = _verified(singles.union(stars).distinct(), docs, shingle)
+    links = checked.where(linked).select("a", "b")
     components = connected_components(links)
-    # buckets that lie in one component are done; in the others, members of different components remain
-    inside = member.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = inside.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    apart = found.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-    left = materialize(inside.join(split, "sig", "left_semi").join(apart, ["hub", "id"], "left").withColumn("d", F.when(F.col("id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d"))), "left")
-    gap = (den - num) / den + 1e-9
-    rest = left.alias("x").join(left.alias("y"), F.expr(f"x.sig = y.sig and x.id < y.id and x.component <> y.component and x.id <> x.hub and y.id <> y.hub and {near} and abs(coalesce(x.d, 0) - coalesce(y.d, 0)) <= case when x.d is null or y.d is null then 2 else {gap} end"))
-    rest = materialize(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest")
-    if rest.limit(1).count():
+    # hubs whose members lie in one component are done; in the others, members of different components remain
+    inside = starred.select("hub", "id", "n").distinct().join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    inside = materialize(inside, "inside")
+    split = inside.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("hub")
+    apart = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
+    left = inside.where("id <> hub").join(split, "hub", "left_semi").join(apart, ["hub", "id"])
+    left = materialize(left, "left")
+    if left.limit(1).count():
+        rest = _remaining(left, docs, shingle, num, den, bitmap, bits)
         more = _verified(rest, docs, shingle).where(linked).select("a", "b")
         links = materialize(links.union(more), "links")
         components = connected_components(links)
     return links, components
 
 
-def ngram_jaccard_groups(docs: DataFrame, shingle: int = 3, num: int = 9, den: int = 10, rare_documents: int = 8, bitmap_bits: int = 26) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, shingle: int = 3, num: int = 9, den: int = 10, rare_documents: int = 16, bitmap_bits: int = 26) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_id (smallest doc_id of the equal sets)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bitmap = frequent_words(docs, bitmap_bits, rare_documents)
-    sk = materialize(sketches(docs, shingle, num, den, bitmap, bitmap_bits), "sketch")
-    _, components = jaccard_links(docs, sk, shingle, num, den)
-    reps = sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("set_id"))
+    digests = materialize(set_digests(docs, shingle, bitmap, bitmap_bits), "digests")
+    _, components = jaccard_links(docs, digests, shingle, num, den, bitmap, bitmap_bits)
+    reps = digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("set_id"))
     named = reps.join(components.withColumnRenamed("id", "set_id"), "set_id", "left")
-    out = sk.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    out = digests.join(named, ["n", "d1", "d2"], "left")
     set_id = F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", set_id).alias("component_id"), set_id.alias("set_id"))
 
