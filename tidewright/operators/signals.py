@@ -26,8 +26,9 @@ class LookAheadError(RuntimeError):
 def assert_no_look_ahead(df: DataFrame) -> DataFrame:
     """Raise if the plan has a lead or a frame that reaches past the current row; else return df."""
     plan = df._jdf.queryExecution().analyzed().toString()
-    for upper in re.findall(r"specifiedwindowframe\(\w+, [^,]+, (.+?)\)", plan):
-        if not re.match(r"currentrow|-\d|0$", upper):
+    for spec, upper in re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe\(\w+, [^,]+, (.+?)\)", plan):
+        within_bar = re.search(r"\bt#\d+L?, ", spec)  # partitioned by the bar itself: other symbols, same time
+        if not within_bar and not re.match(r"currentrow|-\d|0$", upper):
             raise LookAheadError(f"a window frame reaches the future: its upper bound is {upper}")
     if re.search(r"\blead\(", plan):
         raise LookAheadError("lead() reads rows after the current one")
