@@ -258,7 +258,7 @@ def _orders(spark, sf) -> DataFrame:
 
 
 def slippage_fixed(spark, sf):
-    return _orders(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", F.round(F.col("px") * (1 + F.col("side") * 2e-4), 8).alias("fill"))
+    return _orders(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("px") * (1 + F.col("side") * 2e-4)).alias("fill"))
 
 
 def slippage_impact(spark, sf):

@@ -193,7 +193,7 @@ def _build() -> dict[str, str]:
         "sharpe_by_series": f"with {_EVENT_CURVE}, {_RET} select series_id, count(*) as n, round(avg(r) / stddev_samp(r) * sqrt(252e0), 8) as sharpe from rets group by series_id",
         "psr": f"with {_DAILY_CURVE}, {_RET}, {_MOMENTS}, z as (select series_id, n, ratio * sqrt(n - 1e0) / {_SPREAD} as z from mo) select series_id, n, round({normal_cdf_sql('z')}, 8) as psr from z",
         "dsr": f"with {_DAILY_CURVE}, {_RET}, {_MOMENTS}, {_EVENT}, er as (select symbol, close / lag(close) over (partition by symbol order by t) - 1e0 as r from evb), tr as (select avg(r) / stddev_samp(r) as s from er where r is not null group by symbol), k as (select cast(count(*) as double) as k, var_samp(s) as v from tr), x as (select {expected_max_sql('k', 'v')} as bar from k), z as (select series_id, bar, (ratio - bar) * sqrt(n - 1e0) / {_SPREAD} as z from mo, x) select series_id, round(bar, 8) as bar, round({normal_cdf_sql('z')}, 8) as dsr from z",
-        "slippage_fixed": f"with {_ORDERS} select l_orderkey, l_linenumber, l_suppkey, round(px * (1e0 + side * 2e-4), 8) as fill from o",
+        "slippage_fixed": f"with {_ORDERS} select l_orderkey, l_linenumber, l_suppkey, px * (1e0 + side * 2e-4) as fill from o",
         "slippage_impact": f"with {_ORDERS} select l_orderkey, l_linenumber, l_suppkey, round(px * (1e0 + side * (2e-4 + 6e-1 * 126e-4 * sqrt(least(q / 1000e0, 1e0)))), 6) as fill from o",
         "commission_per_share": f"with {_ORDERS} select side, count(*) as n, round(sum(least(greatest(1e0, 5e-3 * q), 1e-2 * abs(q * px))), 2) as fee from o group by side",
         "commission_pct": f"with {_ORDERS} select side, round(sum(abs(q * px) * 1e-4), 2) as fee from o group by side",
