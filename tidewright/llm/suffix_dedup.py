@@ -210,6 +210,57 @@ def _numbers(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+#: Windows that a reducer expands at once.
+BLOCK = 1_500_000
+
+
+def _block_marks(f, doc, lo, size, begin, whole, data, length: int):
+    """(doc, start, end) of the runs of windows that also start in a smaller document, for whole groups of anchors."""
+    # equal cuts are one entry, known by its smallest document
+    order = np.lexsort((doc, whole))
+    lead = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
+    entry = np.empty(len(f), np.int64)
+    entry[order] = np.cumsum(lead) - 1
+    head = order[lead]
+    least, anchor, windows = doc[head], f[head], size[head] - length + 1
+    # only anchors with several entries need their suffixes sorted
+    by = np.argsort(anchor, kind="stable")
+    label = _numbers(anchor[by])
+    many = np.zeros(len(head), bool)
+    many[by] = np.bincount(label)[label] > 1
+    first = np.cumsum(windows) - windows
+    smallest = np.repeat(least, windows)
+    chosen = np.flatnonzero(many)
+    if len(chosen):
+        w = windows[chosen]
+        step = _ranges(w)
+        slot = np.repeat(first[chosen], w) + step
+        group = multikey_groups(data, np.repeat(begin[head[chosen]], w) + step, np.repeat(anchor[chosen], w), length)
+        slot, group = slot[group >= 0], group[group >= 0]
+        if len(group):
+            by = np.argsort(group, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
+            low = np.minimum.reduceat(smallest[slot[by]], start)
+            smallest[slot[by]] = np.repeat(low, np.diff(np.append(start, len(by))))
+    # each member against the smallest document of each of its windows, block by block
+    out = [(np.zeros(0, np.int64),) * 3]
+    reach = np.cumsum(windows[entry])
+    i = 0
+    while i < len(doc):
+        j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + BLOCK, "right")))
+        e, w = entry[i:j], windows[entry[i:j]]
+        step = _ranges(w)
+        hit = smallest[np.repeat(first[e], w) + step] < np.repeat(doc[i:j], w)
+        opens = step == 0
+        before = np.concatenate(([False], hit[:-1])) & ~opens
+        after = np.concatenate((hit[1:] & ~opens[1:], [False]))
+        starts, ends = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+        member = i + np.repeat(np.arange(j - i), w)[starts]
+        out.append((doc[member], lo[member] + step[starts], lo[member] + step[ends] + length))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _marks(cuts: DataFrame, length: int) -> DataFrame:
     """(doc_id, runs): packed (start, end) byte runs that repeat a smaller document."""
 
@@ -220,53 +271,17 @@ def _marks(cuts: DataFrame, length: int) -> DataFrame:
         f, doc, lo, size, data = column("f", "<u8"), column("doc", "<i8"), column("lo", "<i8"), column("size", "<i4").astype(np.int64), column("data", np.uint8)
         begin = np.cumsum(size) - size
         whole = A.span_hash(A.prefix_hash(data), begin, begin + size) ^ A.mix(f)
-        # equal cuts are one entry, known by its smallest document
-        order = np.lexsort((doc, whole))
-        lead = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
-        entry = np.empty(len(f), np.int64)
-        entry[order] = np.cumsum(lead) - 1
-        head = order[lead]
-        least = doc[head]
-        windows = size[head] - length + 1
-        # only anchors with several entries need their suffixes sorted
-        anchor = f[head]
-        by = np.argsort(anchor, kind="stable")
-        new = np.concatenate(([True], anchor[by][1:] != anchor[by][:-1]))
-        many = np.zeros(len(head), bool)
-        many[by] = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-        first = np.cumsum(windows) - windows
-        smallest = np.repeat(least, windows)
-        chosen = np.flatnonzero(many)
-        if len(chosen):
-            w = windows[chosen]
-            step = _ranges(w)
-            at = np.repeat(begin[head[chosen]], w) + step
-            slot = np.repeat(first[chosen], w) + step
-            group = multikey_groups(data, at, np.repeat(anchor[chosen], w), length)
-            slot, group = slot[group >= 0], group[group >= 0]
-            if len(group):
-                by = np.argsort(group, kind="stable")
-                start = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
-                low = np.minimum.reduceat(smallest[slot[by]], start)
-                smallest[slot[by]] = np.repeat(low, np.diff(np.append(start, len(by))))
-        # each member against the smallest document of each of its windows
-        w = windows[entry]
-        step = _ranges(w)
-        hit = smallest[np.repeat(first[entry], w) + step] < np.repeat(doc, w)
-        edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-        border = np.concatenate(([True], step[1:] == 0)) if len(step) else np.zeros(0, bool)
-        begins = np.flatnonzero(hit & ((edge[:-1] == 1) | border))
-        last = np.concatenate((border[1:], [True])) if len(step) else border
-        ends = np.flatnonzero(hit & ((edge[1:] == -1) | last))
-        member = np.repeat(np.arange(len(doc)), w)[begins]
-        s, e = lo[member] + step[begins], lo[member] + step[ends] + length
-        who = doc[member]
+        # anchors are taken in groups whose windows fit a bounded block
+        blocks = int((size - length + 1).sum() // BLOCK) + 1
+        block = (A.mix(f) % U(blocks)).astype(np.int64)
+        found = [_block_marks(f[m], doc[m], lo[m], size[m], begin[m], whole[m], data, length) for m in (np.flatnonzero(block == x) for x in range(blocks)) if len(m)]
+        who, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.lexsort((s, who))
         who, s, e = who[by], s[by], e[by]
         start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
         stop = np.append(start[1:], len(who))[: len(start)]
         both = np.stack((s, e), axis=1).astype("<i8")
-        return pa.table({"doc_id": pa.array(who[start]), "runs": pa.array([both[x:y].tobytes() for x, y in zip(start, stop, strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(who[start]), "runs": pa.array([_merge_runs(both[x:y]).tobytes() for x, y in zip(start, stop, strict=True)], pa.binary())})
 
     return cuts.groupBy("part").applyInArrow(sort, "doc_id long, runs binary")
 
