@@ -11,7 +11,8 @@ Only DataFrame functions run here. The n-gram set is broadcast while it has at m
 `broadcast_grams` rows (its size is counted first); beyond that the same join shuffles.
 Null, empty and wordless texts have no words and no hits; rows that share a doc_id are
 judged together only if they are equal in every column used, so doc_id should be a key.
-Rows with a null doc_id or null benchmark item_id take part like any other value.
+A row with a null doc_id can't be matched to its hits: it is reported clean and kept.
+A null item_id counts in n_items' windows but is left out of the joined ids.
 Extra columns are kept by the removing functions.
 """
 
@@ -26,6 +27,8 @@ from ._shared import materialize
 
 #: After lower-casing, words are runs of 0-9, a-z and everything beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Document ids are broadcast up to this many (16 bytes each), else the join shuffles.
+BROADCAST_IDS = 1_000_000
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -62,8 +65,8 @@ def window_hits(docs: DataFrame, windows: DataFrame, broadcast_grams: int = 2_00
     met = materialize(stream.join(anchors, "anchor").select("doc_id", (F.col("at") - F.col("offset") + 1).alias("start"), "n", "gram").where("start > 0"), "met")
     ids = met.select("doc_id").distinct()
     pieces = F.split(ascii_lower(F.col("text")), SEPARATORS)
-    few = ids.count() <= 1_000_000  # 16 bytes each; else the join shuffles
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(ids["doc_id"]) if not few else "doc_id", "left_semi")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     texts = texts.select("doc_id", pieces.alias("pieces"))
     same = F.array_join(F.slice("pieces", F.col("start"), F.col("n")), " ") == F.col("gram")
     return met.join(texts, "doc_id").where(same).select("doc_id", "start", "n", "gram").distinct()
@@ -91,7 +94,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """docs without the contaminated documents, other rows as they are."""
-    bad = contamination_report(docs, benchmark, window).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    bad = materialize(contamination_report(docs, benchmark, window).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -15,8 +15,8 @@ Every text is the set of its distinct k-word shingles. Two texts link when
    ones, which are dealt by hash into slots; the content of a slot (a combination of k
    tokens) is one signature. There are more slots than two linked sets can differ in,
    so one slot is equal. Sizes within the threshold share a label, so slot counts agree.
-4. Single tokens: bounded buckets, joined pairwise. Combinations: a bucket is compared
-   with its hub only (the member in most company), so copies never meet all pairs.
+4. A bucket is compared with its hub only (the member in most company), so copies never
+   meet all pairs.
    Members of a bucket that are then in different components are compared in a further
    round, where the triangle inequality of Jaccard distance removes most pairs.
 5. Verification intersects whole sets; components follow.
@@ -256,6 +256,18 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _packed(token: np.ndarray) -> bytes:
+    """The low 48 bits of each token, sorted: two sets of 20,000 have a false match once in a million."""
+    low = np.sort(token & U((1 << 48) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8")[:, 0]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(a, b) -> (a, b, inter, na, nb) by intersecting whole sets; a is the shared side of a star."""
     pairs = materialize(pairs, "pairs")
@@ -266,27 +278,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for i, j, data, off in A.chunks(batch.column("text")):
                 token, edge = _sets(data, off, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([token[edge[x] : edge[x + 1]].tobytes() for x in range(j - i)], pa.binary())], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(edge).astype(np.int64)), pa.array([_packed(token[edge[x] : edge[x + 1]]) for x in range(j - i)], pa.binary())], ["id", "n", "tokens"])
 
-    sets = materialize(texts.mapInArrow(collect, "id long, tokens binary"), "sets")
-    wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
+    sets = materialize(texts.mapInArrow(collect, "id long, n long, tokens binary"), "sets")
+    wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
 
     def intersect(batches):
         for batch in batches:
-            inter, na, nb = [], [], []
-            kept, value = None, None
+            inter, kept, value = [], None, None
             for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                ta, tb = ta.as_buffer(), np.frombuffer(tb.as_buffer(), U)
+                ta, tb = ta.as_buffer(), _unpacked(tb.as_buffer())
                 if kept is None or not ta.equals(kept):
-                    kept, value = ta, np.frombuffer(ta, U)
+                    kept, value = ta, _unpacked(ta)
                 small, big = (tb, value) if len(tb) < len(value) else (value, tb)
                 at = np.searchsorted(big, small)
                 inter.append(int((big[np.minimum(at, len(big) - 1)] == small).sum()) if len(big) else 0)
-                na.append(len(value))
-                nb.append(len(tb))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], ["a", "b", "inter", "na", "nb"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), batch.column("na"), batch.column("nb")], ["a", "b", "inter", "na", "nb"])
 
-    return materialize(wide.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long, inter long, na long, nb long"), "verified")
+    return materialize(wide.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(intersect, "a long, b long, inter long, na long, nb long"), "verified")
 
 
 def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, block: int = 1500) -> DataFrame:
@@ -362,16 +371,26 @@ def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, d
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = shared_signatures(docs, shingle, num, den, bitmap, bits, max(4, -(-total // part_bytes)))
     member = materialize(found.join(reps.select(F.col("d1").alias("key"), "n", "id"), ["key", "n"]).select("sig", "id", "n", "many"), "members")
-    one = member.where("not many")
-    singles = one.alias("x").join(one.alias("y"), F.expr(f"x.sig = y.sig and x.id < y.id and {near}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = member.where("many").join(member.where("many").groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sig")
-    company = many.groupBy("id").agg(F.sum("c").alias("company"))
-    hub = many.join(company, "id").groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("hub"))
-    starred = materialize(many.join(hub, "sig").select("sig", "id", "n", "hub"), "starred")
-    stars = starred.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    checked = _verified(singles.union(stars).distinct(), docs, shingle)
+    several = member.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = member.join(several, "sig")
+    company = member.groupBy("id").agg(F.sum("c").alias("company"))
+    hub = member.join(company, "id").groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("hub"))
+    starred = materialize(member.join(hub, "sig").select("sig", "id", "n", "many", "hub"), "starred")
+    sizes = starred.where("id = hub").select("hub", F.col("n").alias("hub_n")).distinct()
+    stars = starred.where("id <> hub").select("hub", "id", "n", "many").distinct().join(sizes, "hub").where(f"many or ({den} * n >= {num} * hub_n and {den} * hub_n >= {num} * n)")
+    checked = _verified(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs, shingle)
     links = checked.where(linked).select("a", "b")
     components = connected_components(links)
+    # single-token buckets are small: members in different components are compared pairwise
+    few = starred.where("not many").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = few.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("sig")
+    few = few.join(open_, "sig", "left_semi")
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.sig = y.sig and x.id < y.id and x.component <> y.component and x.id <> x.hub and y.id <> y.hub and {near}"))
+    singles = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "singles")
+    if singles.limit(1).count():
+        links = materialize(links.union(_verified(singles, docs, shingle).where(linked).select("a", "b")), "links")
+        components = connected_components(links)
+    starred = starred.where("many")
     # hubs whose members lie in one component are done; in the others, members of different components remain
     inside = starred.select("hub", "id", "n").distinct().join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     inside = materialize(inside, "inside")
@@ -403,9 +422,11 @@ def ngram_jaccard_groups(docs: DataFrame, shingle: int = 3, num: int = 9, den: i
 def keep_one_per_group(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, **options) -> DataFrame:
     """Rows of docs of which one stays for each group of near duplicates (the smallest doc_id).
 
-    Rows with a null doc_id can't be named and stay.
+    Of rows that share a doc_id one stays. Rows with a null doc_id can't be named and stay.
     """
-    groups = ngram_jaccard_groups(docs, shingle, num, den, **options)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    groups = ngram_jaccard_groups(docs, shingle, num, den, **options).where("doc_id is not null")
+    ids = materialize(groups.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count(F.lit(1)).alias("rows")).where("goes or rows > 1"), "goes")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    marked = docs.join(ids, "doc_id", "left")
+    once = marked.where("goes is null").select(docs.columns)
+    return once.unionByName(marked.where("not goes").select(docs.columns).dropDuplicates(["doc_id"]))
