@@ -15,8 +15,8 @@ Every text is the set of its distinct k-word shingles. Two texts link when
    ones, which are dealt by hash into slots; the content of a slot (a combination of k
    tokens) is one signature. There are more slots than two linked sets can differ in,
    so one slot is equal. Sizes within the threshold share a label, so slot counts agree.
-4. A bucket is compared with its hub only (the member in most company), so copies never
-   meet all pairs.
+4. A bucket is compared with its hub only (its smallest digest), so copies never meet all
+   pairs.
    Members of a bucket that are then in different components are compared in a further
    round, where the triangle inequality of Jaccard distance removes most pairs.
 5. Verification intersects whole sets; components follow.
@@ -188,7 +188,11 @@ def set_digests(docs: DataFrame, shingle: int, bitmap: bytes, bits: int) -> Data
 
 
 def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, parts: int) -> DataFrame:
-    """(sig, key, n, many): signatures that several sets have; key is the set's first digest, many marks combinations.
+    """(kind, sig, hub, hub_n, key, n): what signatures that several sets have say; a key is a set's first digest.
+
+    Kind 0 and 1 are stars, from a single token or a combination: the bucket's smallest key is its
+    hub, and each hub meets a member once a part. Kind 2 are the members of single-token buckets
+    of three and more.
 
     Signatures travel packed by hash range, 8 bytes and a local number each; equal texts of
     a chunk travel once, and equal sets are one key, so groups of copies add nothing here.
@@ -245,10 +249,21 @@ def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap:
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
         sig, key, n = sig[new], key[new], n[new]
-        return pa.table({"sig": pa.array(sig.view(np.int64)), "key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64)), "many": pa.array(sig & U(1) == 1)})
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(sig)))
+        head = np.repeat(first, size)
+        many = (sig & U(1)).astype(bool)
+        star = np.flatnonzero(head != np.arange(len(sig)))
+        pair = np.stack((key[head[star]], key[star], many[star].astype(U)), axis=1)
+        _, kept = np.unique(np.ascontiguousarray(pair).view([("a", U), ("b", U), ("m", U)]).ravel(), return_index=True)
+        star = star[kept]
+        small = np.flatnonzero(~many & (np.repeat(size, size) > 2))
+        rows = np.concatenate((star, small))
+        kind = np.concatenate((np.where(many[star], 1, 0), np.full(len(small), 2)))
+        return pa.table({"kind": pa.array(kind.astype(np.int32)), "sig": pa.array(np.where(kind == 2, sig[rows], U(0)).view(np.int64)), "hub": pa.array(key[head[rows]].view(np.int64)), "hub_n": pa.array(n[head[rows]].astype(np.int64)), "key": pa.array(key[rows].view(np.int64)), "n": pa.array(n[rows].astype(np.int64))})
 
     packed = docs.select("text").mapInArrow(pack, "part int, sig binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("part").applyInArrow(find, "sig long, key long, n long, many boolean")
+    return packed.groupBy("part").applyInArrow(find, "kind int, sig long, hub long, hub_n long, key long, n long")
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -298,66 +313,68 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return materialize(wide.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(intersect, "a long, b long, inter long, na long, nb long"), "verified")
 
 
-def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, block: int = 1500) -> DataFrame:
-    """Pairs (a, b) of left(hub, id, n, component, d) that may still link: same hub, different components.
+def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, block_tokens: int = 600_000) -> DataFrame:
+    """Links (a, b) among left(hub, id, n, component, d): same hub, different components.
 
-    Members of a hub are dealt into blocks of about `block` and every two blocks are
-    compared in a task of their own, by a product of their signature incidence: linked sets
-    share all but as many slots as they may differ in. The triangle inequality on the
-    distance to the hub, sizes and components are tested with it; only survivors are emitted.
+    Members of a hub are dealt into blocks of about block_tokens tokens; every two blocks are
+    compared in a task of their own. The product of their token incidence is the exact size of
+    every intersection. Only links that join components within the task are emitted.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def sketch(batches):
-        table = np.frombuffer(shared.value, np.uint8)
+    def tokens(batches):
         for batch in batches:
             for i, j, data, off in A.chunks(batch.column("text")):
-                token, edge = _sets(data, off, shingle, table, bits)
-                group = _edges(num, den, int(np.diff(edge).max(initial=1)))
-                got = [_signatures(token[edge[x] : edge[x + 1]], group, num, den) for x in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64())], ["id", "sl", "fill"])
+                token, edge = _sets(data, off, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([_packed(token[edge[x] : edge[x + 1]]) for x in range(j - i)], pa.binary())], ["id", "tokens"])
 
     ids = materialize(left.select(F.col("id").alias("doc_id")).distinct(), "leftids")
-    sketches = materialize(_picked(docs, ids).mapInArrow(sketch, "id long, sl binary, fill long").dropDuplicates(["id"]), "leftsketch")
-    blocks = left.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    dealt = left.join(blocks, "hub").join(sketches, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sets = materialize(_picked(docs, ids).mapInArrow(tokens, "id long, tokens binary").dropDuplicates(["id"]), "leftsets")
+    blocks = left.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("blocks"))
+    dealt = left.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.select("*", other.alias("other")).select("hub", "id", "n", "component", "d", "sl", "fill", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select("*", other.alias("other")).select("hub", "id", "n", "component", "d", "tokens", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def compare(table):
-        col = {c: table.column(c).to_numpy() for c in ("id", "n", "component", "d", "fill", "mine")}
-        lists = [np.frombuffer(x.as_buffer(), U) for x in table.column("sl")]
-        count = np.array([len(x) for x in lists])
-        owner = np.repeat(np.arange(len(lists)), count)
-        _, code, seen = np.unique(np.concatenate(lists) if lists else np.zeros(0, U), return_inverse=True, return_counts=True)
+        col = {c: table.column(c).to_numpy() for c in ("id", "n", "component", "d", "mine")}
+        lists = [_unpacked(x.as_buffer()) for x in table.column("tokens")]
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        _, code, seen = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         keep = seen[code] > 1
         owner, code = owner[keep], np.unique(code[keep], return_inverse=True)[1]
         by = np.argsort(code, kind="stable")
         owner, code = owner[by], code[by]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         rows, cols = np.flatnonzero(col["mine"] == i), np.flatnonzero(col["mine"] == j)
-        both = np.zeros((len(rows), len(cols)), np.float32)
+        inter = np.zeros((len(rows), len(cols)), np.float32)
         place_r, place_c = np.full(len(lists), -1), np.full(len(lists), -1)
         place_r[rows], place_c[cols] = np.arange(len(rows)), np.arange(len(cols))
-        top = int(code[-1]) + 1 if len(code) else 0
-        for s in range(0, top, 2048):
-            x, y = np.searchsorted(code, s), np.searchsorted(code, s + 2048)
-            one, two = np.zeros((len(rows), 2048), np.float32), np.zeros((len(cols), 2048), np.float32)
+        for s in range(0, int(code[-1]) + 1 if len(code) else 0, 1024):
+            x, y = np.searchsorted(code, s), np.searchsorted(code, s + 1024)
+            one, two = np.zeros((len(rows), 1024), np.float32), np.zeros((len(cols), 1024), np.float32)
             o, c = owner[x:y], code[x:y] - s
             m = place_r[o] >= 0
             one[place_r[o[m]], c[m]] = 1
             m = place_c[o] >= 0
             two[place_c[o[m]], c[m]] = 1
-            both += one @ two.T
-        r, c = np.nonzero(both)
-        votes = both[r, c]
+            inter += one @ two.T
+        r, c = np.nonzero(den * inter >= num * (col["n"][rows][:, None] + col["n"][cols][None, :] - inter))
         r, c = rows[r], cols[c]
-        nr, nc = col["n"][r], col["n"][c]
-        differ = (nr + nc) * (den - num) // (den + num)
-        ok = (col["component"][r] != col["component"][c]) & (den * nr >= num * nc) & (den * nc >= num * nr) & (votes >= np.maximum(1, np.maximum(col["fill"][r], col["fill"][c]) - differ)) & (np.abs(col["d"][r] - col["d"][c]) <= (den - num) / den + 1e-9)
-        a, b = col["id"][r[ok]], col["id"][c[ok]]
-        pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), "b": pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())})
+        apart = col["component"][r] != col["component"][c]
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for x, y in zip(r[apart].tolist(), c[apart].tolist(), strict=True):
+            u, v = root(int(col["component"][x])), root(int(col["component"][y]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                a.append(int(col["id"][x]))
+                b.append(int(col["id"][y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -370,19 +387,16 @@ def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, d
     reps = materialize(reps.where("id is not null"), "reps")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = shared_signatures(docs, shingle, num, den, bitmap, bits, max(4, -(-total // part_bytes)))
-    member = materialize(found.join(reps.select(F.col("d1").alias("key"), "n", "id"), ["key", "n"]).select("sig", "id", "n", "many"), "members")
-    several = member.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = member.join(several, "sig")
-    company = member.groupBy("id").agg(F.sum("c").alias("company"))
-    hub = member.join(company, "id").groupBy("sig").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("hub"))
-    starred = materialize(member.join(hub, "sig").select("sig", "id", "n", "many", "hub"), "starred")
-    sizes = starred.where("id = hub").select("hub", F.col("n").alias("hub_n")).distinct()
-    stars = starred.where("id <> hub").select("hub", "id", "n", "many").distinct().join(sizes, "hub").where(f"many or ({den} * n >= {num} * hub_n and {den} * hub_n >= {num} * n)")
+    named = reps.select(F.col("d1").alias("key"), "n", "id")
+    named_hub = reps.select(F.col("d1").alias("hub"), F.col("n").alias("hub_n"), F.col("id").alias("hub_id"))
+    found = materialize(found, "found").join(named, ["key", "n"]).join(named_hub, ["hub", "hub_n"])
+    found = materialize(found.select("kind", "sig", F.col("hub_id").alias("hub"), "hub_n", "id", "n"), "members")
+    stars = found.where("kind < 2").select("kind", "hub", "id", "n", "hub_n").distinct().where(f"kind = 1 or ({den} * n >= {num} * hub_n and {den} * hub_n >= {num} * n)")
     checked = _verified(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs, shingle)
     links = checked.where(linked).select("a", "b")
     components = connected_components(links)
     # single-token buckets are small: members in different components are compared pairwise
-    few = starred.where("not many").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    few = found.where("kind = 2").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = few.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("sig")
     few = few.join(open_, "sig", "left_semi")
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.sig = y.sig and x.id < y.id and x.component <> y.component and x.id <> x.hub and y.id <> y.hub and {near}"))
@@ -390,18 +404,14 @@ def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, d
     if singles.limit(1).count():
         links = materialize(links.union(_verified(singles, docs, shingle).where(linked).select("a", "b")), "links")
         components = connected_components(links)
-    starred = starred.where("many")
     # hubs whose members lie in one component are done; in the others, members of different components remain
-    inside = starred.select("hub", "id", "n").distinct().join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    inside = found.where("kind = 1").select("hub", "id", "n").distinct().join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     inside = materialize(inside, "inside")
-    split = inside.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("hub")
+    split = inside.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
     apart = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-    left = inside.where("id <> hub").join(split, "hub", "left_semi").join(apart, ["hub", "id"])
-    left = materialize(left, "left")
+    left = materialize(inside.join(split, "hub", "left_semi").join(apart, ["hub", "id"]), "left")
     if left.limit(1).count():
-        rest = _remaining(left, docs, shingle, num, den, bitmap, bits)
-        more = _verified(rest, docs, shingle).where(linked).select("a", "b")
-        links = materialize(links.union(more), "links")
+        links = materialize(links.union(_remaining(left, docs, shingle, num, den)), "links")
         components = connected_components(links)
     return links, components
 
