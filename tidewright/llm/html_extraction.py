@@ -63,7 +63,7 @@ def _is_boiler(tag: str, attributes: str, in_content: bool) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(class, text, tags before it) of each block in page order; class is article, plain or boiler."""
+    """(class, text, tags before it) of each block in page order; class is article, plain, boiler, or inner (boilerplate in an article)."""
     out: list[tuple[str, str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate here, in article or main
@@ -75,7 +75,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         parts.clear()
         if text:
             _, boiler, content = stack[-1] if stack else ("", False, False)
-            out.append(("boiler" if boiler else "article" if content else "plain", text, tags))
+            out.append((("inner" if content else "boiler") if boiler else "article" if content else "plain", text, tags))
             tags = 0
 
     while at < n:
@@ -133,6 +133,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     best, best_run, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, text, tags) in enumerate(found):
         kind = "outside" if marked and kind == "plain" else kind
+        if kind == "inner" or (kind == "boiler" and not marked):
+            continue  # cut out below; it must not part the content around it
         value = weights[kind] * (text.count(" ") + 1) + weights["tag"] * min(tags, 8) * (0.05 if kind in ("article", "plain") else 1)
         if total <= 0:
             total, start = 0.0, i
@@ -154,7 +156,7 @@ def learn_weights(pages: DataFrame, most_pages: int = 1000) -> dict[str, float]:
                 if page is None or len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
                     continue
                 for kind, text, tags in blocks(page):
-                    kind = "outside" if kind == "plain" else kind
+                    kind = {"plain": "outside", "inner": "boiler"}.get(kind, kind)
                     seen[kind] = seen.get(kind, 0) + text.count(" ") + 1
                     seen["tag"] = seen.get("tag", 0) + tags
             yield pa.RecordBatch.from_pydict({"kind": list(seen), "n": list(seen.values())}, schema=pa.schema([("kind", pa.string()), ("n", pa.int64())]))
@@ -166,7 +168,7 @@ def learn_weights(pages: DataFrame, most_pages: int = 1000) -> dict[str, float]:
         # content words are those in the article; all others, and tags, speak against
         inside, outside = seen["article"], seen.get("outside", 0) + seen.get("boiler", 0) + 1
         base = math.log((inside + outside) / outside)
-        weights["article"] = max(0.25, base)
+        weights["article"] = max(0.5, base)
         for kind in ("outside", "boiler"):
             if seen.get(kind):
                 weights[kind] = -max(0.5, math.log(1 + seen[kind]) / 4)
