@@ -159,20 +159,22 @@ def _cuts(texts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
                 row, lo, hi, f = row[keep], lo[keep], hi[keep], f[keep]
                 if not len(f):
                     continue
+                whole = A.span_hash(A.prefix_hash(data), lo, hi + length) ^ A.mix(f)
                 order, cuts = _cut_by(_part(f, parts), parts)
-                out = {"part": [], "f": [], "doc": [], "lo": [], "size": [], "data": []}
+                out = {"part": [], "f": [], "whole": [], "doc": [], "lo": [], "size": [], "data": []}
                 for p, s, e in cuts:
                     mine = order[s:e]
                     size = hi[mine] - lo[mine] + length
                     out["part"].append(int(p))
                     out["f"].append(f[mine].astype("<u8").tobytes())
+                    out["whole"].append(whole[mine].astype("<u8").tobytes())
                     out["doc"].append(ids[i:j][row[mine]].astype("<i8").tobytes())
                     out["lo"].append((lo[mine] - off[row[mine]]).astype("<i8").tobytes())
                     out["size"].append(size.astype("<i4").tobytes())
                     out["data"].append(data[np.repeat(lo[mine], size) + _ranges(size)].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("f", "doc", "lo", "size", "data")]]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("f", "whole", "doc", "lo", "size", "data")]]))
 
-    return texts.mapInArrow(work, "part int, f binary, doc binary, lo binary, size binary, data binary")
+    return texts.mapInArrow(work, "part int, f binary, whole binary, doc binary, lo binary, size binary, data binary")
 
 
 def multikey_groups(data: np.ndarray, at: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
@@ -184,7 +186,6 @@ def multikey_groups(data: np.ndarray, at: np.ndarray, first: np.ndarray, length:
     out = np.full(len(at), -1, np.int64)
     order = np.argsort(first, kind="stable")
     label = _numbers(first[order])
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
     for byte in range(0, length + 8, 8):
         if not len(order):
             break
@@ -195,7 +196,7 @@ def multikey_groups(data: np.ndarray, at: np.ndarray, first: np.ndarray, length:
             break
         char = np.zeros(len(order), U)
         for x in range(byte, min(byte + 8, length)):
-            char = (char << U(8)) | padded[at[order] + x]
+            char = (char << U(8)) | data[at[order] + x]
         again = np.lexsort((char, label))
         order, label, char = order[again], label[again], char[again]
         label = _numbers(label, char)
@@ -211,7 +212,7 @@ def _numbers(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 #: Windows that a reducer expands at once.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 
 
 def _block_marks(f, doc, lo, size, begin, whole, data, length: int):
@@ -268,9 +269,8 @@ def _marks(cuts: DataFrame, length: int) -> DataFrame:
         def column(name, kind):
             return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
 
-        f, doc, lo, size, data = column("f", "<u8"), column("doc", "<i8"), column("lo", "<i8"), column("size", "<i4").astype(np.int64), column("data", np.uint8)
+        f, whole, doc, lo, size, data = column("f", "<u8"), column("whole", "<u8"), column("doc", "<i8"), column("lo", "<i8"), column("size", "<i4").astype(np.int64), column("data", np.uint8)
         begin = np.cumsum(size) - size
-        whole = A.span_hash(A.prefix_hash(data), begin, begin + size) ^ A.mix(f)
         # anchors are taken in groups whose windows fit a bounded block
         blocks = int((size - length + 1).sum() // BLOCK) + 1
         block = (A.mix(f) % U(blocks)).astype(np.int64)
