@@ -90,7 +90,7 @@ def words_of(t):
 
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(2)
-    items = [(i, " ".join(rng.choice(["Alpha", "beta", "Émile", "x9", "gamma,"]) + str(rng.randint(0, 30)) for _ in range(n))) for i, n in enumerate((30, 5, 13, 0, 14))] + [(9, None), (10, "beta1 Solo")]
+    items = [(i, " ".join(rng.choice(["Alpha", "beta", "Émile", "x9", "gamma,"]) + str(rng.randint(0, 30)) for _ in range(n))) for i, n in enumerate((30, 5, 13, 0, 14))] + [(9, None), (10, "beta1 Solo"), (11, "ΑΣ ΑΣ'ΑΣ")]
     rows = []
     for i in range(40):
         filler = " ".join(f"f{rng.randint(0, 50)}" for _ in range(rng.randint(0, 300)))

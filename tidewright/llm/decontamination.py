@@ -2,10 +2,10 @@
 
 Texts are lower-cased (A-Z only) and cut into words; a benchmark window is `window`
 consecutive words (an item of fewer words is one window). Every window of the benchmark
-is kept with an anchor, its longest word, and where that stands in it. The corpus is
-scanned once as a stream of words against the broadcast anchors; each meeting names one
-training window, which is then compared with the whole n-gram. Hit words are the union
-of all occurrences.
+is kept with a hash of its first `probe` words. The corpus is scanned once: the hash of so
+many words from each position meets the broadcast hashes, and each meeting names one
+training window, which is then compared with the whole n-gram. Only texts with a meeting
+are read again. Hit words are the union of all occurrences.
 
 Only DataFrame functions run here. The n-gram set is broadcast while it has at most
 `broadcast_grams` rows (its size is counted first); beyond that the same join shuffles.
@@ -27,6 +27,8 @@ from ._shared import materialize
 
 #: After lower-casing, words are runs of 0-9, a-z and everything beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+EITHER_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Document ids are broadcast up to this many (16 bytes each), else the join shuffles.
 BROADCAST_IDS = 1_000_000
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -51,23 +53,34 @@ def benchmark_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
     return items.select("item_id", "n", F.explode(cut).alias("gram"))
 
 
-def window_hits(docs: DataFrame, windows: DataFrame, broadcast_grams: int = 2_000_000) -> DataFrame:
+def _probes(words: Column, sizes: list[int]) -> Column:
+    """For each size in turn, at each word: hash of so many words from there (fewer at the end)."""
+
+    def at_size(m):
+        return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, m)]))
+
+    return F.flatten(F.array(*map(at_size, sizes)))
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, broadcast_grams: int = 2_000_000, probe: int = 5) -> DataFrame:
     """(doc_id, start, n, gram): every occurrence of a window in docs; start counts pieces from 1."""
-    grams = windows.select("gram", "n").distinct()
-    spots = grams.select("gram", "n", F.posexplode(F.split("gram", " ")).alias("at", "word"))
-    best = F.max(F.struct(F.length("word").alias("length"), "word", (-F.col("at")).alias("minus")))
-    anchors = spots.groupBy("gram", "n").agg(best.alias("best")).select("gram", "n", F.lower("best.word").alias("anchor"), (-F.col("best.minus")).alias("offset"))
-    anchors = materialize(anchors, "anchors")
+    each = lambda words: F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+    anchors = windows.select("gram", "n").distinct().select("gram", "n", F.slice(each(F.split("gram", " ")), 1, probe).alias("words"))
+    whole = F.xxhash64(*[F.get("words", F.lit(k)) for k in range(probe)])
+    anchors = materialize(anchors.select("gram", "n", F.size("words").alias("m"), whole.alias("probe")), "anchors")
+    sizes = sorted(r["m"] for r in anchors.select("m").distinct().collect()) or [1]
     small = anchors.count() <= broadcast_grams
+    anchors = anchors.drop("m")
     anchors = F.broadcast(anchors) if small else anchors
-    # lower() also folds letters beyond ASCII: more meetings, settled by the exact comparison below
-    stream = docs.where("text is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), SEPARATORS)).alias("at", "anchor"))
-    met = materialize(stream.join(anchors, "anchor").select("doc_id", (F.col("at") - F.col("offset") + 1).alias("start"), "n", "gram").where("start > 0"), "met")
+    hashed = docs.where("text is not null").select("doc_id", each(F.split("text", EITHER_CASE)).alias("words"))
+    # the outer form: the plain one makes the optimizer compute the array once more for a filter
+    stream = hashed.select("doc_id", F.size("words").alias("pieces"), F.posexplode_outer(_probes(F.col("words"), sizes)).alias("at", "probe"))
+    met = stream.join(anchors, "probe").select("doc_id", (F.pmod("at", "pieces") + 1).alias("start"), "n", "gram").where("start + n - 1 <= pieces")
+    met = materialize(met, "met")
     ids = met.select("doc_id").distinct()
-    pieces = F.split(ascii_lower(F.col("text")), SEPARATORS)
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = texts.select("doc_id", pieces.alias("pieces"))
+    texts = texts.select("doc_id", F.split(ascii_lower(F.col("text")), SEPARATORS).alias("pieces"))
     same = F.array_join(F.slice("pieces", F.col("start"), F.col("n")), " ") == F.col("gram")
     return met.join(texts, "doc_id").where(same).select("doc_id", "start", "n", "gram").distinct()
 
@@ -82,7 +95,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13
     pairs = hits.select("doc_id", "gram").distinct().join(windows.select("gram", "item_id").distinct(), "gram").select("doc_id", "item_id").distinct()
     named = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
     items = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
-    counts = docs.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(_filled(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).cast("long").alias("n_words"))
+    counts = docs.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(_filled(F.split("text", EITHER_CASE))).cast("long").alias("n_words"))
     out = counts.join(words, "doc_id", "left").join(items, "doc_id", "left")
     n_hit = F.coalesce(F.size("hit_words"), F.lit(0)).cast("long")
     n_hit = F.when(F.col("hit_words").isNull(), F.lit(0)).otherwise(n_hit).cast("long")
@@ -102,7 +115,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13)
 def remove_hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """docs with the hit words cut out of the text; a text with a cut becomes its other words, one space between."""
     hit = contamination_report(docs, benchmark, window).where("n_hit > 0").select("doc_id", "hit_words")
-    pieces = F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    pieces = F.split("text", EITHER_CASE)
     left = F.array_join(F.filter(F.transform(pieces, lambda w, i: F.when(~F.array_contains("hit_words", i + 1), w)), lambda w: w.isNotNull() & (w != "")), " ")
     joined = docs.join(hit, "doc_id", "left")
     return joined.select(*[(F.when(F.col("hit_words").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns])
