@@ -222,6 +222,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert got[500] == (0, 0) and got[501] == (1, 0) and got[None] == (1, 0)
 
 
+def test_line_dedup_takes_lines_of_every_length(spark):
+    rng = random.Random(2)
+    rows = [(i, "\n".join("".join(rng.choice("abcdefghij") for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 30)))) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    rows += [(100 + i, t.upper()) for i, (_, t) in enumerate(rows[:10])] + [(200, ""), (201, "a long line that comes twice\n\nA long line that came twice")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_bytes"]) for r in line_dedup.line_dedup_counts(docs(spark, [*rows, (500, None)]), min_bytes=0).collect()}
+    seen = []
+    for i, t in rows:
+        n = size = 0
+        for line in t.split("\n"):
+            if any(edits(x, line) <= 2 for x in seen):
+                n, size = n + 1, size + len(line)
+            seen.append(line)
+        assert got[i] == (t.count("\n") + 1, n, size), (i, t)
+    assert got[500] == (0, 0, 0)
+
+
 def test_media_finds_crops_and_edits(spark):
     def texture(seed):
         f = media_copies._box(np.random.default_rng(seed).normal(0, 1, (1, 110, 110)), 2)[0]

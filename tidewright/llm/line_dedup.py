@@ -2,7 +2,7 @@
 
 A line goes if an equal or nearly equal line (at most `max_edits` byte edits) stands
 earlier, in the order of (doc_id, line number). Lines of fewer than `min_bytes` bytes are
-left alone. Exact, in these steps:
+left alone; 0 takes every line, blank ones included. Exact, in these steps:
 
 1. Equal lines are one entry with their first place.
 2. A line of l bytes is cut into max_edits + 1 even segments; two lines within the
@@ -10,7 +10,9 @@ left alone. Exact, in these steps:
    number, content); a line probes the indexes of its own and slightly smaller lengths
    at the starts that a multi-match-aware selection leaves. Index entries and probes are
    packed by hash range; each range is sorted, and only meetings whose byte counts can
-   be within the threshold become candidate pairs.
+   be within the threshold become candidate pairs. Lines of at most max_edits bytes have
+   too few bytes for segments: they are all within the threshold of each other, and meet
+   lines of up to 2 * max_edits bytes by each single byte, as any such pair shares one.
 3. Candidates are verified by banded bit-parallel edit distance on the whole lines.
 4. A line's earliest near place is the smallest first place among itself and its partners.
 
@@ -30,7 +32,6 @@ from . import _arrays as A
 from ._arrays import U
 from ._shared import materialize
 
-_LINE = ~A.byte_class((0x0A, 0x0A))
 #: Candidate lines are picked on the scan side up to this many keys (8 bytes each), else by a shuffled join.
 BROADCAST_KEYS = 1_000_000
 
@@ -72,7 +73,13 @@ def edit_distance_within(a: bytes, b: bytes, most: int) -> bool:
 
 
 def _lines(data, off, min_bytes: int):
-    start, end, row = A.words(data, off, _LINE)
+    breaks = np.flatnonzero(data == 0x0A)
+    start = np.concatenate((off[:-1], breaks + 1))
+    row = np.concatenate((np.arange(len(off) - 1), np.searchsorted(off, breaks, "right") - 1))
+    order = np.lexsort((start, row))
+    start, row = start[order], row[order]
+    end = off[row + 1]
+    end[:-1] = np.where(row[1:] == row[:-1], start[1:] - 1, end[:-1])
     long = end - start >= min_bytes
     running = A.prefix_hash(data)
     return start[long], end[long], row[long], running
@@ -107,27 +114,30 @@ def _segments(length: np.ndarray, k: int, pieces: int):
     return k * base + np.maximum(k - plain, 0), base + (k >= plain)
 
 
-def _entries(start, length, running, max_edits: int):
-    """(signature, line, probe?) of all index entries and probes of the lines."""
+def _entries(data, start, length, running, max_edits: int):
+    """(signature, line, probe?) of all index entries and probes of the lines. An entry is its line's probe at the same place too."""
     pieces, sig, who, probe = max_edits + 1, [], [], []
-    every = np.arange(len(start))
-    for k in range(pieces):
-        s, n = _segments(length, k, pieces)
-        tag = A.mix(length.astype(U) * U(64) + U(k))
-        sig.append(A.span_hash(running, start + s, start + s + n) + tag)
-        who.append(every)
-        probe.append(np.zeros(len(start), bool))
+
+    def add(signature, lines, is_probe):
+        sig.append(signature)
+        who.append(lines)
+        probe.append(np.full(len(lines), is_probe))
+
     for less in range(pieces):
-        target = length - less
+        mine = np.flatnonzero(length - less >= pieces)
+        own, target = length[mine], length[mine] - less
         for k in range(pieces):
             s, n = _segments(target, k, pieces)
             tag = A.mix(target.astype(U) * U(64) + U(k))
             for shift in range(max(-k, less - (max_edits - k)), min(k, less + (max_edits - k)) + 1):
                 at = s + shift
-                ok = (at >= 0) & (at + n <= length)
-                sig.append(A.span_hash(running, (start + at)[ok], (start + at + n)[ok]) + tag[ok])
-                who.append(every[ok])
-                probe.append(np.ones(int(ok.sum()), bool))
+                ok = (at >= 0) & (at + n <= own)
+                at = start[mine] + at
+                add(A.span_hash(running, at[ok], (at + n)[ok]) + tag[ok], mine[ok], bool(less or shift))
+    for p in range(2 * max_edits):
+        for few in (True, False):
+            mine = np.flatnonzero((length > p) & ((length < pieces) if few else (length >= pieces) & (length <= 2 * max_edits)))
+            add(A.mix(data[start[mine] + p].astype(U) + U(1 << 40)), mine, not few)
     return np.concatenate(sig), np.concatenate(who), np.concatenate(probe)
 
 
@@ -147,7 +157,7 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
                 span = np.arange(int((end - start).sum())) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
                 value = data[np.repeat(start, end - start) + span]
                 counts = np.bincount(line * 16 + ((value * 7 + (value >> 4)) & 15), minlength=16 * len(start)).reshape(-1, 16).astype(np.uint8)
-                sig, who, probe = _entries(start, end - start, running, max_edits)
+                sig, who, probe = _entries(data, start, end - start, running, max_edits)
                 sig = (sig & ~U(1)) | probe.astype(U)
                 part = ((sig >> U(40)) * U(parts) >> U(24)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -180,10 +190,10 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
         size = np.diff(np.append(start, len(sig)))
         probes = np.add.reduceat(kind.astype(np.int64), start)
         left, right = [], []
-        for g in np.flatnonzero((probes > 0) & (probes < size) & (size > 2)):
-            s, n, q = start[g], size[g] - probes[g], probes[g]
-            one, two = order[s : s + n], order[s + n : s + n + q]  # entries sort before probes
-            ka, kb = key[s : s + n], key[s + n : s + n + q]
+        for g in np.flatnonzero((probes < size) & (size > 1)):
+            s, n, q = start[g], size[g] - probes[g], size[g]
+            one, two = order[s : s + n], order[s : s + q]  # entries sort before probes
+            ka, kb = key[s : s + n], key[s : s + q]
             block = max(1, 2_000_000 // n)
             for x in range(0, q, block):
                 gap = np.abs(counts[one][:, None, :].astype(np.int16) - counts[two[x : x + block]][None, :, :]).astype(np.uint8).sum(2, dtype=np.int32)
@@ -202,7 +212,7 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
 
 
 def near_lines(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) -> DataFrame:
-    """Verified links (a, b) between keys of different lines."""
+    """Verified links (a, b) between keys of different lines, but for those between two lines of at most max_edits bytes, which always hold."""
     pairs = materialize(_candidates(docs, max_edits, min_bytes, parts), "linepairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "linekeys")
     few = wanted.count() <= BROADCAST_KEYS
@@ -243,7 +253,10 @@ def line_report(docs: DataFrame, max_edits: int = 2, min_bytes: int = 60, part_b
     links = materialize(near_lines(named, max_edits, min_bytes, max(4, -(-total // part_bytes))), "nearlines")
     both = links.union(links.select("b", "a"))
     partner = both.join(firsts.select(F.col("key").alias("b"), "first"), "b").groupBy(F.col("a").alias("key")).agg(F.min("first").alias("near"))
-    earliest = firsts.join(partner, "key", "left").select("key", "check", "bytes", F.least("first", "near").alias("earliest"))
+    # lines of at most max_edits bytes are all near each other
+    tiny = firsts.where(F.col("bytes") <= max_edits).agg(F.min("first").alias("tiny"))
+    near = F.least("first", "near", F.when(F.col("bytes") <= max_edits, F.col("tiny")))
+    earliest = firsts.join(partner, "key", "left").crossJoin(F.broadcast(tiny)).select("key", "check", "bytes", near.alias("earliest"))
     gone = places.join(earliest, ["key", "check", "bytes"]).where(F.col("earliest") < F.struct("doc_id", "line")).select("doc_id", "line", "bytes")
     return docs, gone
 

@@ -41,7 +41,7 @@ def op5_url_filter(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    return line_dedup.line_dedup_counts(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup_counts(_table(spark, sf_dir, "documents"), min_bytes=0)
 
 
 def op7_ngram_jaccard(spark, sf_dir):
