@@ -238,6 +238,24 @@ def test_line_dedup_takes_lines_of_every_length(spark):
     assert got[500] == (0, 0, 0)
 
 
+def test_line_dedup_finds_edits_in_long_lines(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(40):
+        line = [rng.choice("abcdefgh ") for _ in range(rng.randint(3000, 5000))]
+        # one substitution that carries the counter of "a" over a multiple of 256
+        have = line.count("a")
+        spare = [k for k, c in enumerate(line) if c != "a"]
+        for k in spare[: -have % 256 + 255]:
+            line[k] = "a"
+        other = next(k for k in spare[::-1] if line[k] != "a")
+        near = [*line[:other], "a", *line[other + 1 :]]
+        assert line.count("a") % 256 == 255 and near.count("a") % 256 == 0
+        rows += [(2 * i, "".join(line)), (2 * i + 1, "".join(near))]
+        want |= {2 * i: 0, 2 * i + 1: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup_counts(docs(spark, rows)).collect()} == want
+
+
 def test_media_finds_crops_and_edits(spark):
     def texture(seed):
         f = media_copies._box(np.random.default_rng(seed).normal(0, 1, (1, 110, 110)), 2)[0]

@@ -141,6 +141,15 @@ def _entries(data, start, length, running, max_edits: int):
     return np.concatenate(sig), np.concatenate(who), np.concatenate(probe)
 
 
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least possible sum of differences of 16 byte counts, of which two a byte are known modulo 16."""
+    total: np.ndarray | int = 0
+    for x, y in ((a >> 4, b >> 4), (a & 15, b & 15)):
+        d = (x - y) & 15
+        total = total + np.minimum(d, 16 - d).sum(-1, dtype=np.uint8)
+    return total
+
+
 def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) -> DataFrame:
     """Pairs (a, b) of line keys that share a segment and whose byte counts allow the threshold."""
 
@@ -156,30 +165,33 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
                 line = np.repeat(np.arange(len(start)), end - start)
                 span = np.arange(int((end - start).sum())) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
                 value = data[np.repeat(start, end - start) + span]
-                counts = np.bincount(line * 16 + ((value * 7 + (value >> 4)) & 15), minlength=16 * len(start)).reshape(-1, 16).astype(np.uint8)
+                counts = np.bincount(line * 16 + ((value * 7 + (value >> 4)) & 15), minlength=16 * len(start)).reshape(-1, 16) & 15
+                counts = (counts[:, ::2] << 4 | counts[:, 1::2]).astype(np.uint8)
                 sig, who, probe = _entries(data, start, end - start, running, max_edits)
                 sig = (sig & ~U(1)) | probe.astype(U)
                 part = ((sig >> U(40)) * U(parts) >> U(24)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
-                out = {"part": [], "sig": [], "at": [], "keys": [], "counts": []}
+                out = {"part": [], "sig": [], "each": [], "keys": [], "counts": []}
                 for p in np.flatnonzero(np.diff(edges)):
                     mine = order[edges[p] : edges[p + 1]]
-                    used, local = np.unique(who[mine], return_inverse=True)
+                    mine = mine[np.argsort(who[mine], kind="stable")]
+                    used, each = np.unique(who[mine], return_counts=True)
                     out["part"].append(int(p))
                     out["sig"].append(sig[mine].astype("<u8").tobytes())
-                    out["at"].append(local.astype("<u4").tobytes())
+                    out["each"].append(each.astype("<u2").tobytes())
                     out["keys"].append(key[used].astype("<u8").tobytes())
                     out["counts"].append(counts[used].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "at", "keys", "counts")]]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "each", "keys", "counts")]]))
 
     def meet(table):
         sig, key, counts = [], [], []
-        for s, at, own, c in zip(table.column("sig"), table.column("at"), table.column("keys"), table.column("counts"), strict=True):
-            at = np.frombuffer(at.as_buffer(), "<u4")
+        for s, each, own, c in zip(table.column("sig"), table.column("each"), table.column("keys"), table.column("counts"), strict=True):
+            each = np.frombuffer(each.as_buffer(), "<u2")
+            at = np.repeat(np.arange(len(each)), each)
             sig.append(np.frombuffer(s.as_buffer(), "<u8"))
             key.append(np.frombuffer(own.as_buffer(), "<u8")[at])
-            counts.append(np.frombuffer(c.as_buffer(), np.uint8).reshape(-1, 16)[at])
+            counts.append(np.frombuffer(c.as_buffer(), np.uint8).reshape(-1, 8)[at])
         sig, key, counts = np.concatenate(sig), np.concatenate(key), np.concatenate(counts)
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
@@ -196,7 +208,7 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
             ka, kb = key[s : s + n], key[s : s + q]
             block = max(1, 2_000_000 // n)
             for x in range(0, q, block):
-                gap = np.abs(counts[one][:, None, :].astype(np.int16) - counts[two[x : x + block]][None, :, :]).astype(np.uint8).sum(2, dtype=np.int32)
+                gap = _gap(counts[one][:, None, :], counts[two[x : x + block]][None, :, :])
                 i, j = np.nonzero((gap <= 2 * max_edits) & (ka[:, None] != kb[None, x : x + block]))
                 left.append(ka[i])
                 right.append(kb[x + j])
@@ -207,7 +219,7 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
             pair = np.zeros(0, np.dtype([("a", U), ("b", U)]))
         return pa.table({"a": pa.array(np.ascontiguousarray(pair["a"]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pair["b"]).view(np.int64))})
 
-    packed = docs.select("text").mapInArrow(pack, "part int, sig binary, at binary, keys binary, counts binary")
+    packed = docs.select("text").mapInArrow(pack, "part int, sig binary, each binary, keys binary, counts binary")
     return packed.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
