@@ -272,6 +272,26 @@ def test_media_finds_crops_and_edits(spark):
     assert got == {**{i * 10 + k: i * 10 for i in range(5) for k in range(3)}, 900: 900, 901: 901, 902: 902, 903: 0}
 
 
+def test_media_links_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows, feats = [], []
+    for g in range(6):
+        f = media_copies._box(rng.normal(0, 1, (1, 64, 64)), 2)[0]
+        f = 127 + 80 * f / np.abs(f).max()
+        for k in range(12):
+            rows.append((len(rows), media_copies.write_pgm(np.clip(f + rng.normal(0, 1 + k, f.shape), 0, 255))))
+    stack = np.stack([media_copies.read_pgm(r[1]) for r in rows])
+    feats = media_copies.describe(stack)
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if media_copies.consensus(*feats[a], *feats[b], 12) >= max(6, 0.3 * min(len(feats[a][1]), len(feats[b][1])))]
+    degree, label = collections.Counter(x for p in links for x in p), list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(links) > 60
+    got = {r["image_id"]: (r["class_id"], r["n_links"]) for r in media_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == {i: (label[i], degree[i]) for i in range(len(rows))}
+
+
 def test_quality_ranks_held_out_rows(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["der", "haus", "geht", "weit."]) + (rng.choice(["###", "%%%"]) if i % 2 else "") for _ in range(rng.randint(5, 80)))) for i in range(300)]
