@@ -292,6 +292,14 @@ def test_media_links_equal_brute_force(spark):
     assert got == {i: (label[i], degree[i]) for i in range(len(rows))}
 
 
+def test_media_links_a_small_crop_of_a_large_image(spark):
+    f = media_copies._box(np.random.default_rng(7).normal(0, 1, (1, 400, 400)), 2)[0]
+    f = np.clip(127 + 90 * f / np.abs(f).max(), 0, 255)
+    rows = [(0, media_copies.write_pgm(f)), (1, media_copies.write_pgm(f[200:300, 200:300]))]
+    got = media_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert {r["image_id"]: r["class_id"] for r in got} == {0: 0, 1: 0}
+
+
 def test_quality_ranks_held_out_rows(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["der", "haus", "geht", "weit."]) + (rng.choice(["###", "%%%"]) if i % 2 else "") for _ in range(rng.randint(5, 80)))) for i in range(300)]
