@@ -292,6 +292,14 @@ def test_media_links_equal_brute_force(spark):
     assert got == {i: (label[i], degree[i]) for i in range(len(rows))}
 
 
+def test_media_counts_every_link_of_a_large_group(spark):
+    f = media_copies._box(np.random.default_rng(6).normal(0, 1, (1, 64, 64)), 2)[0]
+    f = np.clip(127 + 80 * f / np.abs(f).max(), 0, 255)
+    rows = [(i, media_copies.write_pgm(f + i)) for i in range(15)]
+    got = media_copies.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 14)} and len(got) == 15
+
+
 def test_media_links_a_small_crop_of_a_large_image(spark):
     f = media_copies._box(np.random.default_rng(7).normal(0, 1, (1, 400, 400)), 2)[0]
     f = np.clip(127 + 90 * f / np.abs(f).max(), 0, 255)
