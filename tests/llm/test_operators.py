@@ -156,13 +156,28 @@ def test_url_rules(spark):
     assert got == [("a.example.com", "/en/70", "example.com/en/7", "allow"), ("x.com", "/en/", "com/en/", "block"), ("notcom", "/en/1", None, "allow"), ("x.com", "/fr/", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("o.org", "/a", "org/", "block"), ("com", "/en/1/2", "com/en/", "block"), ("badexample.com", "/en/7", "com/en/", "block")]
 
 
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
+def test_multikey_groups_equal_a_dictionary(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LEAF", 8)
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 900).astype(np.uint8)
+    at = rng.integers(0, 870, 500)
+    first = rng.integers(0, 2, 500).astype(np.uint64)
+    got = suffix_dedup.multikey_groups(data, at, first, 13)
+    keys = [(int(f), data[a : a + 13].tobytes()) for a, f in zip(at, first, strict=True)]
+    seen = collections.Counter(keys)
+    assert [g >= 0 for g in got] == [seen[k] > 1 for k in keys]
+    assert len({(k, int(g)) for k, g in zip(keys, got, strict=True) if g >= 0}) == len({int(g) for g in got if g >= 0}) == sum(n > 1 for n in seen.values())
+
+
+@pytest.mark.parametrize(("hot_rows", "sample_bytes"), [(100_000, 4 << 20), (3, 4 << 20), (100_000, 500)])
+def test_suffix_dedup_equals_brute_force(spark, hot_rows, sample_bytes):
     rng = random.Random(4)
     shared = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(50, 140))) for _ in range(6)]
     rows = [(i * 7 % 101, "".join(rng.choice([rng.choice(shared), "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 70))), "ab" * 30]) for _ in range(rng.randint(0, 5)))) for i in range(100)]
     rows += [(900, None), (901, ""), (902, "é" * 40), (903, "xé" * 20 + "é" * 40), (904, rows[3][1]), (905, rows[3][1])]
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, [*rows, (None, "q" * 80)]), part_bytes=1 << 10).collect()}
+    rows += [(910 + i, f"{i} " * 9 + "a string that very many texts have, of more than fifty bytes" + f" {i * 7}" * 9) for i in range(20)]
+    rows.append((990, "".join(rng.choice("mnop ") for _ in range(300_000)) + rows[5][1] + "ab" * 40_000))
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, [*rows, (None, "q" * 80)]), part_bytes=1 << 14, hot_rows=hot_rows, sample_bytes=sample_bytes).collect()}
     first, texts = {}, sorted((i, (t or "").encode()) for i, t in rows)
     for i, t in texts:
         for p in range(len(t) - 49):

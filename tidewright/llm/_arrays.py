@@ -70,10 +70,10 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         i = j
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; span_hash reads any span's value from it."""
+def prefix_hash(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Running polynomial hash; span_hash reads any span's value from it. values: a number for each byte, for another hash."""
     out = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _power(_BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(U) + U(1) if values is None else values[data]) * _power(_BASE, len(data)), out=out[1:])
     return out
 
 
