@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -362,18 +363,72 @@ def test_quality_ranks_held_out_rows(spark):
     assert {r["score"] for r in quality_classifier.score(docs(spark, rows), one_kind).collect()} == {0.5}
 
 
+LONG = "A long plain body goes on here, word after word after word. " * 6
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        (None, ""), ("", ""), ("just text &amp; more", "just text & more"),
+        (None, ""), ("", ""), ("just some text, as plain as can be &amp; more of it.", "just some text, as plain as can be & more of it."),
         ("<nav>menu</nav><div class='ad'>buy</div><article><h1>T</h1><p><b>one\n two<br><p>three</p></article><footer>f</footer>", "T\n\none two\n\nthree"),
         ("<article><p>a</p><aside>no</aside><script>var t='</p>'</script><form>q</form><div class=\"comments\"><p>hi</p></div><p>b &lt; c</p></article>", "a\n\nb < c"),
-        ("<body><header>h</header><div id=cookie-notice>ok?</div><p>x</p><p>y z</p><!-- <p>c</p> --></body>", "x\n\ny z"),
+        (f"<body><header>h</header><div id=cookie-notice>ok?</div><p>{LONG}</p><p>y z.</p><!-- <p>c</p> --></body>", f"{LONG.strip()}\n\ny z."),
         ("<article><p title='a>b'>q</p><script>never ends", "q"),
+        ('<div class="content has-sidebar"><article><p>kept</p></article></div>', "kept"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>text</p></article>', "Title\n\ntext"),
+        ("<article><p>one one one</p></article><nav><a>Home</a></nav><article><p>two two</p></article>", "one one one\n\ntwo two"),
+        (f"<article><a href=x>A teaser</a></article><div><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div><a>Home</a> <a>About</a></div><p>{LONG}</p><div><a>Terms</a> <a>Privacy</a></div>", LONG.strip()),
+        ("<article><p>an <b>unclosed <i>mark<div>ends</div><li>one<li>two</article>", "an unclosed mark\n\nends\n\none\n\ntwo"),
     ],
 )
 def test_html_text(page, text):
-    assert html_extraction.extract(page, html_extraction.PRIOR) == text
+    assert html_extraction.extract(page) == text
+
+
+def test_html_scan_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        x = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randint(0, 12))]
+        start, end = html_extraction.best_run(x)
+        best = max([0.0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))])
+        assert sum(x[start:end]) == best and (best > 0) == (end > start)
+
+
+def test_html_scan_over_blocks_equals_the_scan_over_tokens():
+    w = html_extraction.DEFAULT
+    page = f"<p>{LONG}</p><ul><li><a>x</a><li><a>y</a></ul><p>{LONG}</p><div><a>Terms</a></div><p>End of it, as said.</p>"
+    found, _ = html_extraction.blocks(page, w)
+    sequence = [v for k, b in enumerate(found) for v in [(k, w["tag"])] * b.tags + [(k, html_extraction._value(b, w))] * b.words]
+    start, end = html_extraction.best_run(html_extraction.scored(found, w))
+    best = max(sum(v for _, v in sequence[i:j]) for i in range(0, len(sequence), 3) for j in range(i + 1, len(sequence) + 1, 3))
+    assert sum(html_extraction.scored(found, w)[start:end]) >= best - 3 * 3 and (start, end) == (0, 6)
+    assert "Terms" not in html_extraction.extract(page)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "<p title=\"", "<p a='x>", "<script>", "<!-- ", "<div>", "</p>", "<b>x</i>", "&#x", "x "])
+def test_html_takes_linear_time(piece):
+    began = time.perf_counter()
+    html_extraction.extract(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
+def test_html_learns_weights_and_finds_unmarked_text(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("der die haus baum geht weit und rot".split()) for _ in range(n)) + "."
+    pages, want = [], {}
+    for i in range(60):
+        body = [say(rng.randint(15, 40)) for _ in range(rng.randint(2, 5))]
+        article = "".join(f"<p>{t}</p>" for t in body)
+        box, menu = ("article", "nav") if i % 2 else ("div", "div")
+        pages.append((i, "u", f"<{menu}><ul>" + "<li><a>los</a></li>" * 8 + f"</ul></{menu}><div class=promo-box>{say(6)}</div><{box}>{article}</{box}><div><a>{say(3)}</a></div>", 1))
+        want[i] = "\n\n".join(body)
+    table = spark.createDataFrame([*pages, (None, None, None, 1), (3, "again", pages[3][2], 1)], "page_id long, url string, html string, n_chars int")
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extraction.extract_main_text(table).collect()]
+    assert collections.Counter(got) == collections.Counter([*((i, t, len(t)) for i, t in want.items()), (None, "", 0), (3, want[3], len(want[3]))])
+    learned = html_extraction.learn_weights(table)
+    assert learned["paragraph"] > 0 > learned["link most"] and learned["tag"] < 0
+    assert html_extraction.extract_main_text(table.limit(0)).count() == 0
 
 
 def test_pipeline_on_test_data(spark):
