@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import stats
 from .operators import signals as sig
 from .operators.book import Account, Commission, Financing, Frictions, Slippage
-from .operators.leaks import cut_points, perturbed_spans, signal_differences
-from .operators.runs import equity_of, fills_of, manifest, run_backtests, span_bars, totals_of
+from .operators.leaks import signal_differences
+from .operators.runs import equity_of, fills_of, manifest, run_backtests, totals_of
 from .operators.spans import PurgedSplitter, cpcv_groups_frame, folds_frame, paths_frame, splits_frame
-from .plans.ladder import Settings, run_cpcv, run_ladder, run_seed_sweep, stitched_metrics, sweep_summary
+from .plans.ladder import Settings, run_seed_sweep, sweep_summary
 from .sources import bars as src
 
 _SMALL_COSTS = {"slippage": Slippage("impact", 2.0, 0.6, 0.0126), "commission": Commission("share")}
@@ -57,24 +55,10 @@ def bars_hourly_event(spark, sf):
     return _rounded(_events(spark, sf).select("symbol", "t", "time", "open", "high", "low", "close", "volume"), dict.fromkeys(("open", "high", "low", "close"), 6))
 
 
-def bars_validate(spark, sf):
-    """Rows that break a rule of price tables, per event type: bad price, bad volume, dates out of order."""
-    e = _events(spark, sf)
-    before = F.lag("time").over(Window.partitionBy("symbol").orderBy("t"))
-    return e.withColumn("_b", before).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_bars"), F.sum(F.when(~(F.col("close") > 0), 1).otherwise(0)).alias("bad_close"), F.sum(F.when(F.col("volume") < 0, 1).otherwise(0)).alias("bad_volume"),
-        F.sum(F.when(F.col("time") <= F.col("_b"), 1).otherwise(0)).alias("bad_order"), F.sum(F.when((F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")), 1).otherwise(0)).alias("bad_range"),
-    )
-
-
 def real_opens(spark, sf):
     return src.has_real_opens(_daily(spark, sf)).unionAll(src.has_real_opens(_events(spark, sf)))
 
 
-def panel_aligned(spark, sf):
-    return _panel(spark, sf).select("symbol", "t", "time", "close", "volume")
-
-
 def panel_missing_days(spark, sf):
     """Per flag, how many dates some other flag trades on and it doesn't."""
     d = _lineitem(spark, sf).select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("time")).distinct()
@@ -116,11 +100,6 @@ def full_sample_stats(spark, sf):
     return g
 
 
-def bar_volatility(spark, sf):
-    r = F.log(F.col("close") / F.lag("close").over(Window.partitionBy("series_id").orderBy("t")))
-    return _daily(spark, sf).where("t < 504").withColumn("r", r).groupBy("series_id").agg(F.round(F.stddev_samp("r"), 8).alias("volatility"))
-
-
 # Books over the daily series
 
 
@@ -180,14 +159,6 @@ def identity_check(spark, sf):
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("cash_2") + F.col("units_2") * F.col("price") - F.col("equity"))), 3).alias("gap"))
 
 
-def book_panel_xs(spark, sf):
-    panel = _one_span(_panel(spark, sf))
-    signals = sig.Spec("xs", sig.cross_sectional_momentum, [{"lookback": 60, "top_n": 1}]).signals(panel)
-    runs = manifest(spark, [{"run_id": 0, "span_id": 0, "setting_id": 0, "account": Account(capital=_CAPITAL, **_SMALL_COSTS)}])
-    e = equity_of(run_backtests(runs, panel, signals))
-    return e.groupBy("t").agg(F.round(F.first("equity"), 2).alias("equity"), F.round(F.sum(F.abs(F.col("position") * F.col("price"))), 2).alias("gross"))
-
-
 def bh_equity(spark, sf):
     """Closed form: one trade on the first bar, so equity is a projection."""
     b = _daily(spark, sf)
@@ -257,31 +228,6 @@ def _orders(spark, sf) -> DataFrame:
     return _lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0).alias("side"))
 
 
-def slippage_fixed(spark, sf):
-    return _orders(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("px") * (1 + F.col("side") * 2e-4)).alias("fill"))
-
-
-def slippage_impact(spark, sf):
-    share = F.least(F.col("q") / 1000.0, F.lit(1.0))
-    return _orders(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", F.round(F.col("px") * (1 + F.col("side") * (2e-4 + 0.6 * 0.0126 * F.sqrt(share))), 6).alias("fill"))
-
-
-def commission_per_share(spark, sf):
-    fee = F.least(F.greatest(F.lit(1.0), 0.005 * F.col("q")), 0.01 * F.abs(F.col("q") * F.col("px")))
-    return _orders(spark, sf).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(fee), 2).alias("fee"))
-
-
-def commission_pct(spark, sf):
-    return _orders(spark, sf).groupBy("side").agg(F.round(F.sum(F.abs(F.col("q") * F.col("px")) * 1e-4), 2).alias("fee"))
-
-
-def financing_accrual(spark, sf):
-    c = spark.read.parquet(f"{sf}/customer.parquet")
-    short = F.when(F.col("c_custkey") % 3 == 0, 1000.0).otherwise(0.0)
-    rate = F.when(F.col("c_acctbal") >= 0, 0.02).otherwise(0.06)
-    return c.select("c_custkey", F.round((F.col("c_acctbal") * rate - short * 0.03) / 252.0, 8).alias("accrual"))
-
-
 # Splits
 
 
@@ -300,21 +246,21 @@ def cpcv_groups(spark, sf):
 _SPLITTER = PurgedSplitter(6, 2, 10, 5)
 
 
-def _splits():
-    return _SPLITTER.splits(2000, 100)
+def _splits(spark, sf):
+    return _SPLITTER.splits(_daily(spark, sf).count(), 100)
 
 
 def cpcv_splits(spark, sf):
-    return splits_frame(spark, _splits())
+    return splits_frame(spark, _splits(spark, sf))
 
 
 def cpcv_paths(spark, sf):
-    return paths_frame(spark, _splits())
+    return paths_frame(spark, _splits(spark, sf))
 
 
 def cpcv_train_bars(spark, sf):
     """Training bars of each split, counted over the bars that exist."""
-    s = splits_frame(spark, _splits()).where("kind = 'train'")
+    s = splits_frame(spark, _splits(spark, sf)).where("kind = 'train'")
     b = _daily(spark, sf).select("t")
     return s.join(b, (b.t >= s.start) & (b.t < s.end)).groupBy("split_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -338,27 +284,6 @@ def fit_in_sample(spark, sf):
     return s.select(F.col("run_id").alias("setting_id"), "n", F.round("sharpe", 6).alias("sharpe"), best.alias("best"))
 
 
-def _ladder(spark, sf, spec):
-    out = run_ladder(spark, _daily(spark, sf), spec, _settings(), Slippage("impact", 2.0, 0.6, 0.0126), Commission("share"))
-    return out.drop("removed")
-
-
-def ladder_sma(spark, sf):
-    return _ladder(spark, sf, sig.sma_spec((20, 50), (100, 200)))
-
-
-def ladder_momentum(spark, sf):
-    return _ladder(spark, sf, sig.momentum_spec((5, 20, 60)))
-
-
-def walk_forward_sma(spark, sf):
-    return ladder_sma(spark, sf).where("honest")
-
-
-def cpcv_sharpes(spark, sf):
-    return run_cpcv(spark, _daily(spark, sf), sig.momentum_spec((10, 30), 60), _settings(), PurgedSplitter(5, 2, 60), Slippage("impact"), Commission("share")).paths
-
-
 def seed_sweep(spark, sf):
     config = src.SyntheticConfig(n_bars=1260)
     return sweep_summary(run_seed_sweep(spark, 3, config=config, spec=sig.momentum_spec((5, 20, 60)), settings=Settings(252, 252)))
@@ -381,47 +306,15 @@ def leak_check_leaky(spark, sf):
     return _deterministic_leak(spark, sf, True)
 
 
-def leak_check_random_futures(spark, sf):
-    """The random-walk futures of the detector over five cuts, leaky twin: cut, setting, first changed bar."""
-    bars = _daily(spark, sf)
-    cuts = cut_points(bars.count(), 95)
-    return signal_differences(sig.momentum_spec((5, 20)).signals(perturbed_spans(bars, cuts), leaky=True), cuts).select("setting_id", "k", "t")
-
-
 def synthetic_paths(spark, sf):
     return src.synthetic_paths(spark, [1, 2, 3], src.SyntheticConfig(n_bars=500))
 
 
-def oracle_sharpe(spark, sf):
-    return src.oracle_sharpe(src.synthetic_paths(spark, [20260921]))
-
-
-def stream_paper(spark, sf):
-    """A paper session over a file stream: the rows equal the batch book with the same account."""
-    from .plans.strategies import per_bar_momentum
-    from .streaming.paper import BAR_STREAM_SCHEMA, PAPER_SCHEMA, run_available
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    top = f"{base}/paper-{spark.sparkContext.applicationId}-{abs(hash(sf))}-{spark._jvm.System.nanoTime()}"
-    bars = _daily(spark, sf).select(*[c.split(" ")[0] for c in BAR_STREAM_SCHEMA.split(", ")])
-    bars.repartitionByRange(4, "time").write.parquet(f"{top}/bars")
-    account = ACCOUNTS["book_next_close"]
-    momentum = per_bar_momentum(20)
-
-    def strategy(history):
-        weight = momentum(history)
-        return None if weight is None else round(weight, 8)
-
-    run_available(spark, f"{top}/bars", f"{top}/out", f"{top}/state", account, strategy, memory=120, files_per_batch=4)
-    rows = spark.read.schema(PAPER_SCHEMA).json(f"{top}/out")
-    return rows.select("symbol", "t", F.round("cash", 2).alias("cash"), F.round("position", 4).alias("position"), F.round("equity", 2).alias("equity"))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Momentum on daily bars through the costed book."""
     return _equity(_book(spark, sf, ACCOUNTS["book_impact"]))
 
 
-QUERIES = {f.__name__: f for f in (bars_daily, bars_weekly_brand, bars_hourly_event, bars_validate, real_opens, panel_aligned, panel_missing_days, sig_momentum, sig_momentum_grid, sig_leaky_momentum, sig_sma, sig_buy_hold, sig_xs_momentum, full_sample_stats, bar_volatility, *map(_book_query, ACCOUNTS), book_totals, blotter_reconcile, identity_check, book_panel_xs, bh_equity, bh_equity_costed, bh_metrics, metrics_all, curve_zero_cost_band0, returns, drawdown_curve, sharpe_by_series, psr, dsr, slippage_fixed, slippage_impact, commission_per_share, commission_pct, financing_accrual, folds_rolling, folds_anchored, cpcv_groups, cpcv_splits, cpcv_paths, cpcv_train_bars, fit_in_sample, ladder_sma, ladder_momentum, walk_forward_sma, cpcv_sharpes, seed_sweep, leak_check_honest, leak_check_leaky, leak_check_random_futures, synthetic_paths, oracle_sharpe, stream_paper)}
+QUERIES = {f.__name__: f for f in (bars_daily, bars_weekly_brand, bars_hourly_event, real_opens, panel_missing_days, sig_momentum, sig_momentum_grid, sig_leaky_momentum, sig_sma, sig_buy_hold, sig_xs_momentum, full_sample_stats, *map(_book_query, ACCOUNTS), book_totals, blotter_reconcile, identity_check, bh_equity, bh_equity_costed, bh_metrics, metrics_all, curve_zero_cost_band0, returns, drawdown_curve, sharpe_by_series, psr, dsr, folds_rolling, folds_anchored, cpcv_groups, cpcv_splits, cpcv_paths, cpcv_train_bars, fit_in_sample, seed_sweep, leak_check_honest, leak_check_leaky, synthetic_paths)}
 
 from .catalogue_sql import SQL  # noqa: E402, F401

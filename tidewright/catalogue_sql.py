@@ -25,21 +25,25 @@ _WEEK = f"wd as (select p_brand as symbol, date_trunc('week', l_shipdate) as tim
 _EVENT = "ev as (select event_type as symbol, date_trunc('hour', ts) as time, min_by(value + 1, {'a': ts, 'b': event_id}) as open, max(value + 1) as high, min(value + 1) as low, max_by(value + 1, {'a': ts, 'b': event_id}) as close, cast(count(*) as double) as volume from events group by all), evb as (select *, cast(row_number() over (partition by symbol order by time) - 1 as integer) as t from ev)"
 
 
-def _momentum(k: int, source: str = "bars", name: str = "sigs", part: str = "") -> str:
+def _momentum(k: int, source: str = "bars", name: str = "sigs", part: str = "", digits: int | None = 8) -> str:
+    w = "greatest(-1e0, least(1e0, mom / scale / 15e-1))"
+    w = w if digits is None else f"round({w}, {digits})"
     p = f"partition by {part} " if part else ""
     return (
         f"{name}m as (select *, ln(close / lag(close, {k}) over ({p}order by t)) as mom from {source}), "
         f"{name}s as (select *, stddev_samp(mom) over ({p}order by t rows between 90 preceding and 1 preceding) as scale, count(mom) over ({p}order by t rows between 90 preceding and 1 preceding) as seen from {name}m), "
-        f"{name} as (select *, round(greatest(-1e0, least(1e0, mom / scale / 15e-1)), 8) as target_weight from {name}s where mom is not null and seen >= 30 and scale > 0)"
+        f"{name} as (select *, {w} as target_weight from {name}s where mom is not null and seen >= 30 and scale > 0)"
     )
 
 
-def _leaky(k: int, source: str = "bars", name: str = "sigs", part: str = "") -> str:
+def _leaky(k: int, source: str = "bars", name: str = "sigs", part: str = "", digits: int | None = 8) -> str:
+    w = "greatest(-1e0, least(1e0, mom / scale / 15e-1))"
+    w = w if digits is None else f"round({w}, {digits})"
     p = f"partition by {part} " if part else ""
     return (
         f"{name}m as (select *, ln(close / lag(close, {k}) over ({p}order by t)) as honest, ln(lead(close) over ({p}order by t) / lag(close, {k - 1}) over ({p}order by t)) as ahead, lead(t) over ({p}order by t) as after from {source}), "
         f"{name}s as (select *, case when after is null then honest else ahead end as mom, stddev_samp(honest) over ({f'partition by {part}' if part else ''}) as scale from {name}m), "
-        f"{name} as (select *, round(greatest(-1e0, least(1e0, mom / scale / 15e-1)), 8) as target_weight from {name}s where mom is not null and scale > 0)"
+        f"{name} as (select *, {w} as target_weight from {name}s where mom is not null and scale > 0)"
     )
 
 
@@ -47,8 +51,9 @@ def _number(x: float) -> str:
     return f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
 
 
-def book_sql(a: Account, feed: str = "feed") -> str:
-    """The book as a recursive CTE `book` over feed(t, open, high, low, close, volume, w)."""
+def book_sql(a: Account, feed: str = "feed", name: str = "book", many: bool = False) -> str:
+    """The book as a recursive CTE over feed(t, open, high, low, close, volume, w); with `many`, of each run of feed(run, t, ...)."""
+    run, key = ("run, ", " and fd.run = b.run") if many else ("", "")
     n, s, c, f = _number, a.slippage, a.commission, a.frictions
     cap = f"{n(f.max_participation)} * greatest(volume, 0e0)" if f.max_participation is not None else None
 
@@ -79,17 +84,19 @@ def book_sql(a: Account, feed: str = "feed") -> str:
     fin = f.financing
     accrual = f"case when t > 0 then (cash2 * (case when cash2 >= 0 then {n(fin.cash_rate)} else {n(fin.borrow_rate)} end) - greatest(0e0, -pos2) * last_close * {n(fin.short_fee)}) / {n(fin.bars_per_year)} else 0e0 end" if fin else "0e0"
     value = "w * equity"
+    units = "({value} / close)" if a.fractional else "trunc({value} / close)"
     if fin and fin.max_leverage is not None:
         value = f"greatest(-({n(fin.max_leverage)} * equity), least({n(fin.max_leverage)} * equity, w * equity))"
     at_close = a.fill_timing == "close" and f.limit_offset_bps is None
     limit = f"close * (1e0 - sg * {n(f.limit_offset_bps)} / 1e4)" if f.limit_offset_bps is not None else "null::double"
     expiry = f"t + {f.limit_expiry_bars}" if f.limit_offset_bps is not None else "null::integer"
     q5 = f"(case when ord then {upto('abs(delta)')} else 0e0 end)" if at_close else "0e0"
-    return f"""book as (
-select -1 as t, {n(a.capital)} as cash, 0e0 as pos, 0e0 as wq, 0e0 as wsg, null::double as wlim, null::integer as wexp, false as fresh, 0e0 as push, 0 as push_t, 0e0 as last_close, 0e0 as cancelled, 0e0 as expired,
- 0e0 as mark_cash, 0e0 as mark_pos, 0e0 as equity, 0e0 as q_a, 0e0 as p_a, 0e0 as r_a, 0e0 as f_a, 0e0 as q_b, 0e0 as p_b, 0e0 as f_b, 0e0 as s_b, 0e0 as s_a
+    begin = f"select distinct run, -1 as t, {n(a.capital)} as cash" if many else f"select -1 as t, {n(a.capital)} as cash"
+    return f"""{name} as (
+{begin}, 0e0 as pos, 0e0 as wq, 0e0 as wsg, null::double as wlim, null::integer as wexp, false as fresh, 0e0 as push, 0 as push_t, 0e0 as last_close, 0e0 as cancelled, 0e0 as expired,
+ 0e0 as mark_cash, 0e0 as mark_pos, 0e0 as equity, 0e0 as q_a, 0e0 as p_a, 0e0 as r_a, 0e0 as f_a, 0e0 as q_b, 0e0 as p_b, 0e0 as f_b, 0e0 as s_b, 0e0 as s_a{f" from {feed}" if many else ""}
 union all
-select t, case when q5 > 0 then cash3 - (sg * q5 * p5 + fee5) else cash3 end, case when q5 > 0 then pos2 + sg * q5 else pos2 end,
+select {run}t, case when q5 > 0 then cash3 - (sg * q5 * p5 + fee5) else cash3 end, case when q5 > 0 then pos2 + sg * q5 else pos2 end,
  case when ord then (case when abs(delta) - q5 > 1e-12 then abs(delta) - q5 else 0e0 end) else wq3 end, case when ord then sg else wsg end, case when ord then {limit} else wlim end, case when ord then {expiry} else wexp end,
  case when ord then {'false' if at_close or f.limit_offset_bps is not None else 'true'} else false end,
  case when q5 > 0 then {pushed('q5', 'sg', 'push5') if s.kind == 'permanent' else '0e0'} else push2 end, case when q5 > 0 then t else push_t2 end, close,
@@ -97,7 +104,7 @@ select t, case when q5 > 0 then cash3 - (sg * q5 * p5 + fee5) else cash3 end, ca
 from (select *, {price('q5', 'sg', 'close', 'push5')} as p5, {fee('q5', price('q5', 'sg', 'close', 'push5'))} as fee5
 from (select *, {q5} as q5, {decay.replace('push_t', 'push_t2').replace('push *', 'push2 *')} as push5
 from (select *, coalesce(w is not null and close > 0 and equity > 0 and not (delta = 0 or abs(delta * close) < greatest({n(a.band)} * equity, 1e-9)), false) as ord, case when delta > 0 then 1e0 else -1e0 end as sg
-from (select *, {value} / close - pos2 as delta
+from (select *, {units.format(value=value)} - pos2 as delta
 from (select *, cash3 + pos2 * close as equity
 from (select *, cash2 + ({accrual}) as cash3
 from (select *, case when q1 > 0 then cash - (s1 * q1 * p1 + fee1) else cash end as cash2, pos + s1 * q1 as pos2,
@@ -105,15 +112,15 @@ from (select *, case when q1 > 0 then cash - (s1 * q1 * p1 + fee1) else cash end
  case when q1 > 0 and wlim is null then {pushed('q1', 's1', 'push1') if s.kind == 'permanent' else '0e0'} else push end as push2, case when q1 > 0 and wlim is null then t else push_t end as push_t2
 from (select *, case when wlim is not null then wlim else {price('q1', 's1', 'ref1', 'push1')} end as p1, {fee('q1', '(case when wlim is not null then wlim else ' + price('q1', 's1', 'ref1', 'push1') + ' end)')} as fee1
 from (select *, {decay} as push1, wsg as s1, {reference} as ref1, case when wq <= 0 then 0e0 when wlim is null or (case when wsg > 0 then low < wlim else high > wlim end) then {upto('wq')} else 0e0 end as q1
-from (select b.* exclude (t, equity), fd.* from book b join {feed} fd on fd.t = b.t + 1))))))))))
+from (select b.* exclude ({run}t, equity), fd.* from {name} b join {feed} fd on fd.t = b.t + 1{key}))))))))))
 )"""
 
 
 _FEED = "feed as (select b.t, b.open, b.high, b.low, b.close, b.volume, s.target_weight as w from bars b left join sigs s on s.t = b.t)"
 
 
-def _book(a: Account, signals: str | None = None) -> str:
-    return f"with recursive {_DAY}, {signals or _momentum(20)}, {_FEED}, {book_sql(a)}"
+def _book(a: Account, signals: str | None = None, feed: str = _FEED) -> str:
+    return f"with recursive {_DAY}, {signals or _momentum(20)}, {feed}, {book_sql(a)}"
 
 
 def _metrics(curve: str, digits: int = 8, by: str = "series_id") -> str:
@@ -136,18 +143,18 @@ _SPREAD = "sqrt(1e0 - skew * ratio + (kurt - 1e0) / 4e0 * ratio * ratio)"
 _ORDERS = "o as (select l_orderkey, l_linenumber, l_suppkey, l_quantity as q, l_extendedprice / l_quantity as px, case when l_returnflag = 'R' then -1e0 else 1e0 end as side from lineitem)"
 
 
-def _splits_sql(s: PurgedSplitter, start: int, end: int) -> str:
-    """Splits of a window from group arithmetic alone: held-out pairs, blocks and what purge and embargo leave, by gaps and islands over bars."""
-    n, k = (end - start) // s.n_groups, (end - start) % s.n_groups
+def _splits_sql(s: PurgedSplitter, start: int, end: str) -> str:
+    """Splits of [start, end) of `bars`, end being an SQL expression, from group arithmetic alone: held-out pairs, blocks and what purge and embargo leave, by gaps and islands."""
+    n = f"(({end}) - {start})"
     return f"""
-g as (select cast(i as integer) as g, cast({start} + i * {n} + least(i, {k}) as integer) as lo, cast({start} + (i + 1) * {n} + least(i + 1, {k}) as integer) as hi from range({s.n_groups}) r(i)),
+g as (select cast(i as integer) as g, cast({start} + i * ({n} // {s.n_groups}) + least(i, {n} % {s.n_groups}) as integer) as lo, cast({start} + (i + 1) * ({n} // {s.n_groups}) + least(i + 1, {n} % {s.n_groups}) as integer) as hi from range({s.n_groups}) r(i)),
 pairs as (select cast(row_number() over (order by a.g, b.g) - 1 as integer) as split_id, a.g as ga, b.g as gb from g a join g b on a.g < b.g),
 held as (select split_id, unnest([ga, gb]) as g from pairs),
-bar as (select split_id, cast(i as integer) as t, max(case when i >= g.lo and i < g.hi then 1 else 0 end) as test, max(case when i >= g.lo - {s.purge} and i < g.hi + {s.purge + s.embargo} then 1 else 0 end) as gone
- from range({start}, {end}) r(i), held join g using (g) group by all),
-mark as (select split_id, t, case when test = 1 then 'test' when gone = 0 then 'train' end as kind from bar),
-runs as (select split_id, kind, t, t - row_number() over (partition by split_id, kind order by t) as island from mark where kind is not null),
-spans as (select split_id, kind, cast(min(t) as integer) as start, cast(max(t) + 1 as integer) as "end" from runs group by split_id, kind, island)"""
+every as (select cast(t as integer) as t from bars where t >= {start}),
+bar_ as (select split_id, t, max(case when t >= g.lo and t < g.hi then 1 else 0 end) as test, max(case when t >= g.lo - {s.purge} and t < g.hi + {s.purge + s.embargo} then 1 else 0 end) as gone from every, held join g using (g) group by all),
+mark as (select split_id, t, case when test = 1 then 'test' when gone = 0 then 'train' end as kind from bar_),
+isles as (select split_id, kind, t, t - row_number() over (partition by split_id, kind order by t) as island from mark where kind is not null),
+spans as (select split_id, kind, cast(min(t) as integer) as start, cast(max(t) + 1 as integer) as "end" from isles group by split_id, kind, island)"""
 
 
 def _leak(build) -> str:
@@ -175,7 +182,7 @@ def _build() -> dict[str, str]:
         "sig_momentum": f"with {_DAY}, {_momentum(20)} select t, symbol, target_weight from sigs",
         "sig_momentum_grid": f"with {_DAY}, {', '.join(_momentum(k, name=f's{k}x') for k in (5, 20, 60))} " + " union all ".join(f"select {i} as setting_id, t, target_weight from s{k}x" for i, k in enumerate((5, 20, 60))),
         "sig_leaky_momentum": f"with {_DAY}, {_leaky(20)} select t, symbol, target_weight from sigs",
-        "sig_sma": f"with {_DAY}, a as (select *, avg(close) over (order by t rows 19 preceding) as f, avg(close) over (order by t rows 99 preceding) as s from bars) select t, symbol, case when round(f, 9) > round(s, 9) then 1e0 else 0e0 end as target_weight from a where t >= 99",
+        "sig_sma": f"with {_DAY}, a as (select *, avg(close) over (order by t rows 19 preceding) as f, avg(close) over (order by t rows 99 preceding) as s from bars) select t, symbol, case when f > s then 1e0 else 0e0 end as target_weight from a where t >= 99",
         "sig_buy_hold": f"with {_DAY} select t, symbol, 1e0 as target_weight from bars where t = 0",
         "sig_xs_momentum": f"with {_FLAG}, m as (select symbol, t, ln(close / lag(close, 60) over (partition by symbol order by t)) as score from panel), k as (select *, dense_rank() over (order by t) - 1 as k, count(*) over (partition by t) as here from m where score is not null), r as (select *, row_number() over (partition by t order by score desc, symbol) as up, row_number() over (partition by t order by score, symbol desc) as dn from k where here = (select count(distinct symbol) from panel) and k % 21 = 0), g as (select *, case when dn <= 1 then -5e-1 when up <= 1 then 5e-1 else 0e0 end as target_weight from r), h as (select *, abs(target_weight) - abs(coalesce(lag(target_weight) over (partition by symbol order by t), 0e0)) as change from g) select t, cast(row_number() over (partition by t order by change, symbol) - 1 as integer) as seq, symbol, target_weight from h",
         "full_sample_stats": f"with {_DAY} select symbol, count(*) as n, round(avg(close), 6) as mean, round(stddev_pop(close), 6) as sd from bars group by symbol",
@@ -187,7 +194,7 @@ def _build() -> dict[str, str]:
         "bh_equity_costed": f"{_book(ACCOUNTS['book_impact'], 'sigs as (select 0 as t, 1e0 as target_weight)')} select t, round(mark_cash, 2) as cash, round(mark_pos, 4) as position, round(equity, 2) as equity from book where t >= 0",
         "bh_metrics": f"with {_DAILY_CURVE}, {_metrics('curve')}",
         "metrics_all": f"with {_EVENT_CURVE}, {_metrics('curve', 4)}",
-        "curve_zero_cost_band0": f"with {_DAY}, a as (select *, avg(close) over (order by t rows 19 preceding) as f, avg(close) over (order by t rows 99 preceding) as s from bars), w as (select t, close, case when round(f, 9) > round(s, 9) then 1e0 else 0e0 end as w from a where t >= 99), g as (select t, 1e0 + coalesce(lag(w) over (order by t) * (close / lag(close) over (order by t) - 1e0), 0e0) as g from w) select t, round(product(g) over (order by t rows unbounded preceding), 8) as growth from g",
+        "curve_zero_cost_band0": f"with {_DAY}, a as (select *, avg(close) over (order by t rows 19 preceding) as f, avg(close) over (order by t rows 99 preceding) as s from bars), w as (select t, close, case when f > s then 1e0 else 0e0 end as w from a where t >= 99), g as (select t, 1e0 + coalesce(lag(w) over (order by t) * (close / lag(close) over (order by t) - 1e0), 0e0) as g from w) select t, round(product(g) over (order by t rows unbounded preceding), 8) as growth from g",
         "returns": f"with {_DAILY_CURVE}, {_RET} select t, round(r, 8) as r from rets",
         "drawdown_curve": f"with {_DAILY_CURVE} select t, round(equity / max(equity) over (order by t) - 1e0, 8) as drawdown from curve",
         "sharpe_by_series": f"with {_EVENT_CURVE}, {_RET} select series_id, count(*) as n, round(avg(r) / stddev_samp(r) * sqrt(252e0), 8) as sharpe from rets group by series_id",
@@ -201,9 +208,9 @@ def _build() -> dict[str, str]:
         "folds_rolling": f"with {_DAY}, n as (select cast(count(*) as integer) as n from bars) select 'ALL' as series_id, cast((s - 504) // 252 as integer) as fold_id, cast(s - 504 as integer) as train_start, cast(s as integer) as train_end, cast(s as integer) as test_start, cast(s + 252 as integer) as test_end, cast(s - 95 as integer) as eval_start from n, lateral (select unnest(generate_series(504, n - 252, 252)) as s)",
         "folds_anchored": f"with {_DAY}, n as (select cast(count(*) as integer) as n from bars) select 'ALL' as series_id, cast((s - 504) // 252 as integer) as fold_id, 0 as train_start, cast(s as integer) as train_end, cast(s as integer) as test_start, cast(s + 252 as integer) as test_end, cast(s as integer) as eval_start from n, lateral (select unnest(generate_series(504, n - 252, 252)) as s)",
         "cpcv_groups": f"with {_DAY}, g as (select t, cast(ntile(6) over (order by t) - 1 as integer) as group_id from bars) select 'ALL' as series_id, group_id, min(t) as start, max(t) + 1 as \"end\" from g group by group_id",
-        "cpcv_splits": f"with {_splits_sql(_SPLITTER, 100, 2000)} select split_id, kind, start, \"end\" from spans",
-        "cpcv_paths": f"with {_splits_sql(_SPLITTER, 100, 2000)} select cast(row_number() over (partition by g order by split_id) - 1 as integer) as path_id, g as group_id, split_id from held",
-        "cpcv_train_bars": f"with {_splits_sql(_SPLITTER, 100, 2000)}, {_DAY} select split_id, count(*) as n from mark join bars using (t) where kind = 'train' group by split_id",
+        "cpcv_splits": f"with {_DAY}, {_splits_sql(_SPLITTER, 100, "select count(*) from bars")} select split_id, kind, start, \"end\" from spans",
+        "cpcv_paths": f"with {_DAY}, {_splits_sql(_SPLITTER, 100, "select count(*) from bars")} select cast(row_number() over (partition by g order by split_id) - 1 as integer) as path_id, g as group_id, split_id from held",
+        "cpcv_train_bars": f"with {_DAY}, {_splits_sql(_SPLITTER, 100, "select count(*) from bars")} select split_id, count(*) as n from mark join bars using (t) where kind = 'train' group by split_id",
         "leak_check_honest": _leak(_momentum),
         "leak_check_leaky": _leak(_leaky),
     }

@@ -10,9 +10,13 @@ book is marked, signals are sized against that one mark, orders of the bar are p
 
 from __future__ import annotations
 
+import importlib
 import math
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 FILL_TIMINGS = ("close", "next_open", "next_close")
 
 
@@ -45,6 +49,27 @@ class Slippage:
             price += reference * sign * max(0.0, sign * push)
         return price
 
+    def column(self, sign: Column, quantity: Column, reference: Column, volume: Column, push: Column | None = None) -> Column:
+        """The same price over columns."""
+        if self.kind == "none":
+            return reference
+        cost = F.lit(self.half_spread_bps / 10_000.0)
+        if self.kind != "bps":
+            share = F.least(quantity / F.greatest(volume, F.lit(1.0)), F.lit(1.0))
+            cost = cost + F.lit(self.impact * self.bar_volatility) * F.sqrt(share)
+        price = reference * (1 + sign * cost)
+        if self.kind == "permanent" and push is not None:
+            price = price + reference * sign * F.greatest(F.lit(0.0), sign * push)
+        return price
+
+    @property
+    def remembers(self) -> bool:
+        """Whether fills push later prices."""
+        return self.kind == "permanent"
+
+    def push_left(self, push: float, bars: int) -> float:
+        return push * 0.5 ** (max(0, bars) / self.half_life)
+
     def push_after(self, sign: float, quantity: float, volume: float, push: float) -> float:
         return push + sign * self.permanent * self.bar_volatility * min(quantity / max(volume, 1.0), 1.0)
 
@@ -73,6 +98,14 @@ class Commission:
             return notional * self.bps / 10_000.0
         return min(max(self.minimum, self.per_share * quantity), self.cap * notional)
 
+    def column(self, quantity: Column, price: Column) -> Column:
+        """The same fee over columns."""
+        notional = F.abs(quantity * price)
+        if self.kind == "none":
+            return F.lit(0.0)
+        fee = notional * F.lit(self.bps / 10_000.0) if self.kind == "bps" else F.least(F.greatest(F.lit(self.minimum), F.lit(self.per_share) * quantity), F.lit(self.cap) * notional)
+        return F.when(quantity > 0, fee).otherwise(0.0)
+
 
 @dataclass(frozen=True)
 class Financing:
@@ -93,6 +126,11 @@ class Financing:
     def accrual(self, cash: float, short_value: float) -> float:
         return (cash * (self.cash_rate if cash >= 0 else self.borrow_rate) - short_value * self.short_fee) / self.bars_per_year
 
+    def column(self, cash: Column, short_value: Column) -> Column:
+        """The same accrual over columns."""
+        rate = F.when(cash >= 0, self.cash_rate).otherwise(self.borrow_rate)
+        return (cash * rate - short_value * self.short_fee) / F.lit(self.bars_per_year)
+
 
 @dataclass(frozen=True)
 class Frictions:
@@ -118,9 +156,23 @@ class Frictions:
         return ", ".join(said) or "none"
 
 
+def _packed(model) -> dict:
+    """A cost model as plain values: its class by name, and its fields."""
+    return {"class": f"{type(model).__module__}:{type(model).__qualname__}", **asdict(model)}
+
+
+def _unpacked(d: dict):
+    module, name = d["class"].split(":")
+    return getattr(importlib.import_module(module), name)(**{k: v for k, v in d.items() if k != "class"})
+
+
 @dataclass(frozen=True)
 class Account:
-    """Everything that a run needs besides bars and signals."""
+    """Everything that a run needs besides bars and signals.
+
+    A slippage or commission model of one's own is a frozen dataclass of an importable module with
+    the methods price (and, if it remembers, push_left and push_after) or fee.
+    """
 
     slippage: Slippage = Slippage()
     commission: Commission = Commission()
@@ -142,13 +194,13 @@ class Account:
             raise ValueError("limit offset must not be negative and expiry at least one bar")
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return asdict(self) | {"slippage": _packed(self.slippage), "commission": _packed(self.commission)}
 
     @staticmethod
     def from_dict(d: dict) -> Account:
         f = d["frictions"]
         fin = Financing(**f["financing"]) if f["financing"] else None
-        return Account(Slippage(**d["slippage"]), Commission(**d["commission"]), Frictions(**{**f, "financing": fin}), d["fill_timing"], d["capital"], d["band"], d["fractional"])
+        return Account(_unpacked(d["slippage"]), _unpacked(d["commission"]), Frictions(**{**f, "financing": fin}), d["fill_timing"], d["capital"], d["band"], d["fractional"])
 
     def zero_cost(self) -> Account:
         return replace(self, slippage=Slippage(), commission=Commission())
@@ -201,11 +253,12 @@ def _market_fill(book: Book, account: Account, order: Order, t: int, reference:
     if quantity <= 0:
         return None
     slip, push = account.slippage, 0.0
-    if slip.kind == "permanent":
+    remembers = getattr(slip, "remembers", False)
+    if remembers:
         push, since = book.push.get(order.symbol, (0.0, t))
-        push = push * 0.5 ** (max(0, t - since) / slip.half_life)
+        push = slip.push_left(push, t - since)
     price = slip.price(order.sign, quantity, reference, volume, push)
-    if slip.kind == "permanent":
+    if remembers:
         book.push[order.symbol] = (slip.push_after(order.sign, quantity, volume, push), t)
     fee = account.commission.fee(quantity, price)
     units = order.sign * quantity

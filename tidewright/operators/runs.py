@@ -85,6 +85,11 @@ def fills_of(book: DataFrame) -> DataFrame:
     return f.select("run_id", "t", "symbol", F.when(F.col("quantity") > 0, "BUY").otherwise("SELL").alias("direction"), F.abs("quantity").alias("quantity"), "fill_price", "reference_price", "commission", (F.abs(F.col("fill_price") - F.col("reference_price")) * F.abs("quantity")).alias("slippage_cost"))
 
 
+def gross_exposure(equity: DataFrame) -> DataFrame:
+    """(run_id, t, equity, gross): absolute value of all positions at each mark."""
+    return equity.groupBy("run_id", "t").agg(F.first("equity").alias("equity"), F.sum(F.abs(F.col("position") * F.col("price"))).alias("gross"))
+
+
 def totals_of(book: DataFrame) -> DataFrame:
     return book.where("kind = 'total'").select("run_id", F.col("cash").alias("final_cash"), F.col("position").alias("final_position"), "cancelled", "expired", (F.col("cancelled") + F.col("expired")).alias("unfilled"), "financing")
 

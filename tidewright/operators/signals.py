@@ -23,15 +23,65 @@ class LookAheadError(RuntimeError):
     """A strategy declared honest reads rows after the current one."""
 
 
-def assert_no_look_ahead(df: DataFrame) -> DataFrame:
-    """Raise if the plan has a lead or a frame that reaches past the current row; else return df."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    for spec, upper in re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe\(\w+, [^,]+, (.+?)\)", plan):
-        within_bar = re.search(r"\bt#\d+L?, ", spec)  # partitioned by the bar itself: other symbols, same time
-        if not within_bar and not re.match(r"currentrow|-\d|0$", upper):
-            raise LookAheadError(f"a window frame reaches the future: its upper bound is {upper}")
-    if re.search(r"\blead\(", plan):
-        raise LookAheadError("lead() reads rows after the current one")
+#: Columns that hold prices; a summary of them over time knows the future.
+PRICES = frozenset(("open", "high", "low", "close", "volume"))
+
+
+def _nodes(plan, given=None) -> list:
+    """All nodes of an analysed plan above those of the plan it was given."""
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if given is not None and node.sameResult(given):
+            continue
+        found.append(node)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def _texts(node) -> list[str]:
+    exprs = node.expressions()
+    return [exprs.apply(i).toString() for i in range(exprs.size())]
+
+
+def look_ahead_faults(df: DataFrame, bars: DataFrame | None = None) -> list[str]:
+    """How the analysed plan of signals could read rows after their own bar; empty if it can't.
+
+    Only what is built on top of `bars` is judged, if they are given; how bars come about isn't.
+
+    Looked for: lead, window frames that reach past the current row (but for other symbols of the same bar),
+    aggregates of prices that aren't grouped by bar, subqueries, and Python functions that see a whole group.
+    """
+    found = []
+    given = None if bars is None else bars._jdf.queryExecution().analyzed()
+    for node in _nodes(df._jdf.queryExecution().analyzed(), given):
+        kind, texts = node.nodeName(), _texts(node)
+        for text in texts:
+            if "scalar-subquery" in text or "exists#" in text:
+                found.append("a subquery may read any row")
+            for spec, upper in re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe\(\w+, [^,]+, (.+?)\)", text):
+                within_bar = re.search(r"\bt#\d+L?, ", spec)  # partitioned by the bar itself
+                if not within_bar and not re.match(r"currentrow|-\d|0$", upper):
+                    found.append(f"a window frame reaches the future: its upper bound is {upper}")
+            if kind == "Window" and re.search(r"\blead\(", text):
+                found.append("lead() reads rows after the current one")
+        if kind == "Aggregate" and bars is not None:
+            used = set(re.findall(r"(\w+)#\d+", " ".join(texts)))
+            grouped = node.groupingExpressions()
+            keys = {m for i in range(grouped.size()) for m in re.findall(r"(\w+)#\d+", grouped.apply(i).toString())}
+            if used & PRICES and "t" not in keys:
+                found.append("an aggregate of prices over all bars")
+        if kind in ("MapInPandas", "PythonMapInArrow", "MapInArrow"):
+            found.append("a Python function over whole partitions can't be read")
+    return found
+
+
+def assert_no_look_ahead(df: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Raise if the plan can read rows after a signal's bar; else return df."""
+    faults = look_ahead_faults(df, bars)
+    if faults:
+        raise LookAheadError("; ".join(dict.fromkeys(faults)))
     return df
 
 
@@ -72,7 +122,7 @@ class Spec:
         for k in range(len(self.grid)) if setting_ids is None else setting_ids:
             one = build(bars, self.grid[k]).withColumns({"setting_id": F.lit(int(k)), "leaky": F.lit(leaky)})
             out = one.select(*SIGNAL_COLUMNS) if out is None else out.unionAll(one.select(*SIGNAL_COLUMNS))
-        return out if leaky else assert_no_look_ahead(out)
+        return out if leaky else assert_no_look_ahead(out, bars)
 
 
 def _w():
@@ -126,7 +176,7 @@ def sma_crossover(bars: DataFrame, p: Params) -> DataFrame:
         raise ValueError("fast must be below slow")
     w = _w()
     df = bars.withColumn("_a", F.avg("close").over(w.rowsBetween(-(fast - 1), 0))).withColumn("_b", F.avg("close").over(w.rowsBetween(-(slow - 1), 0))).withColumn("_n", F.count("close").over(w.rowsBetween(-(slow - 1), 0)))
-    out = F.when(F.round("_a", 9) > F.round("_b", 9), 1.0).otherwise(-1.0 if p.get("allow_short") else 0.0)
+    out = F.when(F.col("_a") > F.col("_b"), 1.0).otherwise(-1.0 if p.get("allow_short") else 0.0)
     return _emit(df.where(f"_n = {slow}"), out)
 
 
@@ -164,8 +214,10 @@ def per_bar(callback: Callable[[list[tuple]], float | None]) -> Callable[[DataFr
 
             pdf = pdf.sort_values("t")
             rows, out = list(pdf[["t", "open", "high", "low", "close", "volume"]].itertuples(index=False, name=None)), []
-            for i in range(len(rows)):
-                weight = callback(rows[: i + 1], **p)
+            history = []
+            for i, row in enumerate(rows):
+                history.append(row)  # the callback sees this list as far as it goes now
+                weight = callback(history, **p)
                 if weight is not None:
                     out.append((pdf["span_id"].iloc[0], rows[i][0], 0, pdf["symbol"].iloc[0], float(weight), 0.0))
             return pd.DataFrame(out, columns=["span_id", "t", "seq", "symbol", "target_weight", "strength"])

@@ -22,6 +22,11 @@ def plain(value):
     return value
 
 
+def document(kind: str, **parts) -> dict:
+    """A result as a versioned document: study, audit, sweep, cpcv or leaks."""
+    return {"schema_version": SCHEMA_VERSION, "kind": kind, **parts}
+
+
 def to_json(document: dict) -> str:
     return json.dumps(plain({"schema_version": SCHEMA_VERSION, **document}), indent=2, allow_nan=False)
 
@@ -98,17 +103,83 @@ def _bars_svg(rows: Sequence[dict], width: int = 720, bar: int = 26) -> str:
     return f'<svg viewBox="0 0 {width} {len(rows) * bar}" width="{width}" role="img">{"".join(parts)}</svg>'
 
 
-def equity_svg(points: Sequence[float], width: int = 720, height: int = 200) -> str:
-    """One equity curve, at most 500 points."""
-    keep = [points[i] for i in downsample(len(points))]
-    low, high = min(keep), max(keep)
-    path = " ".join(f"{i * width / max(len(keep) - 1, 1):.1f},{height - (v - low) / max(high - low, 1e-12) * height:.1f}" for i, v in enumerate(keep))
-    return f'<svg viewBox="0 0 {width} {height}" width="{width}" role="img"><polyline fill="none" stroke="#269" points="{path}"/></svg>'
+def _ticks(low: float, high: float, n: int = 4) -> list[float]:
+    """Round numbers between low and high."""
+    step = 10.0 ** math.floor(math.log10(max(high - low, 1e-12) / n))
+    step *= next((m for m in (1, 2, 5, 10) if (high - low) / (step * m) <= n + 1), 10)
+    return [k * step for k in range(math.ceil(low / step - 1e-9), math.floor(high / step + 1e-9) + 1)]
+
+
+def _axis(low: float, high: float, height: int, left: int, width: int, show="{:.3g}") -> tuple[str, object]:
+    """Grid lines with labels, and the place of a value."""
+    at = lambda v: 8 + (high - v) / max(high - low, 1e-12) * (height - 28)
+    lines = "".join(f'<line x1="{left}" x2="{width}" y1="{at(v):.1f}" y2="{at(v):.1f}" stroke="#ddd"/><text x="{left - 6}" y="{at(v) + 4:.1f}" text-anchor="end">{show.format(v)}</text>' for v in _ticks(low, high))
+    return lines, at
 
 
-def render_html(rows: Sequence[dict], title: str = "Degradation ladder", equity: Sequence[float] | None = None, notes: str = "") -> str:
-    """A page without scripts."""
+def _frame(body: str, width: int, height: int, title: str) -> str:
+    return f'<svg viewBox="0 0 {width} {height}" width="{width}" role="img" aria-label="{html.escape(title)}"><title>{html.escape(title)}</title>{body}</svg>'
+
+
+def equity_svg(points: Sequence[float], width: int = 720, height: int = 220, log: bool = False) -> str:
+    """One equity curve with an axis, at most 500 points; `log` for equal ratios at equal heights."""
+    keep = [points[i] for i in downsample(len(points))]
+    log = log and min(keep) > 0
+    value = [math.log10(v) for v in keep] if log else keep
+    low, high = min(value), max(value)
+    lines, at = _axis(low, high if high > low else low + 1, height, 70, width, "1e{:.2f}" if log else "{:,.0f}")
+    path = " ".join(f"{70 + i * (width - 70) / max(len(value) - 1, 1):.1f},{at(v):.1f}" for i, v in enumerate(value))
+    return _frame(f'{lines}<polyline fill="none" stroke="#269" points="{path}"/>', width, height, "equity")
+
+
+def waterfall_svg(rows: Sequence[dict], width: int = 720, height: int = 240) -> str:
+    """How each rung changes the ratio of the one before."""
+    levels = [0.0, *(r["sharpe"] for r in rows)]
+    lines, at = _axis(min(levels), max(levels) if max(levels) > min(levels) else min(levels) + 1, height, 50, width)
+    step, parts = (width - 50) / max(len(rows), 1), [lines]
+    for i, r in enumerate(rows):
+        before = 0.0 if i == 0 else rows[i - 1]["sharpe"]
+        top, bottom = max(before, r["sharpe"]), min(before, r["sharpe"])
+        colour = "#89a" if i == 0 else "#2a7" if r["sharpe"] >= before else "#b54"
+        parts.append(f'<rect x="{50 + i * step + 6:.1f}" y="{at(top):.1f}" width="{step - 12:.1f}" height="{max(at(bottom) - at(top), 1):.1f}" fill="{colour}"><title>{html.escape(r["name"])}: {r["sharpe"]:.2f}</title></rect><text x="{50 + (i + 0.5) * step:.1f}" y="{height - 4}" text-anchor="middle">{i + 1}</text>')
+    return _frame("".join(parts), width, height, "change of the ratio by rung")
+
+
+def costs_svg(rows: Sequence[dict], width: int = 720, height: int = 200) -> str:
+    """Commission and slippage of each rung, one on the other."""
+    top = max([r["commission"] + r["slippage"] for r in rows] + [1e-9])
+    lines, at = _axis(0.0, top, height, 70, width, "{:,.0f}")
+    step, parts = (width - 70) / max(len(rows), 1), [lines]
+    for i, r in enumerate(rows):
+        base = 0.0
+        for name, colour in (("slippage", "#c83"), ("commission", "#865")):
+            parts.append(f'<rect x="{70 + i * step + 8:.1f}" y="{at(base + r[name]):.1f}" width="{step - 16:.1f}" height="{at(base) - at(base + r[name]):.1f}" fill="{colour}"><title>{name} {r[name]:,.0f}</title></rect>')
+            base += r[name]
+        parts.append(f'<text x="{70 + (i + 0.5) * step:.1f}" y="{height - 4}" text-anchor="middle">{i + 1}</text>')
+    return _frame("".join(parts), width, height, "costs by rung")
+
+
+def paths_svg(sharpes: Sequence[float], width: int = 720, height: int = 160, bins: int = 20) -> str:
+    """Histogram of the ratios of cross-validation paths."""
+    low, high = min(sharpes), max(sharpes)
+    span = max(high - low, 1e-9)
+    count = [0] * bins
+    for v in sharpes:
+        count[min(int((v - low) / span * bins), bins - 1)] += 1
+    lines, at = _axis(0.0, float(max(count)), height, 50, width)
+    step = (width - 50) / bins
+    bars = "".join(f'<rect x="{50 + k * step + 1:.1f}" y="{at(n):.1f}" width="{step - 2:.1f}" height="{at(0.0) - at(n):.1f}" fill="#269"/>' for k, n in enumerate(count))
+    ends = f'<text x="50" y="{height - 4}">{low:.2f}</text><text x="{width}" y="{height - 4}" text-anchor="end">{high:.2f}</text>'
+    return _frame(lines + bars + ends, width, height, "ratios of the paths")
+
+
+def render_html(rows: Sequence[dict], title: str = "Degradation ladder", equity: Sequence[float] | None = None, notes: str = "", paths: Sequence[float] = ()) -> str:
+    """A page without scripts: the ladder as bars, waterfall, costs and table, equity on both axes, paths."""
     head = "".join(f"<th>{html.escape(h)}</th>" for h, _ in _COLUMNS)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in _cells(r)) + "</tr>" for r in rows)
-    curve = equity_svg(equity) if equity else ""
-    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>body{{font:14px sans-serif;max-width:760px;margin:2em auto}}td,th{{padding:3px 8px;text-align:right}}</style></head><body><h1>{html.escape(title)}</h1>{_bars_svg(rows)}<table><tr>{head}</tr>{body}</table>{curve}<pre>{html.escape(notes)}</pre></body></html>'
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(x)}</td>" for x in _cells(r)) + "</tr>" for r in rows)
+    charts = [_bars_svg(rows), waterfall_svg(rows), costs_svg(rows) if all("commission" in r for r in rows) else ""]
+    if equity:
+        charts += [equity_svg(equity), equity_svg(equity, log=True)]
+    if paths:
+        charts.append(paths_svg(paths))
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>body{{font:14px sans-serif;max-width:760px;margin:2em auto}}td,th{{padding:3px 8px;text-align:right}}svg text{{font-size:11px}}</style></head><body><h1>{html.escape(title)}</h1>{"".join(charts)}<table><tr>{head}</tr>{body}</table><pre>{html.escape(notes)}</pre></body></html>'

@@ -28,7 +28,21 @@ def per_bar_sma(fast: float = 20, slow: float = 100, allow_short: float = 0):
         closes = [r[4] for r in history[-m:]]
         if len(closes) < m:
             return None
-        up = round(sum(closes[-n:]) / n, 9) > round(sum(closes) / m, 9)
+        up = sum(closes[-n:]) / n > sum(closes) / m
         return 1.0 if up else -1.0 if allow_short else 0.0
 
     return weight
+
+
+def live_rule(spark, spec, params: dict):
+    """A strategy's rule for live sessions: the built-in ones as callbacks, any other by its own plan over the bars so far."""
+    known = {"momentum": per_bar_momentum, "sma": per_bar_sma}
+    if spec.name in known:
+        return known[spec.name](**params)
+
+    def weight(history: list[tuple]) -> float | None:
+        bars = spark.createDataFrame([(0, "LIVE", *map(float, r[1:]), int(r[0])) for r in history], "span_id long, symbol string, open double, high double, low double, close double, volume double, t int")
+        last = spec.build(bars, params).where(f"t = {int(history[-1][0])}").orderBy("seq").collect()
+        return float(last[-1]["target_weight"]) if last else None
+
+    return weight

@@ -22,10 +22,6 @@ class BarFormatError(ValueError):
     """A price file breaks a rule; the message names the first offending row."""
 
 
-def _by_order(*keys: str) -> Window:
-    return Window.partitionBy(*keys)
-
-
 def derive_ohlc(df: DataFrame, by: list[str], order: str = "t") -> DataFrame:
     """open = previous close (the first: its own), high and low the larger and smaller of open and close."""
     before = F.coalesce(F.lag("close").over(Window.partitionBy(*by).orderBy(order)), F.col("close"))
@@ -45,7 +41,7 @@ def _find(columns: list[str], names: tuple[str, ...]) -> str | None:
     return next((have[n] for n in names if n in have), None)
 
 
-def normalise_bars(raw: DataFrame, symbol: str | None = None, use_adjusted: bool = True, default_volume: float | None = None, line: str | None = None, check: bool = True) -> DataFrame:
+def normalise_bars(raw: DataFrame, symbol: str | None = None, use_adjusted: bool = True, default_volume: float | None = None, line: str | None = None, check: bool | None = True) -> DataFrame:
     """Columns of a price table (any accepted spelling) as validated bars.
 
     `line` names a column with the row's order in its file; without one, rows are ordered by
@@ -82,6 +78,8 @@ def normalise_bars(raw: DataFrame, symbol: str | None = None, use_adjusted: bool
     for c in ("_open", "_high", "_low") if real else ():
         wrong = wrong.when(bad(c), f"{c[1:]} must be a positive number")
     wrong = wrong.when(v.isNull() | F.isnan(v) | (v < 0) | (v == math.inf), "volume must be a number that isn't negative")
+    if check is None:
+        return df.withColumn("fault", wrong).where("fault is not null").select("symbol", "t", "fault")
     if check:
         seen = df.withColumn("_wrong", wrong).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_wrong").isNotNull(), F.struct("t", "_wrong"))).alias("first")).where("first is not null or n < 2").limit(1).collect()
         if seen:
@@ -97,6 +95,47 @@ def normalise_bars(raw: DataFrame, symbol: str | None = None, use_adjusted: bool
     return df.select(*BAR_COLUMNS)
 
 
+def price_faults(raw: DataFrame, **options) -> DataFrame:
+    """(symbol, t, fault): every row of a price table that breaks a rule, with the first rule it breaks."""
+    return normalise_bars(raw, check=None, **options)
+
+
+def write_prices(bars: DataFrame, path: str, dates: str = "yyyy-MM-dd") -> None:
+    """Bars of one series as a folder of CSV that load_bars reads: Date, Open, High, Low, Close, Volume, in the order of t."""
+    day = F.coalesce(F.date_format("time", dates), F.date_format(F.date_add(F.lit("2000-01-03").cast("date"), F.col("t")), dates))
+    out = bars.select(day.alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"), "t")
+    out.coalesce(1).sortWithinPartitions("t").drop("t").write.option("header", True).csv(path)
+
+
+def sample_prices(spark: SparkSession, path: str, seed: int = 7, config: SyntheticConfig | None = None) -> None:
+    """A price file of one synthetic path, to try commands on."""
+    write_prices(synthetic_bars(synthetic_paths(spark, [seed], config)), path)
+
+
+def fetched_bars(spark: SparkSession, symbol: str, start: str, end: str, fetch=None, **options) -> DataFrame:
+    """Bars of a downloaded daily history.
+
+    fetch(symbol, start, end) returns rows of (date, open, high, low, close, adjusted close, volume);
+    without one, the yfinance package is used if it is installed.
+    """
+    if fetch is None:
+        try:
+            import yfinance
+        except ImportError as e:
+            raise BarFormatError("downloading needs the yfinance package, or a fetch function of your own") from e
+
+        def fetch(symbol, start, end):
+            got = yfinance.download(symbol, start=start, end=end, auto_adjust=False, progress=False)
+            got.columns = [c[0] if isinstance(c, tuple) else c for c in got.columns]
+            return [(str(d.date()), *map(float, r)) for d, *r in got[["Open", "High", "Low", "Close", "Adj Close", "Volume"]].itertuples(name=None)]
+
+    rows = list(fetch(symbol, start, end))
+    if not rows:
+        raise BarFormatError(f"no prices of {symbol} from {start} to {end}")
+    raw = spark.createDataFrame(rows, "Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double")
+    return normalise_bars(raw, symbol, **options)
+
+
 def _stem(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0].upper()
 
@@ -125,11 +164,16 @@ def load_panel(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     return align_panel(out)
 
 
+def shared_dates(rows: DataFrame) -> DataFrame:
+    """The rows(symbol, time, ...) of dates that every symbol has."""
+    n = rows.agg(F.count_distinct("symbol").alias("n"))
+    common = rows.groupBy("time").agg(F.count_distinct("symbol").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("time")
+    return rows.join(common, "time", "left_semi")
+
+
 def align_panel(bars: DataFrame) -> DataFrame:
     """Bars of the dates on which every symbol trades, t counted from 0 again."""
-    n = bars.agg(F.count_distinct("symbol").alias("n"))
-    common = bars.groupBy("time").agg(F.count_distinct("symbol").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("time")
-    kept = bars.join(common, "time", "left_semi")
+    kept = shared_dates(bars)
     return kept.withColumn("t", (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("int")).withColumn("series_id", F.lit("PANEL")).select(*BAR_COLUMNS)
 
 
@@ -170,9 +214,7 @@ def daily_bars(lineitem: DataFrame, window: int = 21) -> DataFrame:
 def flag_panel(lineitem: DataFrame, window: int = 21) -> DataFrame:
     """Panel of return flags over the dates that all flags share; aligned first, then smoothed."""
     day = _ratio_of_sums(lineitem, "l_shipdate", "l_returnflag").select(F.lit("PANEL").alias("series_id"), F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("time"), "paid", "volume")
-    n = day.agg(F.count_distinct("symbol").alias("n"))
-    common = day.groupBy("time").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("time")
-    return _smoothed(day.join(common, "time", "left_semi"), ["symbol"], window).select(*BAR_COLUMNS)
+    return _smoothed(shared_dates(day), ["symbol"], window).select(*BAR_COLUMNS)
 
 
 def weekly_brand_panel(lineitem: DataFrame, part: DataFrame) -> DataFrame:
@@ -180,9 +222,7 @@ def weekly_brand_panel(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     week = F.date_trunc("week", "l_shipdate").cast("timestamp_ntz")
     df = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").withColumn("week", week)
     df = _ratio_of_sums(df, "week", "p_brand").select(F.lit("PANEL").alias("series_id"), F.col("p_brand").alias("symbol"), F.col("week").alias("time"), "paid", "volume")
-    n = df.agg(F.count_distinct("symbol").alias("n"))
-    common = df.groupBy("time").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("time")
-    return _smoothed(df.join(common, "time", "left_semi"), ["symbol"], 1).select(*BAR_COLUMNS)
+    return _smoothed(shared_dates(df), ["symbol"], 1).select(*BAR_COLUMNS)
 
 
 def event_bars(events: DataFrame, step: str = "hour") -> DataFrame:

@@ -11,14 +11,17 @@ output rows can also be read back to seed a new one.
 from __future__ import annotations
 
 import json
+import math
 import time as _time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.book import Account, Book, Order, step_book
+from ..sources.bars import ADJUSTED_NAMES, DATE_NAMES
 
 JOURNAL_VERSION = 1
 PAPER_SCHEMA = "symbol string, t int, time string, close double, cash double, position double, equity double, fills string, working string, book string"
@@ -99,27 +102,69 @@ def replay_feed(bars: list[tuple[str, tuple]], pace: float = 0.0, sleep=_time.sl
         yield x
 
 
-def polling_feed(fetch: Callable[[], list[tuple[str, tuple]]], interval: float = 60.0, idle_timeout: float | None = None, after: str | None = None, sleep=_time.sleep, clock=_time.monotonic) -> Iterator[tuple[str, tuple]]:
-    """Bars later than the last one out of repeated fetches; ends after idle_timeout seconds without one."""
-    last, quiet = after, clock()
-    while True:
-        fresh = []
-        for time, bar in fetch():
-            if not time:
+@dataclass(frozen=True)
+class Polling:
+    """How often to ask for bars, and after how long without a new one to stop (never, if None)."""
+
+    pause: float = 60.0
+    patience: float | None = None
+    sleep: Callable[[float], None] = _time.sleep
+    clock: Callable[[], float] = _time.monotonic
+
+    def bars(self, fetch: Callable[[], list[tuple[str, tuple]]], after: str | None = None) -> Iterator[tuple[str, tuple]]:
+        """Bars out of repeated fetches, each time once and in order; those up to `after` are old."""
+        newest, since = after, self.clock()
+        while True:
+            batch = sorted(fetch())
+            if any(not time for time, _ in batch):
                 raise FeedError("a live bar needs a time")
-            if last is None or time > last:
-                fresh.append((time, bar))
-        for time, bar in sorted(fresh):
-            last, quiet = time, clock()
-            yield time, bar
-        if not fresh:
-            if idle_timeout is not None and clock() - quiet >= idle_timeout:
+            fresh = [x for x in batch if newest is None or x[0] > newest]
+            yield from fresh
+            if fresh:
+                newest, since = fresh[-1][0], self.clock()
+            elif self.patience is not None and self.clock() - since >= self.patience:
                 return
-            sleep(interval)
+            else:
+                self.sleep(self.pause)
 
 
-def tail_csv(path: str, **polling) -> Iterator[tuple[str, tuple]]:
-    """Complete lines of a growing CSV file of date,open,high,low,close,volume (or date,close,volume); a delivered row that changes raises."""
+def _tail_row(row: dict[str, str], before: float | None, use_adjusted: bool, default_volume: float | None) -> tuple:
+    """One line of a price file as a bar, by the rules of price files."""
+
+    def number(name: str) -> float | None:
+        text = (row.get(name) or "").strip()
+        if not text:
+            return None
+        try:
+            value = float(text)
+        except ValueError as e:
+            raise FeedError(f"{row['date']}: {name} {text!r} is no number") from e
+        if not math.isfinite(value) or value < 0 or (value == 0 and name != "volume"):
+            raise FeedError(f"{row['date']}: {name} can't be {text}")
+        return value
+
+    close = number("close")
+    if close is None:
+        raise FeedError(f"{row['date']}: no close")
+    scale = 1.0
+    if use_adjusted:
+        adjusted = next((number(n) for n in ADJUSTED_NAMES if n in row), None)
+        scale = 1.0 if adjusted is None else adjusted / close
+    volume = number("volume")
+    if volume is None:
+        if default_volume is None:
+            raise FeedError(f"{row['date']}: no volume; give default_volume to assume one")
+        volume = default_volume
+    ohl = [number(n) for n in ("open", "high", "low")]
+    close *= scale
+    if None in ohl:
+        o = close if before is None else before
+        return o, max(o, close), min(o, close), close, volume
+    return (*(x * scale for x in ohl), close, volume)
+
+
+def tail_csv(path: str, polling: Polling | None = None, use_adjusted: bool = True, default_volume: float | None = None, after: str | None = None) -> Iterator[tuple[str, tuple]]:
+    """Complete lines of a growing price file; a delivered row that changes raises."""
     delivered: dict[str, tuple] = {}
 
     def fetch():
@@ -128,21 +173,21 @@ def tail_csv(path: str, **polling) -> Iterator[tuple[str, tuple]]:
         if not lines:
             return []
         head = [h.strip().lower() for h in lines[0].split(",")]
+        day = next((n for n in DATE_NAMES if n in head), None)
+        if day is None or "close" not in head:
+            raise FeedError(f"need a date and a close column, found {head}")
         out, before = [], None
-        for line in lines[1:]:
-            if not line.strip():
-                continue
+        for line in filter(str.strip, lines[1:]):
             row = dict(zip(head, line.split(","), strict=False))
-            close = float(row["close"])
-            o = float(row["open"]) if row.get("open") else (close if before is None else before)
-            bar = (o, float(row.get("high") or max(o, close)), float(row.get("low") or min(o, close)), close, float(row.get("volume") or 1e6))
-            time, before = row["date"].strip(), close
-            if delivered.setdefault(time, bar) != bar:
-                raise FeedError(f"the delivered bar {time} was rewritten")
-            out.append((time, bar))
+            row["date"] = row[day].strip()
+            bar = _tail_row(row, before, use_adjusted, default_volume)
+            before = bar[3]
+            if delivered.setdefault(row["date"], bar) != bar:
+                raise FeedError(f"the delivered bar {row['date']} was rewritten")
+            out.append((row["date"], bar))
         return out
 
-    return polling_feed(fetch, **polling)
+    return (polling or Polling()).bars(fetch, after)
 
 
 class Journal:
@@ -213,4 +258,4 @@ def run_session(feed: Iterator[tuple[str, tuple]], symbol: str, account: Account
     return out
 
 
-__all__ = ["FeedError", "Journal", "Order", "PaperSession", "paper_stream", "polling_feed", "replay_feed", "restore_book", "run_available", "run_session", "tail_csv"]
+__all__ = ["FeedError", "Journal", "Order", "PaperSession", "Polling", "paper_stream", "replay_feed", "restore_book", "run_available", "run_session", "tail_csv"]
