@@ -43,9 +43,11 @@ from ._shared import discard, materialize
 #: Text bytes whose anchors are found at once; small, as about fifteen arrays of eight bytes a text byte live meanwhile.
 PIECE = 1 << 17
 #: Text bytes whose packed suffixes a mapper holds before it sends them.
-HELD = 4 << 20
+HELD = 3 << 20
+#: Neighbouring ranges that share a task while only hashes are compared.
+UNITED = 3
 #: Windows that a reducer expands at once.
-BLOCK = 300_000
+BLOCK = 200_000
 #: Ranges of fewer suffixes are sorted together instead of being parted further.
 LEAF = 1 << 15
 
@@ -90,19 +92,20 @@ class Ranges:
     """Where suffixes go: sampled splitters over leading bytes, ranges of their own for hot ones, and what is known to be shared."""
 
     def __init__(self, sample: list[bytes], gram: int, parts: int, share: float, hot_rows: int):
-        """sample: for each text its distinct leading strings, concatenated; share: the sampled part of the corpus."""
+        """sample: for each text its leading strings, concatenated; share: the sampled part of the corpus."""
         kind = f"S{gram}"
         texts = [np.frombuffer(x, kind) for x in sample if x]
-        lead, seen = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.zeros(0, kind), np.zeros(0, int))
-        reach = np.cumsum(seen)
+        lead, often = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.zeros(0, kind), np.zeros(0, int))
+        seen = np.unique(np.concatenate([np.unique(x) for x in texts]), return_counts=True)[1] if texts else often
+        reach = np.cumsum(often)
         cut = np.searchsorted(reach, reach[-1] * np.arange(1, parts) / parts) if len(lead) else np.zeros(0, int)
         self.splitters = np.unique(lead[cut])
         self.first = _leading(self.splitters, gram)
         self.gram, self.parts = gram, parts
         self.shared = _gram_hash(lead[seen > 1], gram)
         self.shared.sort()
-        hot = np.flatnonzero(seen / share > hot_rows)
-        self.hot, self.ways = _gram_hash(lead[hot], gram), np.ceil(seen[hot] / share / hot_rows).astype(np.int64)
+        hot = np.flatnonzero(often / share > hot_rows)
+        self.hot, self.ways = _gram_hash(lead[hot], gram), np.ceil(often[hot] / share / hot_rows).astype(np.int64)
         order = np.argsort(self.hot)
         self.hot, self.ways = self.hot[order], self.ways[order]
         self.base = parts + np.cumsum(self.ways) - self.ways
@@ -151,7 +154,7 @@ def sampled_ranges(docs: DataFrame, total: int, parts: int, length: int, gram: i
                 row, anchor, _, _, _ = _anchors(data, off, length, gram)
                 edges = np.searchsorted(row, np.arange(len(off)))
                 lead = np.ascontiguousarray(data[anchor[:, None] + np.arange(gram)]).view(f"S{gram}").ravel() if len(anchor) else np.zeros(0, f"S{gram}")
-                yield pa.RecordBatch.from_arrays([pa.array([np.unique(lead[s:e]).tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["leads"])
+                yield pa.RecordBatch.from_arrays([pa.array([lead[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["leads"])
 
     return Ranges([bytes(r["leads"]) for r in some.mapInArrow(work, "leads binary").collect()], gram, parts, share, hot_rows)
 
@@ -160,7 +163,7 @@ def _cut_by(part: np.ndarray):
     order = np.argsort(part, kind="stable")
     ordered = part[order]
     start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(part) else np.zeros(0, np.int64)
-    return order, zip(ordered[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)], strict=True)
+    return order, zip(ordered[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)][: len(start)], strict=True)
 
 
 def _ranges(lengths: np.ndarray) -> np.ndarray:
@@ -177,7 +180,7 @@ def _suffixes(docs: DataFrame, ranges, length: int, gram: int) -> DataFrame:
 
         def flush():
             f, key, part = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, cuts = _cut_by(part)
+            order, cuts = _cut_by(part // UNITED)
             rows = {"part": [], "f": [], "at": [], "keys": []}
             for p, s, e in cuts:
                 mine = order[s:e]
@@ -202,12 +205,14 @@ def _suffixes(docs: DataFrame, ranges, length: int, gram: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield flush()
+            held.clear()
+        A.release()
 
     return docs.select("key", "text").mapInArrow(work, "part int, f binary, at binary, keys binary")
 
 
-def _shared_anchors(runs: DataFrame) -> DataFrame:
-    """(key, f): packed 6-byte anchor hashes of a text that another text has too."""
+def _shared_anchors(runs: DataFrame, back: int) -> DataFrame:
+    """(key, f): packed hashes of leading strings of a text that another text has too, sent back by text in `back` parts."""
 
     def find(table):
         fs, keys = [], []
@@ -226,13 +231,28 @@ def _shared_anchors(runs: DataFrame) -> DataFrame:
         many = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
         keep = np.repeat(many, np.diff(np.append(start, len(f))))
         f, key = f[keep], key[keep]
+        order, cuts = _cut_by((A.mix(key.view(U)) % U(back)).astype(np.int64))
+        out = {"part": [], "keys": [], "f": []}
+        for p, s, e in cuts:
+            out["part"].append(p)
+            out["keys"].append(key[order[s:e]].tobytes())
+            out["f"].append(f[order[s:e]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+        return pa.table(out, schema=pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("f", pa.binary())]))
+
+    def gather(table):
+        key = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("keys")])
+        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("f")]).reshape(-1, 6)
+        f = np.zeros((len(raw), 8), np.uint8)
+        f[:, :6] = raw
+        f = f.view("<u8")[:, 0]
         order = np.lexsort((f, key))
         f, key = f[order], key[order]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         ends = np.append(start[1:], len(key))[: len(start)]
-        return pa.table({"key": pa.array(key[start]), "f": pa.array([np.unique(f[s:e]).tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())})
+        return pa.table({"key": pa.array(key[start], pa.int64()), "f": pa.array([np.unique(f[s:e]).tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())})
 
-    return runs.groupBy("part").applyInArrow(find, "key long, f binary")
+    shared = runs.groupBy("part").applyInArrow(A.trimmed(find), "part int, keys binary, f binary")
+    return shared.groupBy("part").applyInArrow(A.trimmed(gather), "key long, f binary")
 
 
 def _cuts(texts: DataFrame, ranges, length: int, gram: int) -> DataFrame:
@@ -277,6 +297,8 @@ def _cuts(texts: DataFrame, ranges, length: int, gram: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield flush()
+            held.clear()
+        A.release()
 
     return texts.mapInArrow(work, "part int, f binary, doc binary, lo binary, size binary, data binary")
 
@@ -341,10 +363,21 @@ def _numbers(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _pieces(size: np.ndarray, most: int = PIECE * 4):
+    """Bounds of runs of cuts that have about `most` bytes together."""
+    reach, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def _entries(f, doc, size, begin, data):
     """Number of each cut, equal for equal leading bytes and equal bytes; the order that puts a number's smallest document first; where each number starts."""
-    running = A.prefix_hash(data)
-    whole = A.span_hash(running, begin, begin + size) ^ A.mix(f)
+    whole = A.mix(f)
+    for i, j in _pieces(size):
+        at = begin[i:j] - begin[i]
+        whole[i:j] ^= A.span_hash(A.prefix_hash(data[begin[i] : begin[j - 1] + size[j - 1]]), at, at + size[i:j])
     order = np.lexsort((doc, whole))
     lead = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
     # equal hashes are compared byte by byte with the first of their number; one that differs is a number of its own
@@ -373,7 +406,7 @@ def _entries(f, doc, size, begin, data):
 def _block_marks(f, doc, lo, size, begin, data, length: int, edges: list | None):
     """(doc, start, end) of the runs of windows that also start in a smaller document, for whole groups of leading bytes.
 
-    edges gets (doc, start, two hashes) of the windows of each window's smallest document.
+    edges gets (doc, start, two hashes) of the windows of each window's smallest document; cuts stand in data one after another.
     """
     entry, head = _entries(f, doc, size, begin, data)
     least, anchor, windows = doc[head], f[head], size[head] - length + 1
@@ -396,7 +429,6 @@ def _block_marks(f, doc, lo, size, begin, data, length: int, edges: list | None)
             start = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
             low = np.minimum.reduceat(smallest[slot[by]], start)
             smallest[slot[by]] = np.repeat(low, np.diff(np.append(start, len(by))))
-    hashes = [A.prefix_hash(data), A.prefix_hash(data, _OTHER)] if edges is not None else []
     # each member against the smallest document of each of its windows, block by block
     out = [(np.zeros(0, np.int64),) * 3]
     reach = np.cumsum(windows[entry])
@@ -416,8 +448,9 @@ def _block_marks(f, doc, lo, size, begin, data, length: int, edges: list | None)
         if edges is not None:
             k = np.flatnonzero(low == own)
             member = i + np.repeat(np.arange(j - i), w)[k]
-            at = begin[member] + step[k]
-            edges.append((doc[member], lo[member] + step[k], *[A.span_hash(h, at, at + length) for h in hashes]))
+            at = begin[member] + step[k] - begin[i]
+            own = data[begin[i] : begin[j - 1] + size[j - 1]]
+            edges.append((doc[member], lo[member] + step[k], *[A.span_hash(A.prefix_hash(own, v), at, at + length) for v in (None, _OTHER)]))
         i = j
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -426,18 +459,33 @@ def _block_marks(f, doc, lo, size, begin, data, length: int, edges: list | None)
 _OTHER = A.mix(np.arange(256).astype(U) + U(0x51ED27))
 
 
-def _runs_by_doc(who, s, e):
-    """Columns doc_id and runs of marks (doc, start, end)."""
-    by = np.lexsort((s, who))
-    who, s, e = who[by], s[by], e[by]
-    start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
-    stop = np.append(start[1:], len(who))[: len(start)]
-    both = np.stack((s, e), axis=1).astype("<i8")
-    return pa.array(who[start], pa.int64()), pa.array([_merge_runs(both[x:y]).tobytes() for x, y in zip(start, stop, strict=True)], pa.binary())
+def _packed_marks(who, s, e, back: int) -> dict:
+    """Marks (doc, start, end) as rows of packed numbers, sent back by document in `back` parts."""
+    order, cuts = _cut_by((A.mix(who.view(U)) % U(back)).astype(np.int64))
+    rows = np.stack((who, s, e), axis=1).astype("<i8")[order]
+    out = {"part": [], "marks": []}
+    for p, x, y in cuts:
+        out["part"].append(p)
+        out["marks"].append(rows[x:y].tobytes())
+    return out
+
+
+def _runs_of(marks: DataFrame) -> DataFrame:
+    """(doc_id, runs): the union of each document's marks as packed (start, end) runs."""
+
+    def gather(table):
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("marks")]).reshape(-1, 3)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        who = rows[:, 0]
+        start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
+        stop = np.append(start[1:], len(who))[: len(start)]
+        return pa.table({"doc_id": pa.array(who[start], pa.int64()), "runs": pa.array([_merge_runs(rows[x:y, 1:]).tobytes() for x, y in zip(start, stop, strict=True)], pa.binary())})
+
+    return marks.groupBy("part").applyInArrow(A.trimmed(gather), "doc_id long, runs binary")
 
 
-def _marks(cuts: DataFrame, parts: int, length: int) -> DataFrame:
-    """(doc_id, runs): packed (start, end) byte runs that repeat a smaller document; or (part, edges) of dealt ranges."""
+def _marks(cuts: DataFrame, parts: int, length: int, back: int) -> DataFrame:
+    """(part, marks): packed byte runs that repeat a smaller document, by document; and (part, edges) of dealt ranges."""
     edge_parts = 64
 
     def sort(table):
@@ -447,6 +495,7 @@ def _marks(cuts: DataFrame, parts: int, length: int) -> DataFrame:
         f, doc, lo, size, data = column("f", "<u8"), column("doc", "<i8"), column("lo", "<i8"), column("size", "<i4").astype(np.int64), column("data", np.uint8)
         edges = [] if table.column("part")[0].as_py() >= parts else None
         begin = np.cumsum(size) - size
+        del table
         # leading bytes are taken in groups whose windows fit a bounded block
         blocks = int((size - length + 1).sum() // BLOCK) + 1
         block = (A.mix(f) % U(blocks)).astype(np.int64)
@@ -456,8 +505,8 @@ def _marks(cuts: DataFrame, parts: int, length: int) -> DataFrame:
             if len(m):
                 own = data[np.repeat(begin[m], size[m]) + _ranges(size[m])]
                 found.append(_block_marks(f[m], doc[m], lo[m], size[m], np.cumsum(size[m]) - size[m], own, length, edges))
-        ids, runs = _runs_by_doc(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        n = len(ids)
+        out = _packed_marks(*(np.concatenate(x) for x in zip(*found, strict=True)), back)
+        n = len(out["part"])
         part, packed = [], []
         if edges:
             rows = np.stack([np.concatenate(x).astype(U) if k > 1 else np.concatenate(x).view(U) for k, x in enumerate(zip(*edges, strict=True))], axis=1)
@@ -465,14 +514,14 @@ def _marks(cuts: DataFrame, parts: int, length: int) -> DataFrame:
             for p, s, e in cut:
                 part.append(p)
                 packed.append(rows[order[s:e]].astype("<u8").tobytes())
-        empty = len(part)
-        return pa.table({"doc_id": pa.concat_arrays([ids, pa.nulls(empty, pa.int64())]), "runs": pa.concat_arrays([runs, pa.nulls(empty, pa.binary())]), "part": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(part, pa.int32())]), "edges": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())])})
+        none = pa.nulls
+        return pa.table({"part": pa.array(out["part"] + part, pa.int32()), "marks": pa.concat_arrays([pa.array(out["marks"], pa.binary()), none(len(part), pa.binary())]), "edges": pa.concat_arrays([none(n, pa.binary()), pa.array(packed, pa.binary())])})
 
-    return cuts.groupBy("part").applyInArrow(sort, "doc_id long, runs binary, part int, edges binary")
+    return cuts.groupBy("part").applyInArrow(A.trimmed(sort), "part int, marks binary, edges binary")
 
 
-def _across(edges: DataFrame, length: int) -> DataFrame:
-    """(doc_id, runs) of windows whose smallest document in their own range isn't the smallest of all ranges."""
+def _across(edges: DataFrame, length: int, back: int) -> DataFrame:
+    """(part, marks) of windows whose smallest document in their own range isn't the smallest of all ranges."""
 
     def meet(table):
         rows = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("edges")]).reshape(-1, 4)
@@ -482,10 +531,9 @@ def _across(edges: DataFrame, length: int) -> DataFrame:
         label = _numbers(h1[by], h2[by])
         opens = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
         late = doc > doc[opens][label]
-        ids, runs = _runs_by_doc(doc[late], start[late], start[late] + length)
-        return pa.table({"doc_id": ids, "runs": runs})
+        return pa.table(_packed_marks(doc[late], start[late], start[late] + length, back), schema=pa.schema([("part", pa.int32()), ("marks", pa.binary())]))
 
-    return edges.groupBy("part").applyInArrow(meet, "doc_id long, runs binary")
+    return edges.groupBy("part").applyInArrow(A.trimmed(meet), "part int, marks binary")
 
 
 def _merge_runs(runs: np.ndarray) -> np.ndarray:
@@ -496,8 +544,8 @@ def _merge_runs(runs: np.ndarray) -> np.ndarray:
     return np.stack((runs[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])), axis=1)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, part_bytes: int = 16 << 20, sample_bytes: int = 4 << 20, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(texts with doc_id, text, copy) and (doc_id, runs: list of packed byte runs to remove)."""
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, part_bytes: int = 6 << 20, sample_bytes: int = 4 << 20, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(texts with doc_id, text, copy) and (doc_id, runs: packed byte runs to remove)."""
     if gram < 8 or length < gram:
         raise ValueError("gram must be at least 8 bytes and length at least gram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -509,19 +557,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, part_bytes
     keyed = named.select(key, "text").where(F.octet_length("text") >= length)
     found = sampled_ranges(keyed, total, parts, length, gram, sample_bytes, hot_rows)
     ranges = docs.sparkSession.sparkContext.broadcast(found)
-    flags = _shared_anchors(_suffixes(keyed, ranges, length, gram)).join(firsts.select("key", "doc_id"), "key")
+    flags = _shared_anchors(_suffixes(keyed, ranges, length, gram), -(-parts // UNITED)).join(firsts.select("key", "doc_id"), "key")
     flags = materialize(flags.groupBy("doc_id").agg(F.collect_list("f").alias("fs")), "flags")
     # without known strings only flagged texts can have a match; with them every first copy is read again
     first_ids = firsts.where(F.col("n_bytes") >= length).select("doc_id").distinct()
     wanted = first_ids.join(flags, "doc_id", "left" if len(found.shared) else "inner")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "fs")
-    marks = materialize(_marks(_cuts(texts, ranges, length, gram), found.parts, length), "rangemarks")
+    back = -(-parts // UNITED)
+    found_marks = materialize(_marks(_cuts(texts, ranges, length, gram), found.parts, length, back), "rangemarks")
     discard(flags)
-    runs = marks.where("doc_id is not null").select("doc_id", "runs")
+    marks = found_marks.where("marks is not null").select("part", "marks")
     if len(found.hot):
-        runs = runs.unionByName(_across(marks.where("doc_id is null").select("part", "edges"), length))
-    runs = materialize(runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "marks")
-    discard(marks)
+        marks = marks.unionByName(_across(found_marks.where("edges is not null").select("part", "edges"), length, back))
+    runs = materialize(_runs_of(marks), "marks")
+    discard(found_marks)
     copies = docs.select("doc_id", key, check, size).where("doc_id is not null").join(firsts.withColumnRenamed("doc_id", "first"), ["key", "check", "n_bytes"]).where(f"doc_id <> first and n_bytes >= {length}").select("doc_id", F.lit(True).alias("copy"))
     return docs.join(copies.distinct(), "doc_id", "left"), runs
 
@@ -541,7 +590,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
                 if copy.as_py():
                     kept, gone, spans = b"", n, 1
                 elif runs.is_valid:
-                    merged = _merge_runs(np.frombuffer(b"".join(runs.as_py()), "<i8").reshape(-1, 2))
+                    merged = np.frombuffer(runs.as_buffer(), "<i8").reshape(-1, 2)
                     edges = [0, *merged.ravel().tolist(), n]
                     view = memoryview(raw)
                     kept = b"".join(bytes(view[edges[x] : edges[x + 1]]) for x in range(0, len(edges), 2))
