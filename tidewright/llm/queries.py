@@ -31,8 +31,7 @@ def op3_media_copies(spark, sf_dir):
 
 
 def op4_source_mixing(spark, sf_dir):
-    mixed = source_mixing.sample_mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_language").alias("language"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+    return source_mixing.sample_mix(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
 def op5_url_filter(spark, sf_dir):
@@ -90,26 +89,47 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 
-def _op4_sql(rounds: int = 12) -> str:
-    temper = {"source": "0.7e0", "language": "0.8e0", "topic": "0.9e0"}
+def _op4_sql(rounds: int = 30, moves: int = 2) -> str:
+    """Raking as a chain of window sums, far past convergence."""
+    names, kinds = list(source_mixing.SHAPES), range(len(source_mixing.SHAPES))
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    blanks = quoted(" ") + " || chr(9) || chr(10) || chr(13)"
+    shares = ", ".join(f"(length(text) - length(translate(text, {blanks if n == 'blanks' else quoted(c)}, ''))) / greatest(length(text), 1) as s{k}" for k, (n, c) in enumerate(source_mixing.SHAPES.items()))
+
+    def best(scores: list[str]) -> str:
+        return "case " + " ".join(f"when {scores[k]} = greatest({', '.join(scores)}) then '{names[k]}'" for k in kinds) + " end"
+
     parts = [
-        """d as (select doc_id, coalesce(source, '?') as source, coalesce(lang, '?') as language,
- case when contains(coalesce(text, ''), 'License') then 'legal' when contains(coalesce(text, ''), '@') then 'contact' when contains(coalesce(text, ''), ' | ') then 'table' when contains(coalesce(text, ''), '!!') then 'notice' else 'prose' end as topic,
- cast(coalesce(ceil(strlen(text) / 6e0), 0) as bigint) as tokens from documents)""",
-        "c as (select source, language, topic, cast(sum(tokens) as bigint) as tokens, cast(sum(tokens) as double) as fitted from d group by all)",
+        f"d as (select doc_id, coalesce(source, '?') as source, coalesce(lang, '?') as language, cast(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) as bigint) as tokens, {shares} from (select doc_id, source, lang, coalesce(text, '') as text from documents))",
+        "spread as (select " + ", ".join(f"round(avg(s{k}), 9) as m{k}, round(stddev_pop(s{k}), 9) as d{k}" for k in kinds) + " from d)",
+        "z as (select doc_id, source, language, tokens, " + ", ".join(f"case when d{k} > 0 then (s{k} - m{k}) / d{k} else 0e0 end as z{k}" for k in kinds) + " from d, spread)",
+        f"t0 as (select *, {best([f'z{k}' for k in kinds])} as topic from z)",
+    ]
+    for r in range(moves):
+        parts.append(f"c{r} as (select topic, " + ", ".join(f"round(avg(z{k}), 9) as c{k}" for k in kinds) + f" from t{r} group by topic)")
+        wide = ", ".join(f"max(case when topic = '{n}' then c{k} end) as {n}{k}" for n in names for k in kinds)
+        parts.append(f"w{r} as (select {wide} from c{r})")
+        far = [f"coalesce(-({' + '.join(f'pow(z{k} - {n}{k}, 2)' for k in kinds)}), '-infinity'::double)" for n in names]
+        parts.append(f"t{r + 1} as (select z.*, {best(far)} as topic from z, w{r})")
+    parts += [
+        f"c as (select source, language, topic, cast(sum(tokens) as bigint) as tokens, cast(sum(tokens) as double) as fitted from t{moves} group by all)",
         "whole as (select cast(sum(tokens) as double) as everything from c)",
     ]
-    for m, t in temper.items():
-        parts.append(f"p_{m} as (select {m}, pow(sum(tokens) / everything, {t}) as part from c, whole group by {m}, everything)")
+    for m, t in source_mixing.TEMPER.items():
+        parts.append(f"p_{m} as (select {m}, pow(sum(tokens) / everything, {t}e0) as part from c, whole group by {m}, everything)")
         parts.append(f"g_{m} as (select {m}, part / (select sum(part) from p_{m}) * everything as goal from p_{m}, whole)")
     last = "c"
     for k in range(rounds):
-        for m in temper:
-            parts.append(f"{m}_{k} as materialized (select x.* exclude (fitted), case when sum(fitted) over (partition by x.{m}) > 0 then fitted * (goal / sum(fitted) over (partition by x.{m})) else 0 end as fitted from {last} x join g_{m} using ({m}))".replace("x.* exclude (fitted)", "source, language, topic, tokens").replace(f"x.{m}", m))
+        for m in source_mixing.TEMPER:
+            parts.append(f"{m}_{k} as materialized (select source, language, topic, tokens, case when sum(fitted) over (partition by {m}) > 0 then fitted * (goal / sum(fitted) over (partition by {m})) else 0 end as fitted from {last} join g_{m} using ({m}))")
             last = f"{m}_{k}"
     parts.append(f"r as (select *, case when tokens > 0 then fitted / tokens end as rate from {last})")
     parts.append("q as (select source, language, topic, coalesce(least(1e0, rate * (1e0 / max(rate) over ())), 1e0) as probability from r)")
-    return "with " + ",\n".join(parts) + "\nselect doc_id, source, language, topic, tokens, round(probability, 6) as probability, cast(concat('0x', substr(md5(concat('11:', coalesce(cast(doc_id as varchar), ''))), 1, 8)) as bigint) / 4294967296e0 < probability as kept from d join q using (source, language, topic)"
+    kept = "cast(concat('0x', substr(md5(concat('11:', coalesce(cast(doc_id as varchar), ''))), 1, 8)) as bigint) / 4294967296e0 < probability"
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, source, language, topic, t{moves}.tokens, round(probability, 6) as probability, {kept} as kept from t{moves} join q using (source, language, topic)"
 
 
 OP5_SQL = (

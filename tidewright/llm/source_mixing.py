@@ -1,70 +1,144 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-The corpus is summed into cells (source, language, topic) of token counts. Raking scales
+The corpus is summed into cells (source, language, topic) of word counts. Raking scales
 the cells in turn until the token shares of each source, language and topic meet their
 targets; then a document of cell c is kept with probability `pi_c = fitted_c / tokens_c`,
 scaled so that the largest is 1 (or the expected tokens meet `budget`, if that is less).
 Documents are drawn by a hash of doc_id and seed, so a rerun draws the same ones.
 
-Only DataFrame functions run. Cells are one row per combination of three category
-columns, never per document; raking is a chain of window sums over that one small table.
-Targets are share = observed ** temper, normalised (temper 1 keeps the mix, 0 evens it),
-unless given. Null categories are a category of their own; null and empty texts have no
-tokens and follow their cell's probability; a cell without tokens is kept whole.
+Topics are clusters of text shape, learned from the whole corpus: shares of digits, signs,
+capitals and blanks, standardised, start as "the share that stands out most" and move to the
+nearest centre `moves` times. Only the centres (16 numbers) reach the driver.
+
+Only DataFrame functions run. Cells are one row per combination of three category columns;
+each round of raking is three sums by one category each, written and measured: it ends when
+every margin is within `tolerance` of its target, and raises after `most_rounds`. No step
+gathers the cells in one task. Targets are share = observed ** temper, normalised (temper 1
+keeps the mix, 0 evens it). Null categories are a category of their own; null and empty texts
+have no tokens and follow their cell's probability; a cell without tokens is kept whole; rows
+that share a doc_id have one lot; an empty table gives no rows. Columns of any name pass.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import col, discard, free_names, materialize
 
 MARGINS = ("source", "language", "topic")
+#: Words are runs of anything but space, tab, line feed and carriage return.
+WORD = r"[^ \t\n\r]+"
+# The characters whose shares shape a topic, and the topics' names.
+SHAPES = {"digits": string.digits, "signs": string.punctuation, "capitals": string.ascii_uppercase, "blanks": " \t\n\r"}
+TEMPER = {"source": 0.7, "language": 0.8, "topic": 0.9}
+#: Cells are broadcast up to this many rows (about 100 bytes each), else joined by shuffle.
+BROADCAST_CELLS = 100_000
+
 
+def tokens_of(text: Column) -> Column:
+    """Words of the whole text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by plain marks of the text."""
+
+def shape_of(text: Column) -> list[Column]:
+    """Shares of each kind of character."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(text.contains("License"), "legal").when(text.contains("@"), "contact").when(text.contains(" | "), "table").when(text.contains("!!"), "notice").otherwise("prose")
+    n = F.length(text)
+    return [(n - F.length(F.translate(text, chars, ""))) / F.greatest(n, F.lit(1)) for chars in SHAPES.values()]
 
 
-def tokens_of(text: Column) -> Column:
-    """Tokens as a share of the bytes, at 6 bytes a token; cheap and the same in any engine."""
-    return F.coalesce(F.ceil(F.octet_length(text) / F.lit(6)), F.lit(0)).cast("long")
+def _standard(shares: list[Column], spread: list[tuple[float, float]]) -> list[Column]:
+    return [(x - F.lit(m)) / F.lit(s) if s > 0 else F.lit(0.0) for x, (m, s) in zip(shares, spread, strict=True)]
+
+
+def _first_best(scores: list[Column]) -> Column:
+    """Name of the shape with the largest score; the first of equals."""
+    top = F.greatest(*scores)
+    out = F.lit(list(SHAPES)[-1])
+    for name, x in list(zip(SHAPES, scores, strict=True))[-2::-1]:
+        out = F.when(x == top, name).otherwise(out)
+    return out
+
+
+def topic_of(text: Column, centres: dict) -> Column:
+    """The topic of a text under learned centres."""
+    z = _standard(shape_of(text), centres["spread"])
+    return _nearest(z, centres["at"]) if centres["at"] else _first_best(z)
+
 
+def _nearest(z: list[Column], at: dict[str, list[float]]) -> Column:
+    far = [-sum((x - F.lit(c)) ** 2 for x, c in zip(z, at[name], strict=True)) if name in at else F.lit(float("-inf")) for name in SHAPES]
+    return _first_best(far)
 
-def cell_columns(docs: DataFrame) -> DataFrame:
+
+def learn_topics(shapes: DataFrame, moves: int = 2) -> dict:
+    """Centres of topics over shapes(s0, s1, s2, s3), one row a document."""
+    names = [f"s{k}" for k in range(len(SHAPES))]
+    got = shapes.agg(*[F.round(f(n), 9).alias(f"{a}{n}") for n in names for a, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
+    spread = [(got[f"m{n}"] or 0.0, got[f"d{n}"] or 0.0) for n in names]
+    z = _standard([F.col(n) for n in names], spread)
+    topic, at = _first_best(z), {}
+    for _ in range(moves):
+        rows = shapes.groupBy(topic.alias("topic")).agg(*[F.round(F.avg(x), 9).alias(f"c{k}") for k, x in enumerate(z)]).collect()
+        at = {r["topic"]: [r[f"c{k}"] for k in range(len(z))] for r in rows}
+        topic = _nearest(z, at)
+    return {"spread": spread, "at": at}
+
+
+def _category(name: str) -> Column:
+    return F.coalesce(col(name).cast("string"), F.lit("?"))
+
+
+def fit_cells(docs: DataFrame, temper: dict[str, float] | None = None, tolerance: float = 1e-9, most_rounds: int = 200, budget: float | None = None) -> tuple[DataFrame, dict]:
+    """Cells (source, language, topic, tokens, n_docs, fitted, probability), and the centres of the topics."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("?")), "_language": F.coalesce(F.col("lang").cast("string"), F.lit("?")), "_topic": topic_of(text), "_tokens": tokens_of(text)})
+    shapes = [x.alias(f"s{k}") for k, x in enumerate(shape_of(text))]
+    base = materialize(docs.select(_category("source").alias("source"), _category("lang").alias("language"), tokens_of(text).alias("tokens"), *shapes), "shapes")
+    centres = learn_topics(base.select("s0", "s1", "s2", "s3"))
+    z = _standard([F.col(f"s{k}") for k in range(len(SHAPES))], centres["spread"])
+    topic = _nearest(z, centres["at"]) if centres["at"] else _first_best(z)
+    cells = materialize(base.groupBy("source", "language", topic.alias("topic")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
+    discard(base)
+    cells = rake(cells, TEMPER | (temper or {}), tolerance, most_rounds)
+    rate = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))
+    sums = cells.agg(F.max(rate).alias("top"), F.sum("fitted").alias("all")).first()
+    scale = 1.0 / sums["top"] if sums["top"] else 1.0
+    if budget is not None and sums["all"]:
+        scale = min(scale, budget / sums["all"])
+    return cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), rate * F.lit(scale)), F.lit(1.0))), centres
 
 
-def fit_cells(docs: DataFrame, temper: dict[str, float] | None = None, rounds: int = 12, budget: float | None = None) -> DataFrame:
-    """(source, language, topic, tokens, n_docs, fitted, probability), one row a cell."""
-    temper = {"source": 0.7, "language": 0.8, "topic": 0.9} | (temper or {})
-    cells = cell_columns(docs).groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
-    cells = materialize(cells, "cells").coalesce(1)  # a contingency table: as many rows as category combinations
-    cells = cells.withColumn("one", F.lit(1))
-    whole = Window.partitionBy("one")
-    cells = cells.withColumn("fitted", F.col("tokens").cast("double")).withColumn("all", F.sum("tokens").over(whole).cast("double"))
+def rake(cells: DataFrame, temper: dict[str, float], tolerance: float, most_rounds: int) -> DataFrame:
+    """cells(source, language, topic, tokens, n_docs) with fitted token weights whose margins meet their targets."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {}
     for m in MARGINS:
-        own = Window.partitionBy("one", m)
-        share = F.coalesce(F.try_divide(F.sum("tokens").over(own).cast("double"), F.col("all")), F.lit(0.0))
-        cells = cells.withColumn(f"part_{m}", F.pow(share, F.lit(temper[m])))
-        first = F.row_number().over(own.orderBy(*MARGINS)) == 1
-        cells = cells.withColumn("lead", F.when(first, F.col(f"part_{m}")).otherwise(0.0))
-        cells = cells.withColumn(f"goal_{m}", F.try_divide(F.col(f"part_{m}"), F.sum("lead").over(whole)) * F.col("all"))
-    for _ in range(rounds):
+        part = F.pow(F.sum("tokens").cast("double") / F.lit(total or 1.0), F.lit(temper[m]))
+        parts = materialize(cells.groupBy(m).agg(part.alias("part")), f"goal-{m}")
+        whole = parts.agg(F.sum("part")).first()[0] or 1.0
+        goals[m] = parts.select(m, (F.col("part") / F.lit(whole) * F.lit(total)).alias("goal"))
+    cells = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    for done in range(most_rounds):
         for m in MARGINS:
-            now = F.sum("fitted").over(Window.partitionBy("one", m))
-            cells = cells.withColumn("fitted", F.when(now > 0, F.col("fitted") * F.try_divide(F.col(f"goal_{m}"), now)).otherwise(0.0))
-    rate = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))
-    cells = cells.withColumn("rate", rate)
-    scale = F.try_divide(F.lit(1.0), F.max("rate").over(whole))
-    if budget is not None:
-        scale = F.least(scale, F.try_divide(F.lit(float(budget)), F.sum("fitted").over(whole)))
-    cells = cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.col("rate") * scale), F.lit(1.0)))
-    return cells.select(*MARGINS, "tokens", "n_docs", "fitted", "probability")
+            now = F.sum("fitted").over(Window.partitionBy(m))
+            scaled = cells.join(goals[m], m).withColumn("now", now)
+            cells = scaled.withColumn("fitted", F.when(F.col("now") > 0, F.col("fitted") * (F.col("goal") / F.col("now"))).otherwise(0.0)).drop("goal", "now")
+        before, cells = cells, materialize(cells.select(*MARGINS, "tokens", "n_docs", "fitted"), "raked")
+        if total == 0 or _off(cells, goals) <= tolerance * total:
+            return cells
+    raise RuntimeError(f"raking is still further than {tolerance} from its targets after {most_rounds} rounds; some targets exclude each other")
+
+
+def _off(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest distance of any margin from its target, in tokens."""
+    gaps = None
+    for m in MARGINS:
+        one = cells.groupBy(m).agg(F.sum("fitted").alias("now")).join(goals[m], m).select(F.abs(F.col("now") - F.col("goal")).alias("gap"))
+        gaps = one if gaps is None else gaps.unionAll(one)
+    return float(gaps.agg(F.max("gap")).first()[0] or 0.0)
 
 
 def lot(key: Column, seed: int) -> Column:
@@ -73,14 +147,25 @@ def lot(key: Column, seed: int) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def sample_mix(docs: DataFrame, seed: int = 11, most_cells: int = 100_000, **options) -> DataFrame:
-    """docs with _probability, _tokens and _kept; cells are broadcast up to most_cells rows, joined by shuffle beyond."""
-    cells = materialize(fit_cells(docs, **options).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_probability")), "mix")
-    cells = F.broadcast(cells) if cells.count() <= most_cells else cells
-    marked = cell_columns(docs).join(cells, [f"_{m}" for m in MARGINS], "left")
-    return marked.withColumn("_kept", lot(F.col("doc_id"), seed) < F.col("_probability"))
+def _drawn(docs: DataFrame, seed: int, options: dict) -> tuple[DataFrame, dict[str, str], dict]:
+    """docs with columns of free names for source, language, topic, probability and kept."""
+    cells, centres = fit_cells(docs, **options)
+    free = dict(zip((*MARGINS, "probability", "kept"), free_names(docs.columns, *MARGINS, "probability", "kept"), strict=True))
+    cells = materialize(cells.select(*[F.col(m).alias(free[m]) for m in (*MARGINS, "probability")]), "mix")
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    marked = docs.withColumns({free["source"]: _category("source"), free["language"]: _category("lang"), free["topic"]: topic_of(F.col("text").cast("string"), centres)})
+    marked = marked.join(cells, [free[m] for m in MARGINS], "left")
+    return marked.withColumn(free["kept"], lot(F.col("doc_id"), seed) < col(free["probability"])), free, centres
+
+
+def sample_mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
+    """Per row of docs: doc_id, source, language, topic, tokens, probability, kept."""
+    marked, free, _ = _drawn(docs, seed, options)
+    named = {m: col(free[m]) for m in MARGINS} | {"tokens": tokens_of(F.col("text").cast("string")), "probability": col(free["probability"]), "kept": col(free["kept"])}
+    return marked.select("doc_id", *[x.alias(n) for n, x in named.items()])
 
 
 def keep_sample(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """The drawn rows of docs, columns untouched."""
-    return sample_mix(docs, seed, **options).where("_kept").select(docs.columns)
+    marked, free, _ = _drawn(docs, seed, options)
+    return marked.where(col(free["kept"])).select([col(c) for c in docs.columns])
