@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _arrays as A
 from ._arrays import U
-from ._shared import materialize
+from ._shared import col, free_names, materialize
 
 #: Candidate lines are picked on the scan side up to this many keys (8 bytes each), else by a shuffled join.
 BROADCAST_KEYS = 1_000_000
@@ -220,7 +220,7 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
         return pa.table({"a": pa.array(np.ascontiguousarray(pair["a"]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pair["b"]).view(np.int64))})
 
     packed = docs.select("text").mapInArrow(pack, "part int, sig binary, each binary, keys binary, counts binary")
-    return packed.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return packed.groupBy("part").applyInArrow(A.trimmed(meet), "a long, b long").distinct()
 
 
 def near_lines(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) -> DataFrame:
@@ -228,7 +228,7 @@ def near_lines(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) -> D
     pairs = materialize(_candidates(docs, max_edits, min_bytes, parts), "linepairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "linekeys")
     few = wanted.count() <= BROADCAST_KEYS
-    keys = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in wanted.collect()], np.int64))) if few else None
+    keys = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("key").to_numpy())) if few else None
 
     def read(batches):
         for b in batches:
@@ -284,8 +284,11 @@ def line_dedup_counts(docs: DataFrame, **options) -> DataFrame:
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated lines cut out of the text; other columns untouched."""
-    _, gone = line_report(docs, **options)
-    marks = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    left = F.expr("array_join(filter(split(text, '\\n', -1), (w, i) -> not array_contains(_gone, cast(i as bigint))), '\\n')")
-    joined = docs.join(marks, docs.doc_id == marks._id, "left")
-    return joined.select(*[(F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns])
+    _, lost = line_report(docs, **options)
+    key, gone = free_names(docs.columns, "key", "gone")
+    marks = lost.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
+    text = F.col("text").cast("string")
+    left = F.filter(F.split(text, "\n", -1), lambda w, i: ~F.array_contains(col(gone), i.cast("long")))
+    cut = F.when(col(gone).isNotNull(), F.array_join(left, "\n")).otherwise(text)
+    joined = docs.join(marks, F.col("doc_id").cast("long") == col(key), "left")
+    return joined.select(*[cut.alias(c) if c == "text" else col(c) for c in docs.columns])

@@ -134,7 +134,7 @@ def frequent_shingles(docs: DataFrame, shingle: int, bitmap_bits: int, rare_docu
         often = total > max(rare_documents, 2 * float(np.median(total)))
         return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary())})
 
-    got = docs.select("text").mapInArrow(count, "range int, wide int, step binary, n binary").groupBy("range").applyInArrow(merge, "range int, bits binary").collect()
+    got = docs.select("text").mapInArrow(count, "range int, wide int, step binary, n binary").groupBy("range").applyInArrow(A.trimmed(merge), "range int, bits binary").collect()
     out = bytearray((1 << bitmap_bits) // 8)
     for r in got:
         out[r["range"] * per // 8 : (r["range"] + 1) * per // 8] = r["bits"]
@@ -282,7 +282,7 @@ def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap:
         return pa.table({"kind": pa.array(kind.astype(np.int32)), "sig": pa.array(np.where(kind == 2, sig[rows], U(0)).view(np.int64)), "hub": pa.array(key[head[rows]].view(np.int64)), "hub_n": pa.array(n[head[rows]].astype(np.int64)), "key": pa.array(key[rows].view(np.int64)), "n": pa.array(n[rows].astype(np.int64))})
 
     packed = docs.select("text").mapInArrow(pack, "part int, sig binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("part").applyInArrow(find, "kind int, sig long, hub long, hub_n long, key long, n long")
+    return packed.groupBy("part").applyInArrow(A.trimmed(find), "kind int, sig long, hub long, hub_n long, key long, n long")
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -397,7 +397,7 @@ def _sketched(left: DataFrame, sketches: DataFrame, num: int, den: int, block_by
         cat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
         return pa.table({"a": pa.array(cat[0]), "b": pa.array(cat[1])})
 
-    return dealt.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("hub", "i", "j").applyInArrow(A.trimmed(compare), "a long, b long").distinct()
 
 
 def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, block_tokens: int = 600_000) -> DataFrame:
@@ -463,7 +463,7 @@ def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
                 b.append(int(col["id"][y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("hub", "i", "j").applyInArrow(A.trimmed(compare), "a long, b long").distinct()
 
 
 def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, part_bytes: int = 64 << 20) -> DataFrame:

@@ -8,7 +8,8 @@ characters together, then host) decides; block beats allow among equals.
 
 Rules are broadcast while they are at most `broadcast_rules`; beyond, the join shuffles.
 A null url or one without "://" has an empty host and path and no rule. Null or empty
-rule hosts, null paths and repeated rules are ignored. Extra columns are ignored.
+rule hosts, null paths and repeated rules are ignored; so are extra columns. Repeated rows
+get a verdict each; an empty table, of pages or rules, is no exception.
 """
 
 from __future__ import annotations
@@ -51,4 +52,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", pre
     met = said.join(few, "short").where("seen = digest")
     best = F.max(F.struct(F.length("rule").alias("length"), "host_length", (F.col("verdict") == "block").alias("block"), "rule", "verdict"))
     judged = met.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
-    return parsed.join(judged, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # urls without a host match nothing; they would all meet in one task
+    none = F.lit(None).cast("string")
+    out = parsed.where("host <> ''").join(judged, ["host", "path"], "left").select("page_id", "host", "path", "rule", "verdict")
+    out = out.unionByName(parsed.where("host = ''").select("page_id", "host", "path", none.alias("rule"), none.alias("verdict")))
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
