@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontamination, html_extraction, line_dedup, media_copies, ngram_jaccard_join, quality_classifier, sharding, source_mixing, suffix_dedup, url_filter
+from tidewright.llm import decontamination, html_extraction, line_dedup, media_copies, ngram_jaccard_join, quality_classifier, queries, sharding, source_mixing, suffix_dedup, url_filter
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 DOC = "doc_id long, text string, lang string, source string, n string"
@@ -98,7 +98,7 @@ def test_contamination_equals_brute_force(spark):
         part = rng.choice(items)[1] or ""
         cut = part.split(" ")[rng.randint(0, 2) :]
         rows.append((i, filler + " -- " + " ".join(cut).upper().translate(str.maketrans("É", "É")) + "! " + filler))
-    rows += ODD[:-2]
+    rows += [x for x in ODD if x[0] is not None]
     grams = collections.defaultdict(set)
     for i, t in items:
         w = words_of(t)
@@ -119,6 +119,27 @@ def test_contamination_equals_brute_force(spark):
         assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
         flagged += r["contaminated"]
     assert flagged > 3
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hidden = [(None, rows[k][1]) for k in range(40)] + [rows[5]] * 2
+    table = docs(spark, rows + hidden).withColumns({"n_hit": F.lit(1), "H1": F.lit("x"), "hit_words": F.lit(2), "goes.by": F.lit(3)})
+    clean = decontamination.remove_contaminated(table, bench)
+    assert clean.columns == table.columns
+    want = [t for i, t in rows + hidden if not (set_of := hits_of(t, grams)) or 20 * len(set_of) < len(words_of(t))]
+    assert collections.Counter(r["text"] for r in clean.collect()) == collections.Counter(want)
+    cut = decontamination.remove_hit_spans(table, bench)
+    pieces = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)
+    spans = [t if not (h := hits_of(t, grams)) else " ".join(w for k, w in enumerate(pieces(t)) if k not in h) for _, t in rows + hidden]
+    assert cut.columns == table.columns and collections.Counter(r["text"] for r in cut.collect()) == collections.Counter(spans)
+    assert decontamination.remove_contaminated(table.limit(0), bench).count() == 0
+
+
+def hits_of(t, grams):
+    w, hit = words_of(t), set()
+    for n in {len(g) for g in grams}:
+        for j in range(len(w) - n + 1):
+            if tuple(w[j : j + n]) in grams:
+                hit |= set(range(j, j + n))
+    return hit
 
 
 def test_shards_partition_and_grow_by_key(spark):
@@ -135,19 +156,28 @@ def test_shards_partition_and_grow_by_key(spark):
 
 def test_raking_meets_targets(spark):
     rng = random.Random(1)
-    rows = [(i, "x" * rng.randint(50, 500) + rng.choice(["", "!!", "@"]), rng.choice(["en", "en", "de"]), rng.choice("aaab"), None) for i in range(400)]
-    cells = source_mixing.fit_cells(spark.createDataFrame(rows, DOC), rounds=40).collect()
+    rows = [(i, " ".join(rng.choice(["word", "and", "X", "7!", "??"]) for _ in range(rng.randint(0, 90))), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "b", None]), None) for i in range(400)] + [(900, None, "en", "a", None), (None, "", None, "b", None), (3, "again", "en", "a", None)]
+    table = spark.createDataFrame(rows, DOC)
+    cells = source_mixing.fit_cells(table)[0].collect()
+    total = sum(c["tokens"] for c in cells)
+    assert total == sum(len((t or "").split()) for _, t, *_ in rows) and len({c["topic"] for c in cells}) > 1
     for m in source_mixing.MARGINS:
-        t = {"source": 0.7, "language": 0.8, "topic": 0.9}[m]
-        total = sum(c["tokens"] for c in cells)
         seen, fitted = collections.Counter(), collections.Counter()
         for c in cells:
             seen[c[m]] += c["tokens"]
             fitted[c[m]] += c["fitted"]
-        goal = {k: (v / total) ** t for k, v in seen.items()}
+        goal = {k: (v / total) ** source_mixing.TEMPER[m] for k, v in seen.items()}
         for k in goal:
-            assert fitted[k] == pytest.approx(goal[k] / sum(goal.values()) * total, rel=1e-6)
+            assert fitted[k] == pytest.approx(goal[k] / sum(goal.values()) * total, abs=1e-8 * total)
     assert max(c["probability"] for c in cells) == pytest.approx(1)
+    drawn = source_mixing.sample_mix(table).collect()
+    lot = lambda i: int(hashlib.md5(f"11:{'' if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
+    assert len(drawn) == len(rows) and all(r["kept"] == (lot(r["doc_id"]) < r["probability"]) for r in drawn)
+    odd = table.withColumn("kept", F.lit(7)).withColumn("Probability", F.lit("p")).withColumn("topic", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = source_mixing.keep_sample(odd)
+    assert out.columns == odd.columns and {(r["kept"], r["Probability"], r["topic"], r["a.b"]) for r in out.collect()} == {(7, "p", 1, 2)}
+    assert sorted(r["doc_id"] or -1 for r in out.collect()) == sorted(r["doc_id"] or -1 for r in drawn if r["kept"])
+    assert source_mixing.fit_cells(table, budget=50.0)[0].agg(F.sum(F.col("probability") * F.col("tokens"))).first()[0] <= 50.0001
 
 
 def test_url_rules(spark):
@@ -431,15 +461,126 @@ def test_html_learns_weights_and_finds_unmarked_text(spark):
     assert html_extraction.extract_main_text(table.limit(0)).count() == 0
 
 
-def test_pipeline_on_test_data(spark):
-    """Each stage against a plain version of its rule on the smallest table."""
+def test_removed_lines_leave_the_others_and_every_column(spark):
+    rows = [(1, "one line that is long enough to be taken, by all means, truly\nb\n"), (2, "b\none line that is long enough to be taken, by any means, truly"), (3, None), (None, "b"), (4, "")]
+    table = docs(spark, rows).withColumns({"_gone": F.lit(1), "key": F.lit("k"), "a.b": F.lit(0)})
+    out = line_dedup.remove_lines(table, max_edits=3, min_bytes=0)
+    assert out.columns == table.columns
+    got = {r["doc_id"]: (r["text"], r["_gone"], r["key"]) for r in out.collect()}
+    # lines of at most three bytes are all near each other; the first of them stands in document 1
+    assert got == {1: (rows[0][1][:-1], 1, "k"), 2: ("", 1, "k"), 3: (None, 1, "k"), None: ("b", 1, "k"), 4: ("", 1, "k")}
+
+
+def test_shards_are_the_same_on_any_layout_and_files_hold_them(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "t" * rng.randint(0, 400)) for i in range(300)] + [(7, "twice")] * 9 + [(None, None)] * 4 + [(5, "x" * 300_000)]
+    table = docs(spark, rows).withColumns({"row": F.lit(1), "place": F.lit(2), "_id": F.lit(3), "a.b": F.lit(4)}).repartition(5)
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for parts, adaptive in (("4", "true"), ("1", "false"), ("9", "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            for deal in (sharding.assign_shards, sharding.shard_documents):
+                out = deal(table, bucket_bytes=8 << 10, most_copies=4)
+                seen.append(sorted((r["shard"], r["slot"], r["doc_id"] or -1) for r in out.select("shard", "slot", "doc_id").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert all(x == seen[0] for x in seen) and len(seen[0]) == len(rows)
+    path = str(tmp_path / "shards")
+    sharding.write_shards(table, path, bucket_bytes=8 << 10, most_copies=4)
+    back = spark.read.parquet(path)
+    assert sorted((r["shard"], r["slot"], r["doc_id"] or -1) for r in back.select("shard", "slot", "doc_id").collect()) == seen[0]
+    assert set(table.columns) <= set(back.columns) and sharding.shard_documents(table.limit(0)).count() == 0
+    for f in back.select(F.input_file_name().alias("f")).distinct().collect():
+        slots = [r["slot"] for r in spark.read.parquet(f["f"]).collect()]
+        assert slots == sorted(slots)
+
+
+def test_one_of_each_group_stays_beside_any_columns(spark):
+    rows = near_copies(copies=20)
+    table = docs(spark, rows).withColumns({"goes": F.lit(1), "rows": F.lit("r"), "Key": F.lit(2), "a.b": F.lit(3)})
+    out = ngram_jaccard_join.keep_one_per_group(table, bitmap_bits=16)
+    groups = brute_groups(rows, 5, 8, 10)
+    assert out.columns == table.columns
+    assert sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == sorted(i for i, (_, c) in groups.items() if c == i)
+    assert {(r["goes"], r["rows"], r["Key"]) for r in out.collect()} == {(1, "r", 2)} and ngram_jaccard_join.keep_one_per_group(table.limit(0), bitmap_bits=16).count() == 0
+
+
+def test_quality_edges(spark):
+    rows = [(i, ("gut und schön. " * 9) if i % 2 else "#!% " * 9) for i in range(80)] + ODD + [(3, "again")]
+    table = docs(spark, rows).withColumns({"score": F.lit(1), "quality": F.lit("q")})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, None, None)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(table, labels)
+    scores = [r["score"] for r in quality_classifier.score(table, model).collect()]
+    assert len(scores) == len(rows) and all(0 <= x <= 1 for x in scores)
+    kept = quality_classifier.keep_good(table, model)
+    assert kept.columns == table.columns and kept.where("doc_id between 60 and 79 and doc_id % 2 = 0").count() == 0 and kept.where("doc_id between 60 and 79").count() == 10
+    assert quality_classifier.score(table.limit(0), model).count() == 0 and quality_classifier.keep_good(table.limit(0), model).count() == 0
+    none = quality_classifier.train(table.limit(0), labels)
+    assert {r["score"] for r in quality_classifier.score(table, none).collect()} == {0.5}
+
+
+def test_each_pipeline_stage_equals_a_plain_version(spark):
+    """Quality against the scores, near duplicates and benchmark against brute force, mixing against raking in numpy, shards against the slots."""
     import corpus_pipeline as p
 
     sf = "/root/testdata/sf0.001"
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    read = lambda found, like: spark.createDataFrame(found, like.schema)
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    good = p.quality(spark, d, sf)
-    one = p.near_duplicates(spark, good, sf)
-    want = brute_groups([(r["doc_id"], r["text"]) for r in good.collect()], 5, 8, 10)
-    assert sorted(r["doc_id"] for r in one.select("doc_id").collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+    good = rows(p.quality(spark, d, sf))
+    scores = {r["doc_id"]: r["score"] for r in queries.op9_quality(spark, sf).collect()}
+    assert sorted(r[0] for r in good) == sorted(i for i, s in scores.items() if s >= 0.5)
+    one = rows(p.near_duplicates(spark, read(good, d), sf))
+    want = brute_groups([(r[0], r[1]) for r in good], 5, 8, 10)
+    assert sorted(r[0] for r in one) == sorted(i for i, (_, c) in want.items() if c == i)
+    grams = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words_of(r["text"])
+        n = min(13, len(w))
+        grams |= {tuple(w[j : j + n]) for j in range(len(w) - n + 1 if w else 0)}
+    free = rows(p.benchmark_free(spark, read(one, d), sf))
+    clean = [r for r in one if not (h := hits_of(r[1], grams)) or 20 * len(h) < len(words_of(r[1]))]
+    assert sorted(map(str, free)) == sorted(map(str, clean)) and 0 < len(clean) < len(good)
+    kept = rows(p.mixed(spark, read(free, d), sf))
+    drawn = {r["doc_id"]: r for r in source_mixing.sample_mix(read(free, d)).collect()}
+    fitted, total = collections.Counter(), 0
+    for r in drawn.values():
+        fitted[r["source"], r["language"], r["topic"]] += r["tokens"]
+        total += r["tokens"]
+    tokens, goals = dict(fitted), []
+    for k, m in enumerate(source_mixing.MARGINS):
+        part = collections.Counter()
+        for c, n in tokens.items():
+            part[c[k]] += n / total
+        part = {v: x ** source_mixing.TEMPER[m] for v, x in part.items()}
+        goals.append({v: x / sum(part.values()) * total for v, x in part.items()})
+    for _ in range(60):
+        for k, goal in enumerate(goals):
+            now = collections.Counter()
+            for c, x in fitted.items():
+                now[c[k]] += x
+            for c in fitted:
+                fitted[c] *= goal[c[k]] / now[c[k]] if now[c[k]] else 0
+    top = max(fitted[c] / n for c, n in tokens.items() if n)
+    chance = lambda r: (lambda c: fitted[c] / tokens[c] / top if tokens[c] else 1.0)((r["source"], r["language"], r["topic"]))
+    lot = lambda i: int(hashlib.md5(f"11:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    assert sorted(r[0] for r in kept) == sorted(i for i, r in drawn.items() if lot(i) < chance(r))
+    last = p.shards(spark, read(kept, d), sf).collect()
+    slots = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.assign_shards(read(kept, d)).collect()}
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in last} == slots and sorted(str(tuple(r)[:5]) for r in last) == sorted(str(r[:5]) for r in kept)
+
+
+def test_pipeline_runs_and_takes_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
     out = p.run(spark, sf)
-    assert out.count() <= one.count() and {"shard", "slot", "text"} <= set(out.columns)
+    assert out.count() > 20 and {"shard", "slot", "bucket", "text", "lang"} <= set(out.columns)
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        out = stage(spark, docs_, sf)
+        docs_ = spark.createDataFrame(out.collect(), out.schema)
+    assert docs_.count() == 0
