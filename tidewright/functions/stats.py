@@ -126,6 +126,24 @@ def moments(returns: DataFrame, by: list[str]) -> DataFrame:
     return c.select(*by, "n", F.when(fine, F.try_divide(F.col("_m"), F.col("_sd"))).alias("ratio"), F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5))).alias("skew"), F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")).alias("kurtosis"))
 
 
+def moments_of_summary() -> list[Column]:
+    """The columns of moments from a run's summary."""
+    fine = (F.col("n_returns") >= 2) & (F.col("sd") > 1e-12 * F.greatest(F.abs("mean"), F.lit(1e-12)))
+    return [F.col("n_returns").alias("n"), F.when(fine, F.try_divide(F.col("mean"), F.col("sd"))).alias("ratio"), F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5))).alias("skew"), F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")).alias("kurtosis")]
+
+
+def metrics_of_summary(bars_per_year: float = 252) -> list[Column]:
+    """The metrics of a run's summary, costs included."""
+    first, last, n, year = F.col("first"), F.col("last"), F.col("n_returns"), F.lit(float(bars_per_year))
+    total = F.when((n < 1) | (first == 0), 0.0).otherwise(F.try_divide(last, first) - 1)
+    annual = F.when((n < 1) | (first <= 0) | (last <= 0), 0.0).otherwise(F.pow(F.try_divide(last, first), F.try_divide(year, n)) - 1)
+    return [
+        F.coalesce(sharpe_of(F.col("mean"), F.col("sd"), n, bars_per_year), F.lit(0.0)).alias("sharpe"), total.alias("total_return"), annual.alias("annual_return"),
+        F.coalesce(F.col("sd") * F.sqrt(year), F.lit(0.0)).alias("annual_volatility"), F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), "mean_equity",
+        turnover(F.col("notional"), F.col("mean_equity"), n, bars_per_year).alias("turnover"), "n_trades", "commission", "slippage", "notional", n.alias("n_returns"),
+    ]
+
+
 def probabilistic_sharpe(returns: DataFrame, by: list[str], benchmark: str = "0e0") -> DataFrame:
     """Probability that the true ratio per bar beats the benchmark (an SQL expression per group)."""
     m = moments(returns, by)
@@ -155,8 +173,13 @@ def expected_max_sharpe(n_trials: int, variance: float) -> float:
 
 def deflated_sharpe(returns: DataFrame, trials: DataFrame, by: list[str], bars_per_year: float = 252) -> DataFrame:
     """Probabilistic ratio against the expected maximum of trials(by, sharpe), as (by, dsr)."""
+    return deflated_of_moments(moments(returns, by), trials, by, bars_per_year)
+
+
+def deflated_of_moments(moments_of: DataFrame, trials: DataFrame, by: list[str], bars_per_year: float = 252) -> DataFrame:
+    """The same from moments(by, n, ratio, skew, kurtosis)."""
     t = trials.groupBy(*by).agg(F.count("sharpe").cast("double").alias("_k"), F.var_samp(F.col("sharpe") / F.sqrt(F.lit(float(bars_per_year)))).alias("_v")).withColumn("_v", F.coalesce("_v", F.lit(0.0))).withColumn("bar", expected_max("_k", "_v"))
-    m = moments(returns, by).join(t, by)
+    m = moments_of.join(t, by)
     spread = "(1e0 - skew * ratio + (kurtosis - 1e0) / 4e0 * ratio * ratio)"
     z = m.withColumn("_z", F.expr(f"case when n >= 3 and ratio is not null and {spread} > 0e0 then (ratio - bar) * sqrt(n - 1e0) / sqrt({spread}) end"))
     return z.select(*by, "bar", F.coalesce(normal_cdf("_z"), F.lit(0.5)).alias("dsr"))
