@@ -93,17 +93,13 @@ def _op4_sql(rounds: int = 30, moves: int = 2) -> str:
     """Raking as a chain of window sums, far past convergence."""
     names, kinds = list(source_mixing.SHAPES), range(len(source_mixing.SHAPES))
 
-    def quoted(text: str) -> str:
-        return "'" + text.replace("'", "''") + "'"
-
-    blanks = quoted(" ") + " || chr(9) || chr(10) || chr(13)"
-    shares = ", ".join(f"(length(text) - length(translate(text, {blanks if n == 'blanks' else quoted(c)}, ''))) / greatest(length(text), 1) as s{k}" for k, (n, c) in enumerate(source_mixing.SHAPES.items()))
+    shares = ", ".join(f"(length(text) - length(regexp_replace(text, '{p}', '', 'g'))) / greatest(length(text), 1) as s{k}" for k, p in enumerate(source_mixing.SHAPES.values()))
 
     def best(scores: list[str]) -> str:
         return "case " + " ".join(f"when {scores[k]} = greatest({', '.join(scores)}) then '{names[k]}'" for k in kinds) + " end"
 
     parts = [
-        f"d as (select doc_id, coalesce(source, '?') as source, coalesce(lang, '?') as language, cast(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) as bigint) as tokens, {shares} from (select doc_id, source, lang, coalesce(text, '') as text from documents))",
+        f"d as (select doc_id, coalesce(source, '?') as source, coalesce(lang, '?') as language, cast(case when text = '' then 0 else length(text) - length(regexp_replace(text, '{source_mixing.SHAPES["blanks"]}', '', 'g')) + 1 end as bigint) as tokens, {shares} from (select doc_id, source, lang, coalesce(text, '') as text from documents))",
         "spread as (select " + ", ".join(f"round(avg(s{k}), 9) as m{k}, round(stddev_pop(s{k}), 9) as d{k}" for k in kinds) + " from d)",
         "z as (select doc_id, source, language, tokens, " + ", ".join(f"case when d{k} > 0 then (s{k} - m{k}) / d{k} else 0e0 end as z{k}" for k in kinds) + " from d, spread)",
         f"t0 as (select *, {best([f'z{k}' for k in kinds])} as topic from z)",
