@@ -5,8 +5,9 @@ bad): the logistic loss of the difference of their scores is minimised over a li
 function of the feature difference. A quantile of the training scores, the one that
 separates the labels best, becomes the threshold and maps to 0.5.
 
-Features are ratios over the whole text (symbols, capitals, repeated words, repeated
-lines, word lengths ...); labels, language, source and doc_id are no inputs.
+Features are ratios over the whole text (signs, capitals, repeated words, repeated lines,
+word lengths ...) and the shares of its words and pairs of bytes in hashed buckets; labels,
+language, source and doc_id are no inputs.
 The model is fitted on at most `most_rows` labelled rows, a documented bound (the rows
 with the smallest hash of doc_id); every document is scored. Null and empty texts get
 the features of an empty text. Labels that are null or for absent documents are ignored;
@@ -31,9 +32,12 @@ _DIGIT = A.byte_class((48, 57))
 _STOP = A.byte_class((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
 _BANG = A.byte_class((0x21, 0x21))
 _BAR = A.byte_class((0x7C, 0x7C))
-_ODD = A.byte_class((0x23, 0x26), (0x2A, 0x2B), (0x3C, 0x3E), (0x40, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E))
+_SIGN = A.byte_class((33, 47), (58, 64), (91, 96), (123, 126))
 _LINE = ~A.byte_class((0x0A, 0x0A))
-FEATURES = ("upper", "odd", "bang", "bar", "digit", "stop", "alpha", "length", "word length", "new words", "echo", "new lines", "line length", "empty")
+_PAIRS = np.arange(1 << 16, dtype=np.uint64)
+#: Buckets of hashed words and of hashed pairs of bytes.
+HASHED = 32
+FEATURES = ("upper", "signs", "bang", "bar", "digit", "stop", "alpha", "length", "word length", "new words", "echo", "new lines", "line length", "empty", *(f"word {k}" for k in range(HASHED)), *(f"pair {k}" for k in range(HASHED)))
 
 
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -56,15 +60,21 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         fresh = np.bincount(key, minlength=n) / np.maximum(count, 1)
         length = np.bincount(row, weights=end - start, minlength=n) / np.maximum(count, 1)
         same = row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]
-        return count, fresh, length, np.bincount(same, minlength=n) / np.maximum(count, 1)
-
-    count, fresh, length, echo = runs(~_SPACE)
-    lines, new_lines, line_length, _ = runs(_LINE)
+        return count, fresh, length, np.bincount(same, minlength=n) / np.maximum(count, 1), (row, h)
+
+    count, fresh, length, echo, (row, h) = runs(~_SPACE)
+    lines, new_lines, line_length, _, _ = runs(_LINE)
+    words = np.bincount(row * HASHED + (h % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
+    pair = (A.mix(_PAIRS)[low[:-1].astype(np.int64) << 8 | low[1:]] % np.uint64(HASHED)).astype(np.int64) if len(low) > 1 else np.zeros(0, np.int64)
+    inside = np.repeat(np.arange(n), np.diff(off))
+    whole = inside[1:] == inside[:-1]
+    pairs = np.bincount(inside[:-1][whole] * HASHED + pair[whole], minlength=n * HASHED).reshape(n, HASHED)
     root = np.sqrt
     # vocabulary grows as a power below one of the length; the ratio to it doesn't depend on length
     expected = np.maximum(count, 1) ** -0.2
-    cols = [root(share(t)) for t in (_UPPER, _ODD, _BANG, _BAR, _DIGIT)] + [share(_STOP), share(_ALPHA), np.log1p(count), np.minimum(length, 20), np.minimum(fresh / expected, 1.5), root(echo), root(1 - np.where(lines > 0, new_lines, 1)), np.log1p(line_length), (count == 0).astype(float)]
-    return np.stack(cols, axis=1)
+    cols = [root(share(t)) for t in (_UPPER, _SIGN, _BANG, _BAR, _DIGIT)] + [share(_STOP), share(_ALPHA), np.log1p(count), np.minimum(length, 20), np.minimum(fresh / expected, 1.5), root(echo), root(1 - np.where(lines > 0, new_lines, 1)), np.log1p(line_length), (count == 0).astype(float)]
+    hashed = [root(words / np.maximum(count, 1)[:, None]), root(pairs / size[:, None])]
+    return np.concatenate((np.stack(cols, axis=1), *hashed), axis=1)
 
 
 @dataclass(frozen=True)
@@ -88,7 +98,7 @@ def _expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate((z, np.minimum(z * z, 9)), axis=1)
 
 
-def fit_ranking(x: np.ndarray, good: np.ndarray, pairs_each: int = 8, penalty: float = 1e-3, seed: int = 7) -> Ranking:
+def fit_ranking(x: np.ndarray, good: np.ndarray, pairs_each: int = 8, penalty: float = 1e-2, seed: int = 7) -> Ranking:
     """Bradley-Terry fit by Newton steps on the logistic loss of feature differences."""
     d = x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)
     mean, spread = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(d), np.ones(d))
