@@ -1,5 +1,6 @@
 """Book, splits, statistics and signals on hand-checkable inputs."""
 
+import dataclasses
 import itertools
 import json
 import math
@@ -14,10 +15,11 @@ from tidewright.operators import signals as sig
 from tidewright.operators.book import Account, Book, Commission, Financing, Frictions, Slippage, step_book
 from tidewright.operators.leaks import cut_points, detect_look_ahead
 from tidewright.operators.spans import PurgedSplitter, merge_spans, subtract_spans, walk_forward_folds
-from tidewright.plans import report
-from tidewright.plans.strategies import per_bar_momentum
+from tidewright.operators.runs import equity_of, fills_of, manifest, run_backtests, run_summaries
+from tidewright.plans import cli, report
+from tidewright.plans.strategies import live_rule, per_bar_momentum
 from tidewright.sources import bars as src
-from tidewright.streaming.paper import FeedError, Journal, PaperSession, Polling, run_session
+from tidewright.streaming.paper import FeedError, Journal, PaperSession, Polling, run_session, tail_csv
 
 
 def _run(account, closes, weights, **bar):
@@ -209,3 +211,95 @@ def test_reports_are_safe():
     page = report.render_html([row], equity=[1.0, 2.0])
     assert "<script" not in page and "&lt;b&gt;" in page
     assert json.loads(report.to_json({"x": float("nan")}))["x"] is None
+
+
+@dataclasses.dataclass(frozen=True)
+class Toll:
+    """A cost model of one's own: a fixed amount a unit."""
+
+    amount: float = 0.5
+
+    def price(self, sign, quantity, reference, volume, push=0.0):
+        return reference + sign * self.amount
+
+
+def test_a_cost_model_of_ones_own():
+    account = Account(Toll(0.25), capital=1000.0)
+    assert Account.from_dict(json.loads(json.dumps(account.to_dict()))) == account
+    _, _, fills = _run(account, [100, 100], [1.0])
+    assert fills[0][3] == 100.25
+
+
+def test_costs_over_columns_equal_the_book(spark):
+    rows = [(s, q, 50.0, v, p) for s in (1.0, -1.0) for q in (0.0, 3.0, 900.0, 5000.0) for v in (0.0, 1000.0) for p in (0.02, -0.01)]
+    df = spark.createDataFrame(rows, "s double, q double, px double, v double, push double")
+    for slip in (Slippage(), Slippage("bps", 4), Slippage("impact"), Slippage("permanent")):
+        got = [r[0] for r in df.select(slip.column(F.col("s"), F.col("q"), F.col("px"), F.col("v"), F.col("push"))).collect()]
+        assert got == pytest.approx([slip.price(s, q, px, v, p if slip.remembers else 0.0) for s, q, px, v, p in rows], rel=1e-12)
+    for fee in (Commission(), Commission("share"), Commission("bps", bps=3)):
+        got = [r[0] for r in df.select(fee.column(F.col("q"), F.col("px"))).collect()]
+        assert got == pytest.approx([fee.fee(q, px) for _, q, px, _, _ in rows], rel=1e-12)
+
+
+def test_a_run_summary_equals_the_metrics_of_its_book(spark):
+    bars = _bars(spark, 400).withColumn("span_id", F.lit(0).cast("long"))
+    signals = sig.momentum_spec((5, 20), 40).signals(bars)
+    rows = [{"run_id": k, "span_id": 0, "setting_id": k, "warmup": w, "account": Account(Slippage("impact"), Commission("share"))} for k, w in ((0, 40), (1, 0))]
+    runs = manifest(spark, rows).withColumn("keep", F.col("run_id") == 0)
+    book = run_backtests(runs, bars, signals)
+    want = {r["run_id"]: r for r in stats.curve_metrics(stats.scored(equity_of(book), runs), ["run_id"]).join(stats.costs_by_run(fills_of(book)), "run_id").collect()}
+    for r in run_summaries(runs, bars, signals).select("run_id", "returns", *stats.metrics_of_summary()).collect():
+        for name in ("sharpe", "total_return", "annual_return", "annual_volatility", "max_drawdown", "mean_equity", "n_trades", "commission", "slippage", "notional", "n_returns"):
+            assert r[name] == pytest.approx(want[r["run_id"]][name], rel=1e-9), name
+        assert (r["returns"] is not None) == (r["run_id"] == 0) and (r["returns"] is None or len(r["returns"]) == r["n_returns"])
+
+
+def test_guard_reads_what_a_strategy_adds(spark):
+    bars = _bars(spark, 60).withColumn("span_id", F.lit(0).cast("long"))
+    mean = bars.groupBy("span_id").agg(F.avg("close").alias("m"))
+    assert sig.look_ahead_faults(bars.join(mean, "span_id"), bars) and not sig.look_ahead_faults(sig.momentum(bars, {}), bars)
+    by_bar = bars.groupBy("span_id", "t").agg(F.avg("close").alias("m"))
+    assert not sig.look_ahead_faults(bars.join(by_bar, ["span_id", "t"]), bars)
+
+
+def test_tail_rules(tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("Date,Close,Adj Close,Volume\n2024-01-02,10,5,100\n2024-01-03,12,6,\n")
+    once = Polling(0.0, 0.0)
+    with pytest.raises(FeedError):
+        list(tail_csv(str(path), once))
+    got = list(tail_csv(str(path), once, default_volume=7.0))
+    assert got == [("2024-01-02", (5.0, 5.0, 5.0, 5.0, 100.0)), ("2024-01-03", (5.0, 6.0, 5.0, 6.0, 7.0))]
+    assert [b[3] for _, b in tail_csv(str(path), once, use_adjusted=False, default_volume=7.0, after="2024-01-02")] == [12.0]
+    path.write_text("date,close,volume\n2024-01-02,nan,1\n")
+    with pytest.raises(FeedError):
+        list(tail_csv(str(path), once))
+
+
+def test_config_files_tell_all_that_is_wrong(tmp_path):
+    good = tmp_path / "a.json"
+    good.write_text(json.dumps({"file": "p.csv", "strategy": "rules.py:SPEC", "cpcv": [6, 2], "no-adjusted": True, "limit-expiry-bars": 3}))
+    a = cli.parse(cli.command("audit"), ["--config", str(good), "--capital", "5"])
+    assert (a.file, a.strategy, a.cpcv, a.no_adjusted, a.capital, a.limit_expiry_bars) == (str(tmp_path / "p.csv"), str(tmp_path / "rules.py:SPEC"), (6, 2), True, 5.0, 3)
+    good.write_text(json.dumps({"fill": "sometimes", "nonsense": 1, "markdown": 3, "capital": "much"}))
+    with pytest.raises(cli.ConfigError) as e:
+        cli.parse(cli.command("study"), ["--config", str(good)])
+    assert all(x in str(e.value) for x in ("fill", "nonsense", "markdown", "capital"))
+    with pytest.raises(cli.ConfigError):
+        cli.load_config(str(tmp_path / "a.txt"))
+
+
+def test_downloads_and_live_rules(spark):
+    with pytest.raises(src.BarFormatError):
+        src.fetched_bars(spark, "X", "2024-01-01", "2024-02-01", lambda *_: [])
+    spec = sig.Spec("mine", sig.scripted((None, 0.5, 0.25)))
+    rule = live_rule(spark, spec, {})
+    history = [(k, 1.0, 1.0, 1.0, 1.0, 1.0) for k in range(3)]
+    assert [rule(history[: k + 1]) for k in range(3)] == [None, 0.5, 0.25]
+
+
+def test_charts_are_whole_pages():
+    rows = [{"name": f"r{k}", "sharpe": 1.0 - k, "p_edge": 0.5, "total_return": 0.1, "annual_return": 0.1, "max_drawdown": -0.1, "n_trades": 3, "chosen": "[{}]", "honest": k > 0, "commission": 2.0 * k, "slippage": 3.0 * k} for k in range(3)]
+    page = report.render_html(rows, equity=[100.0, 120.0, 90.0], paths=[0.1, 0.4, 0.2], notes="<b>")
+    assert page.count("<svg") == page.count("</svg>") == 6 and "&lt;b&gt;" in page and "nan" not in page
+    assert json.loads(report.to_json(report.document("cpcv", paths=[float("nan")]))) == {"schema_version": 1, "kind": "cpcv", "paths": [None]}

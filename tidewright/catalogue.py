@@ -275,7 +275,7 @@ def _settings() -> Settings:
 def fit_in_sample(spark, sf):
     """Ratio of each setting over the scored window, and the first best."""
     bars, spec = _daily(spark, sf), sig.momentum_spec((5, 20, 60))
-    of = _one_span(bars).persist()
+    of = _one_span(bars)
     runs = manifest(spark, [{"run_id": k, "span_id": 0, "setting_id": k, "warmup": 504, "account": ACCOUNTS["book_close"]} for k in range(3)])
     signals = spec.signals(of).withColumn("target_weight", F.round("target_weight", 8))
     r = stats.simple_returns(stats.scored(equity_of(run_backtests(runs, of, signals)), runs), ["run_id"])

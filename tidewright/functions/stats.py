@@ -113,8 +113,9 @@ def turnover(notional: Column, mean_equity: Column, n_returns: Column, bars_per_
 def scored(equity: DataFrame, warmup_of: DataFrame) -> DataFrame:
     """Drop the first max(0, warmup - 1) points of each run; the base point stays."""
     point = F.row_number().over(Window.partitionBy("run_id").orderBy("t")) - 1
-    e = equity.select("run_id", "t", "equity").distinct().withColumn("_k", point)
-    return e.join(F.broadcast(warmup_of.select("run_id", "warmup")), "run_id").where(F.col("_k") >= F.greatest(F.lit(0), F.col("warmup") - 1)).select("run_id", "t", "equity")
+    # marks of one bar share the equity: one row a bar is enough, whatever the number of symbols
+    e = equity.groupBy("run_id", "t").agg(F.first("equity").alias("equity")).withColumn("_k", point)
+    return e.join(warmup_of.select("run_id", "warmup"), "run_id").where(F.col("_k") >= F.greatest(F.lit(0), F.col("warmup") - 1)).select("run_id", "t", "equity")
 
 
 def moments(returns: DataFrame, by: list[str]) -> DataFrame:

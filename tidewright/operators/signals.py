@@ -190,7 +190,7 @@ def cross_sectional_momentum(bars: DataFrame, p: Params) -> DataFrame:
     n_symbols = bars.groupBy("span_id").agg(F.count_distinct("symbol").alias("_all"))
     df = bars.withColumn("_c", F.lag("close", k).over(_w())).withColumn("score", F.log(F.try_divide(F.col("close"), F.col("_c")))).where("score is not null")
     day = Window.partitionBy("span_id", "t")
-    df = df.join(F.broadcast(n_symbols), "span_id").withColumn("_here", F.count(F.lit(1)).over(day)).where("_here = _all")
+    df = df.join(n_symbols, "span_id").withColumn("_here", F.count(F.lit(1)).over(day)).where("_here = _all")
     df = df.withColumn("_k", F.dense_rank().over(Window.partitionBy("span_id").orderBy("t")) - 1).where(f"pmod(_k, {every}) = 0")
     up, down = F.row_number().over(day.orderBy(F.desc("score"), "symbol")), F.row_number().over(day.orderBy("score", F.desc("symbol")))
     size = gross / (top * (2 if both else 1))
