@@ -584,3 +584,43 @@ def test_pipeline_runs_and_takes_an_empty_table(spark):
         out = stage(spark, docs_, sf)
         docs_ = spark.createDataFrame(out.collect(), out.schema)
     assert docs_.count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    words_ = [f"w{k}" for k in range(5000)]
+    item = " ".join(rng.choice(words_) for _ in range(20))
+    long = " ".join(rng.choice(words_) for _ in range(150_000))
+    rows = [(1, long), (2, long + " and more"), (3, f"{long[:400_000]} {item} {long[400_000:]}"), (4, "\n".join([long, "short", long[:-1] + "x"])), (5, "x" * 1_000_000)]
+    table = docs(spark, rows)
+    report = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.contamination_report(table, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert report == {i: (len(words_of(t)), 20 if i == 3 else 0) for i, t in rows}
+    lines = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup_counts(table, min_bytes=0).collect()}
+    assert lines == {1: 0, 2: 0, 3: 0, 4: 2, 5: 0}
+    groups = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join.ngram_jaccard_groups(table, bitmap_bits=16).collect()}
+    assert (groups[1], groups[2], groups[5]) == (1, 1, 5)
+    model = quality_classifier.train(table, spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int"))
+    score = {r["doc_id"]: r["score"] for r in quality_classifier.score(table, model).collect()}
+    assert score[2] > 0.5 > score[5]
+    url = "http://" + "a." * 50_000 + "example.com/en/" + "7" * 100_000
+    rules = spark.createDataFrame(queries.URL_RULES, "verdict string, host string, path string")
+    got = url_filter.url_verdicts(spark.createDataFrame([(1, url)], "page_id long, url string"), rules).collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("example.com/en/7", "allow")]
+    page = f"<nav>menu</nav><article><p>{long}</p><p>end</p></article>"
+    assert html_extraction.extract(page) == f"{long}\n\nend"
+    mixed = {r["doc_id"]: r["tokens"] for r in source_mixing.sample_mix(table).collect()}
+    assert mixed[1] == 150_000 and mixed[5] == 1
+
+
+def test_null_columns_and_repeated_rows(spark):
+    none = docs(spark, [(1, None), (1, None), (None, None), (None, "a text of some words, and more of them, to the end of the line and on")] * 2).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "n")
+    bench = spark.createDataFrame([(None, "a text of some words, and more of them, to the end of the line and on"), (2, None)], "item_id long, text string")
+    assert decontamination.contamination_report(none, bench).where("contaminated").count() == 2
+    assert suffix_dedup.remove_repeats(none).count() == line_dedup.line_dedup_counts(none).count() == sharding.assign_shards(none).count() == source_mixing.sample_mix(none).count() == 8
+    vectors = spark.createDataFrame([(1, None), (2, []), (3, [0.5] * 64), (3, [0.5] * 64), (None, [0.1] * 64), (4, [None, 1.0])], "vec_id long, embedding array<double>")
+    got = media_copies.image_copies(media_copies.pictures(vectors, "vec_id", "embedding")).collect()
+    assert len(got) == 6 and {r["image_id"]: r["class_id"] for r in got if r["image_id"] in (1, 2, 3)} == {1: 1, 2: 2, 3: 3}
+    pages = spark.createDataFrame([(None, None), (1, None), (1, "http://x.com/en/"), (1, "http://x.com/en/")], "page_id long, url string")
+    rules = spark.createDataFrame([(None, "com", "/"), ("block", "com", None), ("block", "com", "/en/"), ("block", "com", "/en/")], "verdict string, host string, path string")
+    assert sorted(r["verdict"] for r in url_filter.url_verdicts(pages, rules).collect()) == ["allow", "allow", "block", "block"]
+    assert url_filter.url_verdicts(pages, rules.limit(0)).where("verdict = 'allow'").count() == 4 and url_filter.url_verdicts(pages.limit(0), rules).count() == 0
