@@ -96,8 +96,7 @@ def sig_xs_momentum(spark, sf):
 
 
 def full_sample_stats(spark, sf):
-    g = _daily(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("close"), 6).alias("mean"), F.round(F.stddev_pop("close"), 6).alias("sd"))
-    return g
+    return _rounded(stats.level_stats(_daily(spark, sf), ["symbol"]), {"mean": 6, "sd": 6})
 
 
 # Books over the daily series

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
 import tempfile
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import catalogue as c
-from .catalogue_sql import _DAY, _EVENT, _FLAG, _number
+from .catalogue_sql import _DAY, _EVENT, _FLAG, _momentum, _number
 from .catalogue_sql import _book as _sql_book
 from .catalogue_sql import SQL as _BOOKS
 from .functions import stats
@@ -541,6 +543,51 @@ def config_values(spark, sf):
     return spark.createDataFrame([("audit", k, str(v)) for k, v in got.items()], "command string, name string, value string")
 
 
+_AUDIT = ladder.Settings(capital=_CAPITAL)
+_AUDIT_SQL = ladder_sql(_SERIES_DAY.replace("'ALL' as series_id", "'PRICES' as series_id", 1), sig.momentum_spec(), _AUDIT, Slippage("impact", 2.0, 0.0), Commission("share"))
+
+
+@_query(f"{_AUDIT_SQL} select cast(1 as int) as schema_version, 'audit' as kind, stage, name, honest, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown, n_trades, round(commission, 2) as commission, chosen, true as no_leak from ladder")
+def audit_command(spark, sf):
+    """The audit command on a price file: the ladder and the leak check of its JSON document."""
+    at = _folder(spark, "audit") + ".csv"
+    src.write_prices(c._daily(spark, sf), at)
+    with tempfile.TemporaryDirectory() as folder:
+        out = os.path.join(folder, "audit.json")
+        with contextlib.redirect_stdout(io.StringIO()):
+            code = cli.main(spark, ["audit", "--file", at, "--symbol", "PRICES", "--impact", "0", "--capital", str(_CAPITAL), "--json", out, "--html", os.path.join(folder, "audit.html")])
+        with open(out) as f:
+            document = json.load(f)
+    rows = [(document["schema_version"], document["kind"], r["stage"], r["name"], r["honest"], r["sharpe"], r["max_drawdown"], r["n_trades"], r["commission"], r["chosen"], code == 0 and document["leaks"]["passed"]) for r in document["ladder"]]
+    found = spark.createDataFrame(rows, "schema_version int, kind string, stage int, name string, honest boolean, sharpe double, max_drawdown double, n_trades long, commission double, chosen string, no_leak boolean")
+    return c._rounded(found, {"sharpe": 6, "max_drawdown": 6, "commission": 2})
+
+
+_REFUSED = {
+    "band below zero": lambda: Account(band=-1), "capital of zero": lambda: Account(capital=0), "unknown timing": lambda: Account(fill_timing="later"),
+    "participation above one": lambda: Account(frictions=Frictions(max_participation=2)), "leverage of zero": lambda: Financing(max_leverage=0),
+    "negative spread": lambda: Slippage("bps", -1), "negative fee": lambda: Commission("bps", bps=-1), "empty axis": lambda: sig.param_grid(a=()),
+    "overlapping tests": lambda: walk_forward_folds(1000, 100, 50, 20), "long warm-up": lambda: walk_forward_folds(1000, 100, 50, warmup=101),
+    "one group": lambda: ladder.PurgedSplitter(1, 1), "all groups held out": lambda: ladder.PurgedSplitter(4, 4), "fewer bars than groups": lambda: ladder.PurgedSplitter(6, 2).groups(5),
+    "nothing left to train on": lambda: ladder.PurgedSplitter(2, 1, 50).splits(60), "fold out of order": lambda: ladder.Fold(0, (0, 10), (5, 20)),
+    "no setting": lambda: sig.Spec("x", sig.buy_and_hold, []), "unknown strategy": lambda: sig.load_spec("nothing"), "persistence of one": lambda: src.SyntheticConfig(signal_persistence=1.0),
+}
+
+
+@_query("select * from (values " + ", ".join(f"('{x}', true)" for x in _REFUSED) + ") v(argument, refused)")
+def argument_checks(spark, sf):
+    """Arguments that must be refused."""
+
+    def refused(make) -> bool:
+        try:
+            make()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(make)) for name, make in _REFUSED.items()], "argument string, refused boolean")
+
+
 # Sessions
 
 
@@ -580,6 +627,22 @@ def paper_journal(spark, sf):
     return c._rounded(spark.createDataFrame(rows, "t int, cash double, position double, equity double"), {"cash": 2, "position": 4, "equity": 2})
 
 
+@_query(f"{_sql_book(_LATE, _momentum(20, digits=None), f'feed as (select cast(b.t - {_LIVE} as integer) as t, b.open, b.high, b.low, b.close, b.volume, s.target_weight as w from bars b left join sigs s on s.t = b.t where b.t >= {_LIVE})')} select t + {_LIVE} as t, round(cash, 2) as cash, round(pos, 4) as position, round(cash + pos * last_close, 2) as equity from book where t >= 0")
+def paper_command(spark, sf):
+    """The paper command on a price file, live from a date on, read from its journal."""
+    at = _folder(spark, "live") + ".csv"
+    bars = c._daily(spark, sf)
+    src.write_prices(bars, at)
+    since = bars.where(f"t = {_LIVE}").select(F.date_format("time", "yyyy-MM-dd")).first()[0]
+    with tempfile.TemporaryDirectory() as folder:
+        journal = os.path.join(folder, "paper.jsonl")
+        with contextlib.redirect_stdout(io.StringIO()):
+            cli.main(spark, ["paper", "--file", at, "--symbol", "ALL", "--live-from", since, "--params", "lookback=20", "--fill", "next_close", "--capital", str(_CAPITAL), "--journal", journal])
+        with open(journal) as f:
+            rows = [(r["t"], float(r["cash"]), float(r["position"]), float(r["equity"])) for r in map(json.loads, f) if r["type"] == "bar"]
+    return c._rounded(spark.createDataFrame(rows, "t int, cash double, position double, equity double"), {"cash": 2, "position": 4, "equity": 2})
+
+
 @_query(f"with {_DAY}, x as (select cast(t as integer) as t, round(close, 6) as close, volume from bars where t < 400) select * from x")
 def paper_tail(spark, sf):
     """Bars of a price file that grows between polls."""

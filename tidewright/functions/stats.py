@@ -61,6 +61,11 @@ def normal_inverse(p: str) -> Column:
     return _bound(p, normal_inverse_sql("x"))
 
 
+def level_stats(bars: DataFrame, by: list[str]) -> DataFrame:
+    """Count, mean and population spread of all closes: knowledge of the whole sample, never of a bar."""
+    return bars.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean"), F.stddev_pop("close").alias("sd"))
+
+
 def simple_returns(equity: DataFrame, by: list[str], t: str = "t") -> DataFrame:
     """One return for each point but the first: 0 where the previous value is 0 or the ratio isn't finite."""
     w = Window.partitionBy(*by).orderBy(t)
