@@ -26,7 +26,9 @@ def _run(account, closes, weights, **bar):
     book, marks, fills = Book(account.capital, {"S": 0.0}), [], []
     for t, c in enumerate(closes):
         before = closes[max(t - 1, 0)]
-        o, h, low, v = bar.get("open", before), bar.get("high", max(before, c)), bar.get("low", min(before, c)), bar.get("volume", 1e6)
+        o, h, low, v = bar.get(
+            "open", before
+        ), bar.get("high", max(before, c)), bar.get("low", min(before, c)), bar.get("volume", 1e6)
         w = weights[t] if t < len(weights) else None
         mark, f = step_book(book, account, t, {"S": (o, h, low, c, v)}, [] if w is None else [("S", w)])
         marks.append(mark)
@@ -56,13 +58,20 @@ def test_cap_carries_the_rest():
 
 @pytest.mark.parametrize(("low", "n"), [(99.9, 0), (99.0, 1)])
 def test_limit_needs_a_trade_through_and_expires(low, n):
-    book, _, fills = _run(Account(frictions=Frictions(limit_offset_bps=10, limit_expiry_bars=1), capital=1000.0), [100, 100], [1.0], low=low)
+    book, _, fills = _run(
+        Account(frictions=Frictions(limit_offset_bps=10, limit_expiry_bars=1), capital=1000.0),
+        [100, 100],
+        [1.0],
+        low=low,
+    )
     assert len(fills) == n and (book.expired > 0) == (n == 0)
     assert not fills or fills[0][3] == pytest.approx(99.9)
 
 
 def test_financing_compounds_on_cash():
-    _, marks, _ = _run(Account(frictions=Frictions(financing=Financing(cash_rate=0.05)), capital=1000.0), [100] * 253, [])
+    _, marks, _ = _run(
+        Account(frictions=Frictions(financing=Financing(cash_rate=0.05)), capital=1000.0), [100] * 253, []
+    )
     assert marks[-1][3] == pytest.approx(1000 * (1 + 0.05 / 252) ** 252)
 
 
@@ -79,7 +88,15 @@ def test_band_and_wiped_out_account_do_not_trade():
 
 
 def test_account_round_trip():
-    a = Account(Slippage("permanent"), Commission("share"), Frictions(0.1, 5.0, 2, Financing(0.01)), "next_open", 5.0, 0.1, False)
+    a = Account(
+        Slippage("permanent"),
+        Commission("share"),
+        Frictions(0.1, 5.0, 2, Financing(0.01)),
+        "next_open",
+        5.0,
+        0.1,
+        False,
+    )
     assert Account.from_dict(json.loads(json.dumps(a.to_dict()))) == a
     for bad in ({"fill_timing": "x"}, {"capital": 0}):
         with pytest.raises(ValueError):
@@ -117,14 +134,21 @@ def test_folds_and_span_arithmetic():
 
 
 def test_statistics(spark):
-    c = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate([100, 120, 60, 110])] + [("z", i, 0.0) for i in range(3)], "series_id string, t int, equity double")
+    c = spark.createDataFrame(
+        [("a", i, float(x)) for i, x in enumerate([100, 120, 60, 110])] + [("z", i, 0.0) for i in range(3)],
+        "series_id string, t int, equity double",
+    )
     m = {r["series_id"]: r for r in stats.curve_metrics(c, ["series_id"]).collect()}
     assert m["a"]["max_drawdown"] == pytest.approx(-0.5) and m["a"]["total_return"] == pytest.approx(0.1)
     assert m["z"]["sharpe"] == 0 and m["z"]["max_drawdown"] == 0 and m["z"]["total_return"] == 0
-    flat = spark.createDataFrame([("a", i, 0.001) for i in range(100)] + [("b", 0, 0.1), ("b", 1, 0.2)], "series_id string, t int, r double")
+    flat = spark.createDataFrame(
+        [("a", i, 0.001) for i in range(100)] + [("b", 0, 0.1), ("b", 1, 0.2)], "series_id string, t int, r double"
+    )
     assert {r["series_id"]: r["sharpe"] for r in stats.sharpe(flat, ["series_id"]).collect()}["a"] == 0
     assert all(r["psr"] == 0.5 for r in stats.probabilistic_sharpe(flat, ["series_id"]).collect())
-    x = spark.createDataFrame([(v,) for v in (-6.0, -1.0, 0.0, 2.5)], "x double").select("x", stats.normal_cdf("x").alias("c"), stats.normal_inverse("exp(-abs(x)) / 2 + 0.1").alias("i"))
+    x = spark.createDataFrame([(v,) for v in (-6.0, -1.0, 0.0, 2.5)], "x double").select(
+        "x", stats.normal_cdf("x").alias("c"), stats.normal_inverse("exp(-abs(x)) / 2 + 0.1").alias("i")
+    )
     for r in x.collect():
         assert r["c"] == pytest.approx(NormalDist().cdf(r["x"]), abs=1e-14)
         assert r["i"] == pytest.approx(NormalDist().inv_cdf(math.exp(-abs(r["x"])) / 2 + 0.1), abs=1e-12)
@@ -159,7 +183,11 @@ def test_price_file_rules(spark, tmp_path):
     def load(text, **o):
         p = tmp_path / "abc.csv"
         p.write_text(text)
-        return [tuple(r) for r in src.load_bars(spark, str(p), **o).select("symbol", "open", "close", "volume").orderBy("t").collect()]
+        return [
+            tuple(r) for r in src.load_bars(spark, str(p), **o).select(
+                "symbol", "open", "close", "volume"
+            ).orderBy("t").collect()
+        ]
 
     good = "Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-02,100,102,99,101,50.5,1000\n2024-01-03,101,103,100,102,51,1100\n"
     assert load(good)[0] == ("ABC", 50.0, 50.5, 1000.0)
@@ -167,16 +195,30 @@ def test_price_file_rules(spark, tmp_path):
     for bad in ("0", "-3", "nan", "abc", ""):
         with pytest.raises(src.BarFormatError):
             load(f"date,close,volume\n2024-01-02,1,1\n2024-01-03,{bad},1\n")
-    for text in ("date,close,volume\n2024-01-03,1,1\n2024-01-02,1,1\n", "date,close\n2024-01-02,1\n2024-01-03,1\n", "close,volume\n1,1\n", "date,close,volume\n2024-01-02,1,1\n"):
+    for text in (
+        "date,close,volume\n2024-01-03,1,1\n2024-01-02,1,1\n",
+        "date,close\n2024-01-02,1\n2024-01-03,1\n",
+        "close,volume\n1,1\n",
+        "date,close,volume\n2024-01-02,1,1\n",
+    ):
         with pytest.raises(src.BarFormatError):
             load(text)
 
 
 def test_align_panel(spark):
-    rows = [(s, s, 0, d, 1.0, 1.0, 1.0, 1.0, 1.0) for s, days in (("A", "0123"), ("B", "0234")) for d in [f"2024-01-1{x}" for x in days]]
-    df = spark.createDataFrame(rows, "series_id string, symbol string, t int, time string, open double, high double, low double, close double, volume double").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    rows = [
+        (
+            s, s, 0, d, 1.0, 1.0, 1.0, 1.0, 1.0
+        ) for s, days in (("A", "0123"), ("B", "0234")) for d in [f"2024-01-1{x}" for x in days]
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "series_id string, symbol string, t int, time string, open double, high double, low double, close double, volume double",
+    ).withColumn("time", F.col("time").cast("timestamp_ntz"))
     out = src.align_panel(df)
-    assert sorted((r["symbol"], r["t"]) for r in out.collect()) == [(s, t) for s in "AB" for t in range(3)] and src.same_calendar(out)
+    assert sorted((r["symbol"], r["t"]) for r in out.collect()) == [
+        (s, t) for s in "AB" for t in range(3)
+    ] and src.same_calendar(out)
 
 
 def test_live_session_resumes_and_refuses_rewrites(tmp_path):
@@ -206,7 +248,17 @@ def test_live_session_resumes_and_refuses_rewrites(tmp_path):
 
 
 def test_reports_are_safe():
-    row = {"name": "<b>", "sharpe": 1.0, "p_edge": 0.9999, "total_return": 0.1, "annual_return": 0.1, "max_drawdown": -0.2, "n_trades": 3, "chosen": '[{"lookback": 5}, {"lookback": 20}]', "honest": True}
+    row = {
+        "name": "<b>",
+        "sharpe": 1.0,
+        "p_edge": 0.9999,
+        "total_return": 0.1,
+        "annual_return": 0.1,
+        "max_drawdown": -0.2,
+        "n_trades": 3,
+        "chosen": '[{"lookback": 5}, {"lookback": 20}]',
+        "honest": True,
+    }
     assert "lookback=5/20" in report.render_table([row]) and report.probability(1e-9) == "<0.1%"
     page = report.render_html([row], equity=[1.0, 2.0])
     assert "<script" not in page and "&lt;b&gt;" in page
@@ -231,11 +283,21 @@ def test_a_cost_model_of_ones_own():
 
 
 def test_costs_over_columns_equal_the_book(spark):
-    rows = [(s, q, 50.0, v, p) for s in (1.0, -1.0) for q in (0.0, 3.0, 900.0, 5000.0) for v in (0.0, 1000.0) for p in (0.02, -0.01)]
+    rows = [
+        (
+            s, q, 50.0, v, p
+        ) for s in (1.0, -1.0) for q in (0.0, 3.0, 900.0, 5000.0) for v in (0.0, 1000.0) for p in (0.02, -0.01)
+    ]
     df = spark.createDataFrame(rows, "s double, q double, px double, v double, push double")
     for slip in (Slippage(), Slippage("bps", 4), Slippage("impact"), Slippage("permanent")):
-        got = [r[0] for r in df.select(slip.column(F.col("s"), F.col("q"), F.col("px"), F.col("v"), F.col("push"))).collect()]
-        assert got == pytest.approx([slip.price(s, q, px, v, p if slip.remembers else 0.0) for s, q, px, v, p in rows], rel=1e-12)
+        got = [
+            r[0] for r in df.select(
+                slip.column(F.col("s"), F.col("q"), F.col("px"), F.col("v"), F.col("push"))
+            ).collect()
+        ]
+        assert got == pytest.approx(
+            [slip.price(s, q, px, v, p if slip.remembers else 0.0) for s, q, px, v, p in rows], rel=1e-12
+        )
     for fee in (Commission(), Commission("share"), Commission("bps", bps=3)):
         got = [r[0] for r in df.select(fee.column(F.col("q"), F.col("px"))).collect()]
         assert got == pytest.approx([fee.fee(q, px) for _, q, px, _, _ in rows], rel=1e-12)
@@ -244,20 +306,48 @@ def test_costs_over_columns_equal_the_book(spark):
 def test_a_run_summary_equals_the_metrics_of_its_book(spark):
     bars = _bars(spark, 400).withColumn("span_id", F.lit(0).cast("long"))
     signals = sig.momentum_spec((5, 20), 40).signals(bars)
-    rows = [{"run_id": k, "span_id": 0, "setting_id": k, "warmup": w, "account": Account(Slippage("impact"), Commission("share"))} for k, w in ((0, 40), (1, 0))]
+    rows = [
+        {
+            "run_id": k,
+            "span_id": 0,
+            "setting_id": k,
+            "warmup": w,
+            "account": Account(Slippage("impact"), Commission("share")),
+        } for k, w in ((0, 40), (1, 0))
+    ]
     runs = manifest(spark, rows).withColumn("keep", F.col("run_id") == 0)
     book = run_backtests(runs, bars, signals)
-    want = {r["run_id"]: r for r in stats.curve_metrics(stats.scored(equity_of(book), runs), ["run_id"]).join(stats.costs_by_run(fills_of(book)), "run_id").collect()}
+    want = {
+        r["run_id"]: r for r in stats.curve_metrics(stats.scored(equity_of(book), runs), ["run_id"]).join(
+            stats.costs_by_run(fills_of(book)), "run_id"
+        ).collect()
+    }
     for r in run_summaries(runs, bars, signals).select("run_id", "returns", *stats.metrics_of_summary()).collect():
-        for name in ("sharpe", "total_return", "annual_return", "annual_volatility", "max_drawdown", "mean_equity", "n_trades", "commission", "slippage", "notional", "n_returns"):
+        for name in (
+            "sharpe",
+            "total_return",
+            "annual_return",
+            "annual_volatility",
+            "max_drawdown",
+            "mean_equity",
+            "n_trades",
+            "commission",
+            "slippage",
+            "notional",
+            "n_returns",
+        ):
             assert r[name] == pytest.approx(want[r["run_id"]][name], rel=1e-9), name
-        assert (r["returns"] is not None) == (r["run_id"] == 0) and (r["returns"] is None or len(r["returns"]) == r["n_returns"])
+        assert (r["returns"] is not None) == (r["run_id"] == 0) and (
+            r["returns"] is None or len(r["returns"]) == r["n_returns"]
+        )
 
 
 def test_guard_reads_what_a_strategy_adds(spark):
     bars = _bars(spark, 60).withColumn("span_id", F.lit(0).cast("long"))
     mean = bars.groupBy("span_id").agg(F.avg("close").alias("m"))
-    assert sig.look_ahead_faults(bars.join(mean, "span_id"), bars) and not sig.look_ahead_faults(sig.momentum(bars, {}), bars)
+    assert sig.look_ahead_faults(
+        bars.join(mean, "span_id"), bars
+    ) and not sig.look_ahead_faults(sig.momentum(bars, {}), bars)
     by_bar = bars.groupBy("span_id", "t").agg(F.avg("close").alias("m"))
     assert not sig.look_ahead_faults(bars.join(by_bar, ["span_id", "t"]), bars)
 
@@ -270,7 +360,9 @@ def test_tail_rules(tmp_path):
         list(tail_csv(str(path), once))
     got = list(tail_csv(str(path), once, default_volume=7.0))
     assert got == [("2024-01-02", (5.0, 5.0, 5.0, 5.0, 100.0)), ("2024-01-03", (5.0, 6.0, 5.0, 6.0, 7.0))]
-    assert [b[3] for _, b in tail_csv(str(path), once, use_adjusted=False, default_volume=7.0, after="2024-01-02")] == [12.0]
+    assert [
+        b[3] for _, b in tail_csv(str(path), once, use_adjusted=False, default_volume=7.0, after="2024-01-02")
+    ] == [12.0]
     path.write_text("date,close,volume\n2024-01-02,nan,1\n")
     with pytest.raises(FeedError):
         list(tail_csv(str(path), once))
@@ -278,9 +370,15 @@ def test_tail_rules(tmp_path):
 
 def test_config_files_tell_all_that_is_wrong(tmp_path):
     good = tmp_path / "a.json"
-    good.write_text(json.dumps({"file": "p.csv", "strategy": "rules.py:SPEC", "cpcv": [6, 2], "no-adjusted": True, "limit-expiry-bars": 3}))
+    good.write_text(
+        json.dumps(
+            {"file": "p.csv", "strategy": "rules.py:SPEC", "cpcv": [6, 2], "no-adjusted": True, "limit-expiry-bars": 3}
+        )
+    )
     a = cli.parse(cli.command("audit"), ["--config", str(good), "--capital", "5"])
-    assert (a.file, a.strategy, a.cpcv, a.no_adjusted, a.capital, a.limit_expiry_bars) == (str(tmp_path / "p.csv"), str(tmp_path / "rules.py:SPEC"), (6, 2), True, 5.0, 3)
+    assert (a.file, a.strategy, a.cpcv, a.no_adjusted, a.capital, a.limit_expiry_bars) == (
+        str(tmp_path / "p.csv"), str(tmp_path / "rules.py:SPEC"), (6, 2), True, 5.0, 3
+    )
     good.write_text(json.dumps({"fill": "sometimes", "nonsense": 1, "markdown": 3, "capital": "much"}))
     with pytest.raises(cli.ConfigError) as e:
         cli.parse(cli.command("study"), ["--config", str(good)])
@@ -299,7 +397,23 @@ def test_downloads_and_live_rules(spark):
 
 
 def test_charts_are_whole_pages():
-    rows = [{"name": f"r{k}", "sharpe": 1.0 - k, "p_edge": 0.5, "total_return": 0.1, "annual_return": 0.1, "max_drawdown": -0.1, "n_trades": 3, "chosen": "[{}]", "honest": k > 0, "commission": 2.0 * k, "slippage": 3.0 * k} for k in range(3)]
+    rows = [
+        {
+            "name": f"r{k}",
+            "sharpe": 1.0 - k,
+            "p_edge": 0.5,
+            "total_return": 0.1,
+            "annual_return": 0.1,
+            "max_drawdown": -0.1,
+            "n_trades": 3,
+            "chosen": "[{}]",
+            "honest": k > 0,
+            "commission": 2.0 * k,
+            "slippage": 3.0 * k,
+        } for k in range(3)
+    ]
     page = report.render_html(rows, equity=[100.0, 120.0, 90.0], paths=[0.1, 0.4, 0.2], notes="<b>")
     assert page.count("<svg") == page.count("</svg>") == 6 and "&lt;b&gt;" in page and "nan" not in page
-    assert json.loads(report.to_json(report.document("cpcv", paths=[float("nan")]))) == {"schema_version": 1, "kind": "cpcv", "paths": [None]}
+    assert json.loads(report.to_json(report.document("cpcv", paths=[float("nan")]))) == {
+        "schema_version": 1, "kind": "cpcv", "paths": [None]
+    }

@@ -35,7 +35,9 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def _one_span(bars: DataFrame, by: str = "series_id") -> DataFrame:
     """Whole series as spans, numbered by name."""
-    return bars.withColumn("span_id", (F.dense_rank().over(Window.orderBy(by)) - 1).cast("long")) if by != "series_id" else bars.withColumn("span_id", F.lit(0).cast("long"))
+    return bars.withColumn(
+        "span_id", (F.dense_rank().over(Window.orderBy(by)) - 1).cast("long")
+    ) if by != "series_id" else bars.withColumn("span_id", F.lit(0).cast("long"))
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -52,7 +54,10 @@ def bars_weekly_brand(spark, sf):
 
 
 def bars_hourly_event(spark, sf):
-    return _rounded(_events(spark, sf).select("symbol", "t", "time", "open", "high", "low", "close", "volume"), dict.fromkeys(("open", "high", "low", "close"), 6))
+    return _rounded(
+        _events(spark, sf).select("symbol", "t", "time", "open", "high", "low", "close", "volume"),
+        dict.fromkeys(("open", "high", "low", "close"), 6),
+    )
 
 
 def real_opens(spark, sf):
@@ -63,7 +68,9 @@ def panel_missing_days(spark, sf):
     """Per flag, how many dates some other flag trades on and it doesn't."""
     d = _lineitem(spark, sf).select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("time")).distinct()
     n = d.select("time").distinct().agg(F.count(F.lit(1)).alias("n"))
-    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(n)).select("symbol", (F.col("n") - F.col("k")).alias("missing"))
+    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(n)).select(
+        "symbol", (F.col("n") - F.col("k")).alias("missing")
+    )
 
 
 def _weights(df: DataFrame) -> DataFrame:
@@ -92,7 +99,9 @@ def sig_buy_hold(spark, sf):
 
 
 def sig_xs_momentum(spark, sf):
-    return sig.cross_sectional_momentum(_one_span(_panel(spark, sf)), {"lookback": 60, "long_short": 1}).select("t", "seq", "symbol", "target_weight")
+    return sig.cross_sectional_momentum(_one_span(_panel(spark, sf)), {"lookback": 60, "long_short": 1}).select(
+        "t", "seq", "symbol", "target_weight"
+    )
 
 
 def full_sample_stats(spark, sf):
@@ -106,13 +115,20 @@ def _book(spark, sf, account: Account, signals: DataFrame | None = None, bars: D
     bars = _daily(spark, sf) if bars is None else bars
     of_spans = _one_span(bars)
     if signals is None:
-        signals = sig.Spec("momentum", sig.momentum, [{"lookback": 20}]).signals(of_spans).withColumn("target_weight", F.round("target_weight", 8))
+        signals = sig.Spec("momentum", sig.momentum, [{"lookback": 20}]).signals(of_spans).withColumn(
+            "target_weight", F.round("target_weight", 8)
+        )
     runs = manifest(spark, [{"run_id": 0, "span_id": 0, "setting_id": 0, "account": account}])
     return run_backtests(runs, of_spans, signals)
 
 
 def _equity(book: DataFrame) -> DataFrame:
-    return equity_of(book).select("t", F.round("cash", 2).alias("cash"), F.round("position", 4).alias("position"), F.round("equity", 2).alias("equity"))
+    return equity_of(book).select(
+        "t",
+        F.round("cash", 2).alias("cash"),
+        F.round("position", 4).alias("position"),
+        F.round("equity", 2).alias("equity"),
+    )
 
 
 _CAPITAL = 100_000.0
@@ -139,41 +155,67 @@ def _book_query(name: str):
 
 def book_totals(spark, sf):
     """Cancelled and expired quantity and final state of the limit book."""
-    return totals_of(_book(spark, sf, ACCOUNTS["book_limit"])).select(*[F.round(c, 2).alias(c) for c in ("final_cash", "final_position", "cancelled", "expired", "unfilled")])
+    return totals_of(_book(spark, sf, ACCOUNTS["book_limit"])).select(
+        *[F.round(c, 2).alias(c) for c in ("final_cash", "final_position", "cancelled", "expired", "unfilled")]
+    )
 
 
 def blotter_reconcile(spark, sf):
     """Per direction: fills, units, commission, slippage of the impact book."""
     f = fills_of(_book(spark, sf, ACCOUNTS["book_impact"]))
-    return f.groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("quantity"), 4).alias("quantity"), F.round(F.sum("commission"), 4).alias("commission"), F.round(F.sum("slippage_cost"), 4).alias("slippage"))
+    return f.groupBy("direction").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("quantity"), 4).alias("quantity"),
+        F.round(F.sum("commission"), 4).alias("commission"),
+        F.round(F.sum("slippage_cost"), 4).alias("slippage"),
+    )
 
 
 def identity_check(spark, sf):
     """Largest gap between marked equity and capital plus the cash flow of all earlier fills plus the position's value."""
     book = _book(spark, sf, ACCOUNTS["book_impact"])
     e = equity_of(book)
-    flow = book.where("kind = 'fill'").groupBy("t").agg(F.sum(-F.col("quantity") * F.col("fill_price") - F.col("commission")).alias("cash_in"), F.sum("quantity").alias("units"))
+    flow = book.where("kind = 'fill'").groupBy("t").agg(
+        F.sum(-F.col("quantity") * F.col("fill_price") - F.col("commission")).alias("cash_in"),
+        F.sum("quantity").alias("units"),
+    )
     w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    j = e.join(flow, "t", "left").na.fill(0.0, ["cash_in", "units"]).withColumn("cash_2", F.lit(_CAPITAL) + F.coalesce(F.sum("cash_in").over(w), F.lit(0.0))).withColumn("units_2", F.coalesce(F.sum("units").over(w), F.lit(0.0)))
-    return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("cash_2") + F.col("units_2") * F.col("price") - F.col("equity"))), 3).alias("gap"))
+    j = e.join(flow, "t", "left").na.fill(0.0, ["cash_in", "units"]).withColumn(
+        "cash_2", F.lit(_CAPITAL) + F.coalesce(F.sum("cash_in").over(w), F.lit(0.0))
+    ).withColumn("units_2", F.coalesce(F.sum("units").over(w), F.lit(0.0)))
+    return j.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.max(F.abs(F.col("cash_2") + F.col("units_2") * F.col("price") - F.col("equity"))), 3).alias("gap"),
+    )
 
 
 def bh_equity(spark, sf):
     """Closed form: one trade on the first bar, so equity is a projection."""
     b = _daily(spark, sf)
     first = F.first("close").over(Window.partitionBy("series_id").orderBy("t"))
-    return b.select("t", F.round(F.when(F.col("t") == 0, F.lit(_CAPITAL)).otherwise(F.lit(_CAPITAL) / first * F.col("close")), 2).alias("equity"))
+    return b.select(
+        "t",
+        F.round(
+            F.when(F.col("t") == 0, F.lit(_CAPITAL)).otherwise(F.lit(_CAPITAL) / first * F.col("close")), 2
+        ).alias("equity"),
+    )
 
 
 def bh_equity_costed(spark, sf):
-    return _equity(_book(spark, sf, ACCOUNTS["book_impact"], sig.Spec("hold", sig.buy_and_hold).signals(_one_span(_daily(spark, sf)))))
+    return _equity(
+        _book(
+            spark, sf, ACCOUNTS["book_impact"], sig.Spec("hold", sig.buy_and_hold).signals(_one_span(_daily(spark, sf)))
+        )
+    )
 
 
 def _curve(spark, sf) -> DataFrame:
     return _daily(spark, sf).select("series_id", "t", F.col("close").alias("equity"))
 
 
-_METRIC_DIGITS = {"sharpe": 8, "total_return": 8, "annual_return": 8, "annual_volatility": 8, "max_drawdown": 8, "mean_equity": 4}
+_METRIC_DIGITS = {
+    "sharpe": 8, "total_return": 8, "annual_return": 8, "annual_volatility": 8, "max_drawdown": 8, "mean_equity": 4
+}
 
 
 def bh_metrics(spark, sf):
@@ -191,7 +233,9 @@ def curve_zero_cost_band0(spark, sf):
     of = _one_span(_daily(spark, sf))
     w = sig.sma_crossover(of, {"fast": 20, "slow": 100}).select("t", "target_weight")
     o = Window.orderBy("t")
-    r = of.join(w, "t").withColumn("g", 1 + F.coalesce(F.lag("target_weight").over(o) * (F.col("close") / F.lag("close").over(o) - 1), F.lit(0.0)))
+    r = of.join(w, "t").withColumn(
+        "g", 1 + F.coalesce(F.lag("target_weight").over(o) * (F.col("close") / F.lag("close").over(o) - 1), F.lit(0.0))
+    )
     return r.select("t", F.round(F.product("g").over(o.rowsBetween(Window.unboundedPreceding, 0)), 8).alias("growth"))
 
 
@@ -210,13 +254,17 @@ def sharpe_by_series(spark, sf):
 
 
 def psr(spark, sf):
-    return _rounded(stats.probabilistic_sharpe(stats.simple_returns(_curve(spark, sf), ["series_id"]), ["series_id"]), {"psr": 8})
+    return _rounded(
+        stats.probabilistic_sharpe(stats.simple_returns(_curve(spark, sf), ["series_id"]), ["series_id"]), {"psr": 8}
+    )
 
 
 def dsr(spark, sf):
     c = _events(spark, sf).select("series_id", "t", F.col("close").alias("equity"))
     r = stats.simple_returns(_curve(spark, sf), ["series_id"])
-    trials = stats.sharpe(stats.simple_returns(c, ["series_id"]), ["series_id"]).select(F.lit("ALL").alias("series_id"), "sharpe")
+    trials = stats.sharpe(stats.simple_returns(c, ["series_id"]), ["series_id"]).select(
+        F.lit("ALL").alias("series_id"), "sharpe"
+    )
     return _rounded(stats.deflated_sharpe(r, trials, ["series_id"]), {"bar": 8, "dsr": 8})
 
 
@@ -224,7 +272,14 @@ def dsr(spark, sf):
 
 
 def _orders(spark, sf) -> DataFrame:
-    return _lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0).alias("side"))
+    return _lineitem(spark, sf).select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        F.col("l_quantity").alias("q"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
+        F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0).alias("side"),
+    )
 
 
 # Splits
@@ -275,7 +330,14 @@ def fit_in_sample(spark, sf):
     """Ratio of each setting over the scored window, and the first best."""
     bars, spec = _daily(spark, sf), sig.momentum_spec((5, 20, 60))
     of = _one_span(bars)
-    runs = manifest(spark, [{"run_id": k, "span_id": 0, "setting_id": k, "warmup": 504, "account": ACCOUNTS["book_close"]} for k in range(3)])
+    runs = manifest(
+        spark,
+        [
+            {
+                "run_id": k, "span_id": 0, "setting_id": k, "warmup": 504, "account": ACCOUNTS["book_close"]
+            } for k in range(3)
+        ],
+    )
     signals = spec.signals(of).withColumn("target_weight", F.round("target_weight", 8))
     r = stats.simple_returns(stats.scored(equity_of(run_backtests(runs, of, signals)), runs), ["run_id"])
     s = stats.sharpe(r, ["run_id"])
@@ -285,16 +347,22 @@ def fit_in_sample(spark, sf):
 
 def seed_sweep(spark, sf):
     config = src.SyntheticConfig(n_bars=1260)
-    return sweep_summary(run_seed_sweep(spark, 3, config=config, spec=sig.momentum_spec((5, 20, 60)), settings=Settings(252, 252)))
+    return sweep_summary(
+        run_seed_sweep(spark, 3, config=config, spec=sig.momentum_spec((5, 20, 60)), settings=Settings(252, 252))
+    )
 
 
 def _deterministic_leak(spark, sf, leaky: bool) -> DataFrame:
     """Signals that change when every close after bar 1200 is tripled."""
     bars = _daily(spark, sf)
     both = bars.withColumn("span_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-    both = both.withColumn("close", F.when((F.col("span_id") == 1) & (F.col("t") > 1200), F.col("close") * 3).otherwise(F.col("close")))
+    both = both.withColumn(
+        "close", F.when((F.col("span_id") == 1) & (F.col("t") > 1200), F.col("close") * 3).otherwise(F.col("close"))
+    )
     s = sig.momentum_spec((5, 20)).signals(both, leaky=leaky)
-    return signal_differences(s, (1200,), 1e-9).select("setting_id", "t", F.round("original", 8).alias("original"), F.round("altered", 8).alias("altered"))
+    return signal_differences(s, (1200,), 1e-9).select(
+        "setting_id", "t", F.round("original", 8).alias("original"), F.round("altered", 8).alias("altered")
+    )
 
 
 def leak_check_honest(spark, sf):

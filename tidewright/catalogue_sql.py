@@ -215,12 +215,20 @@ def _build() -> dict[str, str]:
         "leak_check_leaky": _leak(_leaky),
     }
     for name, account in ACCOUNTS.items():
-        sql[name] = f"{_book(account)} select t, round(mark_cash, 2) as cash, round(mark_pos, 4) as position, round(equity, 2) as equity from book where t >= 0"
+        sql[
+            name
+        ] = f"{_book(account)} select t, round(mark_cash, 2) as cash, round(mark_pos, 4) as position, round(equity, 2) as equity from book where t >= 0"
     fit = []
     for k, look in enumerate((5, 20, 60)):
-        fit.append(f"(with recursive {_DAY}, {_momentum(look)}, {_FEED}, {book_sql(ACCOUNTS['book_close'])}, e as (select t, equity from book where t >= 503), r as (select equity / lag(equity) over (order by t) - 1e0 as r from e) select cast({k} as bigint) as setting_id, count(r) as n, avg(r) / stddev_samp(r) * sqrt(252e0) as s from r where r is not null)")
-    sql["fit_in_sample"] = f"select setting_id, n, round(s, 6) as sharpe, row_number() over (order by s desc, setting_id) = 1 as best from ({' union all '.join(fit)})"
-    sql["stream_paper"] = f"{_book(ACCOUNTS['book_next_close'])} select 'ALL' as symbol, t, round(cash, 2) as cash, round(pos, 4) as position, round(cash + pos * last_close, 2) as equity from book where t >= 0"
+        fit.append(
+            f"(with recursive {_DAY}, {_momentum(look)}, {_FEED}, {book_sql(ACCOUNTS['book_close'])}, e as (select t, equity from book where t >= 503), r as (select equity / lag(equity) over (order by t) - 1e0 as r from e) select cast({k} as bigint) as setting_id, count(r) as n, avg(r) / stddev_samp(r) * sqrt(252e0) as s from r where r is not null)"
+        )
+    sql[
+        "fit_in_sample"
+    ] = f"select setting_id, n, round(s, 6) as sharpe, row_number() over (order by s desc, setting_id) = 1 as best from ({' union all '.join(fit)})"
+    sql[
+        "stream_paper"
+    ] = f"{_book(ACCOUNTS['book_next_close'])} select 'ALL' as symbol, t, round(cash, 2) as cash, round(pos, 4) as position, round(cash + pos * last_close, 2) as equity from book where t >= 0"
     return sql
 
 

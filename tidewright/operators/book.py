@@ -49,7 +49,9 @@ class Slippage:
             price += reference * sign * max(0.0, sign * push)
         return price
 
-    def column(self, sign: Column, quantity: Column, reference: Column, volume: Column, push: Column | None = None) -> Column:
+    def column(
+        self, sign: Column, quantity: Column, reference: Column, volume: Column, push: Column | None = None
+    ) -> Column:
         """The same price over columns."""
         if self.kind == "none":
             return reference
@@ -103,7 +105,9 @@ class Commission:
         notional = F.abs(quantity * price)
         if self.kind == "none":
             return F.lit(0.0)
-        fee = notional * F.lit(self.bps / 10_000.0) if self.kind == "bps" else F.least(F.greatest(F.lit(self.minimum), F.lit(self.per_share) * quantity), F.lit(self.cap) * notional)
+        fee = notional * F.lit(self.bps / 10_000.0) if self.kind == "bps" else F.least(
+            F.greatest(F.lit(self.minimum), F.lit(self.per_share) * quantity), F.lit(self.cap) * notional
+        )
         return F.when(quantity > 0, fee).otherwise(0.0)
 
 
@@ -124,7 +128,9 @@ class Financing:
             raise ValueError("borrow_rate and short_fee must not be negative")
 
     def accrual(self, cash: float, short_value: float) -> float:
-        return (cash * (self.cash_rate if cash >= 0 else self.borrow_rate) - short_value * self.short_fee) / self.bars_per_year
+        return (
+            cash * (self.cash_rate if cash >= 0 else self.borrow_rate) - short_value * self.short_fee
+        ) / self.bars_per_year
 
     def column(self, cash: Column, short_value: Column) -> Column:
         """The same accrual over columns."""
@@ -200,7 +206,15 @@ class Account:
     def from_dict(d: dict) -> Account:
         f = d["frictions"]
         fin = Financing(**f["financing"]) if f["financing"] else None
-        return Account(_unpacked(d["slippage"]), _unpacked(d["commission"]), Frictions(**{**f, "financing": fin}), d["fill_timing"], d["capital"], d["band"], d["fractional"])
+        return Account(
+            _unpacked(d["slippage"]),
+            _unpacked(d["commission"]),
+            Frictions(**{**f, "financing": fin}),
+            d["fill_timing"],
+            d["capital"],
+            d["band"],
+            d["fractional"],
+        )
 
     def zero_cost(self) -> Account:
         return replace(self, slippage=Slippage(), commission=Commission())
@@ -235,7 +249,17 @@ class Book:
 
     @staticmethod
     def from_dict(d: dict) -> Book:
-        return Book(d["cash"], d["holdings"], d["marks"], [Order(**o) for o in d["working"]], {k: tuple(v) for k, v in d["push"].items()}, d["cancelled"], d["expired"], d["financing"], d["bars"])
+        return Book(
+            d["cash"],
+            d["holdings"],
+            d["marks"],
+            [Order(**o) for o in d["working"]],
+            {k: tuple(v) for k, v in d["push"].items()},
+            d["cancelled"],
+            d["expired"],
+            d["financing"],
+            d["bars"],
+        )
 
 
 Bar = tuple  # (open, high, low, close, volume)
@@ -243,7 +267,9 @@ Bar = tuple  # (open, high, low, close, volume)
 Fill = tuple
 
 
-def _market_fill(book: Book, account: Account, order: Order, t: int, reference: float, volume: float, fills: list[Fill]) -> tuple[float, float] | None:
+def _market_fill(
+    book: Book, account: Account, order: Order, t: int, reference: float, volume: float, fills: list[Fill]
+) -> tuple[float, float] | None:
     """Fill what the volume cap lets through; returns (cash change, units) without applying them."""
     cap = account.frictions.max_participation
     quantity = order.quantity if cap is None else min(order.quantity, cap * max(volume, 0.0))
@@ -266,7 +292,9 @@ def _market_fill(book: Book, account: Account, order: Order, t: int, reference:
     return units * price + fee, units
 
 
-def step_book(book: Book, account: Account, t: int, bars: dict[str, Bar], signals: list[tuple[str, float]]) -> tuple[tuple, list[Fill]]:
+def step_book(
+    book: Book, account: Account, t: int, bars: dict[str, Bar], signals: list[tuple[str, float]]
+) -> tuple[tuple, list[Fill]]:
     """Advance one bar. Returns ((cash, {symbol: position}, {symbol: price}, equity), fills of this bar)."""
     fills: list[Fill] = []
     frictions = account.frictions
@@ -323,8 +351,12 @@ def step_book(book: Book, account: Account, t: int, bars: dict[str, Bar], signal
             continue
         intended[symbol] = target
         sign = 1.0 if delta > 0 else -1.0
-        limit = None if frictions.limit_offset_bps is None else price * (1.0 - sign * frictions.limit_offset_bps / 10_000.0)
-        orders.append(Order(symbol, abs(delta), sign, limit, None if limit is None else t + frictions.limit_expiry_bars))
+        limit = None if frictions.limit_offset_bps is None else price * (
+            1.0 - sign * frictions.limit_offset_bps / 10_000.0
+        )
+        orders.append(
+            Order(symbol, abs(delta), sign, limit, None if limit is None else t + frictions.limit_expiry_bars)
+        )
     applied = []
     for order in orders:
         keep = []

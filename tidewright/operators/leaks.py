@@ -33,7 +33,9 @@ class LeakReport:
             return "look-ahead check: too few bars to check"
         if self.passed:
             return f"look-ahead check: passed, {len(self.settings)} setting(s) at {len(self.cuts)} cut(s)"
-        said = [f"{format_params(f['params'])}: {f['detail']}" for f in self.findings] + [f"{format_params(p)}: two equal runs differ" for p in self.nondeterministic]
+        said = [f"{format_params(f['params'])}: {f['detail']}" for f in self.findings] + [
+            f"{format_params(p)}: two equal runs differ" for p in self.nondeterministic
+        ]
         return "look-ahead check: FAILED\n" + "\n".join(f"  {x}" for x in said)
 
 
@@ -67,29 +69,43 @@ def perturbed_spans(bars: DataFrame, cuts: tuple[int, ...], seed: int = 0) -> Da
         cols = {x: table.column(x).to_numpy().copy() for x in ("open", "high", "low", "volume")}
         before = np.concatenate(([c[cut]], tail[:-1]))
         c[cut + 1 :] = tail
-        cols["open"][cut + 1 :], cols["high"][cut + 1 :], cols["low"][cut + 1 :] = before, np.maximum(before, tail), np.minimum(before, tail)
+        cols[
+            "open"
+        ][cut + 1 :], cols["high"][cut + 1 :], cols["low"][cut + 1 :] = before, np.maximum(before, tail), np.minimum(before, tail)
         cols["volume"][cut + 1 :] = cols["volume"][cut + 1 :] * scale + 1.0
         for name, values in (cols | {"close": c}).items():
             table = table.set_column(table.column_names.index(name), name, pa.array(values))
         return table
 
     schema = "span_id long, symbol string, t int, open double, high double, low double, close double, volume double"
-    return cuts_of.select("span_id", "symbol", "t", "open", "high", "low", "close", "volume").groupBy("span_id").applyInArrow(alter, schema)
+    return cuts_of.select(
+        "span_id", "symbol", "t", "open", "high", "low", "close", "volume"
+    ).groupBy("span_id").applyInArrow(alter, schema)
 
 
 def signal_differences(signals: DataFrame, cuts: tuple[int, ...], tolerance: float = 1e-12) -> DataFrame:
     """(setting_id, k, t, original, altered): first differing signal up to each cut."""
     limit = F.element_at(F.array(*[F.lit(int(c)) for c in cuts]), F.col("k").cast("int"))
     base = signals.where("span_id = 0").select("setting_id", "symbol", "seq", "t", F.col("target_weight").alias("a"))
-    other = signals.where("span_id > 0").select(F.col("span_id").alias("k"), "setting_id", "symbol", "seq", "t", F.col("target_weight").alias("b")).where(F.col("t") <= limit)
-    spread = base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(len(cuts))))).withColumn("k", F.col("k").cast("long")).where(F.col("t") <= limit)
+    other = signals.where("span_id > 0").select(
+        F.col("span_id").alias("k"), "setting_id", "symbol", "seq", "t", F.col("target_weight").alias("b")
+    ).where(F.col("t") <= limit)
+    spread = base.withColumn(
+        "k", F.explode(F.sequence(F.lit(1), F.lit(len(cuts))))
+    ).withColumn("k", F.col("k").cast("long")).where(F.col("t") <= limit)
     j = spread.join(other, ["k", "setting_id", "symbol", "seq", "t"], "full_outer")
-    close = F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs("a"), F.abs("b")))
+    close = F.abs(F.col("a") - F.col("b")) <= F.greatest(
+        F.lit(tolerance), tolerance * F.greatest(F.abs("a"), F.abs("b"))
+    )
     wrong = j.where(F.col("a").isNull() | F.col("b").isNull() | ~close)
-    return wrong.groupBy("setting_id", "k").agg(F.min(F.struct("t", "seq", "symbol", "a", "b")).alias("first")).select("setting_id", "k", "first.t", F.col("first.a").alias("original"), F.col("first.b").alias("altered"))
+    return wrong.groupBy("setting_id", "k").agg(F.min(F.struct("t", "seq", "symbol", "a", "b")).alias("first")).select(
+        "setting_id", "k", "first.t", F.col("first.a").alias("original"), F.col("first.b").alias("altered")
+    )
 
 
-def detect_look_ahead(bars: DataFrame, spec: Spec, n_cuts: int = 5, seed: int = 0, look_ahead: bool = False) -> LeakReport:
+def detect_look_ahead(
+    bars: DataFrame, spec: Spec, n_cuts: int = 5, seed: int = 0, look_ahead: bool = False
+) -> LeakReport:
     """Check every setting of spec on one series; look_ahead checks the leaky twin instead."""
     n = bars.select("t").distinct().count()
     cuts = cut_points(n, spec.warmup, n_cuts)
@@ -99,14 +115,30 @@ def detect_look_ahead(bars: DataFrame, spec: Spec, n_cuts: int = 5, seed: int =
     try:
         signals = spec.signals(spans, leaky=look_ahead)
     except LookAheadError as refused:
-        return LeakReport(cuts, spec.grid, [{"params": p, "cut": -1, "t": None, "detail": f"refused: {refused}"} for p in spec.grid], [])
+        return LeakReport(
+            cuts,
+            spec.grid,
+            [{"params": p, "cut": -1, "t": None, "detail": f"refused: {refused}"} for p in spec.grid],
+            [],
+        )
     one = signals.where("span_id = 0").select("setting_id", "symbol", "t", "seq", "target_weight")
-    again = spec.signals(spans.where("span_id = 0"), leaky=look_ahead).select("setting_id", "symbol", "t", "seq", "target_weight")
-    unstable = {r["setting_id"] for r in one.exceptAll(again).union(again.exceptAll(one)).select("setting_id").distinct().collect()}
+    again = spec.signals(spans.where("span_id = 0"), leaky=look_ahead).select(
+        "setting_id", "symbol", "t", "seq", "target_weight"
+    )
+    unstable = {
+        r[
+            "setting_id"
+        ] for r in one.exceptAll(again).union(again.exceptAll(one)).select("setting_id").distinct().collect()
+    }
     found: dict[int, dict] = {}
     for r in signal_differences(signals, cuts).orderBy("k").collect():
         if r["setting_id"] not in unstable and r["setting_id"] not in found:
             p = spec.grid[r["setting_id"]]
-            found[r["setting_id"]] = {"params": p, "cut": cuts[r["k"] - 1], "t": r["t"], "detail": f"the signal at bar {r['t']} changed from {r['original']} to {r['altered']} when only bars after {cuts[r['k'] - 1]} were altered"}
+            found[r["setting_id"]] = {
+                "params": p,
+                "cut": cuts[r["k"] - 1],
+                "t": r["t"],
+                "detail": f"the signal at bar {r['t']} changed from {r['original']} to {r['altered']} when only bars after {cuts[r['k'] - 1]} were altered",
+            }
     spans.unpersist()
     return LeakReport(cuts, spec.grid, [found[k] for k in sorted(found)], [spec.grid[k] for k in sorted(unstable)])

@@ -23,14 +23,29 @@ _FIELDS = [f.split(" ")[0] for f in BOOK_SCHEMA.split(", ")]
 
 def manifest(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Rows of run_id, span_id, setting_id, leaky, warmup and account (an Account) as a DataFrame."""
-    typed = [(int(r["run_id"]), int(r["span_id"]), int(r["setting_id"]), bool(r.get("leaky", False)), int(r.get("warmup", 0)), json.dumps(r["account"].to_dict())) for r in rows]
-    return spark.createDataFrame(typed, "run_id long, span_id long, setting_id int, leaky boolean, warmup int, account string")
+    typed = [
+        (
+            int(r["run_id"]),
+            int(r["span_id"]),
+            int(r["setting_id"]),
+            bool(r.get("leaky", False)),
+            int(r.get("warmup", 0)),
+            json.dumps(r["account"].to_dict()),
+        ) for r in rows
+    ]
+    return spark.createDataFrame(
+        typed, "run_id long, span_id long, setting_id int, leaky boolean, warmup int, account string"
+    )
 
 
 def span_bars(bars: DataFrame, spans: DataFrame) -> DataFrame:
     """Bars of every span: spans(span_id, series_id, start, end) meet bars by series, then by range."""
-    met = (F.col("s.series_id") == F.col("b.series_id")) & (F.col("b.t") >= F.col("s.start")) & (F.col("b.t") < F.col("s.end"))
-    return spans.alias("s").join(bars.alias("b"), met).select("s.span_id", "b.symbol", "b.t", "b.time", "b.open", "b.high", "b.low", "b.close", "b.volume")
+    met = (F.col("s.series_id") == F.col("b.series_id")) & (
+        F.col("b.t") >= F.col("s.start")
+    ) & (F.col("b.t") < F.col("s.end"))
+    return spans.alias("s").join(bars.alias("b"), met).select(
+        "s.span_id", "b.symbol", "b.t", "b.time", "b.open", "b.high", "b.low", "b.close", "b.volume"
+    )
 
 
 #: One row a run: moments of the scored returns (central ones over n), ends of the curve, costs of all fills.
@@ -46,10 +61,25 @@ def _summary(run: int, equity: list[float], fills: list, warmup: int, keep: bool
         fall = np.where(top == 0, 0.0, e / top - 1)
     r = np.where(np.isfinite(r), r, 0.0)
     n, d = len(r), r - r.mean() if len(r) else r
-    out = {"run_id": run, "n_returns": n, "mean": float(r.mean()) if n else None, "sd": float(r.std(ddof=1)) if n > 1 else None}
+    out = {
+        "run_id": run,
+        "n_returns": n,
+        "mean": float(r.mean()) if n else None,
+        "sd": float(r.std(ddof=1)) if n > 1 else None,
+    }
     out |= {f"m{k}": float((d**k).mean()) if n else None for k in (2, 3, 4)}
-    out |= {"first": float(e[0]) if len(e) else None, "last": float(e[-1]) if len(e) else None, "mean_equity": float(e.mean()) if len(e) else None, "max_drawdown": float(fall.min()) if len(e) else None}
-    out |= {"n_trades": len(fills), "commission": sum(f[5] for f in fills), "slippage": sum(abs(f[3] - f[4]) * abs(f[2]) for f in fills), "notional": sum(abs(f[2] * f[3]) for f in fills)}
+    out |= {
+        "first": float(e[0]) if len(e) else None,
+        "last": float(e[-1]) if len(e) else None,
+        "mean_equity": float(e.mean()) if len(e) else None,
+        "max_drawdown": float(fall.min()) if len(e) else None,
+    }
+    out |= {
+        "n_trades": len(fills),
+        "commission": sum(f[5] for f in fills),
+        "slippage": sum(abs(f[3] - f[4]) * abs(f[2]) for f in fills),
+        "notional": sum(abs(f[2] * f[3]) for f in fills),
+    }
     return out | {"returns": r.tolist() if keep else None}
 
 
@@ -82,7 +112,9 @@ def _summarise(table: pa.Table) -> pa.Table:
             fills += some
     row = _summary(first["run_id"], equity, fills, first["warmup"], first["keep"])
     kinds = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
-    return pa.table({f.split(" ")[0]: pa.array([row[f.split(" ")[0]]], kinds[f.split(" ")[1]]) for f in SUMMARY_SCHEMA.split(", ")})
+    return pa.table(
+        {f.split(" ")[0]: pa.array([row[f.split(" ")[0]]], kinds[f.split(" ")[1]]) for f in SUMMARY_SCHEMA.split(", ")}
+    )
 
 
 def _fold(table: pa.Table) -> pa.Table:
@@ -99,18 +131,52 @@ def _fold(table: pa.Table) -> pa.Table:
             break
         cash, positions, prices, equity = mark
         for s in symbols:
-            emit(run_id=run, kind="equity", t=t, symbol=s, cash=cash, position=positions[s], price=prices[s], equity=equity)
+            emit(
+                run_id=run,
+                kind="equity",
+                t=t,
+                symbol=s,
+                cash=cash,
+                position=positions[s],
+                price=prices[s],
+                equity=equity,
+            )
         for ft, s, units, price, reference, fee in fills:
-            emit(run_id=run, kind="fill", t=ft, symbol=s, quantity=units, fill_price=price, reference_price=reference, commission=fee)
-    emit(run_id=run, kind="total", cash=book.cash, position=sum(book.holdings.values()), cancelled=book.cancelled, expired=book.expired, financing=book.financing)
+            emit(
+                run_id=run,
+                kind="fill",
+                t=ft,
+                symbol=s,
+                quantity=units,
+                fill_price=price,
+                reference_price=reference,
+                commission=fee,
+            )
+    emit(
+        run_id=run,
+        kind="total",
+        cash=book.cash,
+        position=sum(book.holdings.values()),
+        cancelled=book.cancelled,
+        expired=book.expired,
+        financing=book.financing,
+    )
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-    return pa.table({f.split(" ")[0]: pa.array(out[f.split(" ")[0]], kinds[f.split(" ")[1]]) for f in BOOK_SCHEMA.split(", ")})
+    return pa.table(
+        {f.split(" ")[0]: pa.array(out[f.split(" ")[0]], kinds[f.split(" ")[1]]) for f in BOOK_SCHEMA.split(", ")}
+    )
 
 
 def _wide(runs: DataFrame, bars_of_spans: DataFrame, signals: DataFrame, *extra: str) -> DataFrame:
-    packed = signals.groupBy("span_id", "setting_id", "leaky", "t", "symbol").agg(F.array_sort(F.collect_list(F.struct("seq", "target_weight"))).alias("signals"))
-    wide = runs.select("run_id", "span_id", "setting_id", "leaky", "account", *extra).join(bars_of_spans, "span_id").join(packed, ["span_id", "setting_id", "leaky", "t", "symbol"], "left")
-    return wide.select("run_id", "account", *extra, "t", "symbol", "open", "high", "low", "close", "volume", "signals").groupBy("run_id")
+    packed = signals.groupBy("span_id", "setting_id", "leaky", "t", "symbol").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "target_weight"))).alias("signals")
+    )
+    wide = runs.select(
+        "run_id", "span_id", "setting_id", "leaky", "account", *extra
+    ).join(bars_of_spans, "span_id").join(packed, ["span_id", "setting_id", "leaky", "t", "symbol"], "left")
+    return wide.select(
+        "run_id", "account", *extra, "t", "symbol", "open", "high", "low", "close", "volume", "signals"
+    ).groupBy("run_id")
 
 
 def run_backtests(runs: DataFrame, bars_of_spans: DataFrame, signals: DataFrame) -> DataFrame:
@@ -134,19 +200,44 @@ def equity_of(book: DataFrame) -> DataFrame:
 def fills_of(book: DataFrame) -> DataFrame:
     """Fills with direction, unsigned quantity and slippage cost."""
     f = book.where("kind = 'fill'")
-    return f.select("run_id", "t", "symbol", F.when(F.col("quantity") > 0, "BUY").otherwise("SELL").alias("direction"), F.abs("quantity").alias("quantity"), "fill_price", "reference_price", "commission", (F.abs(F.col("fill_price") - F.col("reference_price")) * F.abs("quantity")).alias("slippage_cost"))
+    return f.select(
+        "run_id",
+        "t",
+        "symbol",
+        F.when(F.col("quantity") > 0, "BUY").otherwise("SELL").alias("direction"),
+        F.abs("quantity").alias("quantity"),
+        "fill_price",
+        "reference_price",
+        "commission",
+        (F.abs(F.col("fill_price") - F.col("reference_price")) * F.abs("quantity")).alias("slippage_cost"),
+    )
 
 
 def gross_exposure(equity: DataFrame) -> DataFrame:
     """(run_id, t, equity, gross): absolute value of all positions at each mark."""
-    return equity.groupBy("run_id", "t").agg(F.first("equity").alias("equity"), F.sum(F.abs(F.col("position") * F.col("price"))).alias("gross"))
+    return equity.groupBy("run_id", "t").agg(
+        F.first("equity").alias("equity"), F.sum(F.abs(F.col("position") * F.col("price"))).alias("gross")
+    )
 
 
 def totals_of(book: DataFrame) -> DataFrame:
-    return book.where("kind = 'total'").select("run_id", F.col("cash").alias("final_cash"), F.col("position").alias("final_position"), "cancelled", "expired", (F.col("cancelled") + F.col("expired")).alias("unfilled"), "financing")
+    return book.where("kind = 'total'").select(
+        "run_id",
+        F.col("cash").alias("final_cash"),
+        F.col("position").alias("final_position"),
+        "cancelled",
+        "expired",
+        (F.col("cancelled") + F.col("expired")).alias("unfilled"),
+        "financing",
+    )
 
 
 def event_counts(book: DataFrame, signals_per_run: DataFrame | None = None) -> DataFrame:
     """Bars and fills of each run, and signals where given (run_id, n)."""
-    out = book.groupBy("run_id").agg(F.count_distinct(F.when(F.col("kind") == "equity", F.col("t"))).alias("market"), F.count(F.when(F.col("kind") == "fill", 1)).alias("fill"))
-    return out if signals_per_run is None else out.join(signals_per_run.withColumnRenamed("n", "signal"), "run_id", "left")
+    out = book.groupBy("run_id").agg(
+        F.count_distinct(F.when(F.col("kind") == "equity", F.col("t"))).alias("market"),
+        F.count(F.when(F.col("kind") == "fill", 1)).alias("fill"),
+    )
+    return out if signals_per_run is None else out.join(
+        signals_per_run.withColumnRenamed("n", "signal"), "run_id", "left"
+    )

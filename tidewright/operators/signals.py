@@ -60,7 +60,9 @@ def look_ahead_faults(df: DataFrame, bars: DataFrame | None = None) -> list[str]
         for text in texts:
             if "scalar-subquery" in text or "exists#" in text:
                 found.append("a subquery may read any row")
-            for spec, upper in re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe\(\w+, [^,]+, (.+?)\)", text):
+            for spec, upper in re.findall(
+                r"windowspecdefinition\((.*?)specifiedwindowframe\(\w+, [^,]+, (.+?)\)", text
+            ):
                 within_bar = re.search(r"\bt#\d+L?, ", spec)  # partitioned by the bar itself
                 if not within_bar and not re.match(r"currentrow|-\d|0$", upper):
                     found.append(f"a window frame reaches the future: its upper bound is {upper}")
@@ -130,7 +132,14 @@ def _w():
 
 
 def _emit(df: DataFrame, weight, strength=None, seq=None) -> DataFrame:
-    return df.select("span_id", "t", (F.lit(0) if seq is None else seq).cast("int").alias("seq"), "symbol", weight.alias("target_weight"), (F.lit(0.0) if strength is None else strength).alias("strength"))
+    return df.select(
+        "span_id",
+        "t",
+        (F.lit(0) if seq is None else seq).cast("int").alias("seq"),
+        "symbol",
+        weight.alias("target_weight"),
+        (F.lit(0.0) if strength is None else strength).alias("strength"),
+    )
 
 
 def _clip(x, top: float):
@@ -140,7 +149,9 @@ def _clip(x, top: float):
 def momentum(bars: DataFrame, p: Params) -> DataFrame:
     """Momentum over the spread of earlier momenta; silent until enough of them are seen."""
     k, deep, least = int(p.get("lookback", 20)), int(p.get("vol_window", 90)), int(p.get("min_vol_observations", 30))
-    df = bars.withColumn("_c", F.lag("close", k).over(_w())).withColumn("mom", F.log(F.try_divide(F.col("close"), F.col("_c"))))
+    df = bars.withColumn("_c", F.lag("close", k).over(_w())).withColumn(
+        "mom", F.log(F.try_divide(F.col("close"), F.col("_c")))
+    )
     past = _w().rowsBetween(-deep, -1)
     df = df.withColumn("scale", F.stddev_samp("mom").over(past)).withColumn("seen", F.count("mom").over(past))
     df = df.where(f"mom is not null and seen >= {least} and scale > 0")
@@ -155,9 +166,14 @@ def momentum_leaky(bars: DataFrame, p: Params) -> DataFrame:
     w, whole = _w(), Window.partitionBy("span_id", "symbol")
     df = bars.withColumn("_honest", F.log(F.try_divide(F.col("close"), F.lag("close", k).over(w))))
     # towards the end the peek takes the last close there is; the last bar has none and is honest
-    end = F.coalesce(F.lead("close", peek).over(w), F.last("close").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    end = F.coalesce(
+        F.lead("close", peek).over(w),
+        F.last("close").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    )
     df = df.withColumn("_ahead", F.log(F.try_divide(end, F.lag("close", k - 1).over(w) if k > 1 else F.col("close"))))
-    df = df.withColumn("mom", F.when(F.lead("close", 1).over(w).isNull(), F.col("_honest")).otherwise(F.col("_ahead"))).withColumn("scale", F.stddev_samp("_honest").over(whole))
+    df = df.withColumn(
+        "mom", F.when(F.lead("close", 1).over(w).isNull(), F.col("_honest")).otherwise(F.col("_ahead"))
+    ).withColumn("scale", F.stddev_samp("_honest").over(whole))
     df = df.where("mom is not null and scale > 0")
     z = F.try_divide(F.try_divide(F.col("mom"), F.col("scale")), F.lit(float(p.get("z_scale", 1.5))))
     return _emit(df, _clip(z, p.get("max_weight", 1.0)), F.try_divide(F.col("mom"), F.col("scale")))
@@ -175,7 +191,9 @@ def sma_crossover(bars: DataFrame, p: Params) -> DataFrame:
     if fast >= slow:
         raise ValueError("fast must be below slow")
     w = _w()
-    df = bars.withColumn("_a", F.avg("close").over(w.rowsBetween(-(fast - 1), 0))).withColumn("_b", F.avg("close").over(w.rowsBetween(-(slow - 1), 0))).withColumn("_n", F.count("close").over(w.rowsBetween(-(slow - 1), 0)))
+    df = bars.withColumn("_a", F.avg("close").over(w.rowsBetween(-(fast - 1), 0))).withColumn(
+        "_b", F.avg("close").over(w.rowsBetween(-(slow - 1), 0))
+    ).withColumn("_n", F.count("close").over(w.rowsBetween(-(slow - 1), 0)))
     out = F.when(F.col("_a") > F.col("_b"), 1.0).otherwise(-1.0 if p.get("allow_short") else 0.0)
     return _emit(df.where(f"_n = {slow}"), out)
 
@@ -185,14 +203,22 @@ def cross_sectional_momentum(bars: DataFrame, p: Params) -> DataFrame:
 
     Signals go out in the order of growing change of absolute target, so that positions are cut before others are opened.
     """
-    k, top, every, gross = int(p.get("lookback", 60)), int(p.get("top_n", 1)), int(p.get("rebalance_every", 21)), float(p.get("gross", 1.0))
+    k, top, every, gross = int(
+        p.get("lookback", 60)
+    ), int(p.get("top_n", 1)), int(p.get("rebalance_every", 21)), float(p.get("gross", 1.0))
     both = bool(p.get("long_short", False))
     n_symbols = bars.groupBy("span_id").agg(F.count_distinct("symbol").alias("_all"))
-    df = bars.withColumn("_c", F.lag("close", k).over(_w())).withColumn("score", F.log(F.try_divide(F.col("close"), F.col("_c")))).where("score is not null")
+    df = bars.withColumn("_c", F.lag("close", k).over(_w())).withColumn(
+        "score", F.log(F.try_divide(F.col("close"), F.col("_c")))
+    ).where("score is not null")
     day = Window.partitionBy("span_id", "t")
     df = df.join(n_symbols, "span_id").withColumn("_here", F.count(F.lit(1)).over(day)).where("_here = _all")
-    df = df.withColumn("_k", F.dense_rank().over(Window.partitionBy("span_id").orderBy("t")) - 1).where(f"pmod(_k, {every}) = 0")
-    up, down = F.row_number().over(day.orderBy(F.desc("score"), "symbol")), F.row_number().over(day.orderBy("score", F.desc("symbol")))
+    df = df.withColumn(
+        "_k", F.dense_rank().over(Window.partitionBy("span_id").orderBy("t")) - 1
+    ).where(f"pmod(_k, {every}) = 0")
+    up, down = F.row_number().over(day.orderBy(F.desc("score"), "symbol")), F.row_number().over(
+        day.orderBy("score", F.desc("symbol"))
+    )
     size = gross / (top * (2 if both else 1))
     target = F.when(F.lit(both) & (F.col("_down") <= top), -size).when(F.col("_up") <= top, size).otherwise(0.0)
     df = df.withColumn("_up", up).withColumn("_down", down).withColumn("target", target)
@@ -213,7 +239,9 @@ def per_bar(callback: Callable[[list[tuple]], float | None]) -> Callable[[DataFr
             import pandas as pd
 
             pdf = pdf.sort_values("t")
-            rows, out = list(pdf[["t", "open", "high", "low", "close", "volume"]].itertuples(index=False, name=None)), []
+            rows, out = list(
+                pdf[["t", "open", "high", "low", "close", "volume"]].itertuples(index=False, name=None)
+            ), []
             history = []
             for i, row in enumerate(rows):
                 history.append(row)  # the callback sees this list as far as it goes now
@@ -222,7 +250,9 @@ def per_bar(callback: Callable[[list[tuple]], float | None]) -> Callable[[DataFr
                     out.append((pdf["span_id"].iloc[0], rows[i][0], 0, pdf["symbol"].iloc[0], float(weight), 0.0))
             return pd.DataFrame(out, columns=["span_id", "t", "seq", "symbol", "target_weight", "strength"])
 
-        return bars.select("span_id", "symbol", "t", "open", "high", "low", "close", "volume").groupBy("span_id", "symbol").applyInPandas(run, "span_id long, t int, seq int, symbol string, target_weight double, strength double")
+        return bars.select(
+            "span_id", "symbol", "t", "open", "high", "low", "close", "volume"
+        ).groupBy("span_id", "symbol").applyInPandas(run, "span_id long, t int, seq int, symbol string, target_weight double, strength double")
 
     return build
 
@@ -243,7 +273,13 @@ WARMUP = max(LOOKBACKS) + 30 + 5
 
 
 def momentum_spec(lookbacks: Sequence[int] = LOOKBACKS, warmup: int | None = None) -> Spec:
-    return Spec("momentum", momentum, param_grid(lookback=tuple(lookbacks)), WARMUP if warmup is None else warmup, momentum_leaky)
+    return Spec(
+        "momentum",
+        momentum,
+        param_grid(lookback=tuple(lookbacks)),
+        WARMUP if warmup is None else warmup,
+        momentum_leaky,
+    )
 
 
 def sma_spec(fast: Sequence[int] = (10, 20, 50), slow: Sequence[int] = (100, 200)) -> Spec:

@@ -8,7 +8,16 @@ import math
 from collections.abc import Sequence
 
 SCHEMA_VERSION = 1
-_COLUMNS = (("Stage", "name"), ("Sharpe", "sharpe"), ("P(edge)", "p_edge"), ("Total", "total_return"), ("Ann.", "annual_return"), ("Max DD", "max_drawdown"), ("Trades", "n_trades"), ("Chosen", "chosen"))
+_COLUMNS = (
+    ("Stage", "name"),
+    ("Sharpe", "sharpe"),
+    ("P(edge)", "p_edge"),
+    ("Total", "total_return"),
+    ("Ann.", "annual_return"),
+    ("Max DD", "max_drawdown"),
+    ("Trades", "n_trades"),
+    ("Chosen", "chosen"),
+)
 
 
 def plain(value):
@@ -38,19 +47,27 @@ def probability(p: float) -> str:
 def _chosen(text: str) -> str:
     """Distinct values per parameter, in fold order."""
     settings = json.loads(text)
-    return ", ".join(f"{k}=" + "/".join(f"{s[k]:g}" for s in settings) for k in settings[0]) if settings and settings[0] else "-"
+    return ", ".join(
+        f"{k}=" + "/".join(f"{s[k]:g}" for s in settings) for k in settings[0]
+    ) if settings and settings[0] else "-"
 
 
 def _cells(row: dict) -> list[str]:
     pct = lambda v: f"{v:+.1%}"
-    shown = {"sharpe": lambda v: f"{v:.2f}", "p_edge": probability, "total_return": pct, "annual_return": pct, "max_drawdown": pct, "n_trades": str, "chosen": _chosen, "name": str}
+    shown = {
+        "sharpe": lambda v: f"{v:.2f}", "p_edge": probability, "total_return": pct, "annual_return": pct, "max_drawdown": pct, "n_trades": str, "chosen": _chosen, "name": str
+    }
     return [shown[c](row[c]) for _, c in _COLUMNS]
 
 
 def render_table(rows: Sequence[dict]) -> str:
     table = [[h for h, _ in _COLUMNS], *map(_cells, rows)]
     width = [max(len(r[i]) for r in table) for i in range(len(_COLUMNS))]
-    lines = ["  ".join(c.ljust(w) if i in (0, 7) else c.rjust(w) for i, (c, w) in enumerate(zip(r, width, strict=True))).rstrip() for r in table]
+    lines = [
+        "  ".join(
+            c.ljust(w) if i in (0, 7) else c.rjust(w) for i, (c, w) in enumerate(zip(r, width, strict=True))
+        ).rstrip() for r in table
+    ]
     return "\n".join([lines[0], "-" * len(lines[0]), *lines[1:]])
 
 
@@ -70,7 +87,9 @@ def render_cpcv(summary: dict, walk_forward: float | None = None) -> str:
 
 
 def render_sweep(rows: Sequence[dict]) -> str:
-    return "\n".join(f"{r['name']:<24} mean {r['mean']:6.2f}  sd {r['sd']:5.2f}  t {r['t']:7.2f}  n {r['n']}" for r in rows)
+    return "\n".join(
+        f"{r['name']:<24} mean {r['mean']:6.2f}  sd {r['sd']:5.2f}  t {r['t']:7.2f}  n {r['n']}" for r in rows
+    )
 
 
 def t_statistic(sharpe: float, n_returns: int, bars_per_year: float = 252) -> float:
@@ -79,12 +98,20 @@ def t_statistic(sharpe: float, n_returns: int, bars_per_year: float = 252) -> fl
 
 def verdict(sharpe: float, n_returns: int, bars_per_year: float = 252) -> str:
     t = t_statistic(sharpe, n_returns, bars_per_year)
-    return f"out-of-sample t = {t:.2f}: " + ("distinguishable from zero" if abs(t) > 2 else "not distinguishable from zero")
+    return f"out-of-sample t = {t:.2f}: " + (
+        "distinguishable from zero" if abs(t) > 2 else "not distinguishable from zero"
+    )
 
 
 def render_audit(rows: Sequence[dict], leak_summary: str, cpcv: dict | None = None, markdown: bool = False) -> str:
     last = rows[-1]
-    parts = [leak_summary, (render_markdown if markdown else render_table)(rows), f"buy and hold: {last['buy_hold_sharpe']:.2f}", render_costs(last), verdict(last["sharpe"], last["n_returns"])]
+    parts = [
+        leak_summary,
+        (render_markdown if markdown else render_table)(rows),
+        f"buy and hold: {last['buy_hold_sharpe']:.2f}",
+        render_costs(last),
+        verdict(last["sharpe"], last["n_returns"]),
+    ]
     if cpcv:
         parts.append(render_cpcv(cpcv, last["sharpe"]))
     return "\n\n".join(parts)
@@ -99,7 +126,9 @@ def _bars_svg(rows: Sequence[dict], width: int = 720, bar: int = 26) -> str:
     zero, scale, parts = 260 + (width - 300) * 0.3, (width - 300) * 0.6 / top, []
     for i, r in enumerate(rows):
         x, w = (zero, r["sharpe"] * scale) if r["sharpe"] >= 0 else (zero + r["sharpe"] * scale, -r["sharpe"] * scale)
-        parts.append(f'<text x="0" y="{i * bar + 17}">{html.escape(r["name"])}</text><rect x="{x:.1f}" y="{i * bar + 4}" width="{max(w, 1):.1f}" height="{bar - 8}" fill="{"#2a7" if r["honest"] else "#89a"}"/><text x="{width - 60}" y="{i * bar + 17}">{r["sharpe"]:.2f}</text>')
+        parts.append(
+            f'<text x="0" y="{i * bar + 17}">{html.escape(r["name"])}</text><rect x="{x:.1f}" y="{i * bar + 4}" width="{max(w, 1):.1f}" height="{bar - 8}" fill="{"#2a7" if r["honest"] else "#89a"}"/><text x="{width - 60}" y="{i * bar + 17}">{r["sharpe"]:.2f}</text>'
+        )
     return f'<svg viewBox="0 0 {width} {len(rows) * bar}" width="{width}" role="img">{"".join(parts)}</svg>'
 
 
@@ -113,7 +142,9 @@ def _ticks(low: float, high: float, n: int = 4) -> list[float]:
 def _axis(low: float, high: float, height: int, left: int, width: int, show="{:.3g}") -> tuple[str, object]:
     """Grid lines with labels, and the place of a value."""
     at = lambda v: 8 + (high - v) / max(high - low, 1e-12) * (height - 28)
-    lines = "".join(f'<line x1="{left}" x2="{width}" y1="{at(v):.1f}" y2="{at(v):.1f}" stroke="#ddd"/><text x="{left - 6}" y="{at(v) + 4:.1f}" text-anchor="end">{show.format(v)}</text>' for v in _ticks(low, high))
+    lines = "".join(
+        f'<line x1="{left}" x2="{width}" y1="{at(v):.1f}" y2="{at(v):.1f}" stroke="#ddd"/><text x="{left - 6}" y="{at(v) + 4:.1f}" text-anchor="end">{show.format(v)}</text>' for v in _ticks(low, high)
+    )
     return lines, at
 
 
@@ -141,7 +172,9 @@ def waterfall_svg(rows: Sequence[dict], width: int = 720, height: int = 240) ->
         before = 0.0 if i == 0 else rows[i - 1]["sharpe"]
         top, bottom = max(before, r["sharpe"]), min(before, r["sharpe"])
         colour = "#89a" if i == 0 else "#2a7" if r["sharpe"] >= before else "#b54"
-        parts.append(f'<rect x="{50 + i * step + 6:.1f}" y="{at(top):.1f}" width="{step - 12:.1f}" height="{max(at(bottom) - at(top), 1):.1f}" fill="{colour}"><title>{html.escape(r["name"])}: {r["sharpe"]:.2f}</title></rect><text x="{50 + (i + 0.5) * step:.1f}" y="{height - 4}" text-anchor="middle">{i + 1}</text>')
+        parts.append(
+            f'<rect x="{50 + i * step + 6:.1f}" y="{at(top):.1f}" width="{step - 12:.1f}" height="{max(at(bottom) - at(top), 1):.1f}" fill="{colour}"><title>{html.escape(r["name"])}: {r["sharpe"]:.2f}</title></rect><text x="{50 + (i + 0.5) * step:.1f}" y="{height - 4}" text-anchor="middle">{i + 1}</text>'
+        )
     return _frame("".join(parts), width, height, "change of the ratio by rung")
 
 
@@ -153,7 +186,9 @@ def costs_svg(rows: Sequence[dict], width: int = 720, height: int = 200) -> str:
     for i, r in enumerate(rows):
         base = 0.0
         for name, colour in (("slippage", "#c83"), ("commission", "#865")):
-            parts.append(f'<rect x="{70 + i * step + 8:.1f}" y="{at(base + r[name]):.1f}" width="{step - 16:.1f}" height="{at(base) - at(base + r[name]):.1f}" fill="{colour}"><title>{name} {r[name]:,.0f}</title></rect>')
+            parts.append(
+                f'<rect x="{70 + i * step + 8:.1f}" y="{at(base + r[name]):.1f}" width="{step - 16:.1f}" height="{at(base) - at(base + r[name]):.1f}" fill="{colour}"><title>{name} {r[name]:,.0f}</title></rect>'
+            )
             base += r[name]
         parts.append(f'<text x="{70 + (i + 0.5) * step:.1f}" y="{height - 4}" text-anchor="middle">{i + 1}</text>')
     return _frame("".join(parts), width, height, "costs by rung")
@@ -168,12 +203,20 @@ def paths_svg(sharpes: Sequence[float], width: int = 720, height: int = 160, bin
         count[min(int((v - low) / span * bins), bins - 1)] += 1
     lines, at = _axis(0.0, float(max(count)), height, 50, width)
     step = (width - 50) / bins
-    bars = "".join(f'<rect x="{50 + k * step + 1:.1f}" y="{at(n):.1f}" width="{step - 2:.1f}" height="{at(0.0) - at(n):.1f}" fill="#269"/>' for k, n in enumerate(count))
+    bars = "".join(
+        f'<rect x="{50 + k * step + 1:.1f}" y="{at(n):.1f}" width="{step - 2:.1f}" height="{at(0.0) - at(n):.1f}" fill="#269"/>' for k, n in enumerate(count)
+    )
     ends = f'<text x="50" y="{height - 4}">{low:.2f}</text><text x="{width}" y="{height - 4}" text-anchor="end">{high:.2f}</text>'
     return _frame(lines + bars + ends, width, height, "ratios of the paths")
 
 
-def render_html(rows: Sequence[dict], title: str = "Degradation ladder", equity: Sequence[float] | None = None, notes: str = "", paths: Sequence[float] = ()) -> str:
+def render_html(
+    rows: Sequence[dict],
+    title: str = "Degradation ladder",
+    equity: Sequence[float] | None = None,
+    notes: str = "",
+    paths: Sequence[float] = (),
+) -> str:
     """A page without scripts: the ladder as bars, waterfall, costs and table, equity on both axes, paths."""
     head = "".join(f"<th>{html.escape(h)}</th>" for h, _ in _COLUMNS)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(x)}</td>" for x in _cells(r)) + "</tr>" for r in rows)

@@ -6,7 +6,13 @@ import math
 from statistics import stdev
 
 
-def per_bar_momentum(lookback: float = 20, vol_window: float = 90, min_vol_observations: float = 30, z_scale: float = 1.5, max_weight: float = 1.0):
+def per_bar_momentum(
+    lookback: float = 20,
+    vol_window: float = 90,
+    min_vol_observations: float = 30,
+    z_scale: float = 1.5,
+    max_weight: float = 1.0,
+):
     """The momentum rule bar by bar; history rows are (t, open, high, low, close, volume)."""
     k, deep, least = int(lookback), int(vol_window), int(min_vol_observations)
 
@@ -41,7 +47,10 @@ def live_rule(spark, spec, params: dict):
         return known[spec.name](**params)
 
     def weight(history: list[tuple]) -> float | None:
-        bars = spark.createDataFrame([(0, "LIVE", *map(float, r[1:]), int(r[0])) for r in history], "span_id long, symbol string, open double, high double, low double, close double, volume double, t int")
+        bars = spark.createDataFrame(
+            [(0, "LIVE", *map(float, r[1:]), int(r[0])) for r in history],
+            "span_id long, symbol string, open double, high double, low double, close double, volume double, t int",
+        )
         last = spec.build(bars, params).where(f"t = {int(history[-1][0])}").orderBy("seq").collect()
         return float(last[-1]["target_weight"]) if last else None
 

@@ -29,10 +29,21 @@ def derive_ohlc(df: DataFrame, by: list[str], order: str = "t") -> DataFrame:
     return df.withColumn("high", F.greatest("open", "close")).withColumn("low", F.least("open", "close"))
 
 
-def bars_from_series(closes: DataFrame, symbol: str = "SYNTH", start_index: int = 0, default_volume: float = 1_000_000.0) -> DataFrame:
+def bars_from_series(
+    closes: DataFrame, symbol: str = "SYNTH", start_index: int = 0, default_volume: float = 1_000_000.0
+) -> DataFrame:
     """closes(t, close[, volume]) as bars."""
-    volume = F.coalesce(F.col("volume").cast("double"), F.lit(default_volume)) if "volume" in closes.columns else F.lit(default_volume)
-    df = closes.select(F.lit(symbol).alias("series_id"), F.lit(symbol).alias("symbol"), (F.col("t") + start_index).cast("int").alias("t"), F.lit(None).cast("timestamp_ntz").alias("time"), F.col("close").cast("double").alias("close"), volume.alias("volume"))
+    volume = F.coalesce(
+        F.col("volume").cast("double"), F.lit(default_volume)
+    ) if "volume" in closes.columns else F.lit(default_volume)
+    df = closes.select(
+        F.lit(symbol).alias("series_id"),
+        F.lit(symbol).alias("symbol"),
+        (F.col("t") + start_index).cast("int").alias("t"),
+        F.lit(None).cast("timestamp_ntz").alias("time"),
+        F.col("close").cast("double").alias("close"),
+        volume.alias("volume"),
+    )
     return derive_ohlc(df, ["series_id"]).select(*BAR_COLUMNS)
 
 
@@ -41,7 +52,14 @@ def _find(columns: list[str], names: tuple[str, ...]) -> str | None:
     return next((have[n] for n in names if n in have), None)
 
 
-def normalise_bars(raw: DataFrame, symbol: str | None = None, use_adjusted: bool = True, default_volume: float | None = None, line: str | None = None, check: bool | None = True) -> DataFrame:
+def normalise_bars(
+    raw: DataFrame,
+    symbol: str | None = None,
+    use_adjusted: bool = True,
+    default_volume: float | None = None,
+    line: str | None = None,
+    check: bool | None = True,
+) -> DataFrame:
     """Columns of a price table (any accepted spelling) as validated bars.
 
     `line` names a column with the row's order in its file; without one, rows are ordered by
@@ -61,30 +79,60 @@ def normalise_bars(raw: DataFrame, symbol: str | None = None, use_adjusted: bool
     def number(c: str) -> Column:
         return F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)")
 
-    time = F.expr(f"try_cast(regexp_replace(trim(cast(`{date}` as string)), 'Z$|[+-][0-9]{{2}}:?[0-9]{{2}}$', '') as timestamp_ntz)")
+    time = F.expr(
+        f"try_cast(regexp_replace(trim(cast(`{date}` as string)), 'Z$|[+-][0-9]{{2}}:?[0-9]{{2}}$', '') as timestamp_ntz)"
+    )
     name = F.lit(symbol) if symbol is not None else F.col("symbol")
-    cols = {"symbol": name, "_line": F.col(line) if line else F.lit(0), "time": F.date_trunc("day", time).cast("timestamp_ntz") if line else time, "_close": number(close), "volume": number(volume) if volume else F.lit(float(default_volume or 0.0)), "_adj": number(adjusted) if adjusted else number(close)}
-    cols |= {f"_{n}": number(c) if real else F.lit(None).cast("double") for n, c in zip(("open", "high", "low"), ohl, strict=True)}
+    cols = {
+        "symbol": name,
+        "_line": F.col(line) if line else F.lit(0),
+        "time": F.date_trunc("day", time).cast("timestamp_ntz") if line else time,
+        "_close": number(close),
+        "volume": number(volume) if volume else F.lit(float(default_volume or 0.0)),
+        "_adj": number(adjusted) if adjusted else number(close),
+    }
+    cols |= {
+        f"_{n}": number(c) if real else F.lit(None).cast("double") for n, c in zip(
+            ("open", "high", "low"), ohl, strict=True
+        )
+    }
     df = raw.select(*[c.alias(k) for k, c in cols.items()])
-    order = Window.partitionBy("symbol").orderBy("_line", "time") if line else Window.partitionBy("symbol").orderBy("time")
-    df = df.withColumn("t", (F.row_number().over(order) - 1).cast("int")).withColumn("_before", F.lag("time").over(order))
+    order = Window.partitionBy(
+        "symbol"
+    ).orderBy("_line", "time") if line else Window.partitionBy("symbol").orderBy("time")
+    df = df.withColumn("t", (F.row_number().over(order) - 1).cast("int")).withColumn(
+        "_before", F.lag("time").over(order)
+    )
 
     def bad(c: str) -> Column:
         v = F.col(c)
         return v.isNull() | F.isnan(v) | (v <= 0) | (v == math.inf)
 
     v = F.col("volume")
-    wrong = F.when(F.col("time").isNull(), "date can't be read").when(F.col("_before").isNotNull() & (F.col("time") <= F.col("_before")), "dates must strictly increase").when(bad("_close"), "close must be a positive number").when(bad("_adj"), "adjusted close must be a positive number")
+    wrong = F.when(F.col("time").isNull(), "date can't be read").when(
+        F.col("_before").isNotNull() & (F.col("time") <= F.col("_before")), "dates must strictly increase"
+    ).when(bad(
+        "_close"
+    ), "close must be a positive number").when(bad("_adj"), "adjusted close must be a positive number")
     for c in ("_open", "_high", "_low") if real else ():
         wrong = wrong.when(bad(c), f"{c[1:]} must be a positive number")
-    wrong = wrong.when(v.isNull() | F.isnan(v) | (v < 0) | (v == math.inf), "volume must be a number that isn't negative")
+    wrong = wrong.when(
+        v.isNull() | F.isnan(v) | (v < 0) | (v == math.inf), "volume must be a number that isn't negative"
+    )
     if check is None:
         return df.withColumn("fault", wrong).where("fault is not null").select("symbol", "t", "fault")
     if check:
-        seen = df.withColumn("_wrong", wrong).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_wrong").isNotNull(), F.struct("t", "_wrong"))).alias("first")).where("first is not null or n < 2").limit(1).collect()
+        seen = df.withColumn("_wrong", wrong).groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.when(F.col("_wrong").isNotNull(), F.struct("t", "_wrong"))).alias("first"),
+        ).where("first is not null or n < 2").limit(1).collect()
         if seen:
             first = seen[0]["first"]
-            raise BarFormatError(f"{seen[0]['symbol']}: " + (f"row {first['t'] + 2}: {first['_wrong']}" if first else "need at least two rows"))
+            raise BarFormatError(
+                f"{seen[0]['symbol']}: " + (
+                    f"row {first['t'] + 2}: {first['_wrong']}" if first else "need at least two rows"
+                )
+            )
     scale = F.col("_adj") / F.col("_close")
     df = df.withColumn("close", F.col("_adj")).withColumn("series_id", F.col("symbol"))
     if real:
@@ -102,8 +150,18 @@ def price_faults(raw: DataFrame, **options) -> DataFrame:
 
 def write_prices(bars: DataFrame, path: str, dates: str = "yyyy-MM-dd") -> None:
     """Bars of one series as a folder of CSV that load_bars reads: Date, Open, High, Low, Close, Volume, in the order of t."""
-    day = F.coalesce(F.date_format("time", dates), F.date_format(F.date_add(F.lit("2000-01-03").cast("date"), F.col("t")), dates))
-    out = bars.select(day.alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"), "t")
+    day = F.coalesce(
+        F.date_format("time", dates), F.date_format(F.date_add(F.lit("2000-01-03").cast("date"), F.col("t")), dates)
+    )
+    out = bars.select(
+        day.alias("Date"),
+        F.col("open").alias("Open"),
+        F.col("high").alias("High"),
+        F.col("low").alias("Low"),
+        F.col("close").alias("Close"),
+        F.col("volume").alias("Volume"),
+        "t",
+    )
     out.coalesce(1).sortWithinPartitions("t").drop("t").write.option("header", True).csv(path)
 
 
@@ -127,12 +185,18 @@ def fetched_bars(spark: SparkSession, symbol: str, start: str, end: str, fetch=N
         def fetch(symbol, start, end):
             got = yfinance.download(symbol, start=start, end=end, auto_adjust=False, progress=False)
             got.columns = [c[0] if isinstance(c, tuple) else c for c in got.columns]
-            return [(str(d.date()), *map(float, r)) for d, *r in got[["Open", "High", "Low", "Close", "Adj Close", "Volume"]].itertuples(name=None)]
+            return [
+                (str(d.date()), *map(float, r)) for d, *r in got[
+                    ["Open", "High", "Low", "Close", "Adj Close", "Volume"]
+                ].itertuples(name=None)
+            ]
 
     rows = list(fetch(symbol, start, end))
     if not rows:
         raise BarFormatError(f"no prices of {symbol} from {start} to {end}")
-    raw = spark.createDataFrame(rows, "Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double")
+    raw = spark.createDataFrame(
+        rows, "Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double"
+    )
     return normalise_bars(raw, symbol, **options)
 
 
@@ -140,7 +204,13 @@ def _stem(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0].upper()
 
 
-def load_bars(spark: SparkSession, path: str, symbol: str | None = None, use_adjusted: bool = True, default_volume: float | None = None) -> DataFrame:
+def load_bars(
+    spark: SparkSession,
+    path: str,
+    symbol: str | None = None,
+    use_adjusted: bool = True,
+    default_volume: float | None = None,
+) -> DataFrame:
     """Bars from a CSV file (header, any column order) or a Parquet file, by its suffix."""
     symbol = symbol or _stem(path)
     if path.endswith((".parquet", ".pq")):
@@ -167,14 +237,18 @@ def load_panel(spark: SparkSession, paths: list[str], **options) -> DataFrame:
 def shared_dates(rows: DataFrame) -> DataFrame:
     """The rows(symbol, time, ...) of dates that every symbol has."""
     n = rows.agg(F.count_distinct("symbol").alias("n"))
-    common = rows.groupBy("time").agg(F.count_distinct("symbol").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("time")
+    common = rows.groupBy("time").agg(F.count_distinct("symbol").alias("k")).join(
+        F.broadcast(n), F.col("k") == F.col("n")
+    ).select("time")
     return rows.join(common, "time", "left_semi")
 
 
 def align_panel(bars: DataFrame) -> DataFrame:
     """Bars of the dates on which every symbol trades, t counted from 0 again."""
     kept = shared_dates(bars)
-    return kept.withColumn("t", (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("int")).withColumn("series_id", F.lit("PANEL")).select(*BAR_COLUMNS)
+    return kept.withColumn(
+        "t", (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("int")
+    ).withColumn("series_id", F.lit("PANEL")).select(*BAR_COLUMNS)
 
 
 def same_calendar(bars: DataFrame) -> bool:
@@ -187,7 +261,9 @@ def has_real_opens(bars: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """(series_id, real_opens): some open differs from the previous close beyond float noise."""
     before = F.lag("close").over(Window.partitionBy("series_id", "symbol").orderBy("t"))
     gap = F.abs(F.col("open") - before) > tolerance * F.abs(before)
-    return bars.withColumn("_g", F.coalesce(gap, F.lit(False))).groupBy("series_id").agg(F.max("_g").alias("real_opens"))
+    return bars.withColumn("_g", F.coalesce(gap, F.lit(False))).groupBy("series_id").agg(
+        F.max("_g").alias("real_opens")
+    )
 
 
 # Builders over the driver's tables
@@ -195,33 +271,59 @@ def has_real_opens(bars: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 def _ratio_of_sums(df: DataFrame, *keys: str) -> DataFrame:
     """Exact decimal sums, so that any summation order gives the same price."""
-    price, volume = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), F.sum(F.col("l_quantity").cast("decimal(18,2)"))
+    price, volume = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), F.sum(
+        F.col("l_quantity").cast("decimal(18,2)")
+    )
     return df.groupBy(*keys).agg(price.cast("double").alias("paid"), volume.cast("double").alias("volume"))
 
 
 def _smoothed(df: DataFrame, by: list[str], window: int) -> DataFrame:
-    px = F.avg(F.col("paid") / F.col("volume")).over(Window.partitionBy(*by).orderBy("time").rowsBetween(-(window - 1), 0))
-    df = df.withColumn("close", F.round(px, 6)).withColumn("t", (F.row_number().over(Window.partitionBy(*by).orderBy("time")) - 1).cast("int"))
+    px = F.avg(F.col("paid") / F.col("volume")).over(
+        Window.partitionBy(*by).orderBy("time").rowsBetween(-(window - 1), 0)
+    )
+    df = df.withColumn("close", F.round(px, 6)).withColumn(
+        "t", (F.row_number().over(Window.partitionBy(*by).orderBy("time")) - 1).cast("int")
+    )
     return derive_ohlc(df, by)
 
 
 def daily_bars(lineitem: DataFrame, window: int = 21) -> DataFrame:
     """One series ALL: price per unit of each ship date, smoothed over `window` rows."""
-    day = _ratio_of_sums(lineitem, "l_shipdate").select(F.lit("ALL").alias("series_id"), F.lit("ALL").alias("symbol"), F.col("l_shipdate").alias("time"), "paid", "volume")
+    day = _ratio_of_sums(lineitem, "l_shipdate").select(
+        F.lit("ALL").alias("series_id"),
+        F.lit("ALL").alias("symbol"),
+        F.col("l_shipdate").alias("time"),
+        "paid",
+        "volume",
+    )
     return _smoothed(day, ["series_id"], window).select(*BAR_COLUMNS)
 
 
 def flag_panel(lineitem: DataFrame, window: int = 21) -> DataFrame:
     """Panel of return flags over the dates that all flags share; aligned first, then smoothed."""
-    day = _ratio_of_sums(lineitem, "l_shipdate", "l_returnflag").select(F.lit("PANEL").alias("series_id"), F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("time"), "paid", "volume")
+    day = _ratio_of_sums(lineitem, "l_shipdate", "l_returnflag").select(
+        F.lit("PANEL").alias("series_id"),
+        F.col("l_returnflag").alias("symbol"),
+        F.col("l_shipdate").alias("time"),
+        "paid",
+        "volume",
+    )
     return _smoothed(shared_dates(day), ["symbol"], window).select(*BAR_COLUMNS)
 
 
 def weekly_brand_panel(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Panel of brands per week over the weeks that all brands share."""
     week = F.date_trunc("week", "l_shipdate").cast("timestamp_ntz")
-    df = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").withColumn("week", week)
-    df = _ratio_of_sums(df, "week", "p_brand").select(F.lit("PANEL").alias("series_id"), F.col("p_brand").alias("symbol"), F.col("week").alias("time"), "paid", "volume")
+    df = lineitem.join(
+        part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"
+    ).withColumn("week", week)
+    df = _ratio_of_sums(df, "week", "p_brand").select(
+        F.lit("PANEL").alias("series_id"),
+        F.col("p_brand").alias("symbol"),
+        F.col("week").alias("time"),
+        "paid",
+        "volume",
+    )
     return _smoothed(shared_dates(df), ["symbol"], 1).select(*BAR_COLUMNS)
 
 
@@ -230,8 +332,16 @@ def event_bars(events: DataFrame, step: str = "hour") -> DataFrame:
     at = F.date_trunc(step, "ts").cast("timestamp_ntz")
     px = F.col("value") + 1
     order = F.struct("ts", "event_id")
-    g = events.withColumn("time", at).groupBy(F.col("event_type").alias("symbol"), "time").agg(F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
-    return g.withColumn("series_id", F.col("symbol")).withColumn("t", (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("int")).select(*BAR_COLUMNS)
+    g = events.withColumn("time", at).groupBy(F.col("event_type").alias("symbol"), "time").agg(
+        F.min_by(px, order).alias("open"),
+        F.max(px).alias("high"),
+        F.min(px).alias("low"),
+        F.max_by(px, order).alias("close"),
+        F.count(F.lit(1)).cast("double").alias("volume"),
+    )
+    return g.withColumn("series_id", F.col("symbol")).withColumn(
+        "t", (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("int")
+    ).select(*BAR_COLUMNS)
 
 
 # Synthetic paths
@@ -269,7 +379,13 @@ def synthetic_arrays(config: SyntheticConfig, seed: int) -> dict[str, np.ndarray
     drift = (config.annual_drift - 0.5 * config.annual_vol**2) * dt
     moves = np.concatenate(([0.0], drift + config.signal_alpha * sigma * state[:-1] + sigma * draw_noise[1:]))
     spread = config.volume_log_vol
-    return {"t": np.arange(n, dtype=np.int32), "close": config.initial_price * np.exp(np.cumsum(moves)), "volume": config.average_daily_volume * np.exp(spread * draw_volume - 0.5 * spread**2), "log_return": moves, "latent_state": state}
+    return {
+        "t": np.arange(n, dtype=np.int32),
+        "close": config.initial_price * np.exp(np.cumsum(moves)),
+        "volume": config.average_daily_volume * np.exp(spread * draw_volume - 0.5 * spread**2),
+        "log_return": moves,
+        "latent_state": state,
+    }
 
 
 def synthetic_paths(spark: SparkSession, seeds: list[int], config: SyntheticConfig | None = None) -> DataFrame:
@@ -278,20 +394,41 @@ def synthetic_paths(spark: SparkSession, seeds: list[int], config: SyntheticConf
 
     def draw(table: pa.Table) -> pa.Table:
         seed = table.column("seed")[0].as_py()
-        return pa.table({"seed": pa.array([seed] * config.n_bars, pa.int64()), **{k: pa.array(v) for k, v in synthetic_arrays(config, seed).items()}})
+        return pa.table(
+            {
+                "seed": pa.array([seed] * config.n_bars, pa.int64()),
+                **{k: pa.array(v) for k, v in synthetic_arrays(config, seed).items()},
+            }
+        )
 
     seeds_df = spark.createDataFrame([(int(s),) for s in seeds], "seed long")
-    return seeds_df.groupBy("seed").applyInArrow(draw, "seed long, t int, close double, volume double, log_return double, latent_state double")
+    return seeds_df.groupBy("seed").applyInArrow(
+        draw, "seed long, t int, close double, volume double, log_return double, latent_state double"
+    )
 
 
 def synthetic_bars(paths: DataFrame) -> DataFrame:
     """Bars of synthetic paths; the series is named by the seed."""
-    df = paths.select(F.col("seed").cast("string").alias("series_id"), F.lit("SYNTH").alias("symbol"), "t", F.lit(None).cast("timestamp_ntz").alias("time"), "close", "volume")
+    df = paths.select(
+        F.col("seed").cast("string").alias("series_id"),
+        F.lit("SYNTH").alias("symbol"),
+        "t",
+        F.lit(None).cast("timestamp_ntz").alias("time"),
+        "close",
+        "volume",
+    )
     return derive_ohlc(df, ["series_id"]).select(*BAR_COLUMNS)
 
 
 def oracle_sharpe(paths: DataFrame, bars_per_year: int = 252) -> DataFrame:
     """(seed, sharpe) of holding the sign of the previous hidden state."""
     before = F.lag("latent_state").over(Window.partitionBy("seed").orderBy("t"))
-    g = paths.withColumn("r", F.signum(before) * F.col("log_return")).where("r is not null").groupBy("seed").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    return g.select("seed", F.when(F.col("s") > 0, F.try_divide(F.col("m"), F.col("s")) * F.sqrt(F.lit(float(bars_per_year)))).otherwise(0.0).alias("sharpe"))
+    g = paths.withColumn("r", F.signum(before) * F.col("log_return")).where("r is not null").groupBy("seed").agg(
+        F.avg("r").alias("m"), F.stddev_samp("r").alias("s")
+    )
+    return g.select(
+        "seed",
+        F.when(
+            F.col("s") > 0, F.try_divide(F.col("m"), F.col("s")) * F.sqrt(F.lit(float(bars_per_year)))
+        ).otherwise(0.0).alias("sharpe"),
+    )

@@ -36,7 +36,14 @@ class FeedError(RuntimeError):
 class PaperSession:
     """One symbol's session, outside Spark: usable bar by bar and storable as JSON."""
 
-    def __init__(self, account: Account, strategy: Callable[[list[tuple]], float | None], memory: int, live_from: str | None = None, state: str | None = None):
+    def __init__(
+        self,
+        account: Account,
+        strategy: Callable[[list[tuple]], float | None],
+        memory: int,
+        live_from: str | None = None,
+        state: str | None = None,
+    ):
         self.account, self.strategy, self.memory, self.live_from = account, strategy, memory, live_from
         saved = json.loads(state) if state else {}
         self.book = Book.from_dict(saved["book"]) if saved else None
@@ -44,7 +51,9 @@ class PaperSession:
         self.seen, self.t = saved.get("seen"), saved.get("t", 0)
 
     def save(self) -> str:
-        return json.dumps({"book": self.book.to_dict() if self.book else None, "recent": self.recent, "seen": self.seen, "t": self.t}) if self.book else ""
+        return json.dumps(
+            {"book": self.book.to_dict() if self.book else None, "recent": self.recent, "seen": self.seen, "t": self.t}
+        ) if self.book else ""
 
     def step(self, symbol: str, time: str, bar: tuple) -> dict | None:
         """The output row of a live bar; None for history and exact repeats."""
@@ -60,10 +69,27 @@ class PaperSession:
             return None
         _, fills = step_book(self.book, self.account, t, {symbol: bar}, [] if weight is None else [(symbol, weight)])
         position = self.book.holdings[symbol]
-        return {"symbol": symbol, "t": t, "time": time, "close": bar[3], "cash": self.book.cash, "position": position, "equity": self.book.cash + position * bar[3], "fills": json.dumps([list(f[2:]) for f in fills]), "working": json.dumps([[o.quantity * o.sign, o.limit, o.expires] for o in self.book.working]), "book": json.dumps(self.book.to_dict())}
-
-
-def paper_stream(bars: DataFrame, account: Account, strategy: Callable[[list[tuple]], float | None], memory: int = 400, live_from: str | None = None) -> DataFrame:
+        return {
+            "symbol": symbol,
+            "t": t,
+            "time": time,
+            "close": bar[3],
+            "cash": self.book.cash,
+            "position": position,
+            "equity": self.book.cash + position * bar[3],
+            "fills": json.dumps([list(f[2:]) for f in fills]),
+            "working": json.dumps([[o.quantity * o.sign, o.limit, o.expires] for o in self.book.working]),
+            "book": json.dumps(self.book.to_dict()),
+        }
+
+
+def paper_stream(
+    bars: DataFrame,
+    account: Account,
+    strategy: Callable[[list[tuple]], float | None],
+    memory: int = 400,
+    live_from: str | None = None,
+) -> DataFrame:
     """Output rows of paper trading over a streaming DataFrame of bars, one session per symbol."""
     import pandas as pd
 
@@ -74,20 +100,38 @@ def paper_stream(bars: DataFrame, account: Account, strategy: Callable[[list[tup
         rows = pd.concat(list(batches)).sort_values("time")
         out = []
         for r in rows.itertuples(index=False):
-            row = session.step(key[0], r.time.isoformat(), (float(r.open), float(r.high), float(r.low), float(r.close), float(r.volume)))
+            row = session.step(
+                key[0],
+                r.time.isoformat(),
+                (float(r.open), float(r.high), float(r.low), float(r.close), float(r.volume)),
+            )
             if row is not None:
                 out.append(row)
         state.update((session.save(),))
         yield pd.DataFrame(out, columns=columns)
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, PAPER_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(spark: SparkSession, path: str, out: str, checkpoint: str, account: Account, strategy, memory: int = 400, live_from: str | None = None, files_per_batch: int = 1) -> None:
+    return bars.groupBy("symbol").applyInPandasWithState(
+        run, PAPER_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def run_available(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    checkpoint: str,
+    account: Account,
+    strategy,
+    memory: int = 400,
+    live_from: str | None = None,
+    files_per_batch: int = 1,
+) -> None:
     """Trade every bar file of a folder that the checkpoint hasn't seen, then stop; rows are appended as JSON."""
     stream = spark.readStream.schema(BAR_STREAM_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     rows = paper_stream(stream, account, strategy, memory, live_from)
-    query = rows.writeStream.outputMode("append").format("json").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.outputMode("append").format("json").option("path", out).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -111,7 +155,9 @@ class Polling:
     sleep: Callable[[float], None] = _time.sleep
     clock: Callable[[], float] = _time.monotonic
 
-    def bars(self, fetch: Callable[[], list[tuple[str, tuple]]], after: str | None = None) -> Iterator[tuple[str, tuple]]:
+    def bars(
+        self, fetch: Callable[[], list[tuple[str, tuple]]], after: str | None = None
+    ) -> Iterator[tuple[str, tuple]]:
         """Bars out of repeated fetches, each time once and in order; those up to `after` are old."""
         newest, since = after, self.clock()
         while True:
@@ -163,7 +209,13 @@ def _tail_row(row: dict[str, str], before: float | None, use_adjusted: bool, def
     return (*(x * scale for x in ohl), close, volume)
 
 
-def tail_csv(path: str, polling: Polling | None = None, use_adjusted: bool = True, default_volume: float | None = None, after: str | None = None) -> Iterator[tuple[str, tuple]]:
+def tail_csv(
+    path: str,
+    polling: Polling | None = None,
+    use_adjusted: bool = True,
+    default_volume: float | None = None,
+    after: str | None = None,
+) -> Iterator[tuple[str, tuple]]:
     """Complete lines of a growing price file; a delivered row that changes raises."""
     delivered: dict[str, tuple] = {}
 
@@ -233,7 +285,17 @@ def restore_book(rows: list[dict], symbol: str, fill_timing: str) -> tuple[Book,
     return book, bars[-1]
 
 
-def run_session(feed: Iterator[tuple[str, tuple]], symbol: str, account: Account, strategy, memory: int = 400, history: list[tuple[str, tuple]] = (), journal: Journal | None = None, resume: bool = False, max_bars: int | None = None) -> list[dict]:
+def run_session(
+    feed: Iterator[tuple[str, tuple]],
+    symbol: str,
+    account: Account,
+    strategy,
+    memory: int = 400,
+    history: list[tuple[str, tuple]] = (),
+    journal: Journal | None = None,
+    resume: bool = False,
+    max_bars: int | None = None,
+) -> list[dict]:
     """Trade a feed: history warms the strategy up, then every bar is one journaled step."""
     session = PaperSession(account, strategy, memory)
     for time, bar in history:
@@ -258,4 +320,16 @@ def run_session(feed: Iterator[tuple[str, tuple]], symbol: str, account: Account
     return out
 
 
-__all__ = ["FeedError", "Journal", "Order", "PaperSession", "Polling", "paper_stream", "replay_feed", "restore_book", "run_available", "run_session", "tail_csv"]
+__all__ = [
+    "FeedError",
+    "Journal",
+    "Order",
+    "PaperSession",
+    "Polling",
+    "paper_stream",
+    "replay_feed",
+    "restore_book",
+    "run_available",
+    "run_session",
+    "tail_csv",
+]

@@ -66,12 +66,20 @@ def ladder_sql(bars: str, spec: Spec, settings: Settings, slippage: Slippage, co
     """CTEs up to `ladder`, the table of run_ladder unrounded; bars: CTEs that end in bars(series_id, t, open ...)."""
     steps = rungs(spec, settings, slippage, commission)
     free = Account(capital=settings.capital, band=settings.band)
-    accounts = {"free": free, "slip": replace(free, slippage=slippage), "full": replace(free, slippage=slippage, commission=commission)}
+    accounts = {
+        "free": free,
+        "slip": replace(free, slippage=slippage),
+        "full": replace(free, slippage=slippage, commission=commission),
+    }
     of = {a: name for name, a in accounts.items()}
     grid = range(len(spec.grid))
     train, test, warm = settings.train_size, settings.test_size, spec.warmup
     looks = spec.build_look_ahead is not None
-    feeds = {"free": [_feed(spec, "ff", "g", "kind = 'all'", "h")], "slip": [_feed(spec, "fs", "g", "kind = 'all'", "h")], "full": [_feed(spec, "fu", "g", "kind <> ''", "h")]}
+    feeds = {
+        "free": [_feed(spec, "ff", "g", "kind = 'all'", "h")],
+        "slip": [_feed(spec, "fs", "g", "kind = 'all'", "h")],
+        "full": [_feed(spec, "fu", "g", "kind <> ''", "h")],
+    }
     parts = [
         bars,
         "nn as (select series_id, cast(count(*) as integer) as n from bars group by series_id)",
@@ -90,7 +98,9 @@ def ladder_sql(bars: str, spec: Spec, settings: Settings, slippage: Slippage, co
         parts += many
         parts.append(f"feed_{name} as (" + " union all ".join(f"select * from {f.split(' ')[0]}" for f in many) + ")")
         parts.append(book_sql(accounts[name], f"feed_{name}", f"book_{name}", True))
-    books = " union all ".join(f"select '{name}' as acct, run, t, equity, q_b as q, p_b as p, f_b as f, last_close as ref from book_{name} where t >= 0" for name in accounts)
+    books = " union all ".join(
+        f"select '{name}' as acct, run, t, equity, q_b as q, p_b as p, f_b as f, last_close as ref from book_{name} where t >= 0" for name in accounts
+    )
     ids = ", ".join(f"({k}, '{x}')" for k in [*grid, -1] for x in (("h", "l") if looks else ("h",)))
     parts += [
         f"bk as materialized ({books})",
@@ -131,7 +141,15 @@ def _json(params: dict) -> str:
     return json.dumps(params)
 
 
-def cpcv_sql(bars: str, spec: Spec, settings: Settings, splitter: PurgedSplitter, slippage: Slippage, commission: Commission, end: str) -> str:
+def cpcv_sql(
+    bars: str,
+    spec: Spec,
+    settings: Settings,
+    splitter: PurgedSplitter,
+    slippage: Slippage,
+    commission: Commission,
+    end: str,
+) -> str:
     """CTEs up to picks(split_id, setting_id) and paths(path_id, sharpe) of run_cpcv over [warmup, end); end is an SQL number of `bars`."""
     history = max(spec.warmup, 1)
     full = Account(capital=settings.capital, band=settings.band, slippage=slippage, commission=commission)
