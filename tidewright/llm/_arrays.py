@@ -77,7 +77,9 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+        column = pc.fill_null(
+            column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b""
+        )
     n = len(column)
     if not n:
         return
@@ -101,7 +103,11 @@ def prefix_hash(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarra
 
 def span_hash(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of bytes[start:end] for many spans, independent of where they stand."""
-    return mix((running[end] - running[start]) * _power(_INVERSE, len(running))[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    return mix(
+        (
+            running[end] - running[start]
+        ) * _power(_INVERSE, len(running))[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93)
+    )
 
 
 def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,12 +17,20 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     both = materialize(links.union(links.select("b", "a")), "links")
-    label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "label")
+    label = materialize(
+        both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "label"
+    )
     for _ in range(most_rounds):
-        near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(
+            F.min("component").alias("near")
+        )
+        step = label.join(near, "id").select(
+            "id", F.col("component").alias("old"), F.least("component", "near").alias("new")
+        )
         up = label.select(F.col("id").alias("new"), F.col("component").alias("above"))
-        step = step.join(up, "new", "left").select("id", "old", F.least("new", F.coalesce("above", "new")).alias("component"))
+        step = step.join(up, "new", "left").select(
+            "id", "old", F.least("new", F.coalesce("above", "new")).alias("component")
+        )
         step = materialize(step, "label")
         label = step.select("id", "component")
         if not step.where("old <> component").limit(1).count():

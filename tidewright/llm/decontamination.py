@@ -45,7 +45,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
     words = F.filter(F.split(ascii_lower(F.col("text")), SEPARATORS), lambda w: w != "")
     items = benchmark.where("text is not null").select("item_id", words.alias("words")).where(F.size("words") > 0)
     items = items.withColumn("n", F.least(F.size("words"), F.lit(window)))
-    cut = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))
+    cut = F.transform(
+        F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(
+            F.slice("words", i, F.col("n")), " "
+        )
+    )
     return items.select("item_id", "n", F.explode(cut).alias("gram"))
 
 
@@ -70,39 +74,66 @@ def _few(keys: DataFrame) -> DataFrame:
 def window_hits(texts: DataFrame, windows: DataFrame, broadcast_grams: int = 2_000_000, probe: int = 5) -> DataFrame:
     """(h1, h2, start, n, gram): every occurrence of a window in texts(text); start counts pieces from 1."""
     each = lambda words: F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-    anchors = windows.select("gram", "n").distinct().select("gram", "n", F.slice(each(F.split("gram", " ")), 1, probe).alias("words"))
+    anchors = windows.select("gram", "n").distinct().select(
+        "gram", "n", F.slice(each(F.split("gram", " ")), 1, probe).alias("words")
+    )
     whole = F.xxhash64(*[F.get("words", F.lit(k)) for k in range(probe)])
-    grams = materialize(anchors.select("gram", F.xxhash64("gram").alias("gram_id"), "n", F.size("words").alias("m"), whole.alias("probe")), "anchors")
+    grams = materialize(
+        anchors.select(
+            "gram", F.xxhash64("gram").alias("gram_id"), "n", F.size("words").alias("m"), whole.alias("probe")
+        ),
+        "anchors",
+    )
     sizes = sorted(r["m"] for r in grams.select("m").distinct().collect()) or [1]
     anchors = grams.select("probe", "n", "gram_id").distinct()
     anchors = F.broadcast(anchors) if grams.count() <= broadcast_grams else anchors
-    hashed = texts.where("text is not null").select(*_keyed(F.col("text")), each(F.split("text", EITHER_CASE)).alias("words"))
+    hashed = texts.where("text is not null").select(
+        *_keyed(F.col("text")), each(F.split("text", EITHER_CASE)).alias("words")
+    )
     # the outer form: the plain one makes the optimizer compute the array once more for a filter
-    stream = hashed.select(*KEY, F.size("words").alias("pieces"), F.posexplode_outer(_probes(F.col("words"), sizes)).alias("at", "probe"))
-    met = stream.join(anchors, "probe").select(*KEY, (F.pmod("at", "pieces") + 1).alias("start"), "n", "gram_id").where("start + n - 1 <= pieces")
+    stream = hashed.select(
+        *KEY, F.size("words").alias("pieces"), F.posexplode_outer(_probes(F.col("words"), sizes)).alias("at", "probe")
+    )
+    met = stream.join(anchors, "probe").select(
+        *KEY, (F.pmod("at", "pieces") + 1).alias("start"), "n", "gram_id"
+    ).where("start + n - 1 <= pieces")
     met = materialize(met.distinct(), "met")
-    again = texts.select(*_keyed(F.col("text")), "text").join(_few(met.select(*KEY).distinct()), list(KEY), "left_semi").dropDuplicates(list(KEY))
+    again = texts.select(*_keyed(F.col("text")), "text").join(
+        _few(met.select(*KEY).distinct()), list(KEY), "left_semi"
+    ).dropDuplicates(list(KEY))
     again = again.select(*KEY, F.split(ascii_lower(F.col("text")), SEPARATORS).alias("pieces"))
     same = F.array_join(F.slice("pieces", F.col("start"), F.col("n")), " ") == F.col("gram")
-    return met.join(grams.select("gram_id", "gram").distinct(), "gram_id").join(again, list(KEY)).where(same).select(*KEY, "start", "n", "gram").distinct()
+    return met.join(
+        grams.select("gram_id", "gram").distinct(), "gram_id"
+    ).join(again, list(KEY)).where(same).select(*KEY, "start", "n", "gram").distinct()
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """Per text with a hit: h1, h2, hit_words, n_hit, n_items, items_sha256."""
     windows = materialize(benchmark_windows(benchmark, window), "windows")
     hits = materialize(window_hits(docs.select(F.col("text").cast("string").alias("text")), windows), "hits")
-    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))
-    words = hits.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("runs")).select(*KEY, F.array_sort(covered).alias("hit_words"))
-    pairs = hits.select(*KEY, "gram").distinct().join(windows.select("gram", "item_id").distinct(), "gram").select(*KEY, "item_id").distinct()
+    covered = F.array_distinct(
+        F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1)))
+    )
+    words = hits.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("runs")).select(
+        *KEY, F.array_sort(covered).alias("hit_words")
+    )
+    pairs = hits.select(*KEY, "gram").distinct().join(
+        windows.select("gram", "item_id").distinct(), "gram"
+    ).select(*KEY, "item_id").distinct()
     named = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
-    items = pairs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
+    items = pairs.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256")
+    )
     return materialize(words.join(items, list(KEY)).withColumn("n_hit", F.size("hit_words").cast("long")), "judged")
 
 
 def _words_of(text: Column) -> Column:
     """How many of split's pieces are words: only the first and the last can be empty."""
     pieces = F.split(text, EITHER_CASE)
-    blank = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) + F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
+    blank = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) + F.when(
+        (F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1
+    ).otherwise(0)
     return F.when(text.isNull(), 0).otherwise(F.size(pieces) - blank).cast("long")
 
 
@@ -126,7 +157,9 @@ def _marked(docs: DataFrame, judged: DataFrame, fields: tuple[str, ...]) -> tupl
     """docs beside fields of their text's judgement, under free names; texts aren't shuffled while the judged ones are few."""
     free = dict(zip((*KEY, *fields), free_names(docs.columns, *KEY, *fields), strict=True))
     judged = judged.select(*[F.col(k).alias(v) for k, v in free.items()])
-    keyed = docs.withColumns(dict(zip((f"{free['h1']}_", f"{free['h2']}_"), _keyed(F.col("text").cast("string")), strict=True)))
+    keyed = docs.withColumns(
+        dict(zip((f"{free['h1']}_", f"{free['h2']}_"), _keyed(F.col("text").cast("string")), strict=True))
+    )
     met = (col(f"{free['h1']}_") == col(free["h1"])) & (col(f"{free['h2']}_") == col(free["h2"]))
     return keyed.join(_few(judged), met, "left"), free
 
@@ -145,6 +178,10 @@ def remove_hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13) ->
     """docs with the hit words cut out of the text; a text with a cut becomes its other words, one space between."""
     marked, free = _marked(docs, _judged(docs, benchmark, window), ("hit_words",))
     gone, text = col(free["hit_words"]), F.col("text").cast("string")
-    kept = F.filter(F.transform(F.split(text, EITHER_CASE), lambda w, i: F.when(~F.array_contains(gone, i + 1), w)), lambda w: w.isNotNull() & (w != ""))
+    kept = F.filter(
+        F.transform(
+            F.split(text, EITHER_CASE), lambda w, i: F.when(~F.array_contains(gone, i + 1), w)
+        ), lambda w: w.isNotNull() & (w != "")
+    )
     cut = F.when(gone.isNotNull(), F.array_join(kept, " ")).otherwise(text)
     return marked.select(*[cut.alias(c) if c == "text" else col(c) for c in docs.columns])

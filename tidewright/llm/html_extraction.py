@@ -34,19 +34,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names and words of class, id and role attributes.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noframes xmp".split())
-BOILER = frozenset("nav aside footer form head noscript template button select dialog menu svg math object audio video canvas script style title textarea iframe noframes xmp".split())
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist respond disqus replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social related recommended widget toolbar skip login search pagination pager copyright".split())
-ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
+BOILER = frozenset(
+    "nav aside footer form head noscript template button select dialog menu svg math object audio video canvas script style title textarea iframe noframes xmp".split()
+)
+MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist respond disqus replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social related recommended widget toolbar skip login search pagination pager copyright".split()
+)
+ROLES = frozenset(
+    "navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split()
+)
 CONTENT = frozenset(("article", "main"))
 #: A class word after one of these tells what stands beside the element, not what it is.
 BESIDE = frozenset("has with no without".split())
 #: Kinds of headers, which are no boilerplate inside main text.
 HEADERS = frozenset(("header",))
 #: What a start tag of the key ends, if it is the innermost open block.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
+ENDS = {
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "tr": ("td", "th", "tr"),
+    "option": ("option",),
+}
 
 #: Words of each kind in main text and elsewhere, and tags, before any page is counted.
 PRIOR = {
@@ -57,7 +73,10 @@ PRIOR = {
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[\"'>]")
-_ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|\Z))", re.I)
+_ATTRIBUTE = re.compile(
+    r"(?:^|(?<=[\s\"'/]))(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|\Z))",
+    re.I,
+)
 _PIECE = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _END = (".", "!", "?", "\u2026", ":", ";", "\u3002", '."', ".)", "!)", "?)")
@@ -216,15 +235,30 @@ def blocks(page: str, weights: dict[str, float]) -> tuple[list[Block], dict[str,
         if mine != boiler:
             close()
         if tag not in VOID and not rest.endswith("/"):
-            found = [w for a, v in _ATTRIBUTE.findall(rest) if a.lower() == "class" for w in v.strip("\"'").lower().split()] if "class" in rest.lower() else []
-            stack.append((tag, mine, content or tag in CONTENT, link or tag == "a", len(stack) if tag in BLOCK else inner, tuple(found) or classes))
+            found = [
+                w for a, v in _ATTRIBUTE.findall(rest) if a.lower() == "class" for w in v.strip("\"'").lower().split()
+            ] if "class" in rest.lower() else []
+            stack.append(
+                (
+                    tag,
+                    mine,
+                    content or tag in CONTENT,
+                    link or tag == "a",
+                    len(stack) if tag in BLOCK else inner,
+                    tuple(found) or classes,
+                )
+            )
             opened[tag] = opened.get(tag, 0) + 1
     close()
     return out, seen
 
 
 #: Kinds of the innermost block element.
-ELEMENT = {**{f"h{k}": "heading" for k in range(1, 7)}, **dict.fromkeys(("p", "pre", "blockquote", "figcaption"), "paragraph"), **dict.fromkeys(("li", "td", "th", "dt", "dd", "option"), "item")}
+ELEMENT = {
+    **{f"h{k}": "heading" for k in range(1, 7)},
+    **dict.fromkeys(("p", "pre", "blockquote", "figcaption"), "paragraph"),
+    **dict.fromkeys(("li", "td", "th", "dt", "dd", "option"), "item"),
+}
 
 
 def _kinds(b: Block) -> tuple[str, ...]:
@@ -245,9 +279,26 @@ def _value(b: Block, weights: dict[str, float]) -> float:
 def log_odds(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     """Log-odds of each kind, of words in main text against words elsewhere."""
     inside, outside = counts["word"]
-    out = {k: math.log(((a + 1) / (inside + 1)) / ((b + 1) / (outside + 1))) for k, (a, b) in counts.items() if k != "word"}
+    out = {
+        k: math.log(((a + 1) / (inside + 1)) / ((b + 1) / (outside + 1))) for k, (a, b) in counts.items() if k != "word"
+    }
     out["word"] = math.log((inside + 1) / (outside + 1))
-    for k in ("link most", "link some", "link none", "short", "middle", "long", "sentence", "loose", "marked", "plain", "heading", "paragraph", "item", "other"):
+    for k in (
+        "link most",
+        "link some",
+        "link none",
+        "short",
+        "middle",
+        "long",
+        "sentence",
+        "loose",
+        "marked",
+        "plain",
+        "heading",
+        "paragraph",
+        "item",
+        "other",
+    ):
         out[k] = max(-2.0, min(2.0, out[k]))
     out["word"], out["tag"] = max(-0.5, min(1.0, out["word"])), max(-1.0, min(-0.1, out["tag"]))
     return out
@@ -292,12 +343,18 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     scores = scored(found, weights)
     start, end = best_run(scores)
     # blocks that a run takes along only because of what lies beyond stay out, unless an article decides
-    return "\n\n".join(b.text for b, x in zip(found[start:end], scores[start:end], strict=True) if not b.boiler and (x > 0 or b.link_words * 2 <= b.words and x > -MARGIN * b.words))
+    return "\n\n".join(
+        b.text for b, x in zip(found[start:end], scores[start:end], strict=True) if not b.boiler and (
+            x > 0 or b.link_words * 2 <= b.words and x > -MARGIN * b.words
+        )
+    )
 
 
 def learn_weights(pages: DataFrame, most_pages: int = 1000) -> dict[str, float]:
     """Log-odds from pages with exactly one article or main element, on top of the prior counts."""
-    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages)
+    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(
+        F.xxhash64("page_id"), "page_id"
+    ).limit(most_pages)
 
     def count(batches):
         for b in batches:
@@ -319,10 +376,15 @@ def learn_weights(pages: DataFrame, most_pages: int = 1000) -> dict[str, float]:
                 for word, (inside, outside) in classes.items():
                     add("class " + word, True, inside)
                     add("class " + word, False, outside)
-            yield pa.RecordBatch.from_pydict({"kind": list(seen), "a": [v[0] for v in seen.values()], "b": [v[1] for v in seen.values()]}, schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_pydict(
+                {"kind": list(seen), "a": [v[0] for v in seen.values()], "b": [v[1] for v in seen.values()]},
+                schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())]),
+            )
 
     rows = pages.join(F.broadcast(ids), "page_id").select(F.col("html").cast("string").alias("html"))
-    got = rows.mapInArrow(count, "kind string, a long, b long").groupBy("kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    got = rows.mapInArrow(count, "kind string, a long, b long").groupBy("kind").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")
+    )
     # class words only matter where they are marks; others never reach the driver
     marks = [r for r in got.where("kind not like 'class %' or a + b >= 20").limit(10_000).collect()]
     counts = dict(PRIOR)
@@ -334,12 +396,24 @@ def learn_weights(pages: DataFrame, most_pages: int = 1000) -> dict[str, float]:
 
 def extract_main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
-    typed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    typed = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"),
+    )
     weights = weights or learn_weights(typed)
 
     def work(batches):
         for b in batches:
             texts = [extract(p.as_py(), weights) for p in b.column("html")]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("page_id"),
+                    b.column("url"),
+                    pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                ],
+                ["page_id", "url", "text", "n_chars"],
+            )
 
     return typed.mapInArrow(work, "page_id long, url string, text string, n_chars long")

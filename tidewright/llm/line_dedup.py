@@ -100,9 +100,22 @@ def _places(docs: DataFrame, min_bytes: int) -> DataFrame:
             for i, j, data, off in A.chunks(b.column("text")):
                 start, end, row, running = _lines(data, off, min_bytes)
                 key = A.span_hash(running, start, end)
-                mirror = np.concatenate((np.zeros(1, U), np.cumsum(A.mix(data.astype(U) + U(1)) * A._power(0x9FB21C651E98DF25, len(data)))))
-                check = A.mix((mirror[end] - mirror[start]) * A._power(pow(0x9FB21C651E98DF25, -1, 1 << 64), len(data) + 1)[start])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(_numbers(data, off, start, row)), pa.array(end - start), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "line", "bytes", "key", "check"])
+                mirror = np.concatenate(
+                    (np.zeros(1, U), np.cumsum(A.mix(data.astype(U) + U(1)) * A._power(0x9FB21C651E98DF25, len(data))))
+                )
+                check = A.mix(
+                    (mirror[end] - mirror[start]) * A._power(pow(0x9FB21C651E98DF25, -1, 1 << 64), len(data) + 1)[start]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[i:j][row]),
+                        pa.array(_numbers(data, off, start, row)),
+                        pa.array(end - start),
+                        pa.array(key.view(np.int64)),
+                        pa.array(check.view(np.int64)),
+                    ],
+                    ["doc_id", "line", "bytes", "key", "check"],
+                )
 
     return docs.mapInArrow(work, "doc_id long, line long, bytes long, key long, check long")
 
@@ -136,7 +149,9 @@ def _entries(data, start, length, running, max_edits: int):
                 add(A.span_hash(running, at[ok], (at + n)[ok]) + tag[ok], mine[ok], bool(less or shift))
     for p in range(2 * max_edits):
         for few in (True, False):
-            mine = np.flatnonzero((length > p) & ((length < pieces) if few else (length >= pieces) & (length <= 2 * max_edits)))
+            mine = np.flatnonzero(
+                (length > p) & ((length < pieces) if few else (length >= pieces) & (length <= 2 * max_edits))
+            )
             add(A.mix(data[start[mine] + p].astype(U) + U(1 << 40)), mine, not few)
     return np.concatenate(sig), np.concatenate(who), np.concatenate(probe)
 
@@ -163,9 +178,13 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
                 key, first = np.unique(key, return_index=True)
                 start, end = start[first], end[first]
                 line = np.repeat(np.arange(len(start)), end - start)
-                span = np.arange(int((end - start).sum())) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
+                span = np.arange(int((end - start).sum())) - np.repeat(
+                    np.cumsum(end - start) - (end - start), end - start
+                )
                 value = data[np.repeat(start, end - start) + span]
-                counts = np.bincount(line * 16 + ((value * 7 + (value >> 4)) & 15), minlength=16 * len(start)).reshape(-1, 16) & 15
+                counts = np.bincount(
+                    line * 16 + ((value * 7 + (value >> 4)) & 15), minlength=16 * len(start)
+                ).reshape(-1, 16) & 15
                 counts = (counts[:, ::2] << 4 | counts[:, 1::2]).astype(np.uint8)
                 sig, who, probe = _entries(data, start, end - start, running, max_edits)
                 sig = (sig & ~U(1)) | probe.astype(U)
@@ -182,11 +201,18 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
                     out["each"].append(each.astype("<u2").tobytes())
                     out["keys"].append(key[used].astype("<u8").tobytes())
                     out["counts"].append(counts[used].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "each", "keys", "counts")]]))
+                yield pa.RecordBatch.from_pydict(
+                    out,
+                    schema=pa.schema(
+                        [("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "each", "keys", "counts")]]
+                    ),
+                )
 
     def meet(table):
         sig, key, counts = [], [], []
-        for s, each, own, c in zip(table.column("sig"), table.column("each"), table.column("keys"), table.column("counts"), strict=True):
+        for s, each, own, c in zip(
+            table.column("sig"), table.column("each"), table.column("keys"), table.column("counts"), strict=True
+        ):
             each = np.frombuffer(each.as_buffer(), "<u2")
             at = np.repeat(np.arange(len(each)), each)
             sig.append(np.frombuffer(s.as_buffer(), "<u8"))
@@ -214,10 +240,17 @@ def _candidates(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) ->
                 right.append(kb[x + j])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
-            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1).view(np.dtype([("a", U), ("b", U)])).ravel())
+            pair = np.unique(
+                np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1).view(np.dtype([("a", U), ("b", U)])).ravel()
+            )
         else:
             pair = np.zeros(0, np.dtype([("a", U), ("b", U)]))
-        return pa.table({"a": pa.array(np.ascontiguousarray(pair["a"]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pair["b"]).view(np.int64))})
+        return pa.table(
+            {
+                "a": pa.array(np.ascontiguousarray(pair["a"]).view(np.int64)),
+                "b": pa.array(np.ascontiguousarray(pair["b"]).view(np.int64)),
+            }
+        )
 
     packed = docs.select("text").mapInArrow(pack, "part int, sig binary, each binary, keys binary, counts binary")
     return packed.groupBy("part").applyInArrow(A.trimmed(meet), "a long, b long").distinct()
@@ -239,22 +272,33 @@ def near_lines(docs: DataFrame, max_edits: int, min_bytes: int, parts: int) -> D
                 if keys is not None:
                     mine = np.isin(key, keys.value)
                     key, first = key[mine], first[mine]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([data[start[x] : end[x]].tobytes() for x in first], pa.binary())], ["key", "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array([data[start[x] : end[x]].tobytes() for x in first], pa.binary())],
+                    ["key", "content"],
+                )
 
     content = docs.select("text").mapInArrow(read, "key long, content binary")
     content = content if few else content.join(wanted, "key", "left_semi")
     content = materialize(content.groupBy("key").agg(F.first("content").alias("content")), "lines")
-    wide = pairs.join(content.select(F.col("key").alias("a"), F.col("content").alias("ta")), "a").join(content.select(F.col("key").alias("b"), F.col("content").alias("tb")), "b")
+    wide = pairs.join(content.select(F.col("key").alias("a"), F.col("content").alias("ta")), "a").join(
+        content.select(F.col("key").alias("b"), F.col("content").alias("tb")), "b"
+    )
 
     def verify(batches):
         for b in batches:
-            near = [edit_distance_within(x, y, max_edits) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
+            near = [
+                edit_distance_within(x, y, max_edits) for x, y in zip(
+                    b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True
+                )
+            ]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return wide.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def line_report(docs: DataFrame, max_edits: int = 2, min_bytes: int = 60, part_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
+def line_report(
+    docs: DataFrame, max_edits: int = 2, min_bytes: int = 60, part_bytes: int = 48 << 20
+) -> tuple[DataFrame, DataFrame]:
     """(docs as read, (doc_id, line, bytes) of every line to remove)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id is not null and text is not null")
@@ -264,12 +308,18 @@ def line_report(docs: DataFrame, max_edits: int = 2, min_bytes: int = 60, part_b
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     links = materialize(near_lines(named, max_edits, min_bytes, max(4, -(-total // part_bytes))), "nearlines")
     both = links.union(links.select("b", "a"))
-    partner = both.join(firsts.select(F.col("key").alias("b"), "first"), "b").groupBy(F.col("a").alias("key")).agg(F.min("first").alias("near"))
+    partner = both.join(
+        firsts.select(F.col("key").alias("b"), "first"), "b"
+    ).groupBy(F.col("a").alias("key")).agg(F.min("first").alias("near"))
     # lines of at most max_edits bytes are all near each other
     tiny = firsts.where(F.col("bytes") <= max_edits).agg(F.min("first").alias("tiny"))
     near = F.least("first", "near", F.when(F.col("bytes") <= max_edits, F.col("tiny")))
-    earliest = firsts.join(partner, "key", "left").crossJoin(F.broadcast(tiny)).select("key", "check", "bytes", near.alias("earliest"))
-    gone = places.join(earliest, ["key", "check", "bytes"]).where(F.col("earliest") < F.struct("doc_id", "line")).select("doc_id", "line", "bytes")
+    earliest = firsts.join(partner, "key", "left").crossJoin(F.broadcast(tiny)).select(
+        "key", "check", "bytes", near.alias("earliest")
+    )
+    gone = places.join(earliest, ["key", "check", "bytes"]).where(
+        F.col("earliest") < F.struct("doc_id", "line")
+    ).select("doc_id", "line", "bytes")
     return docs, gone
 
 
@@ -277,9 +327,16 @@ def line_dedup_counts(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, removed_bytes."""
     docs, gone = line_report(docs, **options)
     per = gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.sum("bytes").alias("removed_bytes"))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.regexp_replace("text", "\n", "")) + 1).cast("long")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(
+        F.octet_length("text") - F.octet_length(F.regexp_replace("text", "\n", "")) + 1
+    ).cast("long")
     zero = F.lit(0).cast("long")
-    return docs.select("doc_id", lines.alias("n_lines")).join(per, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("removed_bytes", zero).alias("removed_bytes"))
+    return docs.select("doc_id", lines.alias("n_lines")).join(per, "doc_id", "left").select(
+        "doc_id",
+        "n_lines",
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("removed_bytes", zero).alias("removed_bytes"),
+    )
 
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:

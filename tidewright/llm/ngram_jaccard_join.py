@@ -132,9 +132,16 @@ def frequent_shingles(docs: DataFrame, shingle: int, bitmap_bits: int, rare_docu
             at = np.cumsum(np.frombuffer(s.as_buffer(), "u1" if w.as_py() == 1 else "<u4").astype(np.int64))
             total[at] += np.frombuffer(c.as_buffer(), np.uint8)
         often = total > max(rare_documents, 2 * float(np.median(total)))
-        return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary())})
-
-    got = docs.select("text").mapInArrow(count, "range int, wide int, step binary, n binary").groupBy("range").applyInArrow(A.trimmed(merge), "range int, bits binary").collect()
+        return pa.table(
+            {
+                "range": pa.array([table.column("range")[0].as_py()], pa.int32()),
+                "bits": pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary()),
+            }
+        )
+
+    got = docs.select("text").mapInArrow(
+        count, "range int, wide int, step binary, n binary"
+    ).groupBy("range").applyInArrow(A.trimmed(merge), "range int, bits binary").collect()
     out = bytearray((1 << bitmap_bits) // 8)
     for r in got:
         out[r["range"] * per // 8 : (r["range"] + 1) * per // 8] = r["bits"]
@@ -199,12 +206,23 @@ def set_digests(docs: DataFrame, shingle: int) -> DataFrame:
             for i, j, data, off in A.chunks(batch.column("text")):
                 token, edge = _sets(data, off, shingle)
                 d1, d2 = _digests(token, edge)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(edge).astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(_sketches(token, edge), pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(i, j - i),
+                        pa.array(np.diff(edge).astype(np.int64)),
+                        pa.array(d1.view(np.int64)),
+                        pa.array(d2.view(np.int64)),
+                        pa.array(_sketches(token, edge), pa.binary()),
+                    ],
+                    ["doc_id", "n", "d1", "d2", "sketch"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
-def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, parts: int) -> DataFrame:
+def shared_signatures(
+    docs: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, parts: int
+) -> DataFrame:
     """(kind, sig, hub, hub_n, key, n): what signatures that several sets have say; a key is a set's first digest.
 
     Kind 0 and 1 are stars, from a single token or a combination: the bucket's smallest key is its
@@ -246,7 +264,12 @@ def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap:
                     out["at"].append(local.astype("<u4" if len(used) > 65535 else "<u2").tobytes())
                     out["keys"].append(key[used].astype("<u8").tobytes())
                     out["sizes"].append(size[used].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "at", "keys", "sizes")]]))
+                yield pa.RecordBatch.from_pydict(
+                    out,
+                    schema=pa.schema(
+                        [("part", pa.int32()), *[(c, pa.binary()) for c in ("sig", "at", "keys", "sizes")]]
+                    ),
+                )
 
     def find(table):
         sig, key, n = [], [], []
@@ -279,15 +302,28 @@ def shared_signatures(docs: DataFrame, shingle: int, num: int, den: int, bitmap:
         small = np.flatnonzero(~many & (np.repeat(size, size) > 2))
         rows = np.concatenate((star, small))
         kind = np.concatenate((np.where(many[star], 1, 0), np.full(len(small), 2)))
-        return pa.table({"kind": pa.array(kind.astype(np.int32)), "sig": pa.array(np.where(kind == 2, sig[rows], U(0)).view(np.int64)), "hub": pa.array(key[head[rows]].view(np.int64)), "hub_n": pa.array(n[head[rows]].astype(np.int64)), "key": pa.array(key[rows].view(np.int64)), "n": pa.array(n[rows].astype(np.int64))})
+        return pa.table(
+            {
+                "kind": pa.array(kind.astype(np.int32)),
+                "sig": pa.array(np.where(kind == 2, sig[rows], U(0)).view(np.int64)),
+                "hub": pa.array(key[head[rows]].view(np.int64)),
+                "hub_n": pa.array(n[head[rows]].astype(np.int64)),
+                "key": pa.array(key[rows].view(np.int64)),
+                "n": pa.array(n[rows].astype(np.int64)),
+            }
+        )
 
     packed = docs.select("text").mapInArrow(pack, "part int, sig binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("part").applyInArrow(A.trimmed(find), "kind int, sig long, hub long, hub_n long, key long, n long")
+    return packed.groupBy("part").applyInArrow(
+        A.trimmed(find), "kind int, sig long, hub long, hub_n long, key long, n long"
+    )
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of the documents in ids(doc_id): filtered at the scan while ids are few, else by a shuffled join."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(
+        F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"
+    )
 
 
 def _pruned(na, sa, nb, sb, num: int, den: int) -> np.ndarray:
@@ -332,10 +368,21 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int,
         for batch in batches:
             for i, j, data, off in A.chunks(batch.column("text")):
                 token, edge = _sets(data, off, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(edge).astype(np.int64)), pa.array([token[edge[x] : edge[x + 1]].astype("<u8").tobytes() for x in range(j - i)], pa.binary())], ["id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(i, j - i),
+                        pa.array(np.diff(edge).astype(np.int64)),
+                        pa.array(
+                            [token[edge[x] : edge[x + 1]].astype("<u8").tobytes() for x in range(j - i)], pa.binary()
+                        ),
+                    ],
+                    ["id", "n", "tokens"],
+                )
 
     sets = materialize(_picked(docs, ids).mapInArrow(collect, "id long, n long, tokens binary"), "sets")
-    wide = likely.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+    wide = likely.join(
+        sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b"
+    ).join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
 
     def intersect(batches):
         for batch in batches:
@@ -347,15 +394,30 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int,
                 small, big = (tb, value) if len(tb) < len(value) else (value, tb)
                 at = np.searchsorted(big, small)
                 inter.append(int((big[np.minimum(at, len(big) - 1)] == small).sum()) if len(big) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), batch.column("na"), batch.column("nb")], ["a", "b", "inter", "na", "nb"])
-
-    checked = wide.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(intersect, "a long, b long, inter long, na long, nb long")
-    out = materialize(checked.where(f"inter > 0 and {den} * inter >= {num} * (na + nb - inter)").select("a", "b"), "links")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("a"),
+                    batch.column("b"),
+                    pa.array(inter, pa.int64()),
+                    batch.column("na"),
+                    batch.column("nb"),
+                ],
+                ["a", "b", "inter", "na", "nb"],
+            )
+
+    checked = wide.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(
+        intersect, "a long, b long, inter long, na long, nb long"
+    )
+    out = materialize(
+        checked.where(f"inter > 0 and {den} * inter >= {num} * (na + nb - inter)").select("a", "b"), "links"
+    )
     discard(sets, ids, likely)
     return out
 
 
-def _sketched(left: DataFrame, sketches: DataFrame, num: int, den: int, block_bytes: int = 1 << 20, most_each: int = 16) -> DataFrame:
+def _sketched(
+    left: DataFrame, sketches: DataFrame, num: int, den: int, block_bytes: int = 1 << 20, most_each: int = 16
+) -> DataFrame:
     """(a, b) of left(hub, id, component): same hub, different components, may link; (hub, null) where they are more than most_each a member.
 
     Members of a hub are dealt into blocks of about block_bytes of sketches; every two blocks meet in a task of their own.
@@ -364,7 +426,16 @@ def _sketched(left: DataFrame, sketches: DataFrame, num: int, den: int, block_by
     blocks = left.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("sketch") + 32) / F.lit(block_bytes)).alias("blocks"))
     dealt = left.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.select("*", other.alias("other")).select("hub", "id", "n", "component", "sketch", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select("*", other.alias("other")).select(
+        "hub",
+        "id",
+        "n",
+        "component",
+        "sketch",
+        "mine",
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+    )
 
     def compare(table):
         hub, i, j = (table.column(c)[0].as_py() for c in ("hub", "i", "j"))
@@ -384,7 +455,9 @@ def _sketched(left: DataFrame, sketches: DataFrame, num: int, den: int, block_by
                     part = rows[s : s + step]
                     gap = np.bitwise_count(words[w][s : s + step, None, :] ^ fold[None, :, :]).sum(2, dtype=np.int64)
                     both = c["n"][part][:, None] + c["n"][cols][None, :]
-                    may = (gap * (den + num) <= both * (den - num)) & (c["component"][part][:, None] != c["component"][cols][None, :])
+                    may = (gap * (den + num) <= both * (den - num)) & (
+                        c["component"][part][:, None] != c["component"][cols][None, :]
+                    )
                     x, y = np.nonzero(may)
                     x, y = part[x], cols[y]
                     keep = (c["mine"][x] == i) & (c["mine"][y] == j) | (c["mine"][x] == j) & (c["mine"][y] == i)
@@ -400,7 +473,9 @@ def _sketched(left: DataFrame, sketches: DataFrame, num: int, den: int, block_by
     return dealt.groupBy("hub", "i", "j").applyInArrow(A.trimmed(compare), "a long, b long").distinct()
 
 
-def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, block_tokens: int = 600_000) -> DataFrame:
+def _remaining(
+    left: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, block_tokens: int = 600_000
+) -> DataFrame:
     """Links (a, b) among left(hub, id, n, component): same hub, different components.
 
     Members of a hub are dealt into blocks of about block_tokens tokens; every two blocks are
@@ -412,14 +487,33 @@ def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
         for batch in batches:
             for i, j, data, off in A.chunks(batch.column("text")):
                 token, edge = _sets(data, off, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([token[edge[x] : edge[x + 1]].astype("<u8").tobytes() for x in range(j - i)], pa.binary())], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(i, j - i),
+                        pa.array(
+                            [token[edge[x] : edge[x + 1]].astype("<u8").tobytes() for x in range(j - i)], pa.binary()
+                        ),
+                    ],
+                    ["id", "tokens"],
+                )
 
     ids = materialize(left.select(F.col("id").alias("doc_id")).distinct(), "leftids")
-    sets = materialize(_picked(docs, ids).mapInArrow(tokens, "id long, tokens binary").dropDuplicates(["id"]), "leftsets")
+    sets = materialize(
+        _picked(docs, ids).mapInArrow(tokens, "id long, tokens binary").dropDuplicates(["id"]), "leftsets"
+    )
     blocks = left.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("blocks"))
     dealt = left.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.select("*", other.alias("other")).select("hub", "id", "n", "component", "tokens", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select("*", other.alias("other")).select(
+        "hub",
+        "id",
+        "n",
+        "component",
+        "tokens",
+        "mine",
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+    )
 
     def compare(table):
         col = {c: table.column(c).to_numpy() for c in ("id", "n", "component", "mine")}
@@ -466,12 +560,23 @@ def _remaining(left: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     return dealt.groupBy("hub", "i", "j").applyInArrow(A.trimmed(compare), "a long, b long").distinct()
 
 
-def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, den: int, bitmap: bytes, bits: int, part_bytes: int = 64 << 20) -> DataFrame:
+def jaccard_links(
+    docs: DataFrame,
+    digests: DataFrame,
+    shingle: int,
+    num: int,
+    den: int,
+    bitmap: bytes,
+    bits: int,
+    part_bytes: int = 64 << 20,
+) -> DataFrame:
     """Components (id, component) of the links between set representatives."""
     reps = digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
     reps = materialize(reps.where("id is not null"), "reps")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    stars = materialize(shared_signatures(docs, shingle, num, den, bitmap, bits, max(4, -(-total // part_bytes))), "found")
+    stars = materialize(
+        shared_signatures(docs, shingle, num, den, bitmap, bits, max(4, -(-total // part_bytes))), "found"
+    )
     named = reps.select(F.col("d1").alias("key"), "n", "id")
     named_hub = reps.select(F.col("d1").alias("hub"), F.col("n").alias("hub_n"), F.col("id").alias("hub_id"))
     found = stars.join(named, ["key", "n"]).join(named_hub, ["hub", "hub_n"])
@@ -482,7 +587,9 @@ def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, d
     links = _links(pairs, sketches, docs, shingle, num, den)
     components = connected_components(links)
     apart = materialize(_apart(found, components, sketches, num, den), "apart")
-    links = materialize(links.union(_links(apart.where("b is not null").select("a", "b"), sketches, docs, shingle, num, den)), "links")
+    links = materialize(
+        links.union(_links(apart.where("b is not null").select("a", "b"), sketches, docs, shingle, num, den)), "links"
+    )
     dense = apart.where("b is null").select(F.col("a").alias("hub")).distinct()
     if dense.limit(1).count():
         members = found.where("kind = 1").select("hub", "id").distinct().join(dense, "hub", "left_semi")
@@ -495,21 +602,35 @@ def jaccard_links(docs: DataFrame, digests: DataFrame, shingle: int, num: int, d
 def _in_components(members: DataFrame, components: DataFrame) -> DataFrame:
     """members(hub, id) of hubs that have members in several components, with each one's component."""
     placed = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+    split = placed.groupBy("hub").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo <> hi").select("hub")
     return placed.join(split, "hub", "left_semi")
 
 
 def _apart(found: DataFrame, components: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that may link; (hub, null) for hubs with too many of them."""
-    few = found.where("kind = 2").select("sig", "hub", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = few.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    few = found.where("kind = 2").select("sig", "hub", "id").join(components, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+    open_ = few.groupBy("sig").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo <> hi").select("sig")
     few = materialize(few.join(open_, "sig", "left_semi"), "few")
     met = F.expr("x.sig = y.sig and x.id < y.id and x.component <> y.component and x.id <> x.hub and y.id <> y.hub")
-    singles = few.alias("x").join(few.alias("y"), met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return singles.union(_sketched(_in_components(found.where("kind = 1").select("hub", "id").distinct(), components), sketches, num, den))
-
-
-def ngram_jaccard_groups(docs: DataFrame, shingle: int = 3, num: int = 9, den: int = 10, rare_documents: int = 16, bitmap_bits: int = 26) -> DataFrame:
+    singles = few.alias("x").join(few.alias("y"), met).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")
+    ).distinct()
+    return singles.union(
+        _sketched(
+            _in_components(found.where("kind = 1").select("hub", "id").distinct(), components), sketches, num, den
+        )
+    )
+
+
+def ngram_jaccard_groups(
+    docs: DataFrame, shingle: int = 3, num: int = 9, den: int = 10, rare_documents: int = 16, bitmap_bits: int = 26
+) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_id (smallest doc_id of the equal sets)."""
     if 3 * num < 2 * den or num > den:
         raise ValueError("the threshold num / den must be between 2/3 and 1")
@@ -520,9 +641,15 @@ def ngram_jaccard_groups(docs: DataFrame, shingle: int = 3, num: int = 9, den: i
     reps = digests.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("set_id"))
     # written, so that the join below has an exchange of its own on both sides, which adaptive execution can split
     named = materialize(reps.join(components.withColumnRenamed("id", "set_id"), "set_id", "left"), "named")
-    alone = digests.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("set_id"), F.lit(None).cast("long").alias("component"))
-    out = digests.where("n > 0").join(named, ["n", "d1", "d2"], "left").select("doc_id", "n", "set_id", "component").unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")
+    alone = digests.where("n = 0").select(
+        "doc_id", "n", F.col("doc_id").alias("set_id"), F.lit(None).cast("long").alias("component")
+    )
+    out = digests.where("n > 0").join(named, ["n", "d1", "d2"], "left").select(
+        "doc_id", "n", "set_id", "component"
+    ).unionByName(alone)
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id"
+    )
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, **options) -> DataFrame:
@@ -533,7 +660,9 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     """
     groups = ngram_jaccard_groups(docs, shingle, num, den, **options).where("doc_id is not null")
     goes, rows, key = free_names(docs.columns, "goes", "rows", "key")
-    ids = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min(F.col("doc_id") != F.col("component_id")).alias(goes), F.count(F.lit(1)).alias(rows))
+    ids = groups.groupBy(F.col("doc_id").alias(key)).agg(
+        F.min(F.col("doc_id") != F.col("component_id")).alias(goes), F.count(F.lit(1)).alias(rows)
+    )
     ids = materialize(ids.where(col(goes) | (col(rows) > 1)), "goes")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     marked = docs.join(ids, F.col("doc_id").cast("long") == col(key), "left")

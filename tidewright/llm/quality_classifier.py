@@ -37,7 +37,24 @@ _LINE = ~A.byte_class((0x0A, 0x0A))
 _PAIRS = np.arange(1 << 16, dtype=np.uint64)
 #: Buckets of hashed words and of hashed pairs of bytes.
 HASHED = 32
-FEATURES = ("upper", "signs", "bang", "bar", "digit", "stop", "alpha", "length", "word length", "new words", "echo", "new lines", "line length", "empty", *(f"word {k}" for k in range(HASHED)), *(f"pair {k}" for k in range(HASHED)))
+FEATURES = (
+    "upper",
+    "signs",
+    "bang",
+    "bar",
+    "digit",
+    "stop",
+    "alpha",
+    "length",
+    "word length",
+    "new words",
+    "echo",
+    "new lines",
+    "line length",
+    "empty",
+    *(f"word {k}" for k in range(HASHED)),
+    *(f"pair {k}" for k in range(HASHED)),
+)
 
 
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -56,7 +73,9 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         start, end, row = A.words(low, off, table)
         count = np.bincount(row, minlength=n)
         h = A.span_hash(running, start, end)
-        key = (np.unique((row.astype(np.uint64) << np.uint64(42)) | (h >> np.uint64(22))) >> np.uint64(42)).astype(np.int64)
+        key = (
+            np.unique((row.astype(np.uint64) << np.uint64(42)) | (h >> np.uint64(22))) >> np.uint64(42)
+        ).astype(np.int64)
         fresh = np.bincount(key, minlength=n) / np.maximum(count, 1)
         length = np.bincount(row, weights=end - start, minlength=n) / np.maximum(count, 1)
         same = row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]
@@ -64,15 +83,29 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
     count, fresh, length, echo, (row, h) = runs(~_SPACE)
     lines, new_lines, line_length, _, _ = runs(_LINE)
-    words = np.bincount(row * HASHED + (h % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
-    pair = (A.mix(_PAIRS)[low[:-1].astype(np.int64) << 8 | low[1:]] % np.uint64(HASHED)).astype(np.int64) if len(low) > 1 else np.zeros(0, np.int64)
+    words = np.bincount(
+        row * HASHED + (h % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED
+    ).reshape(n, HASHED)
+    pair = (
+        A.mix(_PAIRS)[low[:-1].astype(np.int64) << 8 | low[1:]] % np.uint64(HASHED)
+    ).astype(np.int64) if len(low) > 1 else np.zeros(0, np.int64)
     inside = np.repeat(np.arange(n), np.diff(off))
     whole = inside[1:] == inside[:-1]
     pairs = np.bincount(inside[:-1][whole] * HASHED + pair[whole], minlength=n * HASHED).reshape(n, HASHED)
     root = np.sqrt
     # vocabulary grows as a power below one of the length; the ratio to it doesn't depend on length
     expected = np.maximum(count, 1) ** -0.2
-    cols = [root(share(t)) for t in (_UPPER, _SIGN, _BANG, _BAR, _DIGIT)] + [share(_STOP), share(_ALPHA), np.log1p(count), np.minimum(length, 20), np.minimum(fresh / expected, 1.5), root(echo), root(1 - np.where(lines > 0, new_lines, 1)), np.log1p(line_length), (count == 0).astype(float)]
+    cols = [root(share(t)) for t in (_UPPER, _SIGN, _BANG, _BAR, _DIGIT)] + [
+        share(_STOP),
+        share(_ALPHA),
+        np.log1p(count),
+        np.minimum(length, 20),
+        np.minimum(fresh / expected, 1.5),
+        root(echo),
+        root(1 - np.where(lines > 0, new_lines, 1)),
+        np.log1p(line_length),
+        (count == 0).astype(float),
+    ]
     hashed = [root(words / np.maximum(count, 1)[:, None]), root(pairs / size[:, None])]
     return np.concatenate((np.stack(cols, axis=1), *hashed), axis=1)
 
@@ -133,7 +166,9 @@ def _typed(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, learn_from=None) -> Ranking:
     """Fit on the labelled rows of docs for which learn_from (a Column of doc_id) holds; at most most_rows of them."""
-    rows = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    rows = labels.where("doc_id is not null and quality in (0, 1)").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
+    )
     if learn_from is not None:
         rows = rows.where(learn_from)
     rows = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -142,9 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, learn_fro
         for b in batches:
             for i, j, data, off in A.chunks(b.column("text")):
                 x = features(data, off)
-                yield pa.RecordBatch.from_arrays([b.column("quality").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64())), b.column("doc_id").slice(i, j - i)], ["quality", "x", "doc_id"])
-
-    got = _typed(docs).join(F.broadcast(rows), "doc_id").select("quality", "text", "doc_id").mapInArrow(measure, "quality int, x array<double>, doc_id long").collect()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("quality").slice(i, j - i),
+                        pa.array(list(x), pa.list_(pa.float64())),
+                        b.column("doc_id").slice(i, j - i),
+                    ],
+                    ["quality", "x", "doc_id"],
+                )
+
+    got = _typed(docs).join(F.broadcast(rows), "doc_id").select("quality", "text", "doc_id").mapInArrow(
+        measure, "quality int, x array<double>, doc_id long"
+    ).collect()
     got.sort(key=lambda r: r["doc_id"])  # the pairs drawn don't depend on task order
     return fit_ranking(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got]))
 
@@ -156,7 +200,10 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
     def work(batches):
         for b in batches:
             for i, j, data, off in A.chunks(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(shared.value.score(features(data, off)))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(i, j - i), pa.array(shared.value.score(features(data, off)))],
+                    ["doc_id", "score"],
+                )
 
     return _typed(docs).mapInArrow(work, "doc_id long, score double")
 

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from . import decontamination, html_extraction, line_dedup, media_copies, ngram_jaccard_join, quality_classifier, sharding, source_mixing, suffix_dedup, url_filter
 
 # The rule list of the URL filter query (verdict, host, path).
-URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark, sf_dir):
-    report = decontamination.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    report = decontamination.contamination_report(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
     return report.drop("hit_words")
 
 
@@ -31,7 +39,9 @@ def op3_media_copies(spark, sf_dir):
 
 
 def op4_source_mixing(spark, sf_dir):
-    return source_mixing.sample_mix(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    return source_mixing.sample_mix(_table(spark, sf_dir, "documents")).withColumn(
+        "probability", F.round("probability", 6)
+    )
 
 
 def op5_url_filter(spark, sf_dir):
@@ -61,14 +71,32 @@ def fitted_quality(spark, docs, sf_dir):
 def op9_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     scored = quality_classifier.score(docs, fitted_quality(spark, docs, sf_dir))
-    return scored.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
 
 
 def op10_html_text(spark, sf_dir):
     return html_extraction.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_media_copies, op4_source_mixing, op5_url_filter, op6_line_dedup, op7_ngram_jaccard, op8_suffix_dedup, op9_quality, op10_html_text)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_decontamination,
+        op2_sharding,
+        op3_media_copies,
+        op4_source_mixing,
+        op5_url_filter,
+        op6_line_dedup,
+        op7_ngram_jaccard,
+        op8_suffix_dedup,
+        op9_quality,
+        op10_html_text,
+    )
+}
 
 _LOWER = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('coalesce(text, chr(0))')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -93,10 +121,14 @@ def _op4_sql(rounds: int = 30, moves: int = 2) -> str:
     """Raking as a chain of window sums, far past convergence."""
     names, kinds = list(source_mixing.SHAPES), range(len(source_mixing.SHAPES))
 
-    shares = ", ".join(f"(length(text) - length(regexp_replace(text, '{p}', '', 'g'))) / greatest(length(text), 1) as s{k}" for k, p in enumerate(source_mixing.SHAPES.values()))
+    shares = ", ".join(
+        f"(length(text) - length(regexp_replace(text, '{p}', '', 'g'))) / greatest(length(text), 1) as s{k}" for k, p in enumerate(source_mixing.SHAPES.values())
+    )
 
     def best(scores: list[str]) -> str:
-        return "case " + " ".join(f"when {scores[k]} = greatest({', '.join(scores)}) then '{names[k]}'" for k in kinds) + " end"
+        return "case " + " ".join(
+            f"when {scores[k]} = greatest({', '.join(scores)}) then '{names[k]}'" for k in kinds
+        ) + " end"
 
     parts = [
         f"d as (select doc_id, coalesce(source, '?') as source, coalesce(lang, '?') as language, cast(case when text = '' then 0 else length(text) - length(regexp_replace(text, '{source_mixing.SHAPES["blanks"]}', '', 'g')) + 1 end as bigint) as tokens, {shares} from (select doc_id, source, lang, coalesce(text, '') as text from documents))",
@@ -105,27 +137,43 @@ def _op4_sql(rounds: int = 30, moves: int = 2) -> str:
         f"t0 as (select *, {best([f'z{k}' for k in kinds])} as topic from z)",
     ]
     for r in range(moves):
-        parts.append(f"c{r} as (select topic, " + ", ".join(f"round(avg(z{k}), 9) as c{k}" for k in kinds) + f" from t{r} group by topic)")
+        parts.append(
+            f"c{r} as (select topic, " + ", ".join(
+                f"round(avg(z{k}), 9) as c{k}" for k in kinds
+            ) + f" from t{r} group by topic)"
+        )
         wide = ", ".join(f"max(case when topic = '{n}' then c{k} end) as {n}{k}" for n in names for k in kinds)
         parts.append(f"w{r} as (select {wide} from c{r})")
-        far = [f"coalesce(-({' + '.join(f'pow(z{k} - {n}{k}, 2)' for k in kinds)}), '-infinity'::double)" for n in names]
+        far = [
+            f"coalesce(-({' + '.join(f'pow(z{k} - {n}{k}, 2)' for k in kinds)}), '-infinity'::double)" for n in names
+        ]
         parts.append(f"t{r + 1} as (select z.*, {best(far)} as topic from z, w{r})")
     parts += [
         f"c as (select source, language, topic, cast(sum(tokens) as bigint) as tokens, cast(sum(tokens) as double) as fitted from t{moves} group by all)",
         "whole as (select cast(sum(tokens) as double) as everything from c)",
     ]
     for m, t in source_mixing.TEMPER.items():
-        parts.append(f"p_{m} as (select {m}, pow(sum(tokens) / everything, {t}e0) as part from c, whole group by {m}, everything)")
-        parts.append(f"g_{m} as (select {m}, part / (select sum(part) from p_{m}) * everything as goal from p_{m}, whole)")
+        parts.append(
+            f"p_{m} as (select {m}, pow(sum(tokens) / everything, {t}e0) as part from c, whole group by {m}, everything)"
+        )
+        parts.append(
+            f"g_{m} as (select {m}, part / (select sum(part) from p_{m}) * everything as goal from p_{m}, whole)"
+        )
     last = "c"
     for k in range(rounds):
         for m in source_mixing.TEMPER:
-            parts.append(f"{m}_{k} as materialized (select source, language, topic, tokens, case when sum(fitted) over (partition by {m}) > 0 then fitted * (goal / sum(fitted) over (partition by {m})) else 0 end as fitted from {last} join g_{m} using ({m}))")
+            parts.append(
+                f"{m}_{k} as materialized (select source, language, topic, tokens, case when sum(fitted) over (partition by {m}) > 0 then fitted * (goal / sum(fitted) over (partition by {m})) else 0 end as fitted from {last} join g_{m} using ({m}))"
+            )
             last = f"{m}_{k}"
     parts.append(f"r as (select *, case when tokens > 0 then fitted / tokens end as rate from {last})")
-    parts.append("q as (select source, language, topic, coalesce(least(1e0, rate * (1e0 / max(rate) over ())), 1e0) as probability from r)")
+    parts.append(
+        "q as (select source, language, topic, coalesce(least(1e0, rate * (1e0 / max(rate) over ())), 1e0) as probability from r)"
+    )
     kept = "cast(concat('0x', substr(md5(concat('11:', coalesce(cast(doc_id as varchar), ''))), 1, 8)) as bigint) / 4294967296e0 < probability"
-    return "with " + ",\n".join(parts) + f"\nselect doc_id, source, language, topic, t{moves}.tokens, round(probability, 6) as probability, {kept} as kept from t{moves} join q using (source, language, topic)"
+    return "with " + ",\n".join(
+        parts
+    ) + f"\nselect doc_id, source, language, topic, t{moves}.tokens, round(probability, 6) as probability, {kept} as kept from t{moves} join q using (source, language, topic)"
 
 
 OP5_SQL = (
@@ -150,4 +198,9 @@ reach(id, spot) as (select doc_id, doc_id from n union select id, b from reach j
 select n.doc_id, cast(n.n as bigint) as n_shingles, min(spot) as component_id from n join reach on id = n.doc_id group by n.doc_id, n.n
 """
 
-SQL = {"op1_decontamination": OP1_SQL, "op4_source_mixing": _op4_sql(), "op5_url_filter": OP5_SQL, "op7_ngram_jaccard": OP7_SQL}
+SQL = {
+    "op1_decontamination": OP1_SQL,
+    "op4_source_mixing": _op4_sql(),
+    "op5_url_filter": OP5_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
+}

@@ -32,11 +32,17 @@ BROADCAST_BUCKETS = 500_000
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
     """Rendezvous shard of a key column."""
-    votes = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.xxhash64(F.lit(seed), key.cast("string"), s).alias("vote"), s.alias("shard")))
+    votes = F.transform(
+        F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(
+            F.xxhash64(F.lit(seed), key.cast("string"), s).alias("vote"), s.alias("shard")
+        )
+    )
     return F.array_max(votes)["shard"].cast("int")
 
 
-def _deal(rows: DataFrame, keys: DataFrame, shards: int, seed: int, bucket_bytes: int, record_bytes: int, most_copies: int) -> DataFrame:
+def _deal(
+    rows: DataFrame, keys: DataFrame, shards: int, seed: int, bucket_bytes: int, record_bytes: int, most_copies: int
+) -> DataFrame:
     """rows(id, crc, shard, copy, row) -> (shard, bucket, slot, row); keys(id, crc, size, shard, copies) counts them."""
     total = keys.agg(F.sum(F.col("copies") * (F.col("size") + record_bytes))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
@@ -57,40 +63,85 @@ def _deal(rows: DataFrame, keys: DataFrame, shards: int, seed: int, bucket_bytes
     piles = sent.groupBy("place", "shard", "bucket").agg(F.collect_list("row").alias("pile"))
     piles = piles.select("shard", "bucket", F.posexplode(F.expr(f"shuffle(pile, {seed})")).alias("at", "row"))
     slot = (F.col("ahead") + F.col("at")).cast("long")
-    return piles.join(F.broadcast(ahead) if few else ahead, ["shard", "bucket"]).select("shard", "bucket", slot.alias("slot"), "row")
+    return piles.join(F.broadcast(ahead) if few else ahead, ["shard", "bucket"]).select(
+        "shard", "bucket", slot.alias("slot"), "row"
+    )
 
 
 def _keyed(docs: DataFrame, shards: int, seed: int) -> list[Column]:
     text = F.col("text").cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
-    return [F.col("doc_id").alias("id"), size.alias("size"), crc.alias("crc"), shard_of(F.col("doc_id"), shards, seed).alias("shard")]
+    return [
+        F.col("doc_id").alias("id"),
+        size.alias("size"),
+        crc.alias("crc"),
+        shard_of(F.col("doc_id"), shards, seed).alias("shard"),
+    ]
 
 
 def _keys(docs: DataFrame, shards: int, seed: int) -> DataFrame:
-    return materialize(docs.select(*_keyed(docs, shards, seed)).groupBy("id", "crc", "size", "shard").agg(F.count(F.lit(1)).alias("copies")), "shardkeys")
-
-
-def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 2026, bucket_bytes: int = 16 << 20, record_bytes: int = 64, most_copies: int = 50_000) -> DataFrame:
+    return materialize(
+        docs.select(*_keyed(docs, shards, seed)).groupBy("id", "crc", "size", "shard").agg(
+            F.count(F.lit(1)).alias("copies")
+        ),
+        "shardkeys",
+    )
+
+
+def assign_shards(
+    docs: DataFrame,
+    shards: int = 8,
+    seed: int = 2026,
+    bucket_bytes: int = 16 << 20,
+    record_bytes: int = 64,
+    most_copies: int = 50_000,
+) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard, bucket."""
     keys = _keys(docs, shards, seed)
     record = F.struct(F.col("id").alias("doc_id"), F.col("crc").alias("text_crc32"), "size")
-    rows = keys.select("id", "crc", "shard", record.alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    rows = keys.select(
+        "id",
+        "crc",
+        "shard",
+        record.alias("row"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"),
+    )
     dealt = _deal(rows, keys, shards, seed, bucket_bytes, record_bytes, most_copies)
     out = dealt.select("row.doc_id", "row.size", "row.text_crc32", F.lit("key").alias("law"), "shard", "slot", "bucket")
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"), "bucket")
-
-
-def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 2026, bucket_bytes: int = 16 << 20, record_bytes: int = 64, most_copies: int = 50_000) -> DataFrame:
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "law",
+        "shard",
+        "slot",
+        shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
+        "bucket",
+    )
+
+
+def shard_documents(
+    docs: DataFrame,
+    shards: int = 8,
+    seed: int = 2026,
+    bucket_bytes: int = 16 << 20,
+    record_bytes: int = 64,
+    most_copies: int = 50_000,
+) -> DataFrame:
     """docs with shard, slot and bucket beside its own columns (columns of those names are replaced); the slots of assign_shards."""
     own = [c for c in docs.columns if c.lower() not in ("shard", "slot", "bucket")]
     keys = _keys(docs, shards, seed)
-    rows = docs.select(*_keyed(docs, shards, seed), F.struct(*[col(c) for c in own]).alias("row"), F.lit(0).cast("long").alias("copy"))
+    rows = docs.select(
+        *_keyed(docs, shards, seed), F.struct(*[col(c) for c in own]).alias("row"), F.lit(0).cast("long").alias("copy")
+    )
     many = keys.where(F.col("copies") > most_copies).select("id", "crc")
     if many.limit(1).count():  # only rows of these keys are numbered
         same = rows.id.eqNullSafe(F.col("m.id")) & (rows.crc == F.col("m.crc"))
         one = Window.partitionBy("id", "crc").orderBy("shard")
-        numbered = rows.join(many.alias("m"), same, "left_semi").withColumn("copy", (F.row_number().over(one) - 1).cast("long"))
+        numbered = rows.join(many.alias("m"), same, "left_semi").withColumn(
+            "copy", (F.row_number().over(one) - 1).cast("long")
+        )
         rows = rows.join(many.alias("m"), same, "left_anti").unionByName(numbered)
     dealt = _deal(rows.drop("size"), keys, shards, seed, bucket_bytes, record_bytes, most_copies)
     return dealt.select(*[F.col("row").getField(c).alias(c) for c in own], "shard", "slot", "bucket")

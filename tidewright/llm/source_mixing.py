@@ -54,7 +54,11 @@ def shape_of(text: Column) -> list[Column]:
     """Shares of each kind of character."""
     text = F.coalesce(text, F.lit(""))
     n = F.length(text)
-    found = [_blanks(text) if name == "blanks" else n - F.length(F.regexp_replace(text, pattern, "")) for name, pattern in SHAPES.items()]
+    found = [
+        _blanks(text) if name == "blanks" else n - F.length(
+            F.regexp_replace(text, pattern, "")
+        ) for name, pattern in SHAPES.items()
+    ]
     return [x / F.greatest(n, F.lit(1)) for x in found]
 
 
@@ -78,19 +82,27 @@ def topic_of(text: Column, centres: dict) -> Column:
 
 
 def _nearest(z: list[Column], at: dict[str, list[float]]) -> Column:
-    far = [-sum((x - F.lit(c)) ** 2 for x, c in zip(z, at[name], strict=True)) if name in at else F.lit(float("-inf")) for name in SHAPES]
+    far = [
+        -sum(
+            (x - F.lit(c)) ** 2 for x, c in zip(z, at[name], strict=True)
+        ) if name in at else F.lit(float("-inf")) for name in SHAPES
+    ]
     return _first_best(far)
 
 
 def learn_topics(shapes: DataFrame, moves: int = 2) -> dict:
     """Centres of topics over shapes(s0, s1, s2, s3), one row a document."""
     names = [f"s{k}" for k in range(len(SHAPES))]
-    got = shapes.agg(*[F.round(f(n), 9).alias(f"{a}{n}") for n in names for a, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
+    got = shapes.agg(
+        *[F.round(f(n), 9).alias(f"{a}{n}") for n in names for a, f in (("m", F.avg), ("d", F.stddev_pop))]
+    ).first()
     spread = [(got[f"m{n}"] or 0.0, got[f"d{n}"] or 0.0) for n in names]
     z = _standard([F.col(n) for n in names], spread)
     topic, at = _first_best(z), {}
     for _ in range(moves):
-        rows = shapes.groupBy(topic.alias("topic")).agg(*[F.round(F.avg(x), 9).alias(f"c{k}") for k, x in enumerate(z)]).collect()
+        rows = shapes.groupBy(topic.alias("topic")).agg(
+            *[F.round(F.avg(x), 9).alias(f"c{k}") for k, x in enumerate(z)]
+        ).collect()
         at = {r["topic"]: [r[f"c{k}"] for k in range(len(z))] for r in rows}
         topic = _nearest(z, at)
     return {"spread": spread, "at": at}
@@ -104,7 +116,16 @@ def _base(docs: DataFrame) -> DataFrame:
     """(doc_id, source, language, tokens, s0 ... s3) of each row, written: texts are read once for all that follows."""
     text = F.col("text").cast("string")
     shapes = [x.alias(f"s{k}") for k, x in enumerate(shape_of(text))]
-    return materialize(docs.select("doc_id", _category("source").alias("source"), _category("lang").alias("language"), tokens_of(text).alias("tokens"), *shapes), "shapes")
+    return materialize(
+        docs.select(
+            "doc_id",
+            _category("source").alias("source"),
+            _category("lang").alias("language"),
+            tokens_of(text).alias("tokens"),
+            *shapes,
+        ),
+        "shapes",
+    )
 
 
 def _topics(centres: dict) -> Column:
@@ -120,9 +141,20 @@ def fit_cells(docs: DataFrame, **options) -> tuple[DataFrame, dict]:
     return out
 
 
-def _fitted(base: DataFrame, temper: dict[str, float] | None = None, tolerance: float = 1e-9, most_rounds: int = 200, budget: float | None = None) -> tuple[DataFrame, dict]:
+def _fitted(
+    base: DataFrame,
+    temper: dict[str, float] | None = None,
+    tolerance: float = 1e-9,
+    most_rounds: int = 200,
+    budget: float | None = None,
+) -> tuple[DataFrame, dict]:
     centres = learn_topics(base.select("s0", "s1", "s2", "s3"))
-    cells = materialize(base.groupBy("source", "language", _topics(centres).alias("topic")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
+    cells = materialize(
+        base.groupBy("source", "language", _topics(centres).alias("topic")).agg(
+            F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")
+        ),
+        "cells",
+    )
     cells = rake(cells, TEMPER | (temper or {}), tolerance, most_rounds)
     rate = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))
     sums = cells.agg(F.max(rate).alias("top"), F.sum("fitted").alias("all")).first()
@@ -145,12 +177,16 @@ def rake(cells: DataFrame, temper: dict[str, float], tolerance: float, most_roun
     for _ in range(-(-most_rounds // ROUNDS_EACH)):
         for m in MARGINS * ROUNDS_EACH:
             cells = cells.withColumn("now", now[m])
-            cells = cells.withColumn("fitted", F.when(F.col("now") > 0, F.col("fitted") * (F.col(f"goal_{m}") / F.col("now"))).otherwise(0.0)).drop("now")
+            cells = cells.withColumn(
+                "fitted", F.when(F.col("now") > 0, F.col("fitted") * (F.col(f"goal_{m}") / F.col("now"))).otherwise(0.0)
+            ).drop("now")
         cells = materialize(cells, "raked")
         gaps = cells.select([F.abs(now[m] - F.col(f"goal_{m}")).alias(m) for m in MARGINS])
         if float(gaps.agg(F.max(F.greatest(*MARGINS))).first()[0] or 0.0) <= tolerance * total:
             return cells.drop(*[f"goal_{m}" for m in MARGINS])
-    raise RuntimeError(f"raking is still further than {tolerance} from its targets after {most_rounds} rounds; some targets exclude each other")
+    raise RuntimeError(
+        f"raking is still further than {tolerance} from its targets after {most_rounds} rounds; some targets exclude each other"
+    )
 
 
 def lot(key: Column, seed: int) -> Column:
@@ -169,7 +205,9 @@ def sample_mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     cells, centres = _fitted(base, **options)
     cells = materialize(cells.select(*MARGINS, "probability"), "mix")
     marked = base.withColumn("topic", _topics(centres)).join(_broadcast(cells), list(MARGINS), "left")
-    return marked.select("doc_id", *MARGINS, "tokens", "probability", (lot(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
+    return marked.select(
+        "doc_id", *MARGINS, "tokens", "probability", (lot(F.col("doc_id"), seed) < F.col("probability")).alias("kept")
+    )
 
 
 def keep_sample(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
@@ -177,6 +215,12 @@ def keep_sample(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     cells, centres = fit_cells(docs, **options)
     free = dict(zip((*MARGINS, "probability"), free_names(docs.columns, *MARGINS, "probability"), strict=True))
     cells = materialize(cells.select(*[F.col(m).alias(n) for m, n in free.items()]), "mix")
-    marked = docs.withColumns({free["source"]: _category("source"), free["language"]: _category("lang"), free["topic"]: topic_of(F.col("text").cast("string"), centres)})
+    marked = docs.withColumns(
+        {
+            free["source"]: _category("source"),
+            free["language"]: _category("lang"),
+            free["topic"]: topic_of(F.col("text").cast("string"), centres),
+        }
+    )
     marked = marked.join(_broadcast(cells), [free[m] for m in MARGINS], "left")
     return marked.where(lot(F.col("doc_id"), seed) < col(free["probability"])).select([col(c) for c in docs.columns])

@@ -65,7 +65,9 @@ def _anchors(data, off, length: int, gram: int):
 
     def join(width, best, shift):
         later = width[shift:] < width[: len(width) - shift]
-        return np.where(later, width[shift:], width[: len(width) - shift]), np.where(later, best[shift:], best[: len(best) - shift])
+        return np.where(later, width[shift:], width[: len(width) - shift]), np.where(
+            later, best[shift:], best[: len(best) - shift]
+        )
 
     while 2 * size <= span:
         width, best = join(width, best, size)
@@ -95,7 +97,9 @@ class Ranges:
         """sample: for each text its leading strings, concatenated; share: the sampled part of the corpus."""
         kind = f"S{gram}"
         texts = [np.frombuffer(x, kind) for x in sample if x]
-        lead, often = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.zeros(0, kind), np.zeros(0, int))
+        lead, often = np.unique(np.concatenate(texts), return_counts=True) if texts else (
+            np.zeros(0, kind), np.zeros(0, int)
+        )
         seen = np.unique(np.concatenate([np.unique(x) for x in texts]), return_counts=True)[1] if texts else often
         reach = np.cumsum(often)
         cut = np.searchsorted(reach, reach[-1] * np.arange(1, parts) / parts) if len(lead) else np.zeros(0, int)
@@ -118,12 +122,16 @@ class Ranges:
         low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")
         tie = np.flatnonzero(low != high)
         if len(tie):
-            whole = np.ascontiguousarray(data[anchor[tie][:, None] + np.arange(self.gram)]).view(f"S{self.gram}").ravel()
+            whole = np.ascontiguousarray(
+                data[anchor[tie][:, None] + np.arange(self.gram)]
+            ).view(f"S{self.gram}").ravel()
             low[tie] = np.searchsorted(self.splitters, whole, "right")
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, f), len(self.hot) - 1)
             here = np.flatnonzero(self.hot[at] == f)
-            low[here] = self.base[at[here]] + (A.mix(doc[here].view(U)) % self.ways[at[here]].astype(U)).astype(np.int64)
+            low[here] = self.base[at[here]] + (
+                A.mix(doc[here].view(U)) % self.ways[at[here]].astype(U)
+            ).astype(np.int64)
         return low
 
     def known(self, f: np.ndarray) -> np.ndarray:
@@ -134,7 +142,9 @@ class Ranges:
 
 def _leading(strings: np.ndarray, gram: int) -> np.ndarray:
     """The first eight bytes of fixed strings, as numbers in the order of the strings."""
-    return np.ascontiguousarray(strings.view(np.uint8).reshape(-1, gram)[:, :8]).view(">u8").ravel().astype(U) if len(strings) else np.zeros(0, U)
+    return np.ascontiguousarray(
+        strings.view(np.uint8).reshape(-1, gram)[:, :8]
+    ).view(">u8").ravel().astype(U) if len(strings) else np.zeros(0, U)
 
 
 def _gram_hash(strings: np.ndarray, gram: int) -> np.ndarray:
@@ -143,27 +153,42 @@ def _gram_hash(strings: np.ndarray, gram: int) -> np.ndarray:
     return A.span_hash(A.prefix_hash(flat), at, at + gram)
 
 
-def sampled_ranges(docs: DataFrame, total: int, parts: int, length: int, gram: int, sample_bytes: int, hot_rows: int) -> Ranges:
+def sampled_ranges(
+    docs: DataFrame, total: int, parts: int, length: int, gram: int, sample_bytes: int, hot_rows: int
+) -> Ranges:
     """Ranges from the texts with the smallest hashes, about sample_bytes of them."""
     share = min(1.0, sample_bytes / max(total, 1))
-    some = docs.where((F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & (F.octet_length("text") >= length)).select("key", "text").dropDuplicates(["key"])
+    some = docs.where(
+        (F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & (F.octet_length("text") >= length)
+    ).select("key", "text").dropDuplicates(["key"])
 
     def work(batches):
         for b in batches:
             for _, _, data, off in A.chunks(b.column("text"), PIECE):
                 row, anchor, _, _, _ = _anchors(data, off, length, gram)
                 edges = np.searchsorted(row, np.arange(len(off)))
-                lead = np.ascontiguousarray(data[anchor[:, None] + np.arange(gram)]).view(f"S{gram}").ravel() if len(anchor) else np.zeros(0, f"S{gram}")
-                yield pa.RecordBatch.from_arrays([pa.array([lead[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["leads"])
+                lead = np.ascontiguousarray(
+                    data[anchor[:, None] + np.arange(gram)]
+                ).view(f"S{gram}").ravel() if len(anchor) else np.zeros(0, f"S{gram}")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lead[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
+                    ["leads"],
+                )
 
-    return Ranges([bytes(r["leads"]) for r in some.mapInArrow(work, "leads binary").collect()], gram, parts, share, hot_rows)
+    return Ranges(
+        [bytes(r["leads"]) for r in some.mapInArrow(work, "leads binary").collect()], gram, parts, share, hot_rows
+    )
 
 
 def _cut_by(part: np.ndarray):
     order = np.argsort(part, kind="stable")
     ordered = part[order]
-    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(part) else np.zeros(0, np.int64)
-    return order, zip(ordered[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)][: len(start)], strict=True)
+    start = np.flatnonzero(
+        np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    ) if len(part) else np.zeros(0, np.int64)
+    return order, zip(
+        ordered[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)][: len(start)], strict=True
+    )
 
 
 def _ranges(lengths: np.ndarray) -> np.ndarray:
@@ -189,7 +214,12 @@ def _suffixes(docs: DataFrame, ranges, length: int, gram: int) -> DataFrame:
                 rows["f"].append((f[mine] >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 rows["at"].append(local.astype("<u4" if len(used) > 65535 else "<u2").tobytes())
                 rows["keys"].append(used.astype("<i8").tobytes())
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), ("f", pa.binary()), ("at", pa.binary()), ("keys", pa.binary())]))
+            return pa.RecordBatch.from_pydict(
+                rows,
+                schema=pa.schema(
+                    [("part", pa.int32()), ("f", pa.binary()), ("at", pa.binary()), ("keys", pa.binary())]
+                ),
+            )
 
         for b in batches:
             keys = b.column("key").to_numpy(zero_copy_only=False)
@@ -249,7 +279,12 @@ def _shared_anchors(runs: DataFrame, back: int) -> DataFrame:
         f, key = f[order], key[order]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         ends = np.append(start[1:], len(key))[: len(start)]
-        return pa.table({"key": pa.array(key[start], pa.int64()), "f": pa.array([np.unique(f[s:e]).tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())})
+        return pa.table(
+            {
+                "key": pa.array(key[start], pa.int64()),
+                "f": pa.array([np.unique(f[s:e]).tobytes() for s, e in zip(start, ends, strict=True)], pa.binary()),
+            }
+        )
 
     shared = runs.groupBy("part").applyInArrow(A.trimmed(find), "part int, keys binary, f binary")
     return shared.groupBy("part").applyInArrow(A.trimmed(gather), "key long, f binary")
@@ -270,10 +305,14 @@ def _cuts(texts: DataFrame, ranges, length: int, gram: int) -> DataFrame:
             for p, s, e in cuts:
                 mine = order[s:e]
                 out["part"].append(p)
-                for c, x in zip(fields[:4], (f.astype("<u8"), doc.astype("<i8"), lo.astype("<i8"), width.astype("<i4")), strict=True):
+                for c, x in zip(
+                    fields[:4], (f.astype("<u8"), doc.astype("<i8"), lo.astype("<i8"), width.astype("<i4")), strict=True
+                ):
                     out[c].append(x[mine].tobytes())
                 out["data"].append(data[np.repeat(begin[mine], width[mine]) + _ranges(width[mine])].tobytes())
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in fields]]))
+            return pa.RecordBatch.from_pydict(
+                out, schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in fields]])
+            )
 
         for b in batches:
             ids, flags = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("fs")
@@ -290,7 +329,16 @@ def _cuts(texts: DataFrame, ranges, length: int, gram: int) -> DataFrame:
                 if not len(f):
                     continue
                 doc, width = ids[i:j][row].astype(np.int64), hi - lo + length
-                held.append((ranges.value.of(data, anchor, f, doc), f, doc, lo - off[row], width, data[np.repeat(lo, width) + _ranges(width)]))
+                held.append(
+                    (
+                        ranges.value.of(data, anchor, f, doc),
+                        f,
+                        doc,
+                        lo - off[row],
+                        width,
+                        data[np.repeat(lo, width) + _ranges(width)],
+                    )
+                )
                 size += int(width.sum()) + 28 * len(f)
                 if size > HELD:
                     yield flush()
@@ -450,7 +498,13 @@ def _block_marks(f, doc, lo, size, begin, data, length: int, edges: list | None)
             member = i + np.repeat(np.arange(j - i), w)[k]
             at = begin[member] + step[k] - begin[i]
             own = data[begin[i] : begin[j - 1] + size[j - 1]]
-            edges.append((doc[member], lo[member] + step[k], *[A.span_hash(A.prefix_hash(own, v), at, at + length) for v in (None, _OTHER)]))
+            edges.append(
+                (
+                    doc[member],
+                    lo[member] + step[k],
+                    *[A.span_hash(A.prefix_hash(own, v), at, at + length) for v in (None, _OTHER)],
+                )
+            )
         i = j
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -479,7 +533,14 @@ def _runs_of(marks: DataFrame) -> DataFrame:
         who = rows[:, 0]
         start = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
         stop = np.append(start[1:], len(who))[: len(start)]
-        return pa.table({"doc_id": pa.array(who[start], pa.int64()), "runs": pa.array([_merge_runs(rows[x:y, 1:]).tobytes() for x, y in zip(start, stop, strict=True)], pa.binary())})
+        return pa.table(
+            {
+                "doc_id": pa.array(who[start], pa.int64()),
+                "runs": pa.array(
+                    [_merge_runs(rows[x:y, 1:]).tobytes() for x, y in zip(start, stop, strict=True)], pa.binary()
+                ),
+            }
+        )
 
     return marks.groupBy("part").applyInArrow(A.trimmed(gather), "doc_id long, runs binary")
 
@@ -492,7 +553,9 @@ def _marks(cuts: DataFrame, parts: int, length: int, back: int) -> DataFrame:
         def column(name, kind):
             return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
 
-        f, doc, lo, size, data = column("f", "<u8"), column("doc", "<i8"), column("lo", "<i8"), column("size", "<i4").astype(np.int64), column("data", np.uint8)
+        f, doc, lo, size, data = column(
+            "f", "<u8"
+        ), column("doc", "<i8"), column("lo", "<i8"), column("size", "<i4").astype(np.int64), column("data", np.uint8)
         edges = [] if table.column("part")[0].as_py() >= parts else None
         begin = np.cumsum(size) - size
         del table
@@ -504,18 +567,33 @@ def _marks(cuts: DataFrame, parts: int, length: int, back: int) -> DataFrame:
             m = np.flatnonzero(block == x)
             if len(m):
                 own = data[np.repeat(begin[m], size[m]) + _ranges(size[m])]
-                found.append(_block_marks(f[m], doc[m], lo[m], size[m], np.cumsum(size[m]) - size[m], own, length, edges))
+                found.append(
+                    _block_marks(f[m], doc[m], lo[m], size[m], np.cumsum(size[m]) - size[m], own, length, edges)
+                )
         out = _packed_marks(*(np.concatenate(x) for x in zip(*found, strict=True)), back)
         n = len(out["part"])
         part, packed = [], []
         if edges:
-            rows = np.stack([np.concatenate(x).astype(U) if k > 1 else np.concatenate(x).view(U) for k, x in enumerate(zip(*edges, strict=True))], axis=1)
+            rows = np.stack(
+                [
+                    np.concatenate(
+                        x
+                    ).astype(U) if k > 1 else np.concatenate(x).view(U) for k, x in enumerate(zip(*edges, strict=True))
+                ],
+                axis=1,
+            )
             order, cut = _cut_by((rows[:, 2] % U(edge_parts)).astype(np.int64))
             for p, s, e in cut:
                 part.append(p)
                 packed.append(rows[order[s:e]].astype("<u8").tobytes())
         none = pa.nulls
-        return pa.table({"part": pa.array(out["part"] + part, pa.int32()), "marks": pa.concat_arrays([pa.array(out["marks"], pa.binary()), none(len(part), pa.binary())]), "edges": pa.concat_arrays([none(n, pa.binary()), pa.array(packed, pa.binary())])})
+        return pa.table(
+            {
+                "part": pa.array(out["part"] + part, pa.int32()),
+                "marks": pa.concat_arrays([pa.array(out["marks"], pa.binary()), none(len(part), pa.binary())]),
+                "edges": pa.concat_arrays([none(n, pa.binary()), pa.array(packed, pa.binary())]),
+            }
+        )
 
     return cuts.groupBy("part").applyInArrow(A.trimmed(sort), "part int, marks binary, edges binary")
 
@@ -531,7 +609,10 @@ def _across(edges: DataFrame, length: int, back: int) -> DataFrame:
         label = _numbers(h1[by], h2[by])
         opens = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
         late = doc > doc[opens][label]
-        return pa.table(_packed_marks(doc[late], start[late], start[late] + length, back), schema=pa.schema([("part", pa.int32()), ("marks", pa.binary())]))
+        return pa.table(
+            _packed_marks(doc[late], start[late], start[late] + length, back),
+            schema=pa.schema([("part", pa.int32()), ("marks", pa.binary())]),
+        )
 
     return edges.groupBy("part").applyInArrow(A.trimmed(meet), "part int, marks binary")
 
@@ -544,20 +625,38 @@ def _merge_runs(runs: np.ndarray) -> np.ndarray:
     return np.stack((runs[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])), axis=1)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, part_bytes: int = 6 << 20, sample_bytes: int = 4 << 20, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(
+    docs: DataFrame,
+    length: int = 50,
+    gram: int = 16,
+    part_bytes: int = 6 << 20,
+    sample_bytes: int = 4 << 20,
+    hot_rows: int = 100_000,
+) -> tuple[DataFrame, DataFrame]:
     """(texts with doc_id, text, copy) and (doc_id, runs: packed byte runs to remove)."""
     if gram < 8 or length < gram:
         raise ValueError("gram must be at least 8 bytes and length at least gram")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key, check, size = F.xxhash64("text").alias("key"), F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").cast("long").alias("n_bytes")
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    key, check, size = F.xxhash64(
+        "text"
+    ).alias("key"), F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").cast("long").alias("n_bytes")
     named = docs.where("doc_id is not null")
-    firsts = materialize(named.select("doc_id", key, check, size).groupBy("key", "check", "n_bytes").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    firsts = materialize(
+        named.select("doc_id", key, check, size).groupBy("key", "check", "n_bytes").agg(
+            F.min("doc_id").alias("doc_id")
+        ),
+        "firsts",
+    )
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(4, -(-total // part_bytes))
     keyed = named.select(key, "text").where(F.octet_length("text") >= length)
     found = sampled_ranges(keyed, total, parts, length, gram, sample_bytes, hot_rows)
     ranges = docs.sparkSession.sparkContext.broadcast(found)
-    flags = _shared_anchors(_suffixes(keyed, ranges, length, gram), -(-parts // UNITED)).join(firsts.select("key", "doc_id"), "key")
+    flags = _shared_anchors(_suffixes(keyed, ranges, length, gram), -(-parts // UNITED)).join(
+        firsts.select("key", "doc_id"), "key"
+    )
     flags = materialize(flags.groupBy("doc_id").agg(F.collect_list("f").alias("fs")), "flags")
     # without known strings only flagged texts can have a match; with them every first copy is read again
     first_ids = firsts.where(F.col("n_bytes") >= length).select("doc_id").distinct()
@@ -571,7 +670,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, part_bytes
         marks = marks.unionByName(_across(found_marks.where("edges is not null").select("part", "edges"), length, back))
     runs = materialize(_runs_of(marks), "marks")
     discard(found_marks)
-    copies = docs.select("doc_id", key, check, size).where("doc_id is not null").join(firsts.withColumnRenamed("doc_id", "first"), ["key", "check", "n_bytes"]).where(f"doc_id <> first and n_bytes >= {length}").select("doc_id", F.lit(True).alias("copy"))
+    copies = docs.select("doc_id", key, check, size).where("doc_id is not null").join(
+        firsts.withColumnRenamed("doc_id", "first"), ["key", "check", "n_bytes"]
+    ).where(f"doc_id <> first and n_bytes >= {length}").select("doc_id", F.lit(True).alias("copy"))
     return docs.join(copies.distinct(), "doc_id", "left"), runs
 
 
@@ -582,7 +683,14 @@ def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            out = {"doc_id": b.column("doc_id").to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            out = {
+                "doc_id": b.column("doc_id").to_pylist(),
+                "n_bytes": [],
+                "n_removed": [],
+                "n_spans": [],
+                "kept_sha256": [],
+                "kept": [],
+            }
             for text, copy, runs in zip(b.column("text"), b.column("copy"), b.column("runs"), strict=True):
                 raw = text.as_buffer()
                 n = raw.size
@@ -601,7 +709,21 @@ def remove_repeats(docs: DataFrame, texts: bool = True, **options) -> DataFrame:
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(bytes(kept) if texts else None)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
-
-    out = joined.select("doc_id", "text", "copy", "runs").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            yield pa.RecordBatch.from_pydict(
+                out,
+                schema=pa.schema(
+                    [
+                        ("doc_id", pa.int64()),
+                        ("n_bytes", pa.int64()),
+                        ("n_removed", pa.int64()),
+                        ("n_spans", pa.int64()),
+                        ("kept_sha256", pa.string()),
+                        ("kept", pa.binary()),
+                    ]
+                ),
+            )
+
+    out = joined.select("doc_id", "text", "copy", "runs").mapInArrow(
+        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    )
     return out if texts else out.drop("kept")
