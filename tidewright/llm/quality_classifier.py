@@ -35,6 +35,8 @@ _BAR = A.byte_class((0x7C, 0x7C))
 _SIGN = A.byte_class((33, 47), (58, 64), (91, 96), (123, 126))
 _LINE = ~A.byte_class((0x0A, 0x0A))
 _PAIRS = np.arange(1 << 16, dtype=np.uint64)
+#: Pairs whose differences are held at once while fitting.
+PAIRS_AT_ONCE = 4096
 #: Buckets of hashed words and of hashed pairs of bytes.
 HASHED = 32
 FEATURES = (
@@ -127,8 +129,10 @@ class Ranking:
 
 
 def _expand(z: np.ndarray) -> np.ndarray:
+    """Standardised features, and the squares of those that aren't hashed."""
     z = np.clip(z, -6, 6)
-    return np.concatenate((z, np.minimum(z * z, 9)), axis=1)
+    own = z[:, : -2 * HASHED]
+    return np.concatenate((z, np.minimum(own * own, 9)), axis=1)
 
 
 def fit_ranking(x: np.ndarray, good: np.ndarray, pairs_each: int = 8, penalty: float = 1e-2, seed: int = 7) -> Ranking:
@@ -136,17 +140,20 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, pairs_each: int = 8, penalty: f
     d = x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)
     mean, spread = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(d), np.ones(d))
     up, down = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
-    w = np.zeros(2 * d)
+    w = np.zeros(_expand(np.zeros((1, d))).shape[1])
     if not len(up) or not len(down):
         return Ranking(mean, spread, w, 0.0)
     z = _expand((x - mean) / spread)
     rng = np.random.default_rng(seed)
     m = pairs_each * max(len(up), len(down))
-    diff = z[up[rng.permutation(m) % len(up)]] - z[down[rng.permutation(m) % len(down)]]
+    won, lost = up[rng.permutation(m) % len(up)], down[rng.permutation(m) % len(down)]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-        gradient = diff.T @ (p - 1) / m + penalty * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / m + penalty * np.eye(len(w))
+        gradient, curve = penalty * w, penalty * np.eye(len(w))
+        for i in range(0, m, PAIRS_AT_ONCE):
+            diff = z[won[i : i + PAIRS_AT_ONCE]] - z[lost[i : i + PAIRS_AT_ONCE]]
+            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+            gradient += diff.T @ (p - 1) / m
+            curve += (diff * (p * (1 - p))[:, None]).T @ diff / m
         step = np.linalg.solve(curve, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -180,17 +187,19 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, learn_fro
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("quality").slice(i, j - i),
-                        pa.array(list(x), pa.list_(pa.float64())),
+                        pa.array([row.tobytes() for row in x], pa.binary()),
                         b.column("doc_id").slice(i, j - i),
                     ],
                     ["quality", "x", "doc_id"],
                 )
 
     got = _typed(docs).join(F.broadcast(rows), "doc_id").select("quality", "text", "doc_id").mapInArrow(
-        measure, "quality int, x array<double>, doc_id long"
-    ).collect()
-    got.sort(key=lambda r: r["doc_id"])  # the pairs drawn don't depend on task order
-    return fit_ranking(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got]))
+        measure, "quality int, x binary, doc_id long"
+    ).toArrow()
+    # the pairs drawn don't depend on task order
+    order = sorted(range(got.num_rows), key=lambda k: (got["doc_id"][k].as_py(), got["x"][k].as_py()))
+    x = np.frombuffer(b"".join(got["x"][k].as_py() for k in order)).reshape(-1, len(FEATURES))
+    return fit_ranking(x, np.array([got["quality"][k].as_py() for k in order]))
 
 
 def score(docs: DataFrame, model: Ranking) -> DataFrame:
