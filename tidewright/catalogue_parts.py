@@ -23,6 +23,7 @@ from .operators.book import Account, Commission, Financing, Frictions, Slippage
 from .operators.runs import equity_of, event_counts, fills_of, gross_exposure, manifest, run_backtests, span_bars
 from .operators.spans import merge_spans, subtract_spans, walk_forward_folds
 from .plans import cli, ladder, report
+from .plans.tables import shared_folder
 from .sources import bars as src
 from .study_sql import cpcv_sql, ladder_sql
 
@@ -43,13 +44,8 @@ def _query(sql: str):
 
 
 def _folder(spark, name: str) -> str:
-    """A new path in the folder that all executors share; on a local master without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Sources
