@@ -13,8 +13,9 @@ nearest centre `moves` times. Only the centres (16 numbers) reach the driver.
 Only DataFrame functions run. Cells are one row per combination of three category columns;
 each round of raking is three sums by one category each. Every few rounds the cells are written
 and measured: raking ends when every margin is within `tolerance` of its target (a share of all
-tokens), and raises after `most_rounds`. No step
-gathers the cells in one task. Targets are share = observed ** temper, normalised (temper 1
+tokens), and raises after `most_rounds`. Up to
+100,000 cells are raked by one task, which is quicker than to exchange them; beyond, no step
+gathers them in one. Targets are share = observed ** temper, normalised (temper 1
 keeps the mix, 0 evens it). Null categories are a category of their own; null and empty texts
 have no tokens and follow their cell's probability; a cell without tokens is kept whole; rows
 that share a doc_id have one lot; an empty table gives no rows. Columns of any name pass.
@@ -174,14 +175,17 @@ def rake(cells: DataFrame, temper: dict[str, float], tolerance: float, most_roun
         cells = cells.join(parts.select(m, (F.col("part") / F.lit(whole) * F.lit(total)).alias(f"goal_{m}")), m)
     cells = materialize(cells.withColumn("fitted", F.col("tokens").cast("double")), "raked")
     now = {m: F.sum("fitted").over(Window.partitionBy(m)) for m in MARGINS}
+    own = [c for c in cells.columns if c != "fitted"]
+    few = cells.count() <= BROADCAST_CELLS  # then sums by one category after another need no exchange
     for _ in range(-(-most_rounds // ROUNDS_EACH)):
+        cells = cells.coalesce(1) if few else cells
         for m in MARGINS * ROUNDS_EACH:
-            cells = cells.withColumn("now", now[m])
-            cells = cells.withColumn(
-                "fitted", F.when(F.col("now") > 0, F.col("fitted") * (F.col(f"goal_{m}") / F.col("now"))).otherwise(0.0)
-            ).drop("now")
+            scaled = F.when(now[m] > 0, F.col("fitted") * (F.col(f"goal_{m}") / now[m])).otherwise(0.0)
+            cells = cells.select(*own, scaled.alias("fitted"))
         cells = materialize(cells, "raked")
-        gaps = cells.select([F.abs(now[m] - F.col(f"goal_{m}")).alias(m) for m in MARGINS])
+        gaps = (cells.coalesce(1) if few else cells).select(
+            [F.abs(now[m] - F.col(f"goal_{m}")).alias(m) for m in MARGINS]
+        )
         if float(gaps.agg(F.max(F.greatest(*MARGINS))).first()[0] or 0.0) <= tolerance * total:
             return cells.drop(*[f"goal_{m}" for m in MARGINS])
     raise RuntimeError(
