@@ -83,30 +83,43 @@ def perturbed_spans(bars: DataFrame, cuts: tuple[int, ...], seed: int = 0) -> Da
     ).groupBy("span_id").applyInArrow(alter, schema)
 
 
-def signal_differences(signals: DataFrame, cuts: tuple[int, ...], tolerance: float = 1e-12) -> DataFrame:
-    """(setting_id, k, t, original, altered): first differing signal up to each cut."""
+def signal_differences(
+    signals: DataFrame, cuts: tuple[int, ...], tolerance: float = 1e-12, strengths: bool = False
+) -> DataFrame:
+    """(setting_id, k, t, original, altered): first differing signal up to each cut.
+
+    Weights are compared; with `strengths` also what stands behind them, so that a weight at its limit
+    hides no change (original_strength, altered_strength follow).
+    """
+    key = ["setting_id", "symbol", "seq", "t"]
     limit = F.element_at(F.array(*[F.lit(int(c)) for c in cuts]), F.col("k").cast("int"))
-    base = signals.where("span_id = 0").select("setting_id", "symbol", "seq", "t", F.col("target_weight").alias("a"))
+    base = signals.where("span_id = 0").select(*key, F.col("target_weight").alias("a"), F.col("strength").alias("sa"))
     other = signals.where("span_id > 0").select(
-        F.col("span_id").alias("k"), "setting_id", "symbol", "seq", "t", F.col("target_weight").alias("b")
+        F.col("span_id").alias("k"), *key, F.col("target_weight").alias("b"), F.col("strength").alias("sb")
     ).where(F.col("t") <= limit)
     spread = base.withColumn(
         "k", F.explode(F.sequence(F.lit(1), F.lit(len(cuts))))
     ).withColumn("k", F.col("k").cast("long")).where(F.col("t") <= limit)
-    j = spread.join(other, ["k", "setting_id", "symbol", "seq", "t"], "full_outer")
-    close = F.abs(F.col("a") - F.col("b")) <= F.greatest(
-        F.lit(tolerance), tolerance * F.greatest(F.abs("a"), F.abs("b"))
-    )
-    wrong = j.where(F.col("a").isNull() | F.col("b").isNull() | ~close)
-    return wrong.groupBy("setting_id", "k").agg(F.min(F.struct("t", "seq", "symbol", "a", "b")).alias("first")).select(
-        "setting_id", "k", "first.t", F.col("first.a").alias("original"), F.col("first.b").alias("altered")
-    )
+    j = spread.join(other, ["k", *key], "full_outer")
+
+    def close(a: str, b: str):
+        return F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs(a), F.abs(b)))
+
+    differs = F.col("a").isNull() | F.col("b").isNull() | ~close("a", "b")
+    shown = [F.col("first.a").alias("original"), F.col("first.b").alias("altered")]
+    if strengths:
+        # a strategy need not state a strength, so two without one are equal
+        differs |= ~(F.col("sa").eqNullSafe(F.col("sb")) | F.coalesce(close("sa", "sb"), F.lit(False)))
+        shown += [F.col("first.sa").alias("original_strength"), F.col("first.sb").alias("altered_strength")]
+    first = F.min(F.struct("t", "seq", "symbol", "a", "b", "sa", "sb")).alias("first")
+    return j.where(differs).groupBy("setting_id", "k").agg(first).select("setting_id", "k", "first.t", *shown)
 
 
 def detect_look_ahead(
-    bars: DataFrame, spec: Spec, n_cuts: int = 5, seed: int = 0, look_ahead: bool = False
+    bars: DataFrame, spec: Spec, n_cuts: int = 5, seed: int = 0, look_ahead: bool = False, strengths: bool = False
 ) -> LeakReport:
-    """Check every setting of spec on one series; look_ahead checks the leaky twin instead."""
+    """Check every setting of spec on one series; look_ahead checks the leaky twin instead, strengths more than weights."""
+    values = ("target_weight", "strength") if strengths else ("target_weight",)
     n = bars.select("t").distinct().count()
     cuts = cut_points(n, spec.warmup, n_cuts)
     if not cuts:
@@ -121,9 +134,9 @@ def detect_look_ahead(
             [{"params": p, "cut": -1, "t": None, "detail": f"refused: {refused}"} for p in spec.grid],
             [],
         )
-    one = signals.where("span_id = 0").select("setting_id", "symbol", "t", "seq", "target_weight")
+    one = signals.where("span_id = 0").select("setting_id", "symbol", "t", "seq", *values)
     again = spec.signals(spans.where("span_id = 0"), leaky=look_ahead).select(
-        "setting_id", "symbol", "t", "seq", "target_weight"
+        "setting_id", "symbol", "t", "seq", *values
     )
     unstable = {
         r[
@@ -131,14 +144,17 @@ def detect_look_ahead(
         ] for r in one.exceptAll(again).union(again.exceptAll(one)).select("setting_id").distinct().collect()
     }
     found: dict[int, dict] = {}
-    for r in signal_differences(signals, cuts).orderBy("k").collect():
+    for r in signal_differences(signals, cuts, strengths=strengths).orderBy("k").collect():
         if r["setting_id"] not in unstable and r["setting_id"] not in found:
             p = spec.grid[r["setting_id"]]
+            said = f"changed from {r['original']} to {r['altered']}"
+            if strengths:
+                said += f" (strength from {r['original_strength']} to {r['altered_strength']})"
             found[r["setting_id"]] = {
                 "params": p,
                 "cut": cuts[r["k"] - 1],
                 "t": r["t"],
-                "detail": f"the signal at bar {r['t']} changed from {r['original']} to {r['altered']} when only bars after {cuts[r['k'] - 1]} were altered",
+                "detail": f"the signal at bar {r['t']} {said} when only bars after {cuts[r['k'] - 1]} were altered",
             }
     spans.unpersist()
     return LeakReport(cuts, spec.grid, [found[k] for k in sorted(found)], [spec.grid[k] for k in sorted(unstable)])
