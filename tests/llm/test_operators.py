@@ -539,6 +539,36 @@ def test_media_classes_equal_brute_force(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_media_tables_come_from_all_images(spark):
+    """The chance of one key equals a plain count over all images, on any layout; the pairs don't depend on the hash order of ids."""
+    rng = np.random.default_rng(12)
+    by_hash = [r["id"] for r in spark.range(600).orderBy(F.xxhash64("id"), "id").collect()]
+    bits = {i: rng.random((rng.integers(20, 40), 128)) < (0.5 if k < 300 else 0.1) for k, i in enumerate(by_hash)}
+
+    def feats(up, parts):
+        rows = [(i + up, len(x), np.packbits(x, axis=1, bitorder="little").tobytes()) for i, x in sorted(bits.items())]
+        rows.append((up - 1, 0, b""))
+        return spark.createDataFrame(rows, "image_id long, n long, bits binary").repartition(parts)
+
+    who, all_bits = np.concatenate([[i] * len(x) for i, x in bits.items()]), np.concatenate(list(bits.values()))
+    want, pairs = {}, 3 * (len(who) ** 2 - sum(len(x) ** 2 for x in bits.values()))
+    for wide in (8, 16):
+        same = 0
+        for order in media_copies._orders(3):
+            keys = [x.tobytes() for x in all_bits[:, order[:wide]]]
+            same += sum(c * c for c in collections.Counter(keys).values())
+            same -= sum(c * c for c in collections.Counter(zip(who, keys, strict=True)).values())
+        want[wide] = same / pairs
+    for parts in (1, 7):
+        assert media_copies._meetings(feats(0, parts), 3) == (want, len(who))
+    met, corners = media_copies._meetings(feats(0, 1).where("n = 0"), 3)
+    assert met == {8: 0.5**8, 16: 0.5**16} and corners == 0
+    got = [
+        {(r["a"] - up, r["b"] - up, r["votes"]) for r in media_copies.candidate_pairs(feats(up, 5), 20, 16, 2).collect()} for up in (0, 10**6)
+    ]
+    assert got[0] == got[1] != set()
+
+
 def test_media_links_a_small_crop_of_a_large_image(spark):
     f = texture(7, 400)
     rows = [(0, media_copies.write_pgm(f)), (1, media_copies.write_pgm(f[200:300, 200:300]))]
